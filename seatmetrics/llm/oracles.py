@@ -32,5 +32,17 @@ def _secrets_sql() -> str:
     )
 
 
+#: Base32 by the bits of the SHA-1, five at a time.
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, CAST(unhex(sha1(h)) AS BIT)::VARCHAR AS bits FROM p),
+g AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(
+  16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1 AS BIGINT)]), '') AS payload_digest FROM d),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS winner FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> winner THEN winner END AS refers_to FROM w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scans": _secrets_sql()}
+    return {"op2_warc_archive": _WARC_SQL, "op4_secret_scans": _secrets_sql()}

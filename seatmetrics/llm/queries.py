@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatmetrics.llm import bpe, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    root, manifest = warc.archive(pages)
+    return warc.read_archive(spark, root, manifest, with_payload=False).drop("payload", "url")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = secret_scans.scan_secrets(docs).drop("text")
@@ -28,5 +35,15 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    root, manifest = token_files.tokenize_to_files(docs)
+    return token_files.read_documents(spark, root, manifest)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_secret_scans": op4_secret_scans}
+    return {f.__name__: f for f in (op2_warc_archive, op4_secret_scans, op5_token_files, op7_byte_bpe)}
