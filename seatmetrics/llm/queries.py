@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, token_files, warc
+from seatmetrics.llm import bpe, langid, licenses, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
@@ -17,6 +17,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, root, manifest, with_payload=False).drop("payload", "url")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = secret_scans.scan_secrets(docs).drop("text")
@@ -45,5 +49,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    named = langid.predict(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_archive, op4_secret_scans, op5_token_files, op7_byte_bpe)}
+    return {f.__name__: f for f in (op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op7_byte_bpe, op9_language_id)}
