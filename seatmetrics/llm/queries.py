@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, langid, licenses, token_files, warc
+from seatmetrics.llm import bpe, cosine, langid, licenses, minhash, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
@@ -45,6 +45,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, root, manifest)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -56,5 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op7_byte_bpe, op9_language_id)}
+    every = (op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op6_minhash, op7_byte_bpe, op9_language_id, op10_near_vectors)
+    return {f.__name__: f for f in every}
