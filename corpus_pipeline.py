@@ -1,15 +1,67 @@
-"""Five training-data stages over ``documents``; each reads what the stage before it kept."""
+"""Five training-data stages over ``documents``; each reads what the stage before it kept.
+
+Every stage but the last returns the columns of its input. A rejected or duplicate document is left out, a secret is
+replaced by a mark in the text that later stages read, and the last stage gives each kept document's token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seatmetrics.llm import bpe, decontaminate, langid, minhash
+from seatmetrics.llm import secrets as secret_scans
+
+#: Stages on word shingles take five words and a similarity of 0.8.
+SHINGLES = minhash.Settings(width=5, above=80, below=100)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn languages from labelled documents, and leave out those without any: null texts and texts without a letter."""
+    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group."""
+    marked = minhash.near_duplicates(docs.select("doc_id", "text"), settings=SHINGLES)
+    dropped = marked.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
 
-STAGES: list = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that hold a benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every found secret in the text by a mark."""
+    found = secret_scans.scan_secrets(docs)
+    text = secret_scans.redacted(F.col("text"), F.col("findings"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the digests of the ids and of the bytes decoded from them."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
+]
+#: SQL cannot express the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each one's rows are written as Parquet to the shared folder and read again."""
+    from seatmetrics.llm.shared import settle
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

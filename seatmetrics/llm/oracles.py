@@ -44,5 +44,23 @@ CASE WHEN page_id <> winner THEN winner END AS refers_to FROM w
 """
 
 
+#: Trigram scores; a document's own occurrences are left out of every count.
+_LM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) x),
+u1 AS (SELECT r, c, count(*) AS n FROM t GROUP BY ALL), u2 AS (SELECT r, b, c, count(*) AS n FROM t WHERE i > 1 GROUP BY ALL), u3 AS (SELECT r, a, b, c, count(*) AS n FROM t WHERE i > 2 GROUP BY ALL),
+g1 AS (SELECT c, sum(n) AS n FROM u1 GROUP BY c), g2 AS (SELECT b, c, sum(n) AS n FROM u2 GROUP BY ALL), g3 AS (SELECT a, b, c, sum(n) AS n FROM u3 GROUP BY ALL),
+s AS (SELECT t.r, t.i, least(t.i, 3) AS top, g1.n - u1.n AS c1, coalesce(g2.n - u2.n, 0) AS c2, coalesce(g3.n - u3.n, 0) AS c3, coalesce(h1.n - v1.n, 0) AS p1, coalesce(h2.n - v2.n, 0) AS p2,
+  greatest((SELECT sum(n) FROM u1) - len(d.w), 1) AS every
+  FROM t JOIN d USING (r) JOIN g1 ON g1.c = t.c JOIN u1 ON u1.r = t.r AND u1.c = t.c
+  LEFT JOIN g2 ON g2.b = t.b AND g2.c = t.c LEFT JOIN u2 ON u2.r = t.r AND u2.b = t.b AND u2.c = t.c
+  LEFT JOIN g3 ON g3.a = t.a AND g3.b = t.b AND g3.c = t.c LEFT JOIN u3 ON u3.r = t.r AND u3.a = t.a AND u3.b = t.b AND u3.c = t.c
+  LEFT JOIN g1 h1 ON h1.c = t.b LEFT JOIN u1 v1 ON v1.r = t.r AND v1.c = t.b
+  LEFT JOIN g2 h2 ON h2.b = t.a AND h2.c = t.b LEFT JOIN u2 v2 ON v2.r = t.r AND v2.b = t.a AND v2.c = t.b),
+l AS (SELECT r, sum(CASE WHEN c3 > 0 THEN ln(c3) - ln(p2) WHEN c2 > 0 THEN (top - 2) * ln(0.4) + ln(c2) - ln(p1) ELSE (top - 1) * ln(0.4) + ln(greatest(c1, 1)) - ln(every) END) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, floor(coalesce(x, 0) * 1e4 + 0.5) / 1e4 AS log_score, floor(x / len(w) * 1e4 + 0.5) / 1e4 AS mean_log_score FROM d LEFT JOIN l USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": _WARC_SQL, "op4_secret_scans": _secrets_sql()}
+    return {"op1_lm_scores": _LM_SQL, "op2_warc_archive": _WARC_SQL, "op4_secret_scans": _secrets_sql()}

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, cosine, langid, licenses, minhash, token_files, warc
+from seatmetrics.llm import bpe, cosine, decontaminate, langid, licenses, lm, minhash, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rounded = [(F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in ("log_score", "mean_log_score")]
+    return scored.select("doc_id", "n_words", *rounded)
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     root, manifest = warc.archive(pages)
@@ -53,6 +59,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.find_leaks(docs, items)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
@@ -65,5 +77,5 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op6_minhash, op7_byte_bpe, op9_language_id, op10_near_vectors)
+    every = (op1_lm_scores, op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op6_minhash, op7_byte_bpe, op8_decontamination, op9_language_id, op10_near_vectors)
     return {f.__name__: f for f in every}
