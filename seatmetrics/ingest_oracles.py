@@ -97,4 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "text_parsers": f"SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 1000 + p_size + 0.5 WHEN p_partkey % 4 <> 1 THEN CAST(p_size AS DOUBLE) END::DOUBLE AS number, CASE WHEN p_partkey % 3 = 0 THEN try_cast('2024-' || p_size || '-' || (p_partkey % 14) AS DATE) END AS month_first, CASE WHEN p_partkey % 3 = 0 THEN try_cast('2024-' || (p_partkey % 14) || '-' || p_size AS DATE) END AS day_first, ['USD', 'EUR', NULL, NULL, 'GBP'][p_partkey % 5 + 1] AS currency, p_partkey % 5 = 2 AS unreadable, ['concurrent', 'named_user', 'node_locked', 'token', 'unknown'][p_partkey % 5 + 1] AS licence_model, {key(title)} AS feature_key, {sku(title)} AS sku_key, regexp_replace(regexp_replace(lower({title}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower({title}), '[^a-z0-9]+'), lambda w: length(w) >= 3))), ' ') AS tokens FROM part",
         "stats_scalars": f"SELECT l_orderkey, {r('q * 1.1::DOUBLE', 1)} AS rounded, {r('-q / 2')} AS half, CAST(ceil(round(q * 1.1::DOUBLE, 9)) AS BIGINT) AS up, q / nullif(n - 3, 0) AS ratio, greatest(20.0::DOUBLE, least(200.0::DOUBLE, q * 1.1::DOUBLE)) AS clamped, CASE WHEN q > 0 THEN {r('n / q * 100', 1)} ELSE 0.0 END AS share, {worst} AS worst, CASE WHEN n > 2 THEN '$' || format('{{:,}}', CAST(q AS BIGINT)) ELSE '—' END AS money FROM (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY ALL)",
     }
+    shape = "0.05, 0.05, 0.05, 0.05, 0.05, 0.1, 0.2, 0.45, 0.7, 0.9, 1.0, 0.95, 0.8, 0.9, 1.0, 0.95, 0.85, 0.6, 0.4, 0.25, 0.15, 0.1, 0.08, 0.05"
+    out["licence_hours"] = f"SELECT feature_id, day, CAST(sum(floor(peak * CAST(part AS DOUBLE) + 0.5)) AS BIGINT) AS licence_hours FROM (SELECT p_brand AS feature_id, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS peak FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#7' GROUP BY ALL), (SELECT unnest([{shape}]) AS part), (SELECT CAST(max(l_shipdate) AS DATE) AS e FROM lineitem) WHERE day BETWEEN e - 89 AND e GROUP BY ALL"
+    out["stream_hourly_concurrency"] = "SELECT 'f' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS feature_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, CAST(max(CAST(floor(value) AS INTEGER)) AS DOUBLE) AS concurrent FROM events WHERE event_type <> 'view' GROUP BY ALL"
     return {k: sql(v) for k, v in out.items()}

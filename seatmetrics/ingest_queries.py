@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from seatmetrics.functions import dates, numeric, text
 from seatmetrics.operators import contracts, demand, identity, normalize, review
 from seatmetrics.plans import trust
-from seatmetrics.sources import sinks
+from seatmetrics.sources import sinks, synthetic
 from seatmetrics.sources.estate import Estate
+from seatmetrics.sources.shared import shared_dir
+from seatmetrics.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -253,3 +255,21 @@ def stats_scalars(e: Estate) -> DataFrame:
         "l_orderkey", numeric.half_up(x, 1).alias("rounded"), numeric.half_up(-F.col("q") / 2).alias("half"), numeric.whole_up(x).alias("up"), numeric.ratio(F.col("q"), F.col("n") - 3).alias("ratio"), numeric.clamp(x, 20, 200).alias("clamped"),
         numeric.share(F.col("n"), F.col("q")).alias("share"), numeric.worst(F.when(F.col("n") > 4, "High"), F.when(F.col("m") > 5, "Critical"), F.lit("Moderate")).alias("worst"), text.money_text(F.when(F.col("n") > 2, F.col("q"))).alias("money"),
     )
+
+
+@query
+def licence_hours(e: Estate) -> DataFrame:
+    """Each day's peak of the long history spread over the hours of a day."""
+    return synthetic.licence_hours(e.daily(e.window("3m")).withColumnRenamed("date", "day"))
+
+
+@query
+def stream_hourly_concurrency(e: Estate) -> DataFrame:
+    """The hourly maximum by a stream over the same files, run to their end."""
+    schema = e.table("events").schema
+    events = e.spark.readStream.schema(schema).parquet(f"{e.root}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("int")
+    seen = events.select(F.concat(F.lit("f"), (k % 10).cast("string")).alias("feature_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(F.col("event_type") != "view", F.floor("value").cast("int")).alias("concurrent"))
+    at = shared_dir(e.spark, "hourly-stream")
+    hourly.into_files(hourly.hourly_stream(seen, "60 days"), f"{at}/rows", f"{at}/state").awaitTermination()
+    return e.spark.read.parquet(f"{at}/rows")
