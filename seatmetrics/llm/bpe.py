@@ -16,9 +16,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from seatmetrics.llm.pretokens import PretokenCache
 
@@ -123,35 +125,30 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def _batches(frames: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[pd.DataFrame, list[str]]]:
-    for frame in frames:
-        yield frame, [t if isinstance(t, str) else "" for t in frame[column]]
-
-
 def encode_documents(docs: DataFrame, column: str = "text", out: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with the ids of each whole text in an integer array column ``out`` in place of any column of that name."""
     path = public_tokenizers.path(vocabulary)
     kept = docs.drop(out)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in _batches(frames, column):
-            yield frame.assign(**{out: [ids.astype(np.int32) for ids in codec(path).encode(texts)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [x.astype(np.int32) for x in codec(path).encode([t or "" for t in batch.column(column).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(run, f"{fields}, `{out}` array<int>")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """For each row: the number of ids, the SHA-256 of the ids as little-endian 32-bit integers, and that of the decoded bytes."""
     path = public_tokenizers.path(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in _batches(frames, column):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in codec(path).encode(texts):
+            for ids in codec(path).encode([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(codec(path).decode(ids)).hexdigest())
-            yield pd.DataFrame({id_column: frame[id_column], "n_tokens": np.array(n, np.int64), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_column, column).mapInPandas(run, f"{id_column} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, f"{id_column} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

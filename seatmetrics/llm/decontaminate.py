@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,12 +254,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", col
         index = ItemIndex(block, settings)
         length = {i: len(w) for c in index.classes for i, w in c.items}
 
-        def run(frames: Iterator[pd.DataFrame], index: ItemIndex = index, length: dict = length) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = [(d, i, s, e, length[i]) for d, t in zip(frame[id_column], frame[column]) for i, (e, s) in sorted(index.hits(t).items())]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "edits", "item_words"]).astype({"doc_id": "Int64"})
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, length: dict = length) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(d, i, s, e, length[i]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for i, (e, s) in sorted(index.hits(t).items())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start_word", "edits", "item_words"])
 
-        found = docs.select(id_column, column).mapInPandas(run, "doc_id bigint, item_id bigint, start_word bigint, edits bigint, item_words bigint")
+        found = docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, "doc_id bigint, item_id bigint, start_word bigint, edits bigint, item_words bigint")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -269,9 +269,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item_
     for block in item_blocks(items, item_id, item_text):
         index = ItemIndex(block, settings)
 
-        def run(frames: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield frame[[not index.hits(t) for t in frame[column]]]
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not index.hits(t) for t in batch.column(column).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

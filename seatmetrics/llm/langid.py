@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 BUCKETS = 1 << 12
 SIZES = (1, 2, 3, 4)
@@ -136,9 +138,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
     """``docs`` with lang_pred, lang_score and lang_ambiguous in place of columns of those names."""
     kept = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame[text]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             known = np.array([bool(model.languages) and bool(_LETTER.search(t)) for t in texts], bool)
             lang = np.full(len(texts), "und", object)
             score, margin = np.zeros(len(texts)), np.ones(len(texts))
@@ -147,10 +149,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
                 best, p, gap = model.decode(np.stack([features(texts[k]) for k in rows]))
                 lang[rows] = np.array(model.languages, object)[best]
                 score[rows], margin[rows] = np.clip(p, 0, 1), gap
-            yield frame.assign(lang_pred=lang, lang_score=score, lang_ambiguous=margin < ambiguous_below)
+            new = [pa.array(lang, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(run, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_ambiguous", BooleanType())])
+    return kept.mapInArrow(run, schema)
 
 
 def held_out(id_column: str = "doc_id") -> Column:

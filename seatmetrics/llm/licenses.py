@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,12 +159,11 @@ class LicenceIndex:
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     index = LicenceIndex(*document_frequency(docs, column))
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds = {id_column: pa.int64(), "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame([index.scan(t) for t in frame[column]], columns=names).astype({"n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64"})
-            out.insert(0, id_column, frame[id_column].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *index.scan(t)) for d, t in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
-    return docs.select(id_column, column).mapInPandas(run, f"{id_column} bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, f"{id_column} bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

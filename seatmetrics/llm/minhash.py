@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,17 +92,17 @@ def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
 def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
     """doc_id, n_shingles, set_key, bands for every row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             n, keys, bands = [], [], []
-            for text in frame[column]:
+            for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, settings.width)
                 n.append(len(hashes))
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(hashes, settings.size), settings.bands) if len(hashes) else [])
-            yield pd.DataFrame({"doc_id": frame[id_column], "n_shingles": np.array(n, np.int64), "set_key": keys, "bands": bands})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
-    return settle(docs.select(id_column, column).mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketch")
+    return settle(docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketch")
 
 
 def bucket_edges(classes: DataFrame) -> DataFrame:
