@@ -147,14 +147,22 @@ class PretokenCache:
         keys = hash_spans(data, starts, ends)
         if len(self.keys) > self.most:
             self.clear()
-        found = np.searchsorted(self.keys, keys)
-        missing = np.flatnonzero((found == len(self.keys)) | (self.keys[np.minimum(found, len(self.keys) - 1)] != keys)) if len(self.keys) else np.arange(len(keys))
+        # Distinct keys in order: the search then walks through the cache once, whatever its size.
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.append(True, ordered[1:] != ordered[:-1])
+        distinct, sample = ordered[fresh], order[fresh]
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        found = np.searchsorted(self.keys, distinct)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == distinct[known]
+        missing = np.flatnonzero(~known)
         if len(missing):
-            order = missing[np.argsort(keys[missing], kind="stable")]
-            new = order[np.append(True, keys[order][1:] != keys[order][:-1])]
-            raw = data.tobytes()
-            self._add(keys[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            found = np.searchsorted(self.keys, keys)
+            raw, new = data.tobytes(), sample[missing]
+            self._add(distinct[missing], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            found = np.searchsorted(self.keys, distinct)
+        found = found[which]
         n = self.n[found]
         stop = np.cumsum(n)
         flat = self.ids[np.repeat(self.at[found] - (stop - n), n) + np.arange(int(stop[-1]))]
