@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from seatmetrics.llm.blocks import sorted_groups, together
 from seatmetrics.llm.shared import SPACE, hashed_words, mix
 
-_FORWARD = "slot int, batch string, asks boolean, width int, keys binary, counts binary"
+_FORWARD = "slot int, batch string, asks boolean, keys binary, counts binary"
 _BACK = "batch string, slot int, counts binary"
 
 
@@ -44,69 +46,67 @@ _BACK = "batch string, slot int, counts binary"
 class Settings:
     order: int = 3
     alpha: float = 0.4
-    batch_words: int = 4_000_000
+    batch_words: int = 2_500_000
 
 
-def narrow(values: np.ndarray) -> tuple[int, bytes]:
-    """Unsigned values as little-endian integers of the fewest bytes that hold the largest."""
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned values as byte planes of the fewest bytes that hold the largest, compressed: a plane that says little costs little."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return width, values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return struct.pack("<BI", width, len(values)) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
-def widen(width: int, data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def unpack(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BI", data)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=width * n), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
     return out.view("<u8").reshape(-1)
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    width, data = narrow(counts.astype(np.uint64))
-    return bytes([width]) + data
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys: the first one, and the steps between them."""
+    return int(keys[0]).to_bytes(8, "little") + pack(keys[1:] - keys[:-1])
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    return widen(data[0], data[1:]).astype(np.int64)
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(np.append(np.frombuffer(data[:8], "<u8"), unpack(data[8:])), dtype=np.uint64)
 
 
 class Grams:
-    """The n-grams of a batch of documents: for each order, sorted distinct hashes, their counts, and the entry of each word position."""
+    """The words of a batch of documents, and the hashes of its n-grams one order after the other."""
 
     def __init__(self, texts: list[str | None], order: int):
         words = [hashed_words(t, SPACE) for t in texts]
+        self.order = order
         self.lengths = np.array([len(w) for w in words], np.int64)
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        ends = np.cumsum(self.lengths)
-        self.starts = ends - self.lengths
-        self.place = np.arange(len(self.words)) - np.repeat(self.starts, self.lengths)
-        self.keys = [np.zeros(1, np.uint64)]  # order 0: all words
-        self.counts = [np.array([len(self.words)], np.int64)]
-        self.at: list[np.ndarray] = [self.place]
-        self.entry: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.minimum(np.arange(len(self.words)) - np.repeat(self.starts, self.lengths), order).astype(np.int8)
+
+    def by_order(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, word positions at which an n-gram ends, hashes of these n-grams)."""
         hashed = self.words
-        for n in range(1, order + 1):
-            if n > 1:
-                hashed = np.append(np.zeros(1, np.uint64), mix(hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[1:])) if len(hashed) else hashed
+        for n in range(1, self.order + 1):
+            if n > 1 and len(hashed):
+                hashed = np.append(np.zeros(1, np.uint64), mix(hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.words[1:]))
             at = np.flatnonzero(self.place >= n - 1)
-            keys, entry, counts = np.unique(hashed[at], return_inverse=True, return_counts=True)
-            self.keys.append(keys)
-            self.counts.append(counts.astype(np.int64))
-            self.at.append(at)
-            self.entry.append(entry.reshape(-1))
+            yield n, at, hashed[at]
 
-    def in_document(self, n: int) -> np.ndarray:
+    def in_document(self, n: int, entry: np.ndarray) -> np.ndarray:
         """For each n-gram occurrence, how often its document holds that n-gram."""
-        out = np.zeros(len(self.entry[n]), np.int64)
+        out = np.zeros(len(entry), np.int64)
         edge = np.append(0, np.cumsum(np.maximum(self.lengths - n + 1, 0)))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if b > a:
-                _, back, counts = np.unique(self.entry[n][a:b], return_inverse=True, return_counts=True)
+                _, back, counts = np.unique(entry[a:b], return_inverse=True, return_counts=True)
                 out[a:b] = counts[back.reshape(-1)]
         return out
 
 
 def slot_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where each slot's keys begin and end among sorted keys, by their leading bits."""
-    tops = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    tops = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.append(np.searchsorted(keys, tops), len(keys))
 
 
@@ -141,21 +141,26 @@ def batches_of(docs: DataFrame, id_column: str, column: str, schema: str, make,
 def gram_slots(docs: DataFrame, id_column: str, column: str, bits: int, asks: bool, adds: bool, settings: Settings) -> DataFrame:
     """Each batch's distinct n-grams in slots; ``asks``: the batch wants sums back, ``adds``: its counts go into the tables."""
 
+    def rows(batch: str, slots: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        counts = [c if adds else np.zeros(len(c), np.int64) for _, _, c in slots]
+        return pa.RecordBatch.from_pydict(
+            {
+                "slot": pa.array([s for s, _, _ in slots], pa.int32()),
+                "batch": pa.array([batch] * len(slots), pa.string()),
+                "asks": pa.array([asks] * len(slots), pa.bool_()),
+                "keys": pa.array([pack_sorted(k) for _, k, _ in slots], pa.binary()),
+                "counts": pa.array([pack(c) for c in counts], pa.binary()),
+            }
+        )
+
     def make(batch: str, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         grams = Grams(texts, settings.order)
-        rows: list[tuple] = []
-        for n in range(settings.order + 1):
-            edges = slot_edges(grams.keys[n], bits if n else 0)
-            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-                if b > a:
-                    keys = grams.keys[n][a:b]
-                    width, data = narrow(keys[1:] - keys[:-1])
-                    head = int(keys[0]).to_bytes(8, "little")
-                    counts = pack_counts(grams.counts[n][a:b] if adds else np.zeros(b - a, np.int64))
-                    rows.append(((n << bits) + k if n else 0, batch, asks, width, head + data, counts))
-        names = [f.split()[0] for f in _FORWARD.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_pydict({c: pa.array([r[j] for r in rows], kind) for j, (c, kind) in enumerate(zip(names, kinds))})
+        # Order 0, the empty gram: all words.
+        yield rows(batch, [(0, np.zeros(1, np.uint64), np.array([len(grams.words)]))])
+        for n, _, hashed in grams.by_order():
+            keys, counts = np.unique(hashed, return_counts=True)
+            edges = slot_edges(keys, bits).tolist()
+            yield rows(batch, [((n << bits) + k, keys[a:b], counts[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
 
     return batches_of(docs, id_column, column, _FORWARD, make, settings)
 
@@ -165,11 +170,8 @@ def slot_sums(slots: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(frames, ["slot"]):
-            lists, counts = [], []
-            for width, keys, n in zip(group.column("width").to_pylist(), group.column("keys").to_pylist(), group.column("counts").to_pylist()):
-                head = np.frombuffer(keys[:8], "<u8")
-                lists.append(np.cumsum(np.append(head, widen(width, keys[8:])), dtype=np.uint64))
-                counts.append(unpack_counts(n))
+            lists = [unpack_sorted(x) for x in group.column("keys").to_pylist()]
+            counts = [unpack(x) for x in group.column("counts").to_pylist()]
             _, back = np.unique(np.concatenate(lists), return_inverse=True)
             back = back.reshape(-1)
             total = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)[back]
@@ -180,7 +182,7 @@ def slot_sums(slots: DataFrame) -> DataFrame:
                 {
                     "batch": pa.array([batch[k] for k in keep], pa.string()),
                     "slot": pa.array([slot] * len(keep), pa.int32()),
-                    "counts": pa.array([pack_counts(total[edge[k] : edge[k + 1]]) for k in keep], pa.binary()),
+                    "counts": pa.array([pack(total[edge[k] : edge[k + 1]]) for k in keep], pa.binary()),
                 }
             )
 
@@ -188,18 +190,22 @@ def slot_sums(slots: DataFrame) -> DataFrame:
 
 
 def word_scores(grams: Grams, sums: list[np.ndarray], leave_out: bool, settings: Settings) -> np.ndarray:
-    """The logarithm of the backed-off relative frequency at each word position of a batch."""
-    size = len(grams.words)
+    """The logarithm of the backed-off relative frequency at each word position of a batch; ``sums``: of its distinct grams by order."""
     own_words = np.repeat(grams.lengths, grams.lengths)
-    every = np.maximum(int(sums[0][0]) - (own_words if leave_out else 0), 1).astype(np.float64)
+    every = np.maximum(int(sums[0][0]) - (own_words if leave_out else 0), 1)
     top = np.minimum(grams.place + 1, settings.order)
-    known = np.zeros((settings.order + 1, size), np.int64)
-    for n in range(1, settings.order + 1):
-        known[n][grams.at[n]] = sums[n][grams.entry[n]] - (grams.in_document(n) if leave_out else 0)
-    out = (top - 1) * math.log(settings.alpha) - np.log(every) + np.log(np.maximum(known[1], 1))
-    for n in range(2, settings.order + 1):
-        at = np.flatnonzero((known[n] > 0) & (top >= n))
-        out[at] = (top[at] - n) * math.log(settings.alpha) + np.log(known[n][at]) - np.log(known[n - 1][at - 1])
+    out, before = np.zeros(len(grams.words)), every
+    for n, at, hashed in grams.by_order():
+        _, entry = np.unique(hashed, return_inverse=True)
+        entry = entry.reshape(-1).astype(np.int32)
+        known = np.zeros(len(grams.words), np.int64)
+        known[at] = sums[n][entry].astype(np.int64) - (grams.in_document(n, entry) if leave_out else 0)
+        if n == 1:
+            out = (top - 1) * math.log(settings.alpha) + np.log(np.maximum(known, 1)) - np.log(every)
+        else:
+            longer = np.flatnonzero(known > 0)
+            out[longer] = (top[longer] - n) * math.log(settings.alpha) + np.log(known[longer]) - np.log(before[longer - 1])
+        before = known
     return out
 
 
@@ -233,8 +239,8 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_column:
         grams = Grams(rows.column("text").to_pylist(), settings.order)
         found = right.sort_values("slot")
         order = found["slot"].to_numpy() >> bits
-        lists = [unpack_counts(x) for x in found["counts"]]
-        none = np.zeros(0, np.int64)
+        lists = [unpack(x) for x in found["counts"]]
+        none = np.zeros(0, np.uint64)
         by_order = [np.concatenate([none, *(x for x, n in zip(lists, order) if n == k)]) for k in range(settings.order + 1)]
         scores = np.append(0, np.cumsum(word_scores(grams, by_order, leave_out, settings)))
         total = scores[grams.starts + grams.lengths] - scores[grams.starts]
