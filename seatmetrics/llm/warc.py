@@ -95,7 +95,7 @@ class _ArchiveFile:
         self.fs, base = _filesystem(root)
         self.name, self.level = f"part-{uuid.uuid4().hex}.warc.zst", level
         self.fs.create_dir(base, recursive=True)
-        self.out = self.fs.open_output_stream(f"{base}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{base}/{self.name}", compression=None)
         self.waiting: list[bytes] = []
         self.compressor = None
         self.held = self.records = self.payload_bytes = 0
@@ -179,7 +179,7 @@ def parse_records(stream) -> Iterator[dict]:
 def read_file(root: str, name: str) -> Iterator[dict]:
     """All records of one archive file, by the dictionary that it carries."""
     fs, base = _filesystem(root)
-    with fs.open_input_stream(f"{base}/{name}") as raw:
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as raw:
         magic, size = struct.unpack("<II", raw.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{name} does not start with a dictionary frame")
