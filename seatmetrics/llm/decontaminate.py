@@ -102,7 +102,7 @@ class ItemClass:
         for keys in walk_keys(joined, begins, self.salt, self.sampled, pads):
             order = np.argsort(keys, kind="stable")
             known, first = np.unique(keys[order], return_index=True)
-            self.tables.append((known, np.split(order, first[1:])))
+            self.tables.append((known, np.append(first, len(order)), order))
         self.lists = [w.tolist() for _, w in items]
 
     def _draw(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +142,10 @@ class ItemClass:
         tried = set()
         for low in range(0, len(starts), 4096):
             some = starts[low : low + 4096]
-            for keys, (known, lists) in zip(walk_keys(padded, some, self.salt, self.sampled, n), self.tables):
+            for keys, (known, first, order) in zip(walk_keys(padded, some, self.salt, self.sampled, n), self.tables):
                 found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 for s in np.flatnonzero(known[found] == keys).tolist():
-                    tried.update((int(k), int(some[s])) for k in lists[found[s]])
+                    tried.update((k, int(some[s])) for k in order[first[found[s]] : first[found[s] + 1]].tolist())
         for k, s in sorted(tried):
             item = self.lists[k]
             distance = edit_distance(item, words[s : s + len(item)].tolist())
