@@ -45,6 +45,11 @@ def _portfolio(e: Estate) -> DataFrame:
     return portfolio.portfolio(e)
 
 
+def _kept_portfolio(e: Estate) -> DataFrame:
+    """For plans that branch over the portfolio: a row for each feature, computed once."""
+    return _portfolio(e).cache()
+
+
 # ---- demand ----
 
 
@@ -324,14 +329,14 @@ def decisions(e: Estate) -> DataFrame:
 
 
 def _signals(e: Estate) -> DataFrame:
-    rows = _portfolio(e)
+    rows = _kept_portfolio(e)
     summary = commercial.reconciliation_summary(commercial.reconcile(e.features()))
     return signals.generate(rows, commercial.renewals(rows), portfolio.data_quality(rows, 0, 2), summary, cost_threshold=2_500)
 
 
 @query
 def executive_actions(e: Estate) -> DataFrame:
-    rows = _portfolio(e)
+    rows = _kept_portfolio(e)
     return signals.executive_actions(rows, commercial.renewals(rows))
 
 

@@ -72,7 +72,11 @@ class Estate:
     # ---- long history --------------------------------------------------------------------------------------------
 
     def features(self) -> DataFrame:
-        """One row for each feature, with its product, vendor, contract, quantities and price."""
+        """One row for each feature, with its product, vendor, contract, quantities and price; kept, as most plans use it several times."""
+        return self._features
+
+    @cached_property
+    def _features(self) -> DataFrame:
         n = F.substring("p_brand", 7, 9).cast("int")
         sizes = self.table("part").groupBy(F.col("p_brand").alias("feature_id"), n.alias("n")).agg(F.sum("p_size").alias("size"), F.max("p_retailprice").alias("price"))
         vendor, col = (F.col("n") % 4).cast("string"), F.col("n")
@@ -92,7 +96,7 @@ class Estate:
             F.when(~col.isin(*UNPRICED), F.col("price")).alias("unit_price"),
             F.when(~col.isin(*UNDATED), F.concat(F.lit("contract:"), vendor)).alias("contract_id"),
             F.when(~col.isin(*UNDATED), F.date_add(F.lit(self.as_of), F.col("n") % 4 * 45 - 20)).alias("renewal_date"),
-        )
+        ).cache()
 
     def lines(self) -> DataFrame:
         """Order lines with their brand; brands without usage left out."""
