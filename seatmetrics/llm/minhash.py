@@ -5,10 +5,13 @@
 2. Documents of equal sets form one class, so copies are never paired with each other.
 3. Classes that share a band key with others are joined into candidate clusters, by one edge from each member to
    the smallest of its bucket: as many edges as members, whatever the bucket's size.
-4. The texts of each cluster meet once, in pairs of bounded blocks; there, pairs whose signatures agree enough
-   are confirmed on the full sets, unless earlier confirmed links connect them already. Links between different
-   texts that banding found are thus all tried, though a cluster yields only a spanning forest of its links.
-5. Components of the confirmed links, by alternating large-star and small-star.
+4. Each member is confirmed on the full sets against one hub, the smallest class that it shares most buckets with.
+   Members of a hub come in blocks, each with the hub's text, so a group of near copies costs as much as its size.
+5. Where that leaves a cluster in several parts, its texts meet in pairs of bounded blocks, but for the pairs of two
+   blocks of the largest part. There, pairs of different parts whose signatures agree enough are confirmed on the
+   full sets. All links between different texts that banding found are thus tried, unless confirmed links already
+   connect their ends.
+6. Components of the confirmed links, by alternating large-star and small-star.
 
 Defined results: null text and text without words have an empty set, link with nothing and are kept; fewer words
 than a shingle make one shingle; rows with the same doc_id count as one document; a null doc_id takes part but
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatmetrics.llm.blocks import Forest, block_pairs, sorted_groups, together
+from seatmetrics.llm.blocks import Forest, sorted_groups, together
 from seatmetrics.llm.components import components
 from seatmetrics.llm.shared import SPACE, hashed_words, mix, seeded, settle
 
@@ -43,7 +46,8 @@ class Settings:
     below: int = 100
     bands: int = 24
     rows: int = 5
-    block: int = 512
+    block: int = 256
+    hub_block: int = 128
     broadcast_rows: int = 1_000_000
 
     @property
@@ -106,17 +110,58 @@ def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) ->
 
 
 def bucket_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): one edge from each member of a band's bucket to its smallest member."""
+    """(a, b, shared): from each member of a band's bucket to its smallest member, and in how many bands."""
     keyed = classes.select("rep", F.explode("bands").alias("bucket"))
     centres = keyed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("largest"))
     centres = settle(centres.where("centre <> largest").select(F.col("bucket").alias("at"), "centre"), "buckets")
-    return keyed.join(centres, keyed["bucket"] == centres["at"]).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    edges = keyed.join(centres, keyed["bucket"] == centres["at"]).where("rep <> centre")
+    return settle(edges.groupBy(F.col("rep").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("shared")), "bucket-edges")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
+    low, high = sorted((len(a), len(b)))
+    if low * settings.below < high * settings.above:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return settings.below * both >= settings.above * (low + high - both)
+
+
+def _texts(docs: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings) -> DataFrame:
+    """``roles`` (rep, ...) with the text of each; they are sent to the texts while they are few enough."""
+    small = roles.count() <= settings.broadcast_rows
+    rows = docs.select(F.col(id_column).cast("bigint").alias("rep"), F.col(column).alias("text")).where(F.col("text").isNotNull())
+    return rows.join(F.broadcast(roles) if small else roles, "rep")
+
+
+def hub_links(docs: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+    """(a, b): each member's link to its hub, where the full sets confirm it."""
+    hubs = settle(edges.groupBy(F.col("a").alias("rep")).agg(F.max_by("b", F.struct(F.col("shared"), -F.col("b"))).alias("hub")), "hubs")
+    blocks = settle(hubs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(settings.hub_block)).cast("int").alias("blocks")), "hub-sizes")
+    members = hubs.join(blocks, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
+    heads = blocks.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("is_hub"))
+    roles = settle(members.unionByName(heads), "hub-roles")
+    keys = ["hub", "part"]
+    rows = together(_texts(docs, id_column, column, roles, settings).select(*keys, "is_hub", "rep", "text"), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        for group in sorted_groups(batches, keys):
+            head = group.column("is_hub").to_pylist()
+            ids, texts = group.column("rep").to_pylist(), group.column("text").to_pylist()
+            if True not in head or False not in head:
+                continue
+            at = head.index(True)
+            own = shingle_set(texts[at], settings.width)
+            edges += [(i, ids[at]) for i, t, h in zip(ids, texts, head) if not h and _alike(own, shingle_set(t, settings.width), settings)]
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return settle(rows.mapInArrow(run, "a bigint, b bigint"), "hub-links")
 
 
 def _confirm(group: pa.Table, settings: Settings) -> list[tuple[int, int]]:
-    """Spanning forest of the confirmed links in one pair of blocks."""
-    ids = group.column("rep").to_numpy()
-    if len(ids) < 2:
+    """Spanning forest of the confirmed links between the parts of one pair of blocks."""
+    ids, part = group.column("rep").to_numpy(), group.column("part").to_numpy()
+    if len(ids) < 2 or part.min() == part.max():
         return []
     own = group.column("own_block").to_numpy()
     sets = [shingle_set(t, settings.width) for t in group.column("text").to_pylist()]
@@ -127,36 +172,49 @@ def _confirm(group: pa.Table, settings: Settings) -> list[tuple[int, int]]:
     found = []
     for i in range(len(ids) - 1):
         agree = (minima[i + 1 :] == minima[i]).sum(1)
-        may = agree >= least
+        may = (agree >= least) & (part[i + 1 :] != part[i])
         if across:
             may &= own[i + 1 :] != own[i]
-        # No pair whose sizes alone rule the similarity out.
-        other = size[i + 1 :]
-        may &= np.minimum(other, size[i]) * settings.below >= np.maximum(other, size[i]) * settings.above
         j = np.flatnonzero(may)
         found.append((agree[j], np.full(len(j), i), j + i + 1))
     agree, left, right = (np.concatenate(x) for x in zip(*found))
     forest, edges = Forest(len(ids)), []
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    for i, k in enumerate(first[of.reshape(-1)].tolist()):
+        forest.join(i, k)
     for k in np.argsort(-agree, kind="stable").tolist():
         i, j = int(left[k]), int(right[k])
-        if forest.root(i) == forest.root(j):
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if settings.below * both >= settings.above * (size[i] + size[j] - both):
+        if forest.root(i) != forest.root(j) and _alike(sets[i], sets[j], settings):
             forest.join(i, j)
             edges.append((int(ids[i]), int(ids[j])))
     return edges
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
-    """(a, b): confirmed links between class representatives, a spanning forest of each pair of blocks."""
-    sizes = settle(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster-sizes")
-    sized = settle(clusters.join(sizes, "cluster"), "clusters")
-    few = sized.count() <= settings.broadcast_rows
-    members = F.broadcast(sized) if few else sized
-    rows = docs.select(F.col(id_column).alias("rep"), F.col(column).alias("text")).where(F.col("text").isNotNull()).join(members, "rep")
+def open_clusters(clusters: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of the clusters that confirmed links leave in parts: rep, cluster, part, whether it is of the largest one, and how many are and are not."""
+    rows = settle(clusters.join(linked, "rep", "left").select("rep", "cluster", F.coalesce("part", "rep").alias("part")), "parts")
+    sizes = rows.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct(F.col("n"), -F.col("part"))).alias("core"), F.max("n").alias("core_n"), (F.sum("n") - F.max("n")).alias("rest_n"))
+    largest = settle(largest.where("rest_n > 0"), "open-clusters")
+    return settle(rows.join(largest, "cluster").withColumn("in_core", F.col("part") == F.col("core")).drop("core"), "open-members")
+
+
+def part_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` once for each pair of blocks that they meet in: the largest part's blocks never meet each other."""
+    core, rest = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("core_n", "rest_n"))
+    small = F.col("core_n") + F.col("rest_n") <= block
+    mix_id = F.xxhash64(F.col("rep"), F.lit(17))
+    own = F.when(small, F.lit(0)).when(F.col("in_core"), F.pmod(mix_id, core.cast("bigint")).cast("int")).otherwise(core + F.pmod(mix_id, rest.cast("bigint")).cast("int"))
+    others = F.when(small, F.array(F.lit(0))).when(F.col("in_core"), F.sequence(core, core + rest - 1)).otherwise(F.sequence(F.lit(0), core + rest - 1))
+    spread = members.withColumn("own_block", own).withColumn("other_block", F.explode(others))
+    return spread.select("rep", "cluster", "part", "own_block", F.least("own_block", "other_block").alias("pair_a"), F.greatest("own_block", "other_block").alias("pair_b"))
+
+
+def part_links(docs: DataFrame, members: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+    """(a, b): confirmed links between the parts of each open cluster, a spanning forest of each pair of blocks."""
     keys = ["cluster", "pair_a", "pair_b"]
-    grouped = together(block_pairs(rows, "cluster", "members", "rep", settings.block).select(*keys, "own_block", "rep", "text"), keys)
+    rows = _texts(docs, id_column, column, settle(part_blocks(members, settings.block), "part-blocks"), settings)
+    grouped = together(rows.select(*keys, "own_block", "part", "rep", "text"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -164,7 +222,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, id_column: str, column
             edges += _confirm(group, settings)
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    return settle(grouped.mapInArrow(run, "a bigint, b bigint"), "links")
+    return settle(grouped.mapInArrow(run, "a bigint, b bigint"), "part-links")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -172,9 +230,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     rows = sketch(docs, id_column, column, settings)
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    clusters = components(bucket_edges(classes)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    links = confirmed_links(docs, clusters, id_column, column, settings)
-    joined = components(links).select(F.col("node").alias("rep"), "component")
+    edges = bucket_edges(classes)
+    clusters = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    links = hub_links(docs, edges, id_column, column, settings)
+    linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    members = open_clusters(clusters, linked)
+    if members.take(1):
+        more = part_links(docs, members, id_column, column, settings)
+        linked = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    joined = linked.withColumnRenamed("part", "component")
     named = settle(classes.select("set_key", "rep").join(joined, "rep", "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "rep").alias("component")), "named")
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, (rows["set_key"] == named["class_key"]) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")

@@ -62,7 +62,7 @@ def near_rows(words):
     return rows
 
 
-@pytest.mark.parametrize("settings", [minhash.Settings(), minhash.Settings(width=5, above=80), minhash.Settings(block=16, broadcast_rows=0)])
+@pytest.mark.parametrize("settings", [minhash.Settings(), minhash.Settings(width=5, above=80), minhash.Settings(block=16, hub_block=4, broadcast_rows=0)])
 def test_minhash_equals_brute_force(make_docs, near_rows, settings):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(make_docs(near_rows), settings=settings).collect()}
     assert got == brute(near_rows, settings)
