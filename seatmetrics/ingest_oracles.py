@@ -32,6 +32,8 @@ CTE = {
     "byname": "SELECT name AS key, count(*) AS n, min(id) AS p FROM ppl GROUP BY ALL",
     "steps": "SELECT ev.key, ev.event_id, CASE WHEN cf.p IS NOT NULL THEN 'confirmed' WHEN a.n > 0 THEN 'username' WHEN b.id IS NOT NULL THEN 'code' WHEN c.id IS NOT NULL THEN 'email' END AS basis, CASE WHEN cf.p IS NOT NULL THEN 1 WHEN a.n > 0 THEN a.n WHEN b.id IS NOT NULL OR c.id IS NOT NULL THEN 1 END AS n, CASE WHEN cf.p IS NOT NULL THEN cf.p WHEN a.n > 0 THEN a.p WHEN b.id IS NOT NULL THEN b.id ELSE c.id END AS p FROM ev LEFT JOIN byname a ON a.key = ev.key LEFT JOIN ppl b ON b.code = ev.code LEFT JOIN ppl c ON c.mail = ev.key LEFT JOIN (SELECT 'svc_5' AS key, p FROM byname WHERE key = 'user9') cf ON cf.key = ev.key",
     "users": "SELECT key, observations, CASE WHEN basis IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN basis = 'confirmed' THEN 'confirmed' ELSE 'matched' END AS status, CASE WHEN n = 1 THEN basis END AS basis, CASE WHEN n = 1 THEN p END AS person_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN n = 1 THEN 0 WHEN n > 1 THEN 1 ELSE 2 END, event_id) AS k, count(*) OVER (PARTITION BY key) AS observations FROM steps) WHERE k = 1",
+    "ld": "SELECT CAST(max(l_shipdate) AS DATE) AS d1 FROM lineitem",
+    "craw": "SELECT o_orderkey AS i, ['USD', '$', '€', 'zz', ' ', 'GBP 5'][o_orderkey % 6 + 1] AS currency, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 5 < 3 THEN CAST(o_orderdate AS DATE) + CAST((o_orderkey % 7 - 1) * 100 AS INTEGER) END AS e FROM orders",
     "nm": "SELECT DISTINCT p_name AS name, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'license', 'licence', 'software', 'suite', 'product', 'feature', 'module')))) AS tok FROM part",
 }
 
@@ -100,4 +102,18 @@ def oracle_sql() -> dict[str, str]:
     shape = "0.05, 0.05, 0.05, 0.05, 0.05, 0.1, 0.2, 0.45, 0.7, 0.9, 1.0, 0.95, 0.8, 0.9, 1.0, 0.95, 0.85, 0.6, 0.4, 0.25, 0.15, 0.1, 0.08, 0.05"
     out["licence_hours"] = f"SELECT feature_id, day, CAST(sum(floor(peak * CAST(part AS DOUBLE) + 0.5)) AS BIGINT) AS licence_hours FROM (SELECT p_brand AS feature_id, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS peak FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#7' GROUP BY ALL), (SELECT unnest([{shape}]) AS part), (SELECT CAST(max(l_shipdate) AS DATE) AS e FROM lineitem) WHERE day BETWEEN e - 89 AND e GROUP BY ALL"
     out["stream_hourly_concurrency"] = "SELECT 'f' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS feature_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, CAST(max(CAST(floor(value) AS INTEGER)) AS DOUBLE) AS concurrent FROM events WHERE event_type <> 'view' GROUP BY ALL"
-    return {k: sql(v) for k, v in out.items()}
+    out["normalize_contracts"] = "SELECT rule, field, count(*) AS rejections, coalesce(array_to_string(list_sort(list(DISTINCT value) FILTER (WHERE value IS NOT NULL))[1:3], '|'), '') AS examples FROM (SELECT 'invalid_currency' AS rule, 'currency' AS field, currency AS value FROM craw WHERE currency IN ('$', 'zz') UNION ALL SELECT 'inconsistent_dates', 'end_date', CAST(e AS VARCHAR) FROM craw WHERE e < s UNION ALL SELECT 'no_commercial_content', NULL, NULL FROM craw WHERE i % 4 NOT IN (1, 2) AND e IS NULL) GROUP BY ALL"
+    out["accepted_contracts"] = "SELECT i AS source_row, 'Line ' || i AS feature, CASE WHEN i % 3 <> 0 THEN 5.0::DOUBLE END AS quantity, CASE WHEN i % 4 = 1 THEN 1000.5::DOUBLE END AS unit_price, CASE WHEN i % 4 = 2 THEN 900.0::DOUBLE END AS total_cost, CASE i % 6 WHEN 0 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 5 THEN 'GBP' END AS currency, s AS start_date, e AS end_date FROM craw WHERE currency NOT IN ('$', 'zz') AND (e IS NULL OR e >= s) AND (i % 4 IN (1, 2) OR e IS NOT NULL)"
+    out["assembled_features"] = f"SELECT k AS feature_key, CAST(coalesce(q, b, 0) AS BIGINT) AS entitled, coalesce(CASE WHEN m = 'node_locked' THEN 'custom' WHEN m <> 'unknown' THEN m END, bm, 'concurrent') AS license_model, unit_price, coalesce(rd, x) AS renewal_date, q IS NOT NULL AND b IS NOT NULL AS both_sources FROM (SELECT DISTINCT {key('p_name')} AS k FROM part) LEFT JOIN (SELECT {key('p_name')} AS k, p_size AS q, CASE p_partkey % 4 WHEN 0 THEN 'node_locked' WHEN 1 THEN 'unknown' ELSE 'named_user' END AS m, d1 + CAST(p_partkey % 50 AS INTEGER) AS x, row_number() OVER (PARTITION BY {key('p_name')} ORDER BY p_size DESC, p_partkey) AS n FROM part, ld WHERE p_partkey % 3 <> 0) s USING (k) LEFT JOIN (SELECT {key('p_name')} AS k, sum(p_size) AS b, max(p_retailprice) AS unit_price, CASE WHEN min(p_partkey) % 2 = 0 THEN 'token' END AS bm, max(d1) + CAST(min(p_partkey) % 90 AS INTEGER) AS rd FROM part, ld WHERE p_name LIKE '%ring' OR p_name LIKE 'blue%' GROUP BY ALL) USING (k) WHERE n IS NULL OR n = 1"
+    out["alias_map"] = "SELECT 'raw ' || g AS raw, 'mech_ent_' || i AS target FROM (SELECT c_custkey % 20 AS g, max(c_custkey) AS i FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL) WHERE i % 7 <> 0"
+    out["people_wording"] = "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 IN (0, 2, 3) THEN 'contractor' ELSE 'employee' END AS employee_type, CASE WHEN c_custkey % 6 IN (1, 2, 4, 5) THEN 'inactive' ELSE 'active' END AS status, c_custkey % 3 = 0 AS service, CASE c_custkey % 3 WHEN 0 THEN 'svc' WHEN 1 THEN 'ann' ELSE 'bob' END AS bare FROM customer"
+    core = {
+        "evidence_record": "SELECT feature_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY k) - 1 AS INTEGER) AS place, label, value FROM (SELECT feature_id, unnest(range(7)) AS k, unnest(['Licence model', 'Observed days', 'P95 demand', 'Entitled', 'Recommended', 'Risk', 'Confidence']) AS label, unnest([license_model, CAST(observed_days AS VARCHAR), CAST(CAST(trunc(p95) AS BIGINT) AS VARCHAR), CAST(entitled AS VARCHAR), CASE WHEN sized THEN CAST(recommended AS VARCHAR) END, risk, confidence]) AS value FROM pf) WHERE value IS NOT NULL",
+        "page_figures": f"SELECT at_risk, reclaim_features, CAST(seats AS BIGINT) AS seats, decision_impact, spend_90, exposed, lapsed, d1 AS as_of FROM (SELECT count(*) FILTER (WHERE risk IN ('High', 'Critical')) AS at_risk, count(*) FILTER (WHERE reclaim_candidates > 0) AS reclaim_features, sum(reclaim_candidates) AS seats, {r('coalesce(sum(abs(coalesce(opportunity, 0) - coalesce(incremental, 0))), 0)', 2)} AS decision_impact FROM pf), (SELECT {r('coalesce(sum(CASE WHEN days_to_renewal BETWEEN 0 AND 90 THEN current_spend END), 0)', 2)} AS spend_90, count(*) FILTER (WHERE capacity_exposure > 0) AS exposed, count(*) FILTER (WHERE days_to_renewal < 0) AS lapsed FROM ren), win",
+        "agreement_drivers": f"SELECT grp, hours, {r('hours * 100 / sum(hours) OVER ()', 1)} AS share_pct FROM (SELECT people.region AS grp, sum(total_hours) AS hours FROM act JOIN feat USING (feature_id) JOIN people USING (employee_id) WHERE contract_id = 'contract:2' AND people.region IS NOT NULL GROUP BY ALL)",
+        "user_export": "SELECT feature_id, employee_id, assigned, total_sessions, total_hours, last_used, display_name, department, location, feature_name, license_model FROM act LEFT JOIN people USING (employee_id) LEFT JOIN feat USING (feature_id)",
+        "last_observations": "SELECT feature_id, count(*) AS observations, round(quantile_cont(peak, 0.95), 6) AS p95, min(date) AS first_date FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY date DESC) AS k FROM daily) WHERE k <= 30 GROUP BY ALL",
+    }
+    from seatmetrics import oracles
+
+    return {k: sql(v) for k, v in out.items()} | {k: oracles.sql(v) for k, v in core.items()}

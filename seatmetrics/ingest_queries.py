@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatmetrics.functions import dates, numeric, text
 from seatmetrics.operators import contracts, demand, identity, normalize, review
-from seatmetrics.plans import trust
+from seatmetrics.plans import assembly, commercial, portfolio, trust
 from seatmetrics.sources import sinks, synthetic
 from seatmetrics.sources.estate import Estate
 from seatmetrics.sources.shared import shared_dir
@@ -273,3 +274,78 @@ def stream_hourly_concurrency(e: Estate) -> DataFrame:
     at = shared_dir(e.spark, "hourly-stream")
     hourly.into_files(hourly.hourly_stream(seen, "60 days"), f"{at}/rows", f"{at}/state").awaitTermination()
     return e.spark.read.parquet(f"{at}/rows")
+
+
+@query
+def normalize_contracts(e: Estate) -> DataFrame:
+    """Contract lines as an export would write them, and what is wrong with each."""
+    return normalize.rejection_summary(normalize.checked(_raw_contracts(e), "contracts"))
+
+
+@query
+def accepted_contracts(e: Estate) -> DataFrame:
+    rows = normalize.accepted(normalize.checked(_raw_contracts(e), "contracts"))
+    return rows.select("source_row", "feature", "quantity", "unit_price", "total_cost", "currency", "start_date", "end_date")
+
+
+def _raw_contracts(e: Estate) -> DataFrame:
+    i = F.col("o_orderkey")
+    start = F.col("o_orderdate").cast("date")
+    return e.table("orders").select(
+        i.alias("source_row"), F.concat(F.lit("Line "), i.cast("string")).alias("feature"), F.when(i % 3 != 0, F.lit("5")).alias("quantity"), F.when(i % 4 == 1, F.lit("$1,000.50")).alias("unit_price"), F.when(i % 4 == 2, F.lit("900")).alias("total_cost"),
+        F.element_at(F.array(*map(F.lit, ("USD", "$", "€", "zz", " ", "GBP 5"))), (i % 6 + 1).cast("int")).alias("currency"), start.cast("string").alias("start_date"), F.when(i % 5 < 3, F.date_add(start, ((i % 7 - 1) * 100).cast("int")).cast("string")).alias("end_date"),
+    )
+
+
+@query
+def assembled_features(e: Estate) -> DataFrame:
+    """Features from entitlements and contract positions by the order of precedence."""
+    n = F.col("p_partkey")
+    entitlements = e.table("part").where("p_partkey % 3 <> 0").select(text.feature_key(F.col("p_name")).alias("feature_id"), F.col("p_size").alias("quantity"), F.when(n % 4 == 0, "node_locked").when(n % 4 == 1, "unknown").otherwise("named_user").alias("license_model"), F.date_add(F.lit(e.as_of), (n % 50).cast("int")).alias("expires_on"), n.alias("source_row"))
+    positions = e.table("part").where("p_name LIKE '%ring' OR p_name LIKE 'blue%'").groupBy(text.feature_key(F.col("p_name")).alias("position_key")).agg(F.sum("p_size").alias("quantity"), F.max("p_retailprice").alias("unit_price"), F.when(F.min("p_partkey") % 2 == 0, "token").alias("license_model"), F.date_add(F.lit(e.as_of), (F.min("p_partkey") % 90).cast("int")).alias("renewal_date"))
+    keys = e.table("part").select(text.feature_key(F.col("p_name")).alias("feature_key")).distinct()
+    return assembly.assemble(keys, entitlements, positions)
+
+
+@query
+def alias_map(e: Estate) -> DataFrame:
+    i = F.col("c_custkey")
+    entries = e.table("customer").select(F.when(i % 2 == 0, "feature").otherwise("user").alias("kind"), F.concat(F.lit(" Raw "), (i % 20).cast("string")).alias("raw_value"), F.concat(F.lit("Mech-Ent "), i.cast("string")).alias("target"), F.when(i % 7 == 0, "rejected").otherwise("confirmed").alias("decision"), i.alias("decided_at"))
+    return assembly.alias_map(entries, "feature")
+
+
+@query
+def evidence_record(e: Estate) -> DataFrame:
+    return assembly.evidence_record(portfolio.portfolio(e))
+
+
+@query
+def page_figures(e: Estate) -> DataFrame:
+    rows = portfolio.portfolio(e).cache()
+    return assembly.page_figures(rows, commercial.renewals(rows), e.as_of)
+
+
+@query
+def agreement_drivers(e: Estate) -> DataFrame:
+    return assembly.agreement_drivers(e.features(), e.activity(), e.people(), "contract:2", "region")
+
+
+@query
+def user_export(e: Estate) -> DataFrame:
+    return assembly.user_export(e.activity(), e.people(), e.features())
+
+
+@query
+def people_wording(e: Estate) -> DataFrame:
+    i = F.col("c_custkey")
+    kinds, states = ("Contractor", "FTE", "Vendor staff", "contingent worker", "Employee"), ("Active", "Terminated", "No", "on leave", "former staff", "0")
+    rows = e.table("customer").select(i.alias("id"), F.element_at(F.array(*map(F.lit, kinds)), (i % 5 + 1).cast("int")).alias("kind"), F.element_at(F.array(*map(F.lit, states)), (i % 6 + 1).cast("int")).alias("state"), F.when(i % 3 == 0, F.concat(F.lit("SVC_"), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("ann_"), i.cast("string"))).otherwise(F.lit("bob_old")).alias("user"))
+    return rows.select("id", text.employee_type(F.col("kind")).alias("employee_type"), text.employment_status(F.col("state")).alias("status"), text.is_service_account(F.col("user")).alias("service"), text.without_suffix(F.col("user")).alias("bare"))
+
+
+@query
+def last_observations(e: Estate) -> DataFrame:
+    """The last 30 observations of each feature, whatever their dates: the basis of a scenario."""
+    place = F.row_number().over(W.partitionBy("feature_id").orderBy(F.col("date").desc()))
+    rows = e.daily().withColumn("place", place).where("place <= 30")
+    return rows.groupBy("feature_id").agg(F.count("*").alias("observations"), F.round(F.percentile("peak", F.lit(0.95)), 6).alias("p95"), F.min("date").alias("first_date"))

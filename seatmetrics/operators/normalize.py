@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatmetrics.functions.numeric import half_up, ratio
-from seatmetrics.functions.text import cell, read_boolean, read_date, read_hour, read_number
+from seatmetrics.functions.text import cell, currency_unreadable, read_boolean, read_currency, read_date, read_hour, read_number
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,8 @@ _RULES = {"date": "invalid_date", "number": "invalid_number", "hour": "invalid_h
 def _read(field: Field, text: Column, day_first: bool) -> Column:
     if field.kind == "date":
         return read_date(text, day_first)
+    if field.name == "denied":
+        return F.coalesce(denied_word(text), read_boolean(text))
     return {"number": read_number, "hour": read_hour, "boolean": read_boolean}.get(field.kind, cell)(text)
 
 
@@ -65,27 +67,48 @@ def _error(rule: str, field: str, value: Column) -> Column:
 def typed(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
     """``raw`` (texts, source_row) as typed columns of the dataset's fields that it has, and ``errors``."""
     fields = [f for f in DATASETS[dataset] if f.name in raw.columns]
-    values, errors = [], []
+    values, errors, read = [], [], {}
     for f in fields:
         text = cell(F.col(f.name).cast("string"))
-        value = _read(f, text, day_first)
+        value = read_currency(text) if f.name == "currency" else _read(f, text, day_first)
         values.append(value.alias(f.name))
+        read[f.name] = value
         if f.required:
             errors.append(F.when(text.isNull(), _error("missing_required_field", f.name, F.lit(None).cast("string"))))
         if f.kind in _RULES:
             errors.append(F.when(text.isNotNull() & value.isNull(), _error(_RULES[f.kind], f.name, text)))
         if f.kind == "number" and not f.signed:
             errors.append(F.when(value < 0, _error("negative_quantity", f.name, text)))
+    if dataset == "contracts":
+        errors += _commercial_errors(read, raw)
     missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in raw.columns]
     errors += [_error("unmapped_required_field", name, F.lit(None).cast("string")) for name in missing]
     return raw.select("source_row", *values, F.array_compact(F.array(*errors)).alias("errors"))
 
 
+def _commercial_errors(row: dict[str, Column], raw: DataFrame) -> list[Column]:
+    """What only a contract line can get wrong: an unreadable currency, dates in the wrong order, neither a price nor a date."""
+    none = F.lit(None).cast("string")
+    start, end, renewal = (row.get(c, F.lit(None).cast("date")) for c in ("start_date", "end_date", "renewal_date"))
+    costs = [row.get(c, F.lit(None).cast("double")) for c in ("unit_price", "total_cost", "annual_cost")]
+    out = [F.when(end < start, _error("inconsistent_dates", "end_date", end.cast("string"))), F.when(renewal < start, _error("inconsistent_dates", "renewal_date", renewal.cast("string")))]
+    out.append(F.when(F.coalesce(*costs).isNull() & F.coalesce(end, renewal).isNull(), _error("no_commercial_content", "", none)))
+    if "currency" in raw.columns:
+        out.append(F.when(currency_unreadable(F.col("currency")), _error("invalid_currency", "currency", F.col("currency"))))
+    return out
+
+
 def _key(dataset: str, columns: list[str]) -> list[Column]:
     fold = ("user", "feature") if dataset == "usage" else KEYS[dataset]
     return [F.lower(F.col(c).cast("string")) if c in fold else F.col(c) for c in KEYS[dataset] if c in columns]
 
 
+def denied_word(x: Column) -> Column:
+    """A licence manager's status word as denied or not; words that say neither are null."""
+    word = F.lower(F.trim(x))
+    return F.when(word.isin("denied", "deny", "denial", "fail", "failed", "reject", "rejected"), True).when(word.isin("granted", "ok", "success", "issued", "checkout", "checked_out"), False)
+
+
 def checked(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
     """Typed rows with ``errors``, of which repeats of an accepted row are one."""
     rows = typed(raw, dataset, day_first)
