@@ -1,7 +1,12 @@
 """Five training-data stages over ``documents``; each reads what the stage before it kept.
 
 Every stage but the last returns the columns of its input. A rejected or duplicate document is left out, a secret is
-replaced by a mark in the text that later stages read, and the last stage gives each kept document's token ids.
+replaced by a mark in the text that later stages read, and the last stage counts and digests each kept document's
+token ids.
+
+Defined results of all stages: null texts and texts without a letter leave in the first stage; a null id takes part and
+is never a duplicate; rows that repeat an id stay or go together; an empty table stays empty; further columns pass
+through unchanged, whatever their names, unless they start with ``_lang`` or ``_secret``.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ SHINGLES = minhash.Settings(width=5, above=80, below=100)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from labelled documents, and leave out those without any: null texts and texts without a letter."""
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    return langid.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    named = langid.predict(docs, model, names=("_lang_pred", "_lang_score", "_lang_ambiguous"))
+    return named.where("_lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every found secret in the text by a mark."""
-    found = secret_scans.scan_secrets(docs)
-    text = secret_scans.redacted(F.col("text"), F.col("findings"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secret_scans.scan_secrets(docs, names=("_secret_id", "_secrets"))
+    any_found = F.size("_secrets") > 0
+    text = secret_scans.redacted(F.col("text"), F.col("_secrets"))
+    length = F.when(any_found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("text", text).withColumn("n_chars", length).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,9 +134,9 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", per_language: int = 600)
     return Model(languages, code.astype(np.float32), w, b, trust / trust.mean())
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_ambiguous in place of columns of those names."""
-    kept = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
+def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
+    """``docs`` with the language, its score and whether it is ambiguous, under ``names``, in place of columns of those names."""
+    kept = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +150,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
                 lang[rows] = np.array(model.languages, object)[best]
                 score[rows], margin[rows] = np.clip(p, 0, 1), gap
             new = [pa.array(lang, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_ambiguous", BooleanType())])
+    schema = StructType([*kept.schema.fields, *map(StructField, names, (StringType(), DoubleType(), BooleanType()))])
     return kept.mapInArrow(run, schema)
 
 

@@ -108,18 +108,18 @@ class BlobLedger:
         return merged.select("blob_id", F.array_sort(F.filter("findings", lambda x: x["kind"].isin(wanted))).alias("findings"))
 
 
-def scan_secrets(versions: DataFrame, content: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with ``blob_id`` and ``findings`` (start, kind_no, end, kind; by start, then kind) for every row.
+def scan_secrets(versions: DataFrame, content: str = "text", ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, names: tuple[str, str] = ("blob_id", "findings")) -> DataFrame:
+    """``versions`` with the blob id and the findings (start, kind_no, end, kind; by start, then kind) of every row, under ``names`` in place of columns of those names.
 
     The join back reads the findings from files, so that Spark can split a blob that a third of the paths hold.
     """
     ledger = ledger or BlobLedger(versions.sparkSession)
-    text = F.coalesce(F.col(content), F.lit(""))
+    text, (blob, found) = F.coalesce(F.col(content), F.lit("")), names
     ledger.scan(versions.select(F.sha2(text, 256).alias("blob_id"), text.alias("text")), rules)
-    found = settle(ledger.findings(rules), "secret-findings").select(F.col("blob_id").alias("_secret_blob"), F.col("findings").alias("_secret_found"))
-    own = versions.drop("blob_id", "findings").withColumn("blob_id", F.sha2(text, 256))
-    joined = own.join(found, own["blob_id"] == found["_secret_blob"], "left")
-    return joined.withColumn("findings", F.coalesce("_secret_found", F.array().cast(_FINDING))).drop("_secret_blob", "_secret_found")
+    held = settle(ledger.findings(rules), "secret-findings").select(F.col("blob_id").alias("_secret_blob"), F.col("findings").alias("_secret_found"))
+    own = versions.drop(blob, found).withColumn(blob, F.sha2(text, 256))
+    joined = own.join(held, own[blob] == held["_secret_blob"], "left")
+    return joined.withColumn(found, F.coalesce("_secret_found", F.array().cast(_FINDING))).drop("_secret_blob", "_secret_found")
 
 
 def span_text(findings: Column) -> Column:

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from seatmetrics.llm import decontaminate, minhash, oracles, queries
+from tests.llm.conftest import EDGES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -51,3 +52,21 @@ def test_pipeline_is_its_stages(spark):
     changed = [r for r in redacted.collect() if r["text"] != rows[r["doc_id"]]["text"]]
     assert all("[SECRET]" in r["text"] and r["n_chars"] == len(r["text"]) for r in changed)
     assert corpus_pipeline.run(spark, SF).count() == clean.count()
+
+
+def test_pipeline_stages_on_edges(make_docs):
+    """Nulls, repeats, long texts and columns named like results go through every stage; an empty table stays empty."""
+    secret = "my password = hunter2hunter2 and some more words to read"
+    rows = [*EDGES, (50, secret), (51, secret + " again"), (52, None)]
+    docs = make_docs(rows)
+    spark = docs.sparkSession
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert (name, out.columns, [f.dataType for f in out.schema]) == (name, docs.columns, [f.dataType for f in docs.schema])
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert all(r["findings"] == "mine" and r["lang_pred"] == "x" for r in out.collect())
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    left = docs.collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(["4", "5", "6", "6", "8", "9", "50", "None"])  # 51 is a near copy of 50
+    assert {r["text"] for r in left if r["doc_id"] == 50} == {"my [SECRET] and some more words to read"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(left)
