@@ -83,7 +83,7 @@ def test_csv_guard(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 'a"b'), (None, "x\ny")], "a string, b string")
     assert [r[0] for r in rows.select(sinks.csv_line([F.col("a"), F.col("b")])).collect()] == ["'=1+1,\"a\"\"b\"", ',"x\ny"']
     sinks.write_csv(rows.where("a IS NOT NULL"), str(tmp_path / "out"))
-    assert b"'=1+1" in next((tmp_path / "out").glob("part*.csv")).read_bytes()
+    assert b"'=1+1" in b"".join(f.read_bytes() for f in (tmp_path / "out").glob("part*.csv"))
 
 
 def test_synthetic_estate(spark):
@@ -124,3 +124,19 @@ def test_questions(spark):
     with pytest.raises(LookupError):
         ask.answer("hello", queries.queries(), spark, "/root/testdata/sf0.001")
     assert ask.answer("who uses it by location?", queries.queries(), spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_ingest_usage_and_contracts(spark, tmp_path):
+    from seatmetrics.sources.ingest import ingest
+
+    usage = tmp_path / "flexlm_usage.csv"
+    usage.write_text("DATE,TIME,FEATURE,VENDOR_DAEMON,USER,HOST,DISPLAY,LICENSES_IN_USE,STATUS\n2024-01-01,09:00,MECH,ansys,ann,h,d,4,DENIED\n2024-01-01,10:00,MECH,ansys,ann,h,d,5,OUT\nbad,10:00,MECH,ansys,ann,h,d,5,OUT\n")
+    out = ingest(spark, str(usage), "usage", overrides={"hour": "TIME"})
+    assert (out.source, out.accepted.count(), [r["rule"] for r in out.rejections.collect()]) == ("flexnet", 2, ["invalid_date"])
+    assert {(r["hour"], r["denied"]) for r in out.accepted.collect()} == {(9, True), (10, None)}
+    assert out.summary.count() == 1 and {r["field"] for r in out.quality.collect()} >= {"date", "feature", "user"}
+    lines = tmp_path / "contracts.tsv"
+    lines.write_text("Publisher\tSoftware Name\tQty\tUnit Price\tCurrency\tContract Start\tContract End\tRenewal Date\nA\tMech\t10\t$5.00\tUSD\t2024-01-01\t2024-12-31\t2025-01-01\nA\tMech\t10\t5\t$\t\t\t\nA\tOther\t1\t\tEUR\t\t\t\nA\tThird\t1\t2\t\t2024-05-01\t2024-01-01\t\n")
+    out = ingest(spark, str(lines), "contracts")
+    assert sorted(r["rule"] for r in out.rejections.collect()) == ["inconsistent_dates", "invalid_currency", "no_commercial_content"]
+    assert [(r["feature"], r["unit_price"], r["annual_cost"], r["currency"]) for r in out.accepted.collect()] == [("Mech", 5.0, 50.0, "USD")]
