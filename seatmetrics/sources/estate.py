@@ -27,12 +27,19 @@ class Estate:
     spark: SparkSession
     root: str
 
+    @cached_property
+    def _tables(self) -> dict[str, DataFrame]:
+        return {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A table of the estate; its files are listed once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def as_of(self) -> date:
-        """The latest usage date of the long history: one row, from the footers of the files where Spark can."""
+        """The latest usage date of the long history: one row out of one column."""
         return self.table("lineitem").agg(F.max("l_shipdate").cast("date").alias("d")).collect()[0]["d"]
 
     @cached_property
