@@ -46,7 +46,7 @@ _BACK = "batch string, slot int, counts binary"
 class Settings:
     order: int = 3
     alpha: float = 0.4
-    batch_words: int = 2_500_000
+    batch_words: int = 2_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_column:
     def keep(batch: str, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as stream:
             stream.write_batch(rows)
         yield pa.RecordBatch.from_pydict({"batch": pa.array([batch], pa.string()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
