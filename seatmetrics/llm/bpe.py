@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from seatmetrics.llm.pretokens import PretokenCache
+from seatmetrics.llm.shared import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _loaded: dict[str, tuple] = {}
@@ -131,7 +132,7 @@ def encode_documents(docs: DataFrame, column: str = "text", out: str = "token_id
     kept = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x.astype(np.int32) for x in codec(path).encode([t or "" for t in batch.column(column).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
 
@@ -143,7 +144,7 @@ def round_trip(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
     path = public_tokenizers.path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha = [], [], []
             for ids in codec(path).encode([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(ids))

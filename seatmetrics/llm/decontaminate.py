@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatmetrics.llm.shared import NOT_WORD, hashed_words, mix, seeded
+from seatmetrics.llm.shared import NOT_WORD, hashed_words, mix, seeded, slices
 
 #: Items that are broadcast together.
 ITEMS_AT_ONCE = 5_000
@@ -255,7 +255,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", col
         length = {i: len(w) for c in index.classes for i, w in c.items}
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, length: dict = length) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(d, i, s, e, length[i]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for i, (e, s) in sorted(index.hits(t).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start_word", "edits", "item_words"])
 
@@ -270,7 +270,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item_
         index = ItemIndex(block, settings)
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not index.hits(t) for t in batch.column(column).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -14,21 +14,23 @@ gives ``und`` for every row; rows without a label are never learned from; repeat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from seatmetrics.llm.shared import slices
+
 BUCKETS = 1 << 12
 SIZES = (1, 2, 3, 4)
 SEGMENT = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -139,7 +141,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
     kept = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             known = np.array([bool(model.languages) and bool(_LETTER.search(t)) for t in texts], bool)
             lang = np.full(len(texts), "und", object)

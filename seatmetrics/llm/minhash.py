@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seatmetrics.llm.blocks import Forest, sorted_groups, together
 from seatmetrics.llm.components import components
-from seatmetrics.llm.shared import SPACE, hashed_words, mix, seeded, settle
+from seatmetrics.llm.shared import SPACE, hashed_words, mix, seeded, settle, slices
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) ->
     """doc_id, n_shingles, set_key, bands for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_set(text, settings.width)

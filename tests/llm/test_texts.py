@@ -267,7 +267,7 @@ def test_language_id(spark, make_docs):
     rng = random.Random(6)
     sounds = {"aa": "ka to mi ne ra".split(), "bb": "schl ung ber ach ein".split(), "cc": "qu eau ment ion les".split(), "dd": "ll ción os ue da".split(), "ee": "zsz ów prz nie ko".split()}
     rows = [(k, " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 60))), lang) for k in range(600) for lang in [list(sounds)[k % 5]]]
-    docs = spark.createDataFrame([*rows, (1000, None, "aa"), (1001, "123 !", "bb"), (1002, "", None), (None, "kato", None)], "doc_id bigint, text string, lang string").withColumn("lang_pred", F.lit("old"))
+    docs = spark.createDataFrame([*rows, (1000, None, "aa"), (1001, "123 ! ² ½ _", "bb"), (1002, "", None), (None, "kato", None)], "doc_id bigint, text string, lang string").withColumn("lang_pred", F.lit("old"))
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     got = {r["doc_id"]: r for r in langid.predict(docs, model).withColumn("held_out", langid.held_out()).collect()}
     tested = [(got[i]["lang_pred"], lang) for i, _, lang in rows if got[i]["held_out"]]
