@@ -72,23 +72,26 @@ def keyed_classes(classes: DataFrame, bits: int, tables: int, settings: Settings
                 part = batch.filter(pa.compute.equal(batch.column("length"), length))
                 label = part.column("label").to_numpy(zero_copy_only=False)
                 keys = bucket_keys(_unit(part.column("vector")), label, bits, tables, settings.seed)
-                yield pa.RecordBatch.from_pydict({"rep": part.column("rep"), "copies": part.column("copies"), "vector": part.column("vector"), "keys": pa.array(list(keys), pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("rep", "copies", "label", "vector")}, "keys": pa.array(list(keys), pa.list_(pa.int64()))})
 
-    return classes.mapInArrow(run, "rep bigint, copies bigint, vector array<double>, keys array<bigint>")
+    return classes.mapInArrow(run, f"rep bigint, copies bigint, label bigint, vector {classes.schema['vector'].dataType.simpleString()}, keys array<bigint>")
 
 
-def _links(group: pa.Table, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Ids with their sums of links, and a spanning forest, of one pair of blocks of one bucket."""
+def _links(group: pa.Table, table: int, shape: tuple[int, int], settings: Settings) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Ids with their sums of links, and a spanning forest, of one pair of blocks of one bucket.
+
+    The keys of earlier tables are made again from the vectors, which is cheaper than to send them along.
+    """
     ids = group.column("rep").to_numpy()
     copies = group.column("copies").to_numpy()
-    own = group.column("own_block").to_numpy()
+    own, label = group.column("own_block").to_numpy(), group.column("label").to_numpy()
     vectors = _unit(group.column("vector"))
-    near = vectors @ vectors.T >= threshold
+    near = (vectors @ vectors.T >= settings.threshold) & (label[:, None] == label[None, :])
     np.fill_diagonal(near, False)
     if own.min() != own.max():
         near &= own[:, None] != own[None, :]
     if table and near.any():
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :table]
+        keys = bucket_keys(vectors, label, *shape, settings.seed)[:, :table]
         left, right = np.nonzero(near)
         for at in range(0, len(left), 1 << 16):
             i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
@@ -109,9 +112,9 @@ def _links(group: pa.Table, table: int, threshold: float) -> tuple[np.ndarray, n
     return ids[linked], sums[linked], edges
 
 
-def bucket_links(keyed: DataFrame, settings: Settings) -> DataFrame:
+def bucket_links(keyed: DataFrame, shape: tuple[int, int], settings: Settings) -> DataFrame:
     """Rows (a, b, n): b null for n links of a, else an edge of a spanning forest."""
-    placed = keyed.select("rep", "copies", "vector", "keys", F.posexplode("keys").alias("table", "bucket"))
+    placed = keyed.select("rep", "copies", "label", "vector", F.posexplode("keys").alias("table", "bucket"))
     counts = settle(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket-sizes")
     large = settle(counts.where(F.col("members") > settings.block), "large-buckets")
     several = counts.select(F.col("bucket").alias("at"), "members")
@@ -122,7 +125,7 @@ def bucket_links(keyed: DataFrame, settings: Settings) -> DataFrame:
     else:
         sized = placed.withColumn("members", F.lit(1))
     keys = ["table", "bucket", "pair_a", "pair_b"]
-    rows = together(block_pairs(sized, "bucket", "members", "rep", settings.block).select(*keys, "own_block", "rep", "copies", "vector", "keys"), keys)
+    rows = together(block_pairs(sized, "bucket", "members", "rep", settings.block).select(*keys, "own_block", "rep", "copies", "label", "vector"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
@@ -136,7 +139,7 @@ def bucket_links(keyed: DataFrame, settings: Settings) -> DataFrame:
         for group in sorted_groups(batches, keys):
             if group.num_rows < 2:
                 continue
-            ids, sums, found = _links(group, group.column("table")[0].as_py(), settings.threshold)
+            ids, sums, found = _links(group, group.column("table")[0].as_py(), shape, settings)
             for i, n in zip(ids.tolist(), sums.tolist()):
                 total[i] = total.get(i, 0) + n
             edges += found
@@ -151,14 +154,15 @@ def bucket_links(keyed: DataFrame, settings: Settings) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", label: str = "label", settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
-    rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label).cast("bigint").alias("label"), F.col(column).cast("array<double>").alias("vector"))
+    single = vectors.schema[column].dataType.simpleString() == "array<float>"  # half as much to send; cosines are taken in doubles
+    rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label).cast("bigint").alias("label"), F.col(column).cast("array<float>" if single else "array<double>").alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector"), F.col("label")) & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("class_key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string"))), 256)))
+    rows = rows.withColumn("class_key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256)))
     grouped = rows.where("ok").groupBy("class_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = settle(grouped.withColumn("length", F.size("vector")), "vector-classes")
     bits, tables = settings.shape(classes.count())
     keyed = settle(keyed_classes(classes, bits, tables, settings), "vector-keys")
-    found = bucket_links(keyed, settings)
+    found = bucket_links(keyed, (bits, tables), settings)
     counted = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     joined = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
     named = classes.select("class_key", "rep", "copies").join(counted, "rep", "left").join(joined, "rep", "left")
