@@ -1,22 +1,26 @@
 """Benchmark decontamination: CGK walks, bit-sampling LSH over item-sized windows, exact edit verification.
 
-A document holds a benchmark item if one of its windows of the item's length in words (shorter at the document's
-end) is within an edit distance of a fifth of that length, counted in words (a similarity of 0.8 or more).
-
-1. Windows that cannot be within that distance of any item are left out by a lossless count: by the q-gram lemma
-   a window keeps all but two of an item's word pairs for each edit.
+A document holds a benchmark item if one of its passages is within an edit distance of a fifth of the item's length,
+counted in words (a similarity of 0.8 or more). With ``any_length`` (``PASSAGES``, as the query and the pipeline
+have it) a passage may have any length, so that an inserted or deleted word is one edit; without it only windows of
+the item's length (shorter at the document's end) are compared.
+
+1. Starts from which no passage can be within that distance of an item are left out by a lossless count: by the
+   q-gram lemma a passage keeps all but two of an item's word pairs for each edit, and it is longer than the item by
+   one word for each edit at most.
 2. The CGK embedding walks over a window: at step j it writes the current word and goes on to the next one or
    stays, as a random function of (j, word) says. Two texts at a small edit distance fall back into step, so their
    walks agree in most places. Items of similar length form a class, whose walks are short enough to stay within
    any of its windows.
-3. A repetition samples a few places of a fresh walk as a key; a window and an item that share a key are a
-   candidate. The number of repetitions is found by simulation on the items with the most edits allowed, until
+3. A repetition samples a few places of a fresh walk as a key; where a start and an item share a key, the range of
+   starts around it that the count left for this item is a candidate. The number of repetitions is found by simulation on the items with the most edits allowed, until
    the target recall is reached.
-4. Candidates are verified by exact edit distance.
+4. Candidates are verified by exact edit distance, which one pass backwards gives for every start of the range and
+   the best end.
 
 Items are taken in blocks of bounded size against all documents, whatever their number. Defined results: null or
 empty texts hold nothing and null or empty items are held by nothing; items of equal text are all reported;
-repeated rows are reported alike; of several windows that hold an item the nearest, then the first, is reported.
+repeated rows are reported alike; of several passages that hold an item the nearest, then the first, is reported.
 """
 
 from __future__ import annotations
@@ -43,6 +47,11 @@ class Settings:
     sampled: int = 3
     most_repetitions: int = 256
     class_ratio: float = 1.25
+    any_length: bool = False
+
+
+#: What the query and the pipeline ask for: passages of any length.
+PASSAGES = Settings(any_length=True)
 
 
 def allowed(n: int, share: float) -> int:
@@ -70,6 +79,27 @@ def edit_distance(a: list[int], b: list[int]) -> int:
     return distance
 
 
+def start_distances(item: list[int], words: list[int]) -> list[int]:
+    """For each start in ``words``, the distance of ``item`` to the nearest passage from there, whatever its end.
+
+    Both are read backwards, so that a free end is a free beginning: no edit is charged for what lies before it.
+    """
+    at: dict[int, int] = defaultdict(int)
+    for i, w in enumerate(reversed(item)):
+        at[w] |= 1 << i
+    every, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    plus, minus, distance, out = every, 0, len(item), []
+    for w in reversed(words):
+        match = at.get(w, 0)
+        diagonal = (((match & plus) + plus) ^ plus) | match | minus
+        up, down = minus | (every & ~(diagonal | plus)), plus & diagonal
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1) & every, (down << 1) & every
+        plus, minus = down | (every & ~(diagonal | up)), up & diagonal
+        out.append(distance)
+    return out[::-1]
+
+
 def walk_keys(words: np.ndarray, starts: np.ndarray, salt: np.ndarray, sampled: np.ndarray, last: np.ndarray | int) -> np.ndarray:
     """Keys (repetition, start) of the CGK walks from ``starts``; the word at ``last`` is a pad that a walk never leaves.
 
@@ -135,22 +165,43 @@ class ItemClass:
         needed = int(np.quantile(met, self.settings.recall, method="higher"))
         return min(needed, self.settings.most_repetitions)
 
-    def hits(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, distance) of the verified windows among those at ``starts``."""
+    def met(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Those of the ranges of starts (by item, then place; apart from each other) in which a walk shares a key with the range's item."""
         n = len(words)
         padded = np.append(words, np.uint64(0))
-        tried = set()
-        for low in range(0, len(starts), 4096):
-            some = starts[low : low + 4096]
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        begin, met = item * (n + 1) + low, np.zeros(len(item), bool)
+        for at in range(0, len(starts), 4096):
+            some = starts[at : at + 4096]
             for keys, (known, first, order) in zip(walk_keys(padded, some, self.salt, self.sampled, n), self.tables):
                 found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                for s in np.flatnonzero(known[found] == keys).tolist():
-                    tried.update((k, int(some[s])) for k in order[first[found[s]] : first[found[s] + 1]].tolist())
-        for k, s in sorted(tried):
-            item = self.lists[k]
-            distance = edit_distance(item, words[s : s + len(item)].tolist())
-            if distance <= allowed(len(item), self.settings.share):
-                yield self.items[k][0], s, distance
+                s = np.flatnonzero(known[found] == keys)
+                if not len(s):
+                    continue
+                size = first[found[s] + 1] - first[found[s]]
+                stop = np.cumsum(size)
+                k = order[np.repeat(first[found[s]] - (stop - size), size) + np.arange(int(stop[-1]))]
+                s = np.repeat(some[s], size)
+                r = np.searchsorted(begin, k * (n + 1) + s, "right") - 1
+                met[r[(r >= 0) & (item[r] == k) & (s <= high[r])]] = True
+        return met
+
+    def hits(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, distance) of the nearest, then first, passage of each range that holds its item."""
+        met = self.met(words, item, low, high)
+        for k, first, last in zip(item[met].tolist(), low[met].tolist(), high[met].tolist()):
+            of = self.lists[k]
+            most = allowed(len(of), self.settings.share)
+            near = start_distances(of, words[first : last + len(of) + most].tolist())[: last + 1 - first]
+            near = [(d, first + j) for j, d in enumerate(near) if d <= most]
+            if not self.settings.any_length:
+                near = [(d, s) for _, s in near if (d := edit_distance(of, words[s : s + len(of)].tolist())) <= most]
+            if near:
+                distance, start = min(near)
+                yield self.items[k][0], start, distance
 
 
 def padded_together(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,8 +227,10 @@ class ItemIndex:
             groups[-1].append(item)
         self.classes = [ItemClass(g, settings, k + 1) for k, g in enumerate(groups)]
         self.of_class = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        self.begin = np.cumsum([0, *map(len, groups)])
         self.length = np.array([len(w) for _, w in hashed], np.int64)
         edits = np.array([allowed(int(n), settings.share) for n in self.length], np.int64)
+        self.longest = self.length + edits
         self.by_pairs = self.length - 1 - 2 * edits > 0
         self.least = np.where(self.by_pairs, self.length - 1 - 2 * edits, np.maximum(self.length - edits, 1))
         self.postings = [self._postings([(k, pair_hashes(w)) for k, (_, w) in enumerate(hashed) if self.by_pairs[k]]), self._postings([(k, w) for k, (_, w) in enumerate(hashed) if not self.by_pairs[k]])]
@@ -196,7 +249,7 @@ class ItemIndex:
         return known, np.append(first, len(gram)), item[order], maybe
 
     def _windows(self, grams: np.ndarray, which: int, spare: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, first start, last start) of ranges of windows that hold enough grams of one item."""
+        """(item, first start, last start) of ranges of starts whose longest passages hold enough grams of one item."""
         known, first, items, maybe = self.postings[which]
         place = np.flatnonzero(maybe[grams >> np.uint64(44)]) if len(known) else np.zeros(0, np.int64)
         if not len(place):
@@ -214,7 +267,7 @@ class ItemIndex:
         item, at = item[order], at[order]
         far = np.arange(len(item)) + self.least[item] - 1
         inside = np.minimum(far, len(item) - 1)
-        room = self.length[item] - 1 - spare
+        room = self.longest[item] - 1 - spare
         enough = (far < len(item)) & (item[inside] == item) & (at[inside] - at <= room)
         k = np.flatnonzero(enough)
         return [(item[k], np.maximum(at[inside[k]] - room[k], 0), at[k])]
@@ -227,13 +280,13 @@ class ItemIndex:
             return best
         ranges = self._windows(pair_hashes(words), 0, 1) + self._windows(words, 1, 0)
         for item, low, high in ranges:
+            # Ranges of one item come in order; those that touch become one.
+            new = np.append(True, (item[1:] != item[:-1]) | (low[1:] > high[:-1] + 1))[: len(item)]
+            last = np.append(new[1:], True)[: len(item)]
+            item, low, high = item[new], low[new], high[last]
             for c in np.unique(self.of_class[item]).tolist():
                 own = self.of_class[item] == c
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, low[own], 1)
-                np.add.at(edge, high[own] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                for i, start, distance in self.classes[c].hits(words, starts):
+                for i, start, distance in self.classes[c].hits(words, item[own] - self.begin[c], low[own], high[own]):
                     best[i] = min(best.get(i, (distance, start)), (distance, start))
         return best
 

@@ -62,7 +62,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate.find_leaks(docs, items)
+    return decontaminate.find_leaks(docs, items, settings=decontaminate.PASSAGES)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
