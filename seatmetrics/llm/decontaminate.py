@@ -13,8 +13,10 @@ the item's length (shorter at the document's end) are compared.
    walks agree in most places. Items of similar length form a class, whose walks are short enough to stay within
    any of its windows.
 3. A repetition samples a few places of a fresh walk as a key; where a start and an item share a key, the range of
-   starts around it that the count left for this item is a candidate. The number of repetitions is found by simulation on the items with the most edits allowed, until
-   the target recall is reached.
+   starts around it that the count left for this item is a candidate. The
+   number of repetitions is found by simulation on the items with the most edits allowed, each kind of edit on its
+   own, until the target recall is reached. Where ``most_repetitions`` do not reach it, as in classes of long items,
+   every range that the count left is a candidate, so that nothing is missed.
 4. Candidates are verified by exact edit distance, which one pass backwards gives for every start of the range and
    the best end.
 
@@ -125,15 +127,18 @@ class ItemClass:
         self.shortest, self.longest = len(items[0][1]), len(items[-1][1])
         self.steps = max(1, int(1.5 * self.shortest))
         self.salt, self.sampled = self._draw(settings.most_repetitions)
+        #: None where the most repetitions miss the target; every range is then verified.
         self.repetitions = self._simulate()
-        self.salt, self.sampled = self.salt[: self.repetitions], self.sampled[: self.repetitions]
+        self.salt, self.sampled = self.salt[: self.repetitions or 0], self.sampled[: self.repetitions or 0]
         self.tables = []
+        self.lists = [w.tolist() for _, w in items]
+        if self.repetitions is None:
+            return
         joined, begins, pads = padded_together([w for _, w in items])
         for keys in walk_keys(joined, begins, self.salt, self.sampled, pads):
             order = np.argsort(keys, kind="stable")
             known, first = np.unique(keys[order], return_index=True)
             self.tables.append((known, np.append(first, len(order)), order))
-        self.lists = [w.tolist() for _, w in items]
 
     def _draw(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([self.seed, self.steps])
@@ -142,15 +147,25 @@ class ItemClass:
             row[rng.choice(self.steps, min(self.settings.sampled, self.steps), replace=False)] = True
         return seeded(n * self.steps, self.seed).reshape(n, self.steps), sampled
 
-    def _simulate(self, trials: int = 200) -> int:
-        """Repetitions until that share of edited items which the recall asks for has met its item."""
-        rng = np.random.default_rng([self.seed, 77])
+    def _simulate(self, trials: int = 200) -> int | None:
+        """Repetitions until that share of edited items which the recall asks for has met its item, by the worst kind of edits."""
+        needed = 1
+        for kinds in ((2,), (1,), (0,), (0, 1, 2)):  # words deleted, inserted, replaced, and all of these
+            met = self._first_met(trials, kinds)
+            needed = max(needed, int(np.quantile(met, self.settings.recall, method="higher")))
+            if needed > self.settings.most_repetitions:
+                return None
+        return needed
+
+    def _first_met(self, trials: int, kinds: tuple[int, ...]) -> np.ndarray:
+        """For each of some items with all allowed edits the repetition that first meets it, or one more than there are."""
+        rng = np.random.default_rng([self.seed, 77, *kinds])
         plain, edited = [], []
         for _ in range(trials):
             _, item = self.items[int(rng.integers(len(self.items)))]
             other = item.tolist()
             for _ in range(allowed(len(item), self.settings.share)):
-                kind, place, fresh = int(rng.integers(3)), int(rng.integers(len(other))), int(rng.integers(1 << 62))
+                kind, place, fresh = kinds[int(rng.integers(len(kinds)))], int(rng.integers(len(other))), int(rng.integers(1 << 62))
                 if kind == 0:
                     other[place] = fresh
                 elif kind == 1:
@@ -160,13 +175,19 @@ class ItemClass:
             plain.append(item)
             edited.append(np.array([*other, *rng.integers(1 << 62, size=len(item)).tolist()], np.uint64))
         a, b = padded_together(plain), padded_together(edited)
-        same = walk_keys(a[0], a[1], self.salt, self.sampled, a[2]) == walk_keys(b[0], b[1], self.salt, self.sampled, b[2])
-        met = np.where(same.any(0), same.argmax(0) + 1, self.settings.most_repetitions)
-        needed = int(np.quantile(met, self.settings.recall, method="higher"))
-        return min(needed, self.settings.most_repetitions)
+        first = np.full(trials, self.settings.most_repetitions + 1)
+        for low in range(0, self.settings.most_repetitions, 64):
+            some = slice(low, low + 64)
+            same = walk_keys(a[0], a[1], self.salt[some], self.sampled[some], a[2]) == walk_keys(b[0], b[1], self.salt[some], self.sampled[some], b[2])
+            first = np.where(same.any(0), np.minimum(first, low + 1 + same.argmax(0)), first)
+            if (first <= low + 64).all():
+                break
+        return first
 
     def met(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Those of the ranges of starts (by item, then place; apart from each other) in which a walk shares a key with the range's item."""
+        if self.repetitions is None:
+            return np.ones(len(item), bool)
         n = len(words)
         padded = np.append(words, np.uint64(0))
         edge = np.zeros(n + 1, np.int64)

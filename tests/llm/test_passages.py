@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -61,3 +62,29 @@ def test_start_distances():
     for _ in range(60):
         item, words = [rng.randrange(4) for _ in range(rng.randrange(1, 70))], [rng.randrange(4) for _ in range(rng.randrange(1, 25))]
         assert decontaminate.start_distances(item, words) == [min(levenshtein(item, words[s:e]) for e in range(s, len(words) + 1)) for s in range(len(words))]
+
+
+@pytest.mark.parametrize("size, kind", [(40, 0), (1000, 0), (1500, 2)])
+def test_recall_by_kind_of_edit(words, size, kind):
+    """Items with all allowed edits of one kind are found as often as the recall says, however long they are."""
+    rng, items = random.Random(size), [(k, words(size, 800 + k)) for k in range(6)]
+    index = decontaminate.ItemIndex([(i, " ".join(w)) for i, w in items], decontaminate.PASSAGES)
+    lost, trials = 0, 120 if size < 100 else 18
+    for k in range(trials):
+        i, item = items[k % 6]
+        out = list(item)
+        for at in sorted(rng.sample(range(size), size // 5), reverse=True):
+            out[at : at + 1] = [] if kind == 0 else [f"zz{at}"]
+        lost += i not in index.hits(" ".join([*words(20, 5000 + k), *out, *words(20, 6000 + k)]))
+    assert lost <= 0.02 * trials
+
+
+def test_repetitions_that_miss_the_target(words):
+    """A class whose repetitions miss the target verifies every range."""
+    item = words(30, 900)
+    index = decontaminate.ItemIndex([(1, " ".join(item))], decontaminate.Settings(any_length=True, most_repetitions=1))
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        places = set(rng.choice(30, 6, replace=False).tolist())
+        out = [f"n{j}" if j in places else w for j, w in enumerate(item) if k % 2 or j not in places]
+        assert 1 in index.hits(" ".join(out))
