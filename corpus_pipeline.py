@@ -4,9 +4,10 @@ Every stage but the last returns the columns of its input. A rejected or duplica
 replaced by a mark in the text that later stages read, and the last stage counts and digests each kept document's
 token ids.
 
-Defined results of all stages: null texts and texts without a letter leave in the first stage; a null id takes part and
+Defined results of all stages: null texts, texts without a letter and texts unlike every labelled language leave in
+the first stage, and a table without labels loses only the first two; a null id takes part and
 is never a duplicate; rows that repeat an id stay or go together; an empty table stays empty; further columns pass
-through unchanged, whatever their names, unless they start with ``_lang`` or ``_secret``.
+through unchanged, whatever their names, unless they start with ``_secret``.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ SHINGLES = minhash.Settings(width=5, above=80, below=100)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn languages from labelled documents, and leave out those without any: null texts and texts without a letter."""
+    """Learn languages from labelled documents, and leave out texts in none of them.
+
+    These are null texts, texts without a letter, and those whose language is ambiguous while their nearest codeword
+    is farther than that of any held-out labelled text (``Model.far``). Without labels only the first two leave.
+    """
     model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    named = langid.predict(docs, model, names=("_lang_pred", "_lang_score", "_lang_ambiguous"))
-    return named.where("_lang_pred <> 'und'").select(*docs.columns)
+    return langid.without_unknown(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

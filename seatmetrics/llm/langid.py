@@ -77,9 +77,11 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    #: A text that loses more than this on its nearest codeword is like none of the labelled languages.
+    far: float = np.inf
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest language, score between 0 and 1, and the margin to the next, for each row of features."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest language, score between 0 and 1, the margin to the next, and the loss, for each row of features."""
         margins = x @ self.weights + self.bias
         loss = np.logaddexp(0, -margins[:, None, :] * self.code[None, :, :])  # logistic loss of each bit
         total = (loss * self.trust).sum(2)
@@ -88,7 +90,7 @@ class Model:
         share = np.exp(best[:, None] - total)
         share = share / share.sum(1, keepdims=True)
         p = np.take_along_axis(share, order, 1)
-        return order[:, 0], p[:, 0], p[:, 0] - (p[:, 1] if p.shape[1] > 1 else 0)
+        return order[:, 0], p[:, 0], p[:, 0] - (p[:, 1] if p.shape[1] > 1 else 0), best
 
 
 def _train_bits(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,12 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", per_language: int = 600)
     right = ((x[held] @ w + b) * y[held] > 0).mean(0) if held.any() else np.ones(y.shape[1])
     error = np.clip(1 - right, 0.01, 0.49)
     trust = np.log((1 - error) / error)
-    return Model(languages, code.astype(np.float32), w, b, trust / trust.mean())
+    model = Model(languages, code.astype(np.float32), w, b, trust / trust.mean())
+    if held.any():
+        # From the farthest of the rows held out of training halfway to a text without any n-gram.
+        worst, nothing = (float(model.decode(v)[3].max()) for v in (x[held], np.zeros((1, BUCKETS), np.float32)))
+        model.far = max(worst, (worst + nothing) / 2)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2, names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
@@ -148,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
             score, margin = np.zeros(len(texts)), np.ones(len(texts))
             if known.any():
                 rows = np.flatnonzero(known)
-                best, p, gap = model.decode(np.stack([features(texts[k]) for k in rows]))
+                best, p, gap, _ = model.decode(np.stack([features(texts[k]) for k in rows]))
                 lang[rows] = np.array(model.languages, object)[best]
                 score[rows], margin[rows] = np.clip(p, 0, 1), gap
             new = [pa.array(lang, pa.string()), pa.array(score), pa.array(margin < ambiguous_below)]
@@ -158,6 +165,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
     return kept.mapInArrow(run, schema)
 
 
+def without_unknown(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
+    """``docs`` without texts that have no letter, and without those that are ambiguous and far from every codeword.
+
+    A model without languages cannot tell, and then only texts without a letter are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            keep = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+            rows = np.flatnonzero(keep)
+            if model.languages and len(rows):
+                _, _, gap, loss = model.decode(np.stack([features(texts[k]) for k in rows]))
+                keep[rows] = (gap >= ambiguous_below) | (loss <= model.far)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """True for the ids that no model may learn from; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
