@@ -69,11 +69,27 @@ def numbered(rows: DataFrame, first: int = 2) -> DataFrame:
     return local.join(F.broadcast(offsets), "_part").withColumn("source_row", F.col("_at") + F.col("_offset")).drop("_id", "_part", "_at", "_offset")
 
 
+def breaks_in_cells(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether a line of a UTF-8 file is not a row of whole cells: a quoted cell may then go on in the next line.
+
+    Lines of bare cells without quotes and closed quoted cells prove by themselves that no cell holds a line break.
+    """
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{re.escape(delimiter)}]*+)'
+    whole = f"^\\x{{FEFF}}?{cell}(?:{re.escape(delimiter)}{cell})*+\\z"
+    lines = spark.read.text(path)
+    return not lines.where(F.col("value").contains('"') & ~F.col("value").rlike(whole)).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; a blank header becomes ``Column n``; row numbers count the head line and skip blank lines."""
+    """All cells as text; a blank header becomes ``Column n``; row numbers count the head line and skip blank lines.
+
+    Line breaks inside quotes belong to their cell. Only UTF-8 files that hold none, as a first pass proves, are split.
+    """
     head = head_of(spark, path)
     encoding = encoding_of(head)
-    reader = spark.read.option("header", False).option("inferSchema", False).option("sep", delimiter_of(head, path)).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", encoding != "UTF-8")
+    delimiter = delimiter_of(head, path)
+    multi_line = encoding != "UTF-8" or breaks_in_cells(spark, path, delimiter)
+    reader = spark.read.option("header", False).option("inferSchema", False).option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     rows = reader.csv(path)
     names = [str(v if v is not None else "").lstrip("﻿").strip() or f"Column {k}" for k, v in enumerate(rows.first() or [], 1)]
     named = numbered(rows, 1).where("source_row > 1")
