@@ -3,7 +3,8 @@
 Both public byte-level vocabularies split text by the same published pattern. Here its rules are stated on
 arrays of code points: runs of letters, of digits and of other marks, each with one space before it if there
 is one; the contractions; and white space, which leaves its last character to what follows. Equal pretokens
-meet by a 64-bit hash, so each is encoded once in a worker and then copied by index.
+meet by a 64-bit hash, so each is encoded once in a worker and then copied by index; the bytes of every pretoken are
+compared with those that were encoded, and a text in which two pretokens share a hash is encoded without the cache.
 """
 
 from __future__ import annotations
@@ -102,14 +103,13 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 class PretokenCache:
-    """Ids of distinct pretokens by hash, in sorted arrays; when full it starts anew, so its memory is bounded."""
+    """Ids and bytes of distinct pretokens by hash, in sorted arrays; when full it starts anew, so its memory is bounded."""
 
-    #: Characters of text that are encoded together.
-    BLOCK = 1 << 20
+    #: Characters of text that are encoded together, and pretokens that are compared together.
+    BLOCK, COMPARED = 1 << 20, 1 << 17
 
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 2_000_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 2_000_000, most_bytes: int = 1 << 26):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
@@ -117,15 +117,20 @@ class PretokenCache:
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_n = np.zeros(0, np.int64)
+        self.raw = np.zeros(0, np.uint8)
 
     def _add(self, keys: np.ndarray, tokens: list[bytes]) -> None:
         got = self.encode(tokens)
         n = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-        at = len(self.ids) + np.cumsum(n) - n
+        raw_n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         into = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = (np.insert(old, into, new) for old, new in ((self.keys, keys), (self.at, at), (self.n, n)))
+        for name, new in (("keys", keys), ("at", len(self.ids) + np.cumsum(n) - n), ("n", n), ("raw_at", len(self.raw) + np.cumsum(raw_n) - raw_n), ("raw_n", raw_n)):
+            setattr(self, name, np.insert(getattr(self, name), into, new))
         self.ids = np.concatenate([self.ids, flat])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(tokens), np.uint8)])
 
     def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each whole text, in blocks of texts of about a megabyte."""
@@ -139,13 +144,27 @@ class PretokenCache:
         if block:
             yield from self._block(block)
 
+    def _same_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether each pretoken has the bytes of its entry in the cache; pretokens lie side by side in ``data``."""
+        size = ends - starts
+        same = size == self.raw_n[found]
+        for low in range(0, len(starts), self.COMPARED):
+            some = slice(low, low + self.COMPARED)
+            a, b = int(starts[some][0]), int(ends[some][-1])
+            place = np.repeat(self.raw_at[found[some]] - starts[some], size[some]) + np.arange(a, b)
+            differs = data[a:b] != self.raw[np.minimum(place, len(self.raw) - 1)]
+            if differs.any():
+                at = np.searchsorted(ends[some], np.flatnonzero(differs) + a, "right")
+                same[low + at] = False
+        return same
+
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
         data, starts, ends, counts = pieces(texts)
         if not len(starts):
             yield from (np.zeros(0, np.uint32) for _ in texts)
             return
         keys = hash_spans(data, starts, ends)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or len(self.raw) > self.most_bytes:
             self.clear()
         # Distinct keys in order: the search then walks through the cache once, whatever its size.
         order = np.argsort(keys)
@@ -163,9 +182,16 @@ class PretokenCache:
             self._add(distinct[missing], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             found = np.searchsorted(self.keys, distinct)
         found = found[which]
+        same = self._same_bytes(data, starts, ends, found)
         n = self.n[found]
         stop = np.cumsum(n)
         flat = self.ids[np.repeat(self.at[found] - (stop - n), n) + np.arange(int(stop[-1]))]
-        edge = np.append(0, stop)[np.append(0, np.cumsum(counts))]
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            yield flat[a:b]
+        last = np.cumsum(counts)
+        edge = np.append(0, stop)[np.append(0, last)]
+        for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            own = slice(int(last[k] - counts[k]), int(last[k]))
+            if same[own].all():
+                yield flat[a:b]
+            else:
+                tokens = [data[x:y].tobytes() for x, y in zip(starts[own].tolist(), ends[own].tolist())]
+                yield np.array([i for ids in self.encode(tokens) for i in ids], np.uint32)

@@ -5,15 +5,21 @@ most frequent first, and carries that table; ranks are written with one to four
 rank in a separate run of control bytes say how many. numpy decodes a block by looking up the lengths of four
 ranks for each control byte. Ranks are those of the block, so that tokenizing, which dominates, runs once.
 
+Ids are those of the library's own call ``encode(text, add_special_tokens=False)``: the string of an added token, such
+as ``<|endoftext|>``, that stands in a text becomes that token's id. ``added_as_text=True`` reads it as plain text, as
+the library does after ``encode_special_tokens = True``.
+
 File layout, little-endian: ``TIDS`` and then blocks of: documents, ids, table entries, data bytes (4 x uint32);
 a validity byte for each doc_id; doc_ids (int64); ids of each document (uint32); table (uint32); control; data.
 
 Defined results: null text counts as empty and has only the end id; a null doc_id sorts first; repeated doc_ids
-stay, ordered by text; an empty table writes no file; further columns are ignored.
+stay, ordered by a hash of their text, and rows of one id may lie in several files; an empty table writes no file;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,20 +40,45 @@ MAGIC = b"TIDS"
 #: A block is written when it holds so many ids, a file when it holds so many.
 BLOCK_IDS, FILE_IDS = 2_000_000, 50_000_000
 VOCABULARY = "byte_bpe_50k.json"
-_loaded: dict[str, PretokenCache] = {}
+_loaded: dict[tuple[str, bool], TextEncoder] = {}
 #: Bytes of each of the four ranks that a control byte stands for.
 LENGTHS = 1 + ((np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) & 3).astype(np.int64)
 
 
-def encoder(path: str) -> PretokenCache:
-    """The tokenizers library behind the worker's cache of distinct pretokens."""
-    if path not in _loaded:
+class TextEncoder:
+    """The tokenizers library behind the worker's cache of distinct pretokens; texts are cut at added tokens first, as the library does."""
+
+    def __init__(self, path: str, added_as_text: bool):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = PretokenCache(lambda tokens: [e.ids for e in tokenizer.encode_batch_fast([t.decode("utf-8") for t in tokens], add_special_tokens=False)])
-    return _loaded[path]
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        self.cache = PretokenCache(lambda tokens: [e.ids for e in plain.encode_batch_fast([t.decode("utf-8") for t in tokens], add_special_tokens=False)])
+        added = [] if added_as_text else list(Tokenizer.from_file(path).get_added_tokens_decoder().items())
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added):
+            raise ValueError("added tokens that take what is around them into account are not supported")
+        self.ids = {t.content: i for i, t in added}
+        longest_first = sorted(self.ids, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest_first))) if added else None
+
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        parts, plan = [], []
+        for text in texts:
+            marks = list(self.cut.finditer(text)) if self.cut else []
+            edges = [0, *(m.end() for m in marks)]
+            parts += [text[a:b] for a, b in zip(edges, [*(m.start() for m in marks), len(text)])]
+            plan.append([self.ids[m[0]] for m in marks])
+        encoded = self.cache.encode_texts(parts)
+        for marks in plan:
+            first = next(encoded)
+            yield first if not marks else np.concatenate([first, *(x for i in marks for x in (np.array([i], np.uint32), next(encoded)))])
+
+
+def encoder(path: str, added_as_text: bool = False) -> TextEncoder:
+    """The worker's encoder of one vocabulary file."""
+    if (path, added_as_text) not in _loaded:
+        _loaded[path, added_as_text] = TextEncoder(path, added_as_text)
+    return _loaded[path, added_as_text]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -119,7 +150,7 @@ def _open(root: str, name: str | None = None):
     return store, base
 
 
-def write_token_files(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, end_id: int = 0, added_as_text: bool = False) -> DataFrame:
     """Encode and write; returns the manifest (part, seq, file, n_tokens), whose order is that of the documents.
 
     A task that is run again writes files of new names; only those in the committed manifest count.
@@ -154,7 +185,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str = VOCABULARY,
         end = np.array([end_id], np.uint32)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder(path).encode_texts(texts)):
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder(path, added_as_text).encode_texts(texts)):
                 doc_ids.append(doc_id)
                 ids.append(np.append(got, end))
                 held += len(got) + 1
@@ -164,7 +195,10 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str = VOCABULARY,
         if done["file"]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "file" else pa.int64()) for k, v in done.items()})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash and the row's own number part rows of one id, or of none, so that they do not all meet in one task.
+    order = [F.col("doc_id").asc_nulls_first(), "at", "row"]
+    numbered = docs.select("doc_id", "text", F.xxhash64("text").alias("at"), F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return settle(ordered.mapInArrow(write, "part bigint, seq bigint, file string, n_tokens bigint"), "token-manifest")
 
 
@@ -194,6 +228,6 @@ def read_documents(spark: SparkSession, root: str, manifest: DataFrame) -> DataF
     return file_starts(manifest).repartition(min(files, 8 * spark.sparkContext.defaultParallelism), "file").mapInPandas(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def tokenize_to_files(docs: DataFrame, root: str | None = None, vocabulary: str = VOCABULARY, end_id: int = 0) -> tuple[str, DataFrame]:
+def tokenize_to_files(docs: DataFrame, root: str | None = None, vocabulary: str = VOCABULARY, end_id: int = 0, added_as_text: bool = False) -> tuple[str, DataFrame]:
     root = root or shared_dir(docs.sparkSession, "token-ids")
-    return root, write_token_files(docs, root, vocabulary, end_id)
+    return root, write_token_files(docs, root, vocabulary, end_id, added_as_text)

@@ -181,9 +181,7 @@ def test_redaction(make_docs):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
 
 
 def encoding():
@@ -210,6 +208,24 @@ def test_both_encoders_equal_their_libraries(text):
     assert list(next(token_files.encoder(public_tokenizers.path(token_files.VOCABULARY)).encode_texts([text]))) == tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_library_has_them():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>", "<|endoftext", "", " <|endoftext|>  y\n"]
+    own, library = token_files.encoder(path), tokenizer()
+    assert [list(x) for x in own.encode_texts(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    library.encode_special_tokens = True
+    assert [list(x) for x in token_files.encoder(path, True).encode_texts(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pretokens_that_share_a_hash(monkeypatch):
+    """With a hash of eight values most pretokens collide, and still all ids are right."""
+    plain = pretokens.hash_spans
+    monkeypatch.setattr(pretokens, "hash_spans", lambda *a: plain(*a) & np.uint64(7))
+    cache = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY)).cache
+    for _ in range(2):
+        assert [list(x) for x in cache.encode_texts([*ODD, "plain words stand here", ""])] == [encoding().encode_ordinary(t) for t in [*ODD, "plain words stand here", ""]]
+
+
 def test_segment_tree_on_one_long_piece():
     rng = random.Random(2)
     piece = "".join(rng.choice("abcdeé") for _ in range(20_000))
@@ -249,6 +265,9 @@ def test_token_files(spark, make_docs):
     assert got == want
     root, manifest = token_files.tokenize_to_files(make_docs([(None, "a"), (1, None)]))
     assert {(r["doc_id"], r["n_tokens"]) for r in token_files.read_documents(spark, root, manifest).collect()} == {(None, 2), (1, 1)}
+    root, manifest = token_files.tokenize_to_files(make_docs([(None, f"a{k}") for k in range(400)] + [(1, None)]))
+    back = token_files.read_documents(spark, root, manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == [None] * 400 + [1]
     root, manifest = token_files.tokenize_to_files(make_docs(rows).limit(0))
     assert token_files.read_documents(spark, root, manifest).count() == 0
 
