@@ -20,7 +20,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     root, manifest = warc.archive(pages)
-    return warc.read_archive(spark, root, manifest, with_payload=False).drop("payload", "url")
+    return warc.resolved(warc.read_archive(spark, root, manifest, with_payload=False).drop("payload", "url"))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

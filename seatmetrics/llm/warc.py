@@ -7,10 +7,16 @@ the record with the largest page_id is the response and the others are revisits
 Defined results: a null payload counts as empty; rows with a null id are written with the id ``null`` and read
 back as null; rows that repeat the winning id and payload are all responses; an empty table writes no file and
 reads back as no row; further columns are ignored. Payloads of any length pass through one at a time.
+
+Reading measures what the archive holds: length and digest of a response are those of the payload that came out of
+it, and one that differs from its record's head stops the job; ``resolved`` gives a revisit the values of the
+response that it refers to.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -188,8 +194,20 @@ def read_file(root: str, name: str) -> Iterator[dict]:
             yield from parse_records(stream)
 
 
+def payload_of(head: dict) -> bytes:
+    """The payload of a response record; an error where its length or digest is not what the record's head says."""
+    payload = head["block"].split(b"\r\n\r\n", 1)[1]
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if (len(payload), digest) != (int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")):
+        raise ValueError(f"the payload of {head['WARC-Record-ID']} is damaged: {len(payload)} bytes, {digest}")
+    return payload
+
+
 def read_archive(spark: SparkSession, root: str, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
+    """Records of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit).
+
+    Length and digest of a response are measured on its payload; a revisit has those of its head until it is ``resolved``.
+    """
 
     def number(head: dict, key: str) -> int | None:
         value = head.get(key, "<urn:page:null>")[len("<urn:page:") : -1]
@@ -198,8 +216,9 @@ def read_archive(spark: SparkSession, root: str, manifest: DataFrame, with_paylo
     def rows(files: pd.Series) -> Iterator[tuple]:
         for name in files:
             for head in read_file(root, name):
-                payload = head["block"].split(b"\r\n\r\n", 1)[1] if with_payload and head["WARC-Type"] == "response" else None
-                yield number(head, "WARC-Record-ID"), head.get("WARC-Target-URI"), int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], number(head, "WARC-Refers-To"), payload
+                payload = payload_of(head) if head["WARC-Type"] == "response" else None
+                size, digest = int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+                yield number(head, "WARC-Record-ID"), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], number(head, "WARC-Refers-To"), payload if with_payload else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
@@ -220,6 +239,22 @@ def read_archive(spark: SparkSession, root: str, manifest: DataFrame, with_paylo
     return spread.mapInPandas(read, _RECORD)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """``records`` of an archive with the length and digest of each revisit taken from the response that it refers to.
+
+    A revisit whose response is missing or has another digest stops the job. Responses that others refer to are
+    read from files, one for each digest, so that a payload that many pages share can be split.
+    """
+    records = settle(records, "warc-records")
+    wanted = records.where("refers_to IS NOT NULL").select("refers_to", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("held_bytes")).distinct()
+    referred = settle(wanted.join(held, ["refers_to", "payload_digest"], "left").select(F.col("refers_to").alias("at"), F.col("payload_digest").alias("at_digest"), "held_bytes"), "warc-referred")
+    joined = records.join(referred, (records["refers_to"] == referred["at"]) & (records["payload_digest"] == referred["at_digest"]), "left")
+    missing = F.raise_error(F.concat(F.lit("no response with the payload of revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("bigint")
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.coalesce("held_bytes", missing))
+    return joined.withColumn("payload_bytes", size).select(*records.columns)
+
+
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame.from_records(rows, columns=names)
     return out.astype({"page_id": "Int64", "refers_to": "Int64"})
