@@ -87,7 +87,7 @@ def pages(spark, rows):
 def test_archive_round_trip(spark):
     rows = [(k, f"http://h/{k % 5}\r\n", f"<p>{k % 9}</p>" + "é" * (k % 3), "z") for k in range(200)] + [(500, None, None, None), (501, "u", "", None), (None, "u", "<p>1</p>", None), (7, "again", "<p>7</p>é", None), (900, "long", "ab" * 2_000_000, None)]
     root, manifest = warc.archive(pages(spark, rows))
-    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, root, manifest).collect()), key=str)
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.resolved(warc.read_archive(spark, root, manifest)).collect()), key=str)
     body = [(i, (h or "").encode()) for i, _, h, _ in rows]
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     last = {}
@@ -102,6 +102,20 @@ def test_archive_round_trip(spark):
     assert warc.read_archive(spark, root, manifest).count() == 0
 
 
+def test_damage_is_noticed(spark, tmp_path):
+    """A payload that is not what its head says, and a revisit whose response is gone, stop the reader."""
+    rows = [(k, "u", "<p>same</p>" if k < 2 else f"<p>{k}</p>", None) for k in range(5)]
+    planned = warc.plan_records(pages(spark, rows))
+    changed = planned.withColumn("payload", F.when(F.col("page_id") == 3, F.encode(F.lit("GARBAGE"), "UTF-8")).otherwise(F.col("payload")))
+    root = f"file://{tmp_path}/changed"
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(spark, root, warc.write_archive(changed, root), with_payload=False).collect()
+    root = f"file://{tmp_path}/gone"
+    manifest = warc.write_archive(planned.where("page_id <> 1"), root)
+    with pytest.raises(Exception, match="no response with the payload of revisit 0"):
+        warc.resolved(warc.read_archive(spark, root, manifest)).collect()
+
+
 def test_archive_starts_with_its_dictionary(spark, tmp_path):
     root = f"file://{tmp_path}"
     _, manifest = warc.archive(pages(spark, [(k, "u", f"<html>{k}" + "body " * 40, None) for k in range(300)]), root)
@@ -161,12 +175,46 @@ def test_ledger_scans_only_what_is_new(spark, make_docs):
     ledger = secrets.BlobLedger(spark)
     base = secrets.BASE_RULES
     first = secret_rows(secrets.scan_secrets(make_docs(SECRETS[:3]), ledger=ledger, rules=base)).collect()
-    n = ledger.rows().count()
+    n = ledger.scanned().count()
     again = secret_rows(secrets.scan_secrets(make_docs([*SECRETS[:3], (9, SECRETS[0][1])]), ledger=ledger, rules=base))
-    assert ledger.rows().count() == n and again.count() == 4 and len(first) == 3
+    assert ledger.scanned().count() == n and again.count() == 4 and len(first) == 3
     secrets.scan_secrets(make_docs(SECRETS[:4]), ledger=ledger, rules=secrets.RULES)
-    new = ledger.rows().collect()[n:] if False else ledger.rows().where(~F.array_contains("rules", "assign@1")).count()
-    assert ledger.rows().count() == n + 4 and new == 3
+    assert ledger.scanned().count() == n + 4 and ledger.scanned().where(~F.array_contains("rules", "assign@1")).count() == 3
+
+
+def test_findings_are_those_of_the_rule_versions_asked_for(spark, make_docs):
+    """A stricter version withdraws spans, an older one brings them back without a scan, and the order of rules is free."""
+    docs = make_docs([(1, "0f" * 20 + " AKIA" + "B" * 16), (2, "0f" * 20 + " AKIA" + "B" * 16), (3, "ab" * 40)])
+    hex1, access = secrets.BASE_RULES[2], secrets.BASE_RULES[1]
+    hex2 = secrets.Rule("hex", r"[0-9a-f]{64,}", least=64, version=2)
+    ledger = secrets.BlobLedger(spark)
+
+    def spans(rules):
+        return {r["doc_id"]: r["all"] for r in secret_rows(secrets.scan_secrets(docs, ledger=ledger, rules=rules)).collect()}
+
+    both = {1: "hex:0:40,access:41:61", 2: "hex:0:40,access:41:61", 3: "hex:0:80"}
+    assert spans((hex1, access)) == both and spans((access, hex1)) == both
+    assert spans((access, hex2)) == {1: "access:41:61", 2: "access:41:61", 3: "hex:0:80"}
+    pairs = ledger.scanned().count()
+    assert spans((hex1,)) == {1: "hex:0:40", 2: "hex:0:40", 3: "hex:0:80"} and ledger.scanned().count() == pairs
+    assert {r["s"] for r in ledger.scanned().groupBy("blob_id").agg(F.size(F.flatten(F.collect_list("rules"))).alias("s")).collect()} == {3}
+
+
+def test_findings_written_twice_count_once(spark, make_docs):
+    """A run that broke off before it marked its pairs is repeated; many matches in one text; few and many shared blobs."""
+    ledger = secrets.BlobLedger(spark)
+    rows = [*SECRETS, (7, SECRETS[0][1]), (8, "token=abcdefgh " * 5_000)]
+    docs = make_docs(rows)
+    content = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob_id"), "text").where("text IS NOT NULL")
+    secrets.matches(content.withColumn("_secret_todo", F.array(F.lit("access@1"), F.lit("hex@1"))), secrets.RULES).write.parquet(f"{ledger.root}/findings")
+    want = sorted((str(i), secret_brute(t)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["base"]) for r in secret_rows(secrets.scan_secrets(docs, ledger=ledger)).collect()) == want
+
+
+def test_many_shared_blobs_and_findings(make_docs, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    rows = [*SECRETS, (7, SECRETS[0][1]), (8, None)]
+    assert sorted((str(r["doc_id"]), r["base"]) for r in secret_rows(secrets.scan_secrets(make_docs(rows))).collect()) == sorted((str(i), secret_brute(t or "")) for i, t in rows)
 
 
 def test_redaction(make_docs):
