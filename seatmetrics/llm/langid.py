@@ -5,11 +5,14 @@ adds up, for each codeword, the loss of the bits that disagree with it, weighted
 classifier separated the training rows; the codeword of least loss wins, and a text whose two nearest codewords
 are almost as near is flagged as ambiguous.
 
-Training takes a bounded sample, at most about ``per_language`` labelled rows of each language, chosen by a hash
-of the id; their hashed counts are made on the executors. Prediction reads every whole text, on the executors.
+Training takes a bounded sample (``bounded_sample``): distinct labelled texts, drawn by a hash of the text, with hard
+limits by language and in all; their hashed counts are made on the executors. Prediction reads every whole text, on
+the executors.
 
 Defined results: null text and text without a letter get ``und``, score 0, not ambiguous; an empty training set
-gives ``und`` for every row; rows without a label are never learned from; repeated rows are predicted alike.
+gives ``und`` for every row; rows without a label are never learned from; repeated rows are learned from once and
+predicted alike; texts of any length are read whole; labels beyond the limit, those with the fewest texts, are never
+predicted.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from seatmetrics.llm.shared import slices
+from seatmetrics.llm.shared import settle, slices
 
 BUCKETS = 1 << 12
 SIZES = (1, 2, 3, 4)
@@ -106,29 +109,40 @@ def _train_bits(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4
     return w, b
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", per_language: int = 600) -> Model:
-    """Learn from ``labelled`` (id, text, lang); the sample is bounded by ``per_language`` times the number of languages."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_column).cast("string")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < int(min(1, per_language / n) * (1 << 30))))
+def bounded_sample(labelled: DataFrame, per_language: int, most_languages: int, most_rows: int) -> DataFrame:
+    """(text, lang) of at most ``per_language`` distinct texts of each of at most ``most_languages`` labels, and of ``most_rows`` in all.
+
+    The labels with the most distinct texts are taken. Texts are drawn by a hash of the text alone, so rows that repeat
+    a text, or an id, count once: a threshold on the hash leaves about twice as many as are wanted, of which the least
+    hashes are taken. Copies collapse within a task before anything is shuffled.
+    """
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und")).select("lang", "text")
+    drawn = usable.withColumn("draw", F.pmod(F.xxhash64(F.lit("language sample"), F.col("text")), F.lit(1 << 62)))
+    sizes = settle(drawn.select("lang", "draw").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages), "languages")
+    each = max(1, min(per_language, most_rows // max(1, sizes.count())))
+    cut = sizes.select(F.col("lang").alias("of"), (F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("count")) * float(1 << 62)).alias("below"))
+    near = drawn.join(F.broadcast(cut), (F.col("lang") == F.col("of")) & (F.col("draw") < F.col("below")))
+    one = near.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    ranked = one.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+    return ranked.where(F.col("nth") <= each).select("text", "lang")
+
+
+def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 200, most_rows: int = 20_000) -> Model:
+    """Learn from ``labelled`` (text, lang) on the bounded sample of these parameters; its features are made on the executors."""
 
     def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"lang": frame["lang"], "x": [features(t).astype(np.float16).tobytes() for t in frame["text"]]})
 
-    sample = usable.where(keep).select("text", "lang").mapInPandas(shrink, "lang string, x binary").toPandas()
+    sample = bounded_sample(labelled, per_language, most_languages, most_rows).mapInPandas(shrink, "lang string, x binary").toPandas()
     sample = sample.sort_values(["lang", "x"], kind="stable")
+    languages = sorted(set(sample["lang"]))
+    if not languages:
+        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     x = np.frombuffer(b"".join(sample["x"]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    which = np.array([languages.index(v) for v in sample["lang"]], np.int64)
+    place = {lang: k for k, lang in enumerate(languages)}
+    which = np.array([place[v] for v in sample["lang"]], np.int64)
     code = codewords(len(languages))
-    if not len(x):
-        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     y = code[which].astype(np.float32)
     held = np.arange(len(x)) % 5 == 4
     w, b = _train_bits(x[~held] if held.any() else x, y[~held] if held.any() else y)

@@ -67,7 +67,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
     named = langid.predict(docs.select("doc_id", "text"), model)
     return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 

@@ -343,3 +343,30 @@ def test_language_id(spark, make_docs):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
     nothing = langid.fit(docs.where("false").select("doc_id", "text", "lang"))
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_sample_is_bounded_whatever_the_rows(spark):
+    """Many rows of one id, of one text, and many labels: the sample keeps its limits and prefers labels with many texts."""
+    rows = [(1, f"text number {k}", "aa") for k in range(3000)] + [(k, "the same text", "bb") for k in range(2000)] + [(k, f"rare {k}", f"l{k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.bounded_sample(docs, 50, 10, 1000).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in got}
+    assert len(n) == 10 and n["aa"] == 50 and all(v <= 50 for v in n.values())
+    assert langid.bounded_sample(docs, 50, 4, 40).count() == 13 and langid.bounded_sample(docs.limit(0), 5, 5, 5).count() == 0
+
+
+def test_long_and_repeated_texts_have_one_language(spark):
+    rows = [(k, "ka to mi " * (k + 1), "aa") for k in range(20)] + [(100 + k, "schr ung " * (k + 1), "bb") for k in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    docs = spark.createDataFrame([(1, "ka to mi " * 200_000), (2, "mi to ka"), (2, "mi to ka"), (3, "ung schr")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, model).collect())
+    assert got == [(1, "aa"), (2, "aa"), (2, "aa"), (3, "bb")]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_held_out_accuracy_on_the_tables(spark, sf):
+    from seatmetrics.llm import queries
+
+    got = queries.op9_language_id(spark, f"/root/testdata/{sf}").where("held_out").join(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).collect()[0]
+    assert n > 20 and right >= 0.97
