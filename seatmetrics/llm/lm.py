@@ -4,7 +4,8 @@
    often each occurs in it, as sorted 64-bit hashes in slots (order, leading bits of the hash). A gram that every
    document holds is thus one entry for each batch, so no slot is larger than others because of a common gram.
 2. Slots are shuffled by their key. A slot is one part of the count table of its order: entries of equal hash are
-   added up, and the sums go back to the batches that asked for them.
+   added up, and the sums go back to the batches that asked for them. There are as many slots as the words of the
+   input ask for, so a slot holds about ``slot_words`` entries whatever the size of the corpus.
 3. A batch meets its sums again, looks up every n-gram of every document and adds up the logarithms.
 
 The score of a word is the relative frequency of its longest n-gram that the corpus holds, times ``alpha`` for each
@@ -15,8 +16,12 @@ out of all counts it is scored with; else a text that nothing else resembles wou
 Batches are made anew for step 3, so ``docs`` must give the same rows in the same order when read again, as tables
 in files do; a batch that differs stops the job. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case.
 
-Defined results: null text and text without words have no words, log_score 0 and a null mean; repeated rows are
-documents of their own; null ids pass through; an empty table gives an empty result; further columns are ignored.
+Entries travel packed, one row for each batch and slot: as rows of their own (gram, batch, count) the n-grams of three
+orders would take about twenty times the input on disk.
+
+Defined results: null text and text without words have no words, log_score 0 and a null mean; a text longer than a
+batch is a batch of its own, read whole; repeated rows are documents of their own; null ids pass through; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatmetrics.llm.blocks import sorted_groups, together
+from seatmetrics.llm.blocks import sorted_groups
 from seatmetrics.llm.shared import SPACE, hashed_words, mix
 
 _FORWARD = "slot int, batch string, asks boolean, keys binary, counts binary"
@@ -47,6 +52,11 @@ class Settings:
     order: int = 3
     alpha: float = 0.4
     batch_words: int = 2_000_000
+    slot_words: int = 2_000_000
+
+    def slot_bits(self, words: int) -> int:
+        """Leading bits of a hash that name a slot of an order, for a corpus of so many words."""
+        return min(24, max(4, math.ceil(math.log2(max(1, words / self.slot_words)))))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -110,6 +120,12 @@ def slot_edges(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, tops), len(keys))
 
 
+def about_words(docs: DataFrame, column: str) -> int:
+    """How many words ``docs`` hold at most, about: a word for each six bytes and one for each text, as batches are cut."""
+    row = docs.agg(F.sum(F.octet_length(F.col(column))).alias("bytes"), F.count("*").alias("rows")).collect()[0]
+    return (row["bytes"] or 0) // 6 + row["rows"]
+
+
 def batches_of(docs: DataFrame, id_column: str, column: str, schema: str, make, settings: Settings) -> DataFrame:
     """``make(batch name, ids, texts)`` for each batch: documents in the order they are read, as many as hold ``batch_words`` words."""
 
@@ -165,7 +181,7 @@ def gram_slots(docs: DataFrame, id_column: str, column: str, bits: int, asks: bo
     return batches_of(docs, id_column, column, _FORWARD, make, settings)
 
 
-def slot_sums(slots: DataFrame) -> DataFrame:
+def slot_sums(slots: DataFrame, partitions: int) -> DataFrame:
     """The count tables: entries of a slot added up by hash, and the sums for each batch that asked."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +202,7 @@ def slot_sums(slots: DataFrame) -> DataFrame:
                 }
             )
 
-    return together(slots, ["slot"]).mapInArrow(run, _BACK)
+    return slots.repartition(partitions, "slot").sortWithinPartitions("slot").mapInArrow(run, _BACK)
 
 
 def word_scores(grams: Grams, sums: list[np.ndarray], leave_out: bool, settings: Settings) -> np.ndarray:
@@ -214,12 +230,13 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_column:
 
     Counts are those of ``corpus`` (same columns), or of ``docs`` itself without the scored document.
     """
-    spark = docs.sparkSession
-    bits = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own_words = about_words(docs, column)
+    bits = settings.slot_bits(own_words + (about_words(corpus, column) if corpus is not None else 0))
     slots = gram_slots(docs, id_column, column, bits, True, corpus is None, settings)
     if corpus is not None:
         slots = slots.unionByName(gram_slots(corpus, id_column, column, bits, False, True, settings))
-    sums = slot_sums(slots)
+    sums = slot_sums(slots, max(least, (settings.order << bits) // 2))
 
     def keep(batch: str, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
@@ -248,5 +265,7 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_column:
         return pd.DataFrame({"doc_id": rows.column("doc_id").to_pandas(integer_object_nulls=True), "n_words": grams.lengths, "log_score": total, "mean_log_score": mean})
 
     schema = "doc_id bigint, n_words bigint, log_score double, mean_log_score double"
-    out = held.groupBy("batch").cogroup(sums.groupBy("batch")).applyInPandas(finish, schema)
+    # Both sides by batch in the same number of partitions, so that a task holds one batch after the other of about two.
+    apart = max(least, own_words // settings.batch_words)
+    out = held.repartition(apart, "batch").groupBy("batch").cogroup(sums.repartition(apart, "batch").groupBy("batch")).applyInPandas(finish, schema)
     return out.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))

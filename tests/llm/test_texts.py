@@ -58,10 +58,16 @@ def test_lm_scores(make_docs, words):
     want = lm_brute(rows, [t for _, t in rows])
     assert lm_rows(lm.score_documents(docs)) == want
     assert lm_rows(lm.score_documents(docs, settings=lm.Settings(batch_words=50))) == want
+    assert lm_rows(lm.score_documents(docs, settings=lm.Settings(batch_words=50, slot_words=40))) == want
     other = [(k, " ".join(words(30, 3 + k))) for k in range(9)]
     assert lm_rows(lm.score_documents(docs, make_docs(other))) == lm_brute(rows, [t for _, t in other], leave_out=False)
 
 
+def test_slots_follow_the_input():
+    bits = [lm.Settings().slot_bits(words) for words in (0, 10**7, 10**9, 10**10)]
+    assert bits == sorted(bits) and 10**10 / 2 ** bits[-1] <= lm.Settings().slot_words
+
+
 def test_lm_edges(make_docs):
     rows = [e for e in EDGES if e[0] not in (5, 9)]
     assert lm_rows(lm.score_documents(make_docs(rows))) == lm_brute(rows, [t for _, t in rows])
