@@ -20,26 +20,35 @@ the item's length (shorter at the document's end) are compared.
 4. Candidates are verified by exact edit distance, which one pass backwards gives for every start of the range and
    the best end.
 
-Items are taken in blocks of bounded size against all documents, whatever their number. Defined results: null or
-empty texts hold nothing and null or empty items are held by nothing; items of equal text are all reported;
-repeated rows are reported alike; of several passages that hold an item the nearest, then the first, is reported.
+Items are indexed in blocks of bounded size by tasks, which write each block's index to a file of the shared folder;
+documents are read once, and a task that scans them loads one block after the other for some megabytes of text at a
+time. The driver holds only the files' names. Defined results: null or empty texts hold nothing and null or empty
+items are held by nothing; items of equal text, or of equal id, are items of their own and all reported; a null item
+id is reported as null; repeated rows are reported alike; of several passages that hold an item the nearest, then the
+first, is reported; ids of documents and items keep their type; no items or no documents, no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from seatmetrics.llm.shared import NOT_WORD, hashed_words, mix, seeded, slices
+from seatmetrics.llm.blocks import sorted_groups
+from seatmetrics.llm.shared import NOT_WORD, hashed_words, mix, seeded, settle, shared_dir, slices
 
-#: Items that are broadcast together.
-ITEMS_AT_ONCE = 5_000
+#: Items of a block, whose index a task loads at once, and characters of text that meet one block after the other.
+ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 5_000, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -239,8 +248,11 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """The classes of one block of items, and postings of their word pairs (of their words, where pairs cannot tell)."""
 
-    def __init__(self, items: list[tuple[int, str]], settings: Settings):
-        hashed = sorted(((i, w) for i, t in items if len(w := hashed_words(t, NOT_WORD))), key=lambda x: (len(x[1]), x[0]))
+    def __init__(self, items: list[tuple[object, str]], settings: Settings):
+        worded = sorted(((i, w) for i, t in items if len(w := hashed_words(t, NOT_WORD))), key=lambda x: (len(x[1]), str(x[0])))
+        #: The id of each item; an item is known by its place here.
+        self.ids = [i for i, _ in worded]
+        hashed = [(k, w) for k, (_, w) in enumerate(worded)]
         groups: list[list[tuple[int, np.ndarray]]] = []
         for item in hashed:
             if not groups or len(item[1]) > len(groups[-1][0][1]) * settings.class_ratio:
@@ -294,7 +306,7 @@ class ItemIndex:
         return [(item[k], np.maximum(at[inside[k]] - room[k], 0), at[k])]
 
     def hits(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """item -> (distance, start) of the nearest, then first, window of one whole text that holds it."""
+        """Place of an item -> (distance, start) of the nearest, then first, passage of one whole text that holds it."""
         words = hashed_words(text, NOT_WORD)
         best: dict[int, tuple[int, int]] = {}
         if not len(words) or not self.classes:
@@ -312,40 +324,84 @@ class ItemIndex:
         return best
 
 
-def item_blocks(items: DataFrame, id_column: str, column: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most about ITEMS_AT_ONCE, each small enough to send to every task."""
-    usable = items.where(F.col(id_column).isNotNull() & F.col(column).isNotNull()).select(F.col(id_column).alias("item_id"), F.col(column).alias("text"))
+def write_index(items: DataFrame, id_column: str, column: str, settings: Settings) -> tuple[str, list[str]]:
+    """The folder and the files of the items' index, one for each block; a file that a failed task left is not among them."""
+    usable = items.where(F.col(column).isNotNull()).select(F.col(id_column).alias("item_id"), F.col(column).alias("text"))
     blocks = max(1, -(-usable.count() // ITEMS_AT_ONCE))
-    for k in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(blocks)) == k).collect()
-        yield [(r["item_id"], r["text"]) for r in rows]
+    root = shared_dir(items.sparkSession, "benchmark-index")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for group in sorted_groups(batches, ["block"]):
+            index = ItemIndex(list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist())), settings)
+            store, base = fs.FileSystem.from_uri(root)
+            store.create_dir(base, recursive=True)
+            name = f"block-{uuid.uuid4().hex}.index"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(pickle.dumps(index))
+            yield pa.RecordBatch.from_pydict({"file": pa.array([name])})
+
+    # Rows of one block by a hash of id, text and row, so that items that repeat do not fill one block.
+    block = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(blocks))
+    parted = settle(usable.withColumn("block", block), "benchmark-items").repartition(blocks, "block").sortWithinPartitions("block")
+    return root, [r["file"] for r in settle(parted.mapInArrow(build, "file string"), "benchmark-files").collect()]
+
+
+_loaded: dict[str, ItemIndex] = {}
+
+
+def load_index(root: str, name: str) -> ItemIndex:
+    """One block's index; a worker keeps the last one that it used."""
+    if name not in _loaded:
+        from pyarrow import fs
+
+        _loaded.clear()
+        store, base = fs.FileSystem.from_uri(root)
+        with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
+            _loaded[name] = pickle.loads(stream.read())
+    return _loaded[name]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches that hold about CHARACTERS_AT_ONCE of text together."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= CHARACTERS_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", column: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, start_word, edits, item_words."""
-    out = None
-    for block in item_blocks(items, item_id, item_text):
-        index = ItemIndex(block, settings)
-        length = {i: len(w) for c in index.classes for i, w in c.items}
+    root, files = write_index(items, item_id, item_text, settings)
+    kinds = (docs.schema[id_column].dataType, items.schema[item_id].dataType, LongType(), LongType(), LongType())
+    schema = StructType([StructField(n, t) for n, t in zip(("doc_id", "item_id", "start_word", "edits", "item_words"), kinds)])
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, length: dict = length) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                rows = [(d, i, s, e, length[i]) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for i, (e, s) in sorted(index.hits(t).items())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start_word", "edits", "item_words"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches, "text"):
+            for name in files:
+                index = load_index(root, name)
+                for batch in some:
+                    rows = [(d, index.ids[k], s, e, int(index.length[k])) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for k, (e, s) in sorted(index.hits(t).items())]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], to_arrow_type(t)) for k, t in enumerate(kinds)], names=schema.names)
 
-        found = docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, "doc_id bigint, item_id bigint, start_word bigint, edits bigint, item_words bigint")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(column).alias("text")).mapInArrow(run, schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, column: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns untouched, without a shuffle."""
-    for block in item_blocks(items, item_id, item_text):
-        index = ItemIndex(block, settings)
+    root, files = write_index(items, item_id, item_text, settings)
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not index.hits(t) for t in batch.column(column).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches, column):
+            for name in files:
+                index = load_index(root, name)
+                some = [batch.filter(pa.array([not index.hits(t) for t in batch.column(column).to_pylist()], pa.bool_())) for batch in some]
+            yield from some
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -180,6 +180,19 @@ def test_leak_edges(spark, make_docs):
     items = spark.createDataFrame([(1, "same words here again"), (2, "same words here again"), (None, "x")], "item_id bigint, text string")
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.find_leaks(make_docs(EDGES), items).collect())
     assert got == sorted([("6", 1), ("6", 1), ("7", 1), ("6", 2), ("6", 2), ("7", 2)])
-    none = decontaminate.find_leaks(make_docs(EDGES), items.limit(0))
-    assert none is None or none.count() == 0
+    assert decontaminate.find_leaks(make_docs(EDGES), items.limit(0)).count() == 0
+    assert decontaminate.without_leaks(make_docs(EDGES), items.limit(0)).count() == len(EDGES)
     assert decontaminate.find_leaks(make_docs(EDGES).limit(0), items).count() == 0
+
+
+def test_items_of_one_id_of_no_id_and_in_many_blocks(spark, make_docs, words, monkeypatch):
+    """Each item row is reported with its own length, whatever its id and whatever block it is in."""
+    four, six = "four words of one", "six words stand here for one"
+    docs = make_docs([(1, f"x {four} y"), (2, f"{six} z"), (3, "nothing"), (4, None)])
+    items = spark.createDataFrame([("a", four), ("a", six), (None, four), ("b", ""), ("c", None)], "item_id string, text string")
+    want = [(1, "a", 1, 0, 4), (1, None, 1, 0, 4), (2, "a", 0, 0, 6)]
+    for at_once in (5_000, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", at_once)
+        got = decontaminate.find_leaks(docs, items).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, items).collect()) == [3, 4]
