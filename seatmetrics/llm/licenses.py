@@ -1,21 +1,27 @@
 """License scans by a positional index of rare words.
 
-Templates are short public licence notices. A first pass counts in how many documents each template word occurs;
-the words of highest IDF in each template become its anchors, and the index maps an anchor to the templates and
-places it stands at. A second pass looks up each file's anchors, adds up their IDF by template and relative
-position, and where enough of a template's anchors agree on one position, verifies its mandatory key phrase
-there. Base phrases are counted wherever their words stand consecutively.
+Templates are whole public licence texts and the notices that licences ask for. A first pass counts in how many
+documents each licence word occurs. The words of highest IDF in a template are its anchors: a passage is taken for the
+template where its anchors at their places carry at least ``AGREE`` of their IDF and its key phrase stands.
+
+The index holds postings (template, place) of the rarest anchors only, as many as no such passage can miss: without
+them the anchors that are left carry less than ``AGREE``. A second pass ranks each file's own licence words by IDF,
+looks the highest up, down to the least that the index holds, and intersects the postings by relative position. What
+the intersection leaves is verified with all anchors of the template and then by the key phrase, wherever it lies
+between the first and the last word of the passage. Base phrases are counted wherever their words stand consecutively.
+
+``score`` is the greatest share of a template's anchors that was verified; a file with base phrases and no verified
+template has ``PHRASE_SCORE``, one without either 0.
 
 Defined results: null text counts as empty; places count words from 0; a phrase at several places has its label
-once; with no document the result is empty; further columns are ignored; texts of any length are read whole.
+once; null ids and repeated rows each have their row; with no document the result is empty; further columns are
+ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,141 +29,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatmetrics.llm.licence_texts import TEMPLATES
 from seatmetrics.llm.shared import NOT_WORD, hashed_words, slices
 
 # The base phrases and labels of the contract.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    notice: str
-    key: str
-
-
-# Public licence notices in words, and the phrase that each must hold.
-TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
-    Template("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
-    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    Template("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-)
 ANCHORS = 6
 AGREE = 0.6
+PHRASE_SCORE = 0.5
 
 
 def words_of(text: str | None) -> np.ndarray:
     return hashed_words(text, NOT_WORD)
 
 
-def _hash(words: str) -> list[int]:
-    return words_of(words).tolist()
+def plain_words(text: str) -> list[str]:
+    """The words of a template; these are plain ASCII."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
-class _Vocabulary:
-    """Places of known words in a document, by binary search in the sorted hashes of all template words."""
+class Vocabulary:
+    """The places of known words in a document, by binary search in the sorted hashes of all licence words."""
 
     def __init__(self, words: list[str]):
         hashes = words_of(" ".join(words))
         order = np.argsort(hashes)
         self.keys, self.words = hashes[order], [words[i] for i in order]
 
-    def places(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, index of the word) for each known word of a document."""
+    def numbers(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each word of a document, -1 for words that no licence holds."""
         found = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-        at = np.flatnonzero(self.keys[found] == hashed)
-        return at, found[at]
+        return np.where(self.keys[found] == hashed, found, -1)
 
 
-def template_words() -> list[str]:
-    every = {w for t in TEMPLATES for w in f"{t.notice} {t.key}".split()} | {w for p, _ in BASE_PHRASES for w in p.split()}
-    return sorted(every)
+def licence_words() -> list[str]:
+    return sorted({w for t in TEMPLATES for w in plain_words(f"{t.text} {t.key}")} | {w for p, _ in BASE_PHRASES for w in p.split()})
 
 
 def document_frequency(docs: DataFrame, column: str = "text") -> tuple[int, dict[str, int]]:
-    """Over all documents: how many there are, and how many hold each template word.
+    """Over all documents: how many there are, and how many hold each licence word.
 
-    Each task returns one count for each template word, so what meets is bounded by the templates.
+    Each task returns one count for each licence word, so what meets is bounded by the templates.
     """
-    words = template_words()
+    words = licence_words()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = _Vocabulary(words)
-        seen, total = np.zeros(len(words), np.int64), 0
+        vocabulary = Vocabulary(words)
+        seen, total = np.zeros(len(words) + 1, np.int64), 0
         for frame in frames:
             for text in frame[column]:
-                seen[np.unique(vocabulary.places(words_of(text))[1])] += 1
+                seen[np.unique(vocabulary.numbers(words_of(text)))] += 1
             total += len(frame)
-        yield pd.DataFrame({"word": ["", *vocabulary.words], "n": [total, *seen.tolist()]})
+        yield pd.DataFrame({"word": ["", *vocabulary.words], "n": [total, *seen[:-1].tolist()]})
 
     rows = docs.select(column).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: int(r["n"]) for r in rows}
     return counts.pop("", 0), counts
 
 
+def standing(number: np.ndarray, phrase: list[int]) -> np.ndarray:
+    """The places at which the words of ``phrase`` stand one after the other."""
+    n = len(number) - len(phrase) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(number[:n] == phrase[0])
+    for k, w in enumerate(phrase[1:], 1):
+        at = at[number[at + k] == w]
+    return at
+
+
 class LicenceIndex:
-    """Anchors of each template and their postings."""
+    """Anchors of each template, and postings of the rarest of them."""
 
     def __init__(self, documents: int, frequency: dict[str, int]):
-        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1 for w in template_words()}
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.full = []
+        self.vocabulary = Vocabulary(licence_words())
+        number = {w: k for k, w in enumerate(self.vocabulary.words)}
+        self.idf = np.array([math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1 for w in self.vocabulary.words])
+        self.base = [([number[w] for w in phrase.split()], label) for phrase, label in BASE_PHRASES]
+        self.key = [[number[w] for w in plain_words(t.key)] for t in TEMPLATES]
+        self.length, self.anchors, self.full = [], [], []
+        self.postings: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(TEMPLATES):
-            words = t.notice.split()
-            anchors = sorted(set(words), key=lambda w: (-self.idf[w], w))[:ANCHORS]
-            for place, w in enumerate(words):
-                if w in anchors:
-                    self.postings[w].append((k, place))
-            self.full.append(sum(self.idf[w] for w in words if w in anchors))
-        self.vocabulary = _Vocabulary(template_words())
-        place = {w: i for i, w in enumerate(self.vocabulary.words)}
-        self.by_number = {place[w]: (self.idf[w], p) for w, p in self.postings.items()}
-        self.base = [([place[w] for w in phrase.split()], label) for phrase, label in BASE_PHRASES]
-        self.keys = [[place[w] for w in t.key.split()] for t in TEMPLATES]
+            words = [number[w] for w in plain_words(t.text)]
+            ranked = sorted(set(words), key=lambda w: (-self.idf[w], self.vocabulary.words[w]))[:ANCHORS]
+            anchors = [(place, w) for place, w in enumerate(words) if w in ranked]
+            full = float(sum(self.idf[w] for _, w in anchors))
+            left = full
+            for w in ranked:
+                if left < AGREE * full - 1e-9:
+                    break
+                places = [place for place, x in anchors if x == w]
+                self.postings.setdefault(w, []).extend((k, place) for place in places)
+                left -= float(self.idf[w]) * len(places)
+            self.length.append(len(words))
+            self.anchors.append(anchors)
+            self.full.append(full)
+        self.least_idf = min(self.idf[w] for w in self.postings)
+
+    def candidates(self, number: np.ndarray) -> dict[int, np.ndarray]:
+        """Template -> places at which a passage of it may begin, from the file's licence words in order of falling IDF."""
+        known = np.unique(number[number >= 0])
+        ranked = known[np.argsort(-self.idf[known], kind="stable")]
+        found: dict[int, list[np.ndarray]] = {}
+        for w in ranked[self.idf[ranked] >= self.least_idf].tolist():
+            if w in self.postings:
+                at = np.flatnonzero(number == w)
+                for template, place in self.postings[w]:
+                    found.setdefault(template, []).append(at - place)
+        return {t: np.unique(np.concatenate(x)) for t, x in found.items()}
+
+    def shares(self, number: np.ndarray, template: int, begin: np.ndarray) -> np.ndarray:
+        """The share of the template's anchors, by IDF, that stand where a passage from ``begin`` has them."""
+        weight = np.zeros(len(begin))
+        for place, w in self.anchors[template]:
+            at = begin + place
+            inside = (at >= 0) & (at < len(number))
+            weight += self.idf[w] * (inside & (number[np.clip(at, 0, len(number) - 1)] == w))
+        return weight / self.full[template]
+
+    def verified(self, number: np.ndarray) -> list[tuple[str, float]]:
+        """(label, share) of each template that stands in a file: its best passage among those that hold the key phrase."""
+        out = []
+        for template, begin in self.candidates(number).items():
+            share = self.shares(number, template, begin)
+            enough = share >= AGREE - 1e-9
+            begin, share = begin[enough], share[enough]
+            if not len(begin):
+                continue
+            keys = standing(number, self.key[template])
+            first = np.searchsorted(keys, begin)
+            ends = begin + self.length[template] - len(self.key[template])
+            holds = (first < len(keys)) & (np.append(keys, 0)[first] <= ends)
+            if holds.any():
+                out.append((TEMPLATES[template].label, min(1.0, float(share[holds].max()))))
+        return out
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first, last, base labels, labels, score of one whole text."""
-        hashed = words_of(text)
-        at, number = self.vocabulary.places(hashed)
-        known = dict(zip(at.tolist(), number.tolist()))
-        starts, base = [], set()
+        number = self.vocabulary.numbers(words_of(text))
+        places, base = [], set()
         for phrase, label in self.base:
-            here = [p for p in at[number == phrase[0]].tolist() if all(known.get(p + k) == w for k, w in enumerate(phrase))]
-            if here:
-                starts += here
+            at = standing(number, phrase).tolist()
+            places += at
+            if at:
                 base.add(label)
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p, w in known.items():
-            if w in self.by_number:
-                idf, postings = self.by_number[w]
-                for template, place in postings:
-                    votes[template, p - place] += idf
-        labels, score = set(base), 1.0 if base else 0.0
-        for (template, offset), weight in votes.items():
-            share = weight / self.full[template]
-            if share >= AGREE and (TEMPLATES[template].label not in labels or share > score) and self._holds_key(known, template, offset):
-                labels.add(TEMPLATES[template].label)
-                score = max(score, min(1.0, share))
-        return len(hashed), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
-
-    def _holds_key(self, known: dict[int, int], template: int, offset: int) -> bool:
-        key, length = self.keys[template], len(TEMPLATES[template].notice.split())
-        return any(all(known.get(p + k) == w for k, w in enumerate(key)) for p in range(offset, offset + length - len(key) + 1))
+        found = self.verified(number) if len(number) else []
+        labels = base | {label for label, _ in found}
+        score = max([PHRASE_SCORE if base else 0.0, *(share for _, share in found)])
+        return len(number), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: its id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     index = LicenceIndex(*document_frequency(docs, column))
     kinds = {id_column: pa.int64(), "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 

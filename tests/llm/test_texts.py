@@ -16,7 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, langid, licenses, lm, pretokens, secrets, token_files, warc
+from seatmetrics.llm import bpe, langid, licence_texts, licenses, lm, pretokens, secrets, token_files, warc
+from seatmetrics.llm.licence_texts import TEMPLATES
 from tests.llm.conftest import EDGES
 
 RANKS = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
@@ -133,18 +134,53 @@ def test_archive_starts_with_its_dictionary(spark, tmp_path):
 # ---- licences ----
 
 
-def test_licences(make_docs):
-    mit = licenses.TEMPLATES[0].notice
-    rows = [(1, "This is under the MIT License, see MIT-license."), (2, f"/* {mit.upper()} */"), (3, mit.replace("deal in the software", "deal in this program")), (4, "an apache and a license"), (5, "GNU General Public License v3; Apache License"), (6, "nothing of the kind " * 50), *[(i + 100 if i else i, t) for i, t in EDGES]]
-    got = {r["doc_id"]: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
-    for i, t in rows:
-        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        at = sorted(k for p, _ in licenses.BASE_PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        labels = sorted({lab for p, lab in licenses.BASE_PHRASES if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))})
-        r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(labels))
-        assert set(labels) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
-    assert got[2]["labels"] == "mit" and got[3]["labels"] == "mit" and got[4]["labels"] == "" and got[6]["labels"] == ""
+def plain_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def consecutive(w, phrase):
+    return [k for k in range(len(w)) if w[k : k + len(phrase)] == phrase]
+
+
+def licence_brute(rows):
+    """Every column by loops over all templates and all places, with document frequencies counted anew."""
+    split = [plain_words(t) for _, t in rows]
+    idf = {w: math.log((1 + len(rows)) / (1 + sum(w in d for d in map(set, split)))) + 1 for w in licenses.licence_words()}
+    out = []
+    for (i, _), w in zip(rows, split):
+        places = sorted(k for p, _ in licenses.BASE_PHRASES for k in consecutive(w, p.split()))
+        base = {lab for p, lab in licenses.BASE_PHRASES if consecutive(w, p.split())}
+        labels, score = set(base), licenses.PHRASE_SCORE if base else 0.0
+        for t in TEMPLATES:
+            of, key = plain_words(t.text), plain_words(t.key)
+            rare = sorted(set(of), key=lambda x: (-idf[x], x))[: licenses.ANCHORS]
+            anchors = [(k, x) for k, x in enumerate(of) if x in rare]
+            full = sum(idf[x] for _, x in anchors)
+            for at in range(-len(of), len(w)):
+                share = sum(idf[x] for k, x in anchors if 0 <= at + k < len(w) and w[at + k] == x) / full
+                if share >= licenses.AGREE - 1e-9 and any(at <= p <= at + len(of) - len(key) for p in consecutive(w, key)):
+                    labels.add(t.label)
+                    score = max(score, min(1.0, share))
+        out.append((str(i), len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)))
+    return sorted(out, key=str)
+
+
+def test_licences_equal_brute_force(make_docs, words):
+    rng, rows = random.Random(12), [(1, "This is under the MIT License, see MIT-license."), (4, "an apache and a license"), (5, "GNU General Public License v3; Apache License"), (6, "nothing of the kind " * 50)]
+    for k, t in enumerate(TEMPLATES):
+        of = plain_words(t.text)
+        changed = [x if rng.random() > rng.choice((0, 0.1, 0.4)) else "other" for x in of]
+        cut = of[rng.randrange(len(of) // 2) :]
+        rows += [(100 + k, " ".join(words(5, k) + of + words(9, k))), (200 + k, "// " + "\n// ".join(changed).upper()), (300 + k, " ".join(cut))]
+    rows += [(7, licence_texts.MIT + licence_texts.ZLIB), (8, "software " * 3000 + licence_texts.ISC), (8, "software the"), (None, licence_texts.BSD_3)]
+    rows += [(i + 1000 if i else i, t) for i, t in EDGES if i not in (5, 9)]
+    got = licenses.scan_licenses(make_docs(rows)).collect()
+    assert sorted(((str(r[0]), *tuple(r)[1:-1], round(r["score"], 9)) for r in got), key=str) == licence_brute(rows)
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert labels[7] == "mit,zlib" and labels[8] in ("isc", "") and labels[4] == ""
+    assert all(t.label in labels[100 + k].split(",") for k, t in enumerate(TEMPLATES))
+    long = [(i, t) for i, t in EDGES if i in (5, 9)]
+    assert sorted((r["doc_id"], r["n_words"], r["labels"]) for r in licenses.scan_licenses(make_docs(long)).collect()) == [(5, 210_000, ""), (9, 1, "")]
     assert licenses.scan_licenses(make_docs([(1, "a")]).limit(0)).count() == 0
 
 
