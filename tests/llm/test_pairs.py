@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seatmetrics.llm import cosine, decontaminate, minhash
 from seatmetrics.llm.components import components
@@ -97,7 +98,7 @@ def vectors(seed=2, n=260, d=16):
     return rows
 
 
-@pytest.mark.parametrize("settings", [cosine.Settings(), cosine.Settings(block=8, broadcast_rows=0)])
+@pytest.mark.parametrize("settings", [cosine.Settings(), cosine.Settings(block=8, broadcast_rows=0), cosine.Settings(bucket=8), cosine.Settings(bucket=4, block=4, sent=128)])
 def test_vectors_equal_brute_force(spark, settings):
     rows = vectors()
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cosine.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), settings=settings).collect()}
@@ -113,6 +114,31 @@ def test_vectors_equal_brute_force(spark, settings):
     assert got == {i: (n[i], comp[i], comp[i] == i) for i in label}
 
 
+def test_vector_edges(spark):
+    """Repeated and null ids are vectors of their own; other columns with the names of results do not matter; an empty table has no rows."""
+    one, near, far = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(5, one, 1, "a"), (5, far, 1, "a"), (5, near, 1, "a"), (3, near, 1, "a"), (None, one, 1, "a"), (9, far, 2, "a"), (8, None, 1, "a")]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, component string").withColumn("node", F.lit("x"))
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in cosine.near_vectors(table).collect())
+    assert got == sorted([("5", 2, "3", False), ("5", 0, "5", True), ("5", 2, "3", False), ("3", 2, "3", True), ("None", 0, "None", False), ("9", 0, "9", True), ("8", 0, "8", True)])
+    assert cosine.near_vectors(table.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Of 3000 pairs just above the threshold, amid others, hardly any is missed."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    turned = 0.9301 * base + math.sqrt(1 - 0.9301**2) * side
+    rows = [(2 * k, base[k].tolist(), 0) for k in range(3000)] + [(2 * k + 1, turned[k].tolist(), 0) for k in range(3000)]
+    for bucket in (512, 32):
+        got = {r["vec_id"]: r["n_links"] for r in cosine.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), settings=cosine.Settings(bucket=bucket)).collect()}
+        assert sum(got[2 * k] > 0 for k in range(3000)) >= 2993
+
+
 def plain_words(text):
     import re
 
