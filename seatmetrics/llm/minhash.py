@@ -13,9 +13,13 @@
    connect their ends.
 6. Components of the confirmed links, by alternating large-star and small-star.
 
+A link is missed where no band agrees, or in step 5 where a pair's signatures agree less than ``least_agreement``: by
+the binomial law a pair at the similarity does so with a chance below 10^-5. All that is linked is confirmed exactly.
+
 Defined results: null text and text without words have an empty set, link with nothing and are kept; fewer words
-than a shingle make one shingle; rows with the same doc_id count as one document; a null doc_id takes part but
-never names a component; an empty table gives an empty result; further columns pass through untouched.
+than a shingle make one shingle; rows with the same doc_id are documents of their own, all kept or none of one
+component; rows without an id take part but never name a component and are not kept; a component of such rows only has
+no id; texts of any length are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +52,8 @@ class Settings:
     rows: int = 5
     block: int = 256
     hub_block: int = 128
-    broadcast_rows: int = 1_000_000
+    #: Roles of classes (about 60 bytes each) that are sent to the texts; more are joined by a shuffle.
+    broadcast_rows: int = 200_000
 
     @property
     def size(self) -> int:
@@ -94,7 +99,7 @@ def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands for every row."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key, bands for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -104,9 +109,21 @@ def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) ->
                 n.append(len(hashes))
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(hashes, settings.size), settings.bands) if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
+
+    rows = docs.select(F.col(id_column).cast("bigint"), F.col(column), F.xxhash64(F.col(column)).alias("text_key"))
+    return settle(rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketch")
+
 
-    return settle(docs.select(F.col(id_column).cast("bigint"), column).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"), "sketch")
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row for each set: its number ``rep``, the least id of its documents, the text of one of them by its hash, and the bands.
+
+    Ids may repeat or be missing, so classes are known by numbers that are made where they are written.
+    """
+    filled = rows.where("n_shingles > 0")
+    text_key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key"))
+    grouped = filled.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), text_key.alias("text_key"), F.first("bands").alias("bands"))
+    return settle(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
 
 def bucket_edges(classes: DataFrame) -> DataFrame:
@@ -126,14 +143,16 @@ def _alike(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
     return settings.below * both >= settings.above * (low + high - both)
 
 
-def _texts(docs: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings) -> DataFrame:
     """``roles`` (rep, ...) with the text of each; they are sent to the texts while they are few enough."""
+    named = roles.join(classes.select("rep", "least_id", "text_key"), "rep")
     small = roles.count() <= settings.broadcast_rows
-    rows = docs.select(F.col(id_column).cast("bigint").alias("rep"), F.col(column).alias("text")).where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(roles) if small else roles, "rep")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("own_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
+    named = F.broadcast(named) if small else named
+    return rows.join(named, rows["own_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("text_key")))
 
 
-def hub_links(docs: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+def hub_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
     """(a, b): each member's link to its hub, where the full sets confirm it."""
     hubs = settle(edges.groupBy(F.col("a").alias("rep")).agg(F.max_by("b", F.struct(F.col("shared"), -F.col("b"))).alias("hub")), "hubs")
     blocks = settle(hubs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(settings.hub_block)).cast("int").alias("blocks")), "hub-sizes")
@@ -141,7 +160,7 @@ def hub_links(docs: DataFrame, edges: DataFrame, id_column: str, column: str, se
     heads = blocks.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     roles = settle(members.unionByName(heads), "hub-roles")
     keys = ["hub", "part"]
-    rows = together(_texts(docs, id_column, column, roles, settings).select(*keys, "is_hub", "rep", "text"), keys)
+    rows = together(_texts(docs, classes, id_column, column, roles, settings).select(*keys, "is_hub", "rep", "text"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -210,10 +229,10 @@ def part_blocks(members: DataFrame, block: int) -> DataFrame:
     return spread.select("rep", "cluster", "part", "own_block", F.least("own_block", "other_block").alias("pair_a"), F.greatest("own_block", "other_block").alias("pair_b"))
 
 
-def part_links(docs: DataFrame, members: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+def part_links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
     """(a, b): confirmed links between the parts of each open cluster, a spanning forest of each pair of blocks."""
     keys = ["cluster", "pair_a", "pair_b"]
-    rows = _texts(docs, id_column, column, settle(part_blocks(members, settings.block), "part-blocks"), settings)
+    rows = _texts(docs, classes, id_column, column, settle(part_blocks(members, settings.block), "part-blocks"), settings)
     grouped = together(rows.select(*keys, "own_block", "part", "rep", "text"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +247,19 @@ def part_links(docs: DataFrame, members: DataFrame, id_column: str, column: str,
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = sketch(docs, id_column, column, settings)
-    filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = classes_of(rows)
     edges = bucket_edges(classes)
     clusters = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    links = hub_links(docs, edges, id_column, column, settings)
+    links = hub_links(docs, classes, edges, id_column, column, settings)
     linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     members = open_clusters(clusters, linked)
     if members.take(1):
-        more = part_links(docs, members, id_column, column, settings)
+        more = part_links(docs, classes, members, id_column, column, settings)
         linked = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    joined = linked.withColumnRenamed("part", "component")
-    named = settle(classes.select("set_key", "rep").join(joined, "rep", "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "rep").alias("component")), "named")
+    known = settle(classes.select("set_key", "rep", "least_id").join(linked, "rep", "left"), "parted")
+    least = settle(known.where("part IS NOT NULL").groupBy("part").agg(F.min("least_id").alias("part_id")).select(F.col("part").alias("of"), "part_id"), "part-names")
+    named = known.join(least, F.col("part") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.when(F.col("part").isNull(), F.col("least_id")).otherwise(F.col("part_id")).alias("component"))
+    named = settle(named, "named")
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, (rows["set_key"] == named["class_key"]) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -16,11 +16,13 @@ _MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path under the cluster's shared folder ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (as in local tests) is a folder of this process used instead.
+    Where that setting is missing, a local session (as in tests) uses a folder of this process; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = current or "file://" + tempfile.mkdtemp(prefix="seatmetrics-")
         if not current:
             spark.sparkContext.setCheckpointDir(base)

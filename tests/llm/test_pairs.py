@@ -77,6 +77,28 @@ def test_minhash_edges(make_docs):
     assert minhash.near_duplicates(make_docs([(1, "a")]).limit(0)).count() == 0
 
 
+def test_repeated_and_missing_ids(make_docs, words):
+    """Rows of one id are documents of their own, and rows without an id join a group but never name one."""
+    a, b, c = (words(60, k) for k in (71, 72, 73))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join([*a, "z"])), (9, " ".join([*b, "z"])), (None, " ".join(["z", *a])), (None, " ".join(c)), (None, " ".join([*c, "z"]))]
+    for settings in (minhash.Settings(), minhash.Settings(broadcast_rows=0)):
+        got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(make_docs(rows), settings=settings).collect())
+        assert got == sorted([("5", "3", False), ("5", "5", True), ("3", "3", True), ("9", "5", False), ("None", "3", False), ("None", "None", False), ("None", "None", False)])
+
+
+def test_recall_of_banding(words):
+    """Of pairs at the threshold and just above, the share that meets in a band and passes the signatures' margin."""
+    rng, settings = random.Random(17), minhash.Settings()
+    met = agreed = 0
+    for k in range(1500):
+        common = [rng.randrange(1 << 62) for _ in range(170)]
+        a, b = (np.array(sorted(common + [rng.randrange(1 << 62) for _ in range(15)]), np.uint64) for _ in range(2))
+        x, y = minhash.signature(a, settings.size), minhash.signature(b, settings.size)
+        met += bool((minhash.band_keys(x, settings.bands) == minhash.band_keys(y, settings.bands)).any())
+        agreed += (x == y).sum() >= np.ceil(settings.least_agreement * settings.size)
+    assert met >= 1499 and agreed == 1500
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, None), (7, 7)]
