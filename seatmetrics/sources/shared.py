@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is not set, as in local tests, under a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seatmetrics-")
+    """A new path under ``spark.checkpoint.dir``; where that is not set, under a folder of this process in a local session, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seatmetrics-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
