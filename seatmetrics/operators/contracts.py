@@ -49,11 +49,11 @@ def merge_positions(links: DataFrame) -> DataFrame:
     agg = links.groupBy("position_key").agg(
         F.count("*").alias("lines"), F.sum(F.coalesce("quantity", F.lit(0.0))).alias("quantity"), F.sum("annual_cost").alias("annual_cost"),
         F.sum(F.when(counted, F.col("unit_price") * F.col("quantity"))).alias("value"), F.sum(F.when(counted, F.col("quantity"))).alias("weight"),
-        F.countDistinct("unit_price").alias("prices"), F.min("unit_price").alias("price"), F.min("renewal_date").alias("renewal_date"),
-        F.countDistinct("currency").alias("currencies"), F.min("currency").alias("currency"), F.array_join(F.array_sort(F.collect_set("contract_number")), ",").alias("contract_numbers"),
+        F.max("unit_price").alias("dearest"), F.min("unit_price").alias("price"), F.min("renewal_date").alias("renewal_date"),
+        F.max("currency").alias("last_currency"), F.min("currency").alias("currency"), F.array_join(F.array_sort(F.collect_set("contract_number")), ",").alias("contract_numbers"),
     )
-    price = F.when(F.col("annual_cost").isNotNull() & (F.col("quantity") > 0), half_up(ratio(F.col("annual_cost"), F.col("quantity")), 2)).when(F.col("weight") > 0, half_up(ratio(F.col("value"), F.col("weight")), 2)).when(F.col("prices") == 1, F.col("price"))
-    return agg.select("position_key", "lines", "quantity", half_up(F.col("annual_cost"), 2).alias("annual_cost"), price.alias("unit_price"), F.when(F.col("currencies") == 1, F.col("currency")).alias("currency"), "renewal_date", "contract_numbers")
+    price = F.when(F.col("annual_cost").isNotNull() & (F.col("quantity") > 0), half_up(ratio(F.col("annual_cost"), F.col("quantity")), 2)).when(F.col("weight") > 0, half_up(ratio(F.col("value"), F.col("weight")), 2)).when(F.col("dearest") == F.col("price"), F.col("price"))
+    return agg.select("position_key", "lines", "quantity", half_up(F.col("annual_cost"), 2).alias("annual_cost"), price.alias("unit_price"), F.when(F.col("last_currency") == F.col("currency"), F.col("currency")).alias("currency"), "renewal_date", "contract_numbers")
 
 
 def contract_review(links: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def contract_review(links: DataFrame) -> DataFrame:
 def licence_model_by_key(links: DataFrame) -> DataFrame:
     """The model of a position if its lines state exactly one."""
     stated = links.where("license_model IS NOT NULL AND license_model <> 'unknown'")
-    return stated.groupBy("position_key").agg(F.countDistinct("license_model").alias("n"), F.min("license_model").alias("license_model")).where("n = 1").drop("n")
+    return stated.groupBy("position_key").agg(F.max("license_model").alias("last"), F.min("license_model").alias("license_model")).where("last = license_model").drop("last")
 
 
 def last_item(items: DataFrame) -> DataFrame:

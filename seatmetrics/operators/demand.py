@@ -13,6 +13,37 @@ from seatmetrics.functions.numeric import half_up, or_zero, ratio, yearly_trend
 TREND_DAYS = 30
 
 
+def observations(usage: DataFrame) -> DataFrame:
+    """``usage`` with what an observation says about demand: a peak stands in for a missing concurrency, a timestamp for a missing hour.
+
+    A quantity counts checkouts and never stands in for concurrency. Hours are those of UTC.
+    """
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[F.col(n) for n in names if n in usage.columns], F.lit(None))
+
+    stamp = first("observed_at", "checkout_at").cast("timestamp_ntz")
+    hour = F.coalesce(first("hour").cast("int"), F.hour(stamp))
+    return usage.withColumns({"concurrent": first("concurrent", "peak").cast("double"), "hour": hour})
+
+
+def observed_denials(usage: DataFrame) -> DataFrame:
+    """Denials that a source states: its count, else one for each row that is flagged."""
+    count = F.coalesce(F.col("denial_count"), F.when(F.col("denied"), 1.0).otherwise(0.0))
+    rows = usage.withColumn("n", count).where(F.coalesce(F.col("denied"), F.lit(False)) | (F.col("n") > 0))
+    return rows.select("feature_id", "date", F.coalesce("hour", F.lit(0)).alias("hour"), F.lower(F.trim("user")).alias("user"), F.col("n").alias("count"), F.col("concurrent").alias("concurrent_at_denial"))
+
+
+def observed_activity(usage: DataFrame) -> DataFrame:
+    """One row for each feature and user: last date, sessions and hours; rows without a user take no part.
+
+    A checkout is a session, and a stated quantity counts as so many; a snapshot of an interval is none.
+    """
+    sessions = F.when(F.col("checkout_at").isNotNull(), 1.0).otherwise(F.coalesce("quantity", F.lit(0.0)))
+    known = usage.where("user IS NOT NULL")
+    return known.groupBy("feature_id", F.lower(F.trim("user")).alias("user")).agg(F.max("date").alias("last_used"), F.sum(sessions).alias("total_sessions"))
+
+
 def hourly_concurrency(usage: DataFrame) -> DataFrame:
     """Largest reported concurrency for each feature, day and hour; rows without either take no part."""
     known = usage.where("concurrent IS NOT NULL AND hour IS NOT NULL")
@@ -42,16 +73,18 @@ def hourly_to_daily(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("feature_id", "date").agg(F.max("concurrent").alias("peak"), half_up(F.avg("concurrent"), 3).alias("mean_concurrent"), F.sum("concurrent").alias("usage_hours"))
 
 
-def concurrent_metrics(daily: DataFrame, entitled: DataFrame, window: Window) -> DataFrame:
+def concurrent_metrics(daily: DataFrame, entitled: DataFrame, window: Window, percentile: float | None = None) -> DataFrame:
     """Distribution of the daily peaks in the window against ``entitled`` (feature_id, entitled), one row for each of its features.
 
-    One pass: all percentiles from one aggregate, the slope from the day's place in its series.
+    One pass: all percentiles from one aggregate, the slope from the day's place in its series. ``percentile``: one
+    more of them, as ``basis``.
     """
+    shares = [0.5, 0.9, 0.95, 0.99] + ([min(1.0, max(0.0, percentile))] if percentile is not None else [])
     place = W.partitionBy("feature_id").orderBy("date")
     rows = daily.where(window.holds(F.col("date"))).join(entitled.select("feature_id", "entitled"), "feature_id", "right")
     rows = rows.withColumn("at", F.when(F.col("peak").isNotNull(), F.row_number().over(place) - 1))
     agg = rows.groupBy("feature_id", "entitled").agg(
-        F.count("peak").alias("observed_days"), F.avg("peak").alias("mean"), F.expr("percentile(peak, array(0.5, 0.9, 0.95, 0.99))").alias("p"),
+        F.count("peak").alias("observed_days"), F.avg("peak").alias("mean"), F.percentile("peak", F.array(*map(F.lit, shares))).alias("p"),
         F.max("peak").alias("max"), F.min("peak").alias("min"), F.stddev_samp("peak").alias("sd"), F.regr_slope("peak", "at").alias("slope"),
         F.count(F.when((F.col("entitled") > 0) & (F.col("peak") >= F.col("entitled")), 1)).alias("saturation_days"),
     )
@@ -67,6 +100,7 @@ def concurrent_metrics(daily: DataFrame, entitled: DataFrame, window: Window) ->
         half_up(or_zero(ratio(F.col("sd"), F.col("mean"))), 4).alias("volatility"), half_up(yearly_trend(F.col("slope"), F.col("mean")), 2).alias("trend_pct"),
         F.when(has, half_up(ratio(pick(2), F.col("entitled")) * 100, 1)).otherwise(F.lit(0.0)).alias("utilization_pct"), "saturation_days",
         half_up(or_zero(ratio(F.col("saturation_days"), F.col("observed_days")) * 100), 1).alias("saturation_pct"), (F.col("entitled") - pick(2)).alias("available_capacity"),
+        *([pick(4).alias("basis")] if percentile is not None else []),
     )
 
 

@@ -16,8 +16,8 @@ def denial_risk(d: dict[str, Column]) -> Column:
     return F.when(rule | burst, "Low").when((d["rate"] >= 0.15) & (d["users"] >= 5), "Critical").when((d["rate"] >= 0.07) | ((d["users"] >= 8) & (d["days"] >= 5)), "High").when(d["days"] >= 2, "Moderate").otherwise("Low")
 
 
-def denial_metrics(denials: DataFrame, features: DataFrame, window: Window) -> DataFrame:
-    """One row for each feature of ``features`` (feature_id, entitled, observed_days) with denials in the window.
+def denial_sums(denials: DataFrame, window: Window) -> DataFrame:
+    """One row for each feature with denials in the window: counts, days, users, the worst day, the peak hour.
 
     Days and hours are counted by a first group-by, so a feature's denials need not meet in one task.
     """
@@ -28,10 +28,24 @@ def denial_metrics(denials: DataFrame, features: DataFrame, window: Window) -> D
     hours = cells.where("hour BETWEEN 0 AND 23").groupBy("feature_id", "hour").agg(F.sum("n").alias("n"))
     peak = hours.groupBy("feature_id").agg(F.max_by("hour", F.struct(F.col("n"), -F.col("hour"))).alias("peak_hour"))
     users = inside.groupBy("feature_id").agg(F.countDistinct("employee_id").alias("distinct_users"))
-    rows = by_day.join(peak, "feature_id", "left").join(users, "feature_id").join(features.select("feature_id", "entitled", "observed_days"), "feature_id")
-    mean = F.when(F.col("k") > 0, half_up(ratio(F.col("s"), F.col("k")), 1))
-    parts = {"mean": mean, "entitled": F.col("entitled"), "concentration": ratio(F.col("worst"), F.col("total_denials")), "users": F.col("distinct_users"), "days": F.col("denial_days"), "rate": or_zero(ratio(F.col("denial_days"), F.col("observed_days")))}
-    return rows.select("feature_id", "total_denials", "denial_days", "distinct_users", half_up(parts["concentration"], 3).alias("concentration"), "peak_hour", "first_denial", "last_denial", mean.alias("mean_concurrent_at_denial"), denial_risk(parts).alias("risk"))
+    return by_day.join(peak, "feature_id", "left").join(users, "feature_id")
+
+
+def mean_at_denial() -> Column:
+    return F.when(F.col("k") > 0, half_up(ratio(F.col("s"), F.col("k")), 1))
+
+
+def classified() -> Column:
+    """The risk of a row that holds ``denial_sums``, entitled and observed_days; null without denials."""
+    parts = {"mean": mean_at_denial(), "entitled": F.col("entitled"), "concentration": ratio(F.col("worst"), F.col("total_denials")), "users": F.col("distinct_users"), "days": F.col("denial_days"), "rate": or_zero(ratio(F.col("denial_days"), F.col("observed_days")))}
+    return F.when(F.col("total_denials").isNotNull(), denial_risk(parts))
+
+
+def denial_metrics(denials: DataFrame, features: DataFrame, window: Window) -> DataFrame:
+    """One row for each feature of ``features`` (feature_id, entitled, observed_days) with denials in the window."""
+    rows = denial_sums(denials, window).join(features.select("feature_id", "entitled", "observed_days"), "feature_id")
+    concentration = half_up(ratio(F.col("worst"), F.col("total_denials")), 3)
+    return rows.select("feature_id", "total_denials", "denial_days", "distinct_users", concentration.alias("concentration"), "peak_hour", "first_denial", "last_denial", mean_at_denial().alias("mean_concurrent_at_denial"), classified().alias("risk"))
 
 
 def denials_by_hour(denials: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatmetrics.functions.numeric import half_up, ratio
-from seatmetrics.functions.text import cell, currency_unreadable, read_boolean, read_currency, read_date, read_hour, read_number
+from seatmetrics.functions.text import cell, currency_unreadable, read_boolean, read_currency, read_date, read_hour, read_number, read_timestamp
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ USAGE = (
     Field("date", "date", required=True), Field("hour", "hour"), Field("feature", required=True), Field("user"), Field("employee_code"), Field("product"), Field("vendor"),
     Field("quantity", "number"), Field("concurrent", "number"), Field("peak", "number"), Field("available", "number"), Field("duration_hours", "number"), Field("denied", "boolean"),
     Field("denial_count", "number"), Field("license_server"), Field("pool"), Field("tokens", "number"), Field("hostname"), Field("version"), Field("borrowed", "boolean"),
+    Field("observed_at", "timestamp"), Field("checkout_at", "timestamp"), Field("checkin_at", "timestamp"),
 )
 ENTITLEMENTS = (Field("feature", required=True), Field("product"), Field("vendor"), Field("quantity", "number", required=True), Field("license_model"), Field("license_server"), Field("pool"), Field("expires_on", "date"))
 PEOPLE = (
@@ -44,17 +45,21 @@ CONTRACTS = (
 DATASETS = {"usage": USAGE, "entitlements": ENTITLEMENTS, "people": PEOPLE, "contracts": CONTRACTS}
 # What makes two rows of a dataset the same row. Usage folds the case of user and feature only.
 KEYS = {
-    "usage": ("date", "hour", "user", "feature", "license_server", "pool", "quantity", "concurrent", "peak"),
+    "usage": ("date", "hour", "observed_at", "user", "feature", "license_server", "pool", "quantity", "concurrent", "peak", "checkout_at"),
     "entitlements": ("feature", "license_server", "pool", "expires_on"),
     "people": ("user",),
     "contracts": ("feature", "sku", "contract_number", "purchase_order", "quantity", "unit_price", "total_cost", "start_date", "end_date"),
 }
-_RULES = {"date": "invalid_date", "number": "invalid_number", "hour": "invalid_hour"}
+#: Columns whose timestamp stands in for the date of an observation, the first that has one.
+STAMPS = ("observed_at", "checkout_at")
+_RULES = {"date": "invalid_date", "timestamp": "invalid_date", "number": "invalid_number", "hour": "invalid_hour"}
 
 
 def _read(field: Field, text: Column, day_first: bool) -> Column:
     if field.kind == "date":
         return read_date(text, day_first)
+    if field.kind == "timestamp":
+        return read_timestamp(text, day_first)
     if field.name == "denied":
         return F.coalesce(denied_word(text), read_boolean(text))
     return {"number": read_number, "hour": read_hour, "boolean": read_boolean}.get(field.kind, cell)(text)
@@ -81,7 +86,15 @@ def typed(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
             errors.append(F.when(value < 0, _error("negative_quantity", f.name, text)))
     if dataset == "contracts":
         errors += _commercial_errors(read, raw)
-    missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in raw.columns]
+    stamps = [read[c] for c in STAMPS if c in read] if dataset == "usage" else []
+    missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in raw.columns and not (f.name == "date" and stamps)]
+    if stamps and "date" not in read:
+        day = F.coalesce(*stamps).cast("date")
+        values.append(day.alias("date"))
+        unread = F.lit(False)
+        for c in STAMPS:
+            unread = unread | (cell(F.col(c).cast("string")).isNotNull() & read[c].isNull()) if c in read else unread
+        errors.append(F.when(day.isNull() & ~unread, _error("missing_required_field", "date", F.lit(None).cast("string"))))
     errors += [_error("unmapped_required_field", name, F.lit(None).cast("string")) for name in missing]
     return raw.select("source_row", *values, F.array_compact(F.array(*errors)).alias("errors"))
 
@@ -110,10 +123,13 @@ def denied_word(x: Column) -> Column:
 
 
 def checked(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
-    """Typed rows with ``errors``, of which repeats of an accepted row are one."""
+    """Typed rows with ``errors``, of which repeats of an accepted row are one.
+
+    Rejected rows are no repeats of each other; they are told apart by their place, so that they do not meet in one task.
+    """
     rows = typed(raw, dataset, day_first)
     clean = F.size("errors") == 0
-    place = F.row_number().over(W.partitionBy(clean, *_key(dataset, rows.columns)).orderBy("source_row"))
+    place = F.row_number().over(W.partitionBy(F.when(~clean, F.col("source_row")), *_key(dataset, rows.columns)).orderBy("source_row"))
     repeat = F.array(_error("duplicate_row", "", F.lit(None).cast("string")))
     return rows.withColumn("errors", F.when(clean & (place > 1), repeat).otherwise(F.col("errors")))
 
@@ -128,12 +144,15 @@ def rejections(rows: DataFrame) -> DataFrame:
 
 
 def rejection_summary(rows: DataFrame, examples: int = 3) -> DataFrame:
-    """By rule and field: how many, and the first few distinct values."""
-    values = rejections(rows).groupBy("rule", "field", "value").agg(F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy("rule", "field").orderBy(F.col("value").asc_nulls_last()))
-    ranked = values.withColumn("place", place)
-    shown = F.array_sort(F.collect_list(F.when((F.col("place") <= examples) & F.col("value").isNotNull(), F.col("value"))))
-    return ranked.groupBy("rule", "field").agg(F.sum("n").alias("rejections"), F.array_join(shown, "|").alias("examples"))
+    """By rule and field: how many, and the first few distinct values.
+
+    Only the first few values of each task take part in the ranking, so that no task holds all values of a rule.
+    """
+    values = rejections(rows).withColumn("field", F.coalesce("field", F.lit(""))).groupBy("rule", "field", "value").agg(F.count("*").alias("n"))
+    counts = values.groupBy("rule", "field").agg(F.sum("n").alias("rejections"))
+    ranked = values.where("value IS NOT NULL").select("rule", "field", "value").withColumn("place", F.row_number().over(W.partitionBy("rule", "field").orderBy("value"))).where(F.col("place") <= examples)
+    shown = ranked.groupBy("rule", "field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
+    return counts.join(shown, ["rule", "field"], "left").select("rule", F.nullif(F.col("field"), F.lit("")).alias("field"), "rejections", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def field_quality(rows: DataFrame, dataset: str, detection: float = 0.0) -> DataFrame:

@@ -58,7 +58,7 @@ CTE = {
     "ren": f"SELECT contract_id, vendor_id, vendor_name, renewal_date, days_to_renewal, count(*) AS items, {r('sum(current_cost)', 2)} AS current_spend, {r('sum(recommended_cost)', 2)} AS recommended_spend, {r('sum(opportunity)', 2)} AS opportunity, {r('sum(incremental)', 2)} AS incremental, count(*) FILTER (WHERE risk IN ('High', 'Critical')) AS capacity_exposure, {r('sum(CASE WHEN observed_days >= 30 THEN trend_pct * coalesce(current_cost, 1) END) / nullif(sum(CASE WHEN observed_days >= 30 AND trend_pct IS NOT NULL THEN coalesce(current_cost, 1) END), 0)', 1)} AS trend_pct, CAST({r('avg(confidence_score)')} AS BIGINT) AS confidence_score FROM pf WHERE contract_id IS NOT NULL GROUP BY ALL",
     "rec": f"SELECT feature_id, served_quantity, purchased_quantity, CASE WHEN served_quantity IS NULL AND purchased_quantity IS NULL THEN 'agree' WHEN served_quantity IS NULL THEN 'contract_only' WHEN purchased_quantity IS NULL THEN 'entitlement_only' WHEN served_quantity = purchased_quantity THEN 'agree' WHEN purchased_quantity > served_quantity THEN 'contract_exceeds_entitlement' ELSE 'entitlement_exceeds_contract' END AS state, served_quantity - purchased_quantity AS difference, {r('abs(served_quantity - purchased_quantity) * unit_price', 2)} AS difference_value FROM feat",
     "recsum": f"SELECT count(*) AS features, count(*) FILTER (WHERE state = 'agree') AS agreeing, count(*) FILTER (WHERE state LIKE '%exceeds%') AS disagreeing, count(*) FILTER (WHERE state = 'contract_only') AS contract_only, count(*) FILTER (WHERE state = 'entitlement_only') AS entitlement_only, {r(chr(99) + 'oalesce(sum(difference_value) FILTER (WHERE state LIKE ' + chr(39) + '%exceeds%' + chr(39) + '), 0)', 2)} AS value_at_stake, count(*) FILTER (WHERE state LIKE '%exceeds%' AND difference_value IS NULL) AS unpriced, count(*) FILTER (WHERE state = 'entitlement_exceeds_contract') AS over_deployed FROM rec",
-    "iss": "SELECT * FROM (SELECT 'unmapped_features' AS issue, 'warning' AS severity, CAST(2 AS BIGINT) AS affected UNION ALL SELECT 'unpriced', 'warning', count(*) FILTER (WHERE unit_price IS NULL) FROM pf UNION ALL SELECT 'short_history', 'warning', count(*) FILTER (WHERE observed_days > 0 AND observed_days < 90) FROM pf UNION ALL SELECT 'missing_days', 'info', count(*) FILTER (WHERE observed_days > 0 AND 365 - observed_days > 20) FROM pf) WHERE affected > 0",
+    "iss": "SELECT * FROM (SELECT 'unmatched_users' AS issue, CASE WHEN count(DISTINCT o_custkey) > 25 THEN 'critical' ELSE 'warning' END AS severity, count(DISTINCT o_custkey) AS affected FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'unmapped_features', CASE WHEN count(*) > 10 THEN 'critical' ELSE 'warning' END, count(*) FROM pf WHERE seen AND contract_id IS NULL UNION ALL SELECT 'unpriced', 'warning', count(*) FILTER (WHERE unit_price IS NULL) FROM pf UNION ALL SELECT 'short_history', 'warning', count(*) FILTER (WHERE observed_days > 0 AND observed_days < 90) FROM pf UNION ALL SELECT 'missing_days', 'info', count(*) FILTER (WHERE observed_days > 0 AND 365 - observed_days > 20) FROM pf) WHERE affected > 0",
     "sig0": f"SELECT 1 AS seq, 'renewal:' || contract_id AS id, 'renewal' AS kind, CASE WHEN coalesce(opportunity, 0) <> coalesce(incremental, 0) THEN abs(coalesce(opportunity, 0) - coalesce(incremental, 0)) ELSE current_spend END AS impact, days_to_renewal AS urgency_days, CASE WHEN capacity_exposure > 0 THEN 'High' WHEN days_to_renewal <= 60 THEN 'Moderate' ELSE 'Low' END AS risk, CASE WHEN confidence_score >= 80 THEN 'High' WHEN confidence_score >= 55 THEN 'Medium' ELSE 'Low' END AS confidence FROM ren WHERE days_to_renewal BETWEEN 0 AND 240 UNION ALL SELECT 2, 'capacity:' || feature_id, 'capacity', incremental, days_to_renewal, risk, confidence FROM pf WHERE license_model = 'concurrent' AND seen AND risk IN ('High', 'Critical') UNION ALL SELECT 3, 'cost:' || feature_id, 'cost', opportunity, days_to_renewal, 'Low', confidence FROM pf WHERE opportunity >= 2500 UNION ALL SELECT 4, 'reclaim:' || feature_id, 'reclaim', reclaim_value, days_to_renewal, 'Low', confidence FROM pf WHERE reclaim_candidates >= 5 UNION ALL SELECT 5, 'usage:' || feature_id, 'usage', CASE WHEN trend_pct > 0 THEN incremental ELSE opportunity END, days_to_renewal, CASE WHEN trend_pct > 0 AND utilization_pct > 70 THEN 'Moderate' ELSE 'Low' END, confidence FROM pf WHERE license_model = 'concurrent' AND seen AND observed_days >= 30 AND abs(trend_pct) >= 25 UNION ALL SELECT 6, 'forecast:' || feature_id, 'forecast', {r('(floor(g + 0.5) - entitled) * unit_price', 2)}, days_to_renewal, 'Moderate', confidence FROM (SELECT *, p95 * (1 + greatest(CASE WHEN observed_days >= 30 THEN trend_pct ELSE 0 END, 0) / 100) AS g FROM pf WHERE license_model = 'concurrent' AND seen) WHERE entitled > 0 AND g > entitled AND utilization_pct < 100 UNION ALL SELECT 7, 'data:' || issue, 'data', NULL, NULL, 'Moderate', 'High' FROM iss WHERE severity <> 'info' UNION ALL SELECT 8, 'evidence:no-usage', 'data', {r('c', 2)}, soon, CASE WHEN soon <= 90 THEN 'High' ELSE 'Moderate' END, 'High' FROM (SELECT sum(current_cost) AS c, min(days_to_renewal) FILTER (WHERE days_to_renewal >= 0) AS soon, count(*) AS n FROM pf WHERE NOT seen AND current_cost > 0) WHERE n > 0 UNION ALL SELECT 9, 'reconciliation:sources', 'reconciliation', CASE WHEN value_at_stake > 0 THEN value_at_stake END, NULL, CASE WHEN over_deployed > 0 THEN 'High' ELSE 'Moderate' END, 'Medium' FROM recsum WHERE disagreeing > 0 UNION ALL SELECT 10, 'reconciliation:unmatched', 'reconciliation', CASE WHEN v > 0 THEN {r('v', 2)} END, NULL, 'Moderate', 'High' FROM (SELECT count(*) AS n, coalesce(sum(current_cost), 0) AS v FROM pf WHERE contract_id IS NULL) WHERE n > 0",
     "sig": f"SELECT id, kind, CAST(impact AS DOUBLE) AS impact, CAST(urgency_days AS INTEGER) AS urgency_days, risk, confidence, {r('(least(1, log10(abs(coalesce(impact, 0)) + 1) / log10(500001.0)) * 0.45 + CASE WHEN urgency_days IS NULL THEN 0.25 ELSE 1 - least(greatest(urgency_days, 0), 180) / 180.0 END * 0.28 + CASE risk WHEN ' + chr(39) + 'Critical' + chr(39) + ' THEN 1.0 WHEN ' + chr(39) + 'High' + chr(39) + ' THEN 0.75 WHEN ' + chr(39) + 'Moderate' + chr(39) + ' THEN 0.4 ELSE 0.1 END * 0.22 + 0.05) * CASE confidence WHEN ' + chr(39) + 'High' + chr(39) + ' THEN 1.0 WHEN ' + chr(39) + 'Medium' + chr(39) + ' THEN 0.75 ELSE 0.5 END * 100', 1)} AS score FROM sig0",
     "costs": f"SELECT feature_id, {r('entitled * unit_price', 2)} AS current_cost FROM feat",
@@ -154,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "denials_by_hour": "SELECT CAST(h AS INTEGER) AS hour, count(d.hour) AS denials FROM range(24) t(h) LEFT JOIN short_denials d ON d.hour = h GROUP BY ALL",
         "denials_by_group": "SELECT coalesce(department, 'Unattributed') AS grp, count(*) AS denials FROM short_denials LEFT JOIN people USING (employee_id) GROUP BY ALL",
         "portfolio_rows": f"SELECT {_PF} FROM pf",
+        **{f"portfolio_p{p * 100:g}": f"SELECT feature_id, p95, sized, x AS recommended, {r('x * unit_price', 2)} AS recommended_cost, CASE WHEN unit_price IS NULL THEN NULL WHEN x < entitled THEN {r('(entitled - x) * unit_price', 2)} ELSE 0.0 END AS opportunity FROM (SELECT pf.*, CASE WHEN license_model = 'concurrent' AND seen THEN b ELSE recommended END AS x FROM pf LEFT JOIN (SELECT feature_id, {up(q(p) + ' * 1.1')} AS b FROM peaks GROUP BY ALL) USING (feature_id))" for p in (0.85, 0.97)},
         "portfolio_totals": _TOTALS,
         "unused_capacity": f"SELECT {r('coalesce(sum((entitled - p95) * unit_price), 0)', 2)} AS amount, count(*) AS features FROM pf WHERE license_model = 'concurrent' AND unit_price IS NOT NULL AND seen AND entitled > p95",
         "portfolio_filter_sort": "SELECT feature_id, vendor_name, risk, current_cost FROM pf WHERE risk IN ('High', 'Critical')",

@@ -14,7 +14,7 @@ from seatmetrics.functions.dates import days_until
 from seatmetrics.functions.numeric import half_up, or_zero, ratio, worst
 from seatmetrics.operators import confidence as trust
 from seatmetrics.operators.demand import capacity_risk, concurrent_metrics
-from seatmetrics.operators.denied import denial_metrics
+from seatmetrics.operators.denied import classified, denial_sums
 from seatmetrics.operators.seats import NAMED, named_user_metrics
 from seatmetrics.operators.sizing import Options, financials, sized
 from seatmetrics.operators.tokens import token_metrics
@@ -42,21 +42,20 @@ def portfolio(estate: Estate, options: Options = Options()) -> DataFrame:
     features = estate.features().select(*ATTRIBUTES)
     model = F.col("license_model")
     concurrent = features.where(model.isin(*CONCURRENT))
-    daily = estate.daily(window)
+    daily = estate.daily(window, CONCURRENT)
 
-    metrics = concurrent_metrics(daily, concurrent, window)
+    metrics = concurrent_metrics(daily, concurrent, window, options.percentile)
     metrics = metrics.withColumn("capacity", F.when(F.col("observed_days") > 0, capacity_risk(metrics)))
-    metrics = metrics.select("feature_id", "observed_days", "p95", F.col(_basis(options)).alias("sizing_basis"), "max_peak", "trend_pct", "utilization_pct", "saturation_days", "capacity")
-    seats = named_user_metrics(estate.activity(), features.where(model.isin(*NAMED)), estate.as_of, options).select("feature_id", "assigned", "active_users", "reclaim_candidates", "reclaim_value", "seats_without_user")
-    tokens = token_metrics(estate.brand_tokens(window), features.where(model == "token"), window).select("feature_id", F.col("used_pct").alias("token_used_pct"), F.col("risk").alias("token_risk"))
+    metrics = metrics.select("feature_id", "observed_days", "p95", F.col("basis").alias("sizing_basis"), "max_peak", "trend_pct", "utilization_pct", "saturation_days", "capacity")
+    seats = named_user_metrics(estate.activity(NAMED), features.where(model.isin(*NAMED)), estate.as_of, options).select("feature_id", "assigned", "active_users", "reclaim_candidates", "reclaim_value", "seats_without_user")
+    tokens = token_metrics(estate.brand_tokens(window, ("token",)), features.where(model == "token"), window).select("feature_id", F.col("used_pct").alias("token_used_pct"), F.col("risk").alias("token_risk"))
+    denials = denial_sums(estate.denials(window), window)
 
-    rows = features.join(metrics, "feature_id", "left").join(seats, "feature_id", "left").join(tokens, "feature_id", "left")
+    rows = features.join(metrics, "feature_id", "left").join(seats, "feature_id", "left").join(tokens, "feature_id", "left").join(denials, "feature_id", "left")
     seen = F.coalesce(F.col("observed_days") > 0, F.lit(False)) | F.col("assigned").isNotNull() | F.col("token_risk").isNotNull()
     days = F.when(model.isin(*CONCURRENT), F.when(seen, F.col("observed_days"))).when((model == "token") | F.col("assigned").isNotNull(), F.lit(window.days))
     rows = rows.withColumns({"usage_evidence": F.when(seen, "observed").otherwise("not_supplied"), "observed_days": F.coalesce(days, F.lit(0)).cast("bigint")})
-
-    denials = denial_metrics(estate.denials(window), rows.select("feature_id", "entitled", "observed_days"), window).select("feature_id", "total_denials", F.col("risk").alias("denial_risk"))
-    rows = rows.join(denials, "feature_id", "left")
+    rows = rows.withColumn("denial_risk", classified()).drop("denial_days", "distinct_users", "worst", "peak_hour", "first_denial", "last_denial", "s", "k")
 
     by_peaks, by_seats = sized(F.col("sizing_basis"), F.col("entitled"), options)[2], sized(F.col("active_users").cast("double"), F.col("entitled"), options, F.col("seats_without_user").cast("double"))[2]
     recommended = F.when(F.col("assigned").isNotNull(), by_seats).when(seen & model.isin(*CONCURRENT), by_peaks)
@@ -67,9 +66,20 @@ def portfolio(estate: Estate, options: Options = Options()) -> DataFrame:
     return trust.confidence(rows, context).drop("sizing_basis", "strengths", "weaknesses")
 
 
-def _basis(options: Options) -> str:
-    p = options.percentile
-    return "p99" if p >= 0.99 else "p95" if p >= 0.95 else "p90" if p >= 0.9 else "median"
+#: Sums of money among the totals.
+MONEY = ("annual_spend", "purchased_commitment", "commitment_gap", "recommended_spend", "opportunity", "incremental", "net_change")
+
+
+def priced_totals(totals: DataFrame) -> DataFrame:
+    """``totals`` with unknown instead of zero money where nothing carries a price."""
+    evidence = (F.col("priced_features") > 0) | (F.col("purchased_priced") > 0)
+    return totals.withColumns({c: F.when(evidence, F.col(c)) for c in MONEY})
+
+
+def table_totals(rows: DataFrame) -> DataFrame:
+    """The foot of a filtered table: rows, and sums that are unknown if none of the rows has a price."""
+    any_priced = F.count("current_cost") > 0
+    return rows.agg(F.count("*").alias("features"), *[F.when(any_priced, half_up(or_zero(F.sum(c)), 2)).alias(n) for c, n in (("current_cost", "cost"), ("opportunity", "opportunity"), ("incremental", "incremental"))])
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -94,14 +104,20 @@ def unused_capacity(rows: DataFrame) -> DataFrame:
     return counted.agg(half_up(or_zero(F.sum(unused * F.col("unit_price"))), 2).alias("amount"), F.count("*").alias("features"))
 
 
-def data_quality(rows: DataFrame, unmatched_users: int, unmapped_features: int) -> DataFrame:
-    """Rules that hold: id, severity and how many are affected; one pass over the rows."""
+def data_quality(rows: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Rules that hold: id, severity and how many are affected; one pass over the rows.
+
+    ``unmatched``: one row with the number of users without a person. A feature that is used without any agreement is
+    unmapped.
+    """
     counts = rows.agg(
+        F.count(F.when((F.col("usage_evidence") == "observed") & F.col("contract_id").isNull(), 1)).alias("unmapped"),
         F.count(F.when(F.col("unit_price").isNull(), 1)).alias("unpriced"),
         F.count(F.when((F.col("observed_days") > 0) & (F.col("observed_days") < 90), 1)).alias("short_history"),
         F.count(F.when((F.col("observed_days") > 0) & (F.lit(365) - F.col("observed_days") > 20), 1)).alias("missing_days"),
     )
-    users, features = F.lit(unmatched_users).cast("bigint"), F.lit(unmapped_features).cast("bigint")
+    counts = counts.join(F.broadcast(unmatched.select("users")))
+    users, features = F.col("users"), F.col("unmapped")
     rules = [
         ("unmatched_users", F.when(users > 25, "critical").otherwise("warning"), users),
         ("unmapped_features", F.when(features > 10, "critical").otherwise("warning"), features),

@@ -37,24 +37,42 @@ def generate(portfolio: DataFrame, renewals: DataFrame, issues: DataFrame, recon
     fid, trend = F.col("feature_id"), guarded_trend(F.col("observed_days"), F.col("trend_pct"))
     low, moderate = F.lit("Low"), F.lit("Moderate")
 
-    def named(prefix: str) -> Column:
-        return F.concat(F.lit(prefix), fid)
-
     net = or_zero(F.col("opportunity")) - or_zero(F.col("incremental"))
-    measured = portfolio.where("p95 IS NOT NULL AND observed_days > 0 AND usage_evidence = 'observed'")
+    measured = F.col("p95").isNotNull() & (F.col("observed_days") > 0) & (F.col("usage_evidence") == "observed")
     grown = F.col("p95") * (1 + F.greatest(or_zero(trend), F.lit(0.0)) / 100)
-    blind = portfolio.where("usage_evidence = 'not_supplied' AND current_cost > 0").agg(F.sum("current_cost").alias("cost"), F.min(F.when(days >= 0, days)).alias("soonest"), F.count("*").alias("n")).where("n > 0")
+
+    def of_feature(when: Column, seq: int, kind: str, impact: Column, level: Column) -> Column:
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), impact.cast("double").alias("impact"), level.alias("risk")))
+
+    own = [
+        of_feature(measured & risk.isin("High", "Critical"), 2, "capacity", F.col("incremental"), risk),
+        of_feature(F.col("opportunity") >= cost_threshold, 3, "cost", F.col("opportunity"), low),
+        of_feature(F.col("reclaim_candidates") >= 5, 4, "reclaim", F.col("reclaim_value"), low),
+        of_feature(measured & (F.abs(trend) >= 25), 5, "usage", F.when(trend > 0, F.col("incremental")).otherwise(F.col("opportunity")), F.when((trend > 0) & (F.col("utilization_pct") > 70), "Moderate").otherwise("Low")),
+        of_feature(measured & (F.col("entitled") > 0) & (grown > F.col("entitled")) & (F.col("utilization_pct") < 100), 6, "forecast", half_up((half_up(grown) - F.col("entitled")) * F.col("unit_price"), 2), moderate),
+    ]
+    features = portfolio.select("feature_id", days.cast("int").alias("urgency_days"), conf.alias("confidence"), F.explode(F.array_compact(F.array(*own))).alias("x"))
+    features = features.select("x.seq", F.concat_ws(":", F.col("x.kind"), fid).alias("id"), "x.kind", "x.impact", "urgency_days", "x.risk", "confidence")
+    # Both signals that look at features as a whole come from one pass.
+    blind, unbound = (F.col("usage_evidence") == "not_supplied") & (F.col("current_cost") > 0), F.col("contract_id").isNull()
+    whole = portfolio.agg(
+        F.count(F.when(blind, 1)).alias("blind"), F.sum(F.when(blind, F.col("current_cost"))).alias("cost"), F.min(F.when(blind & (days >= 0), days)).alias("soonest"),
+        F.count(F.when(unbound, 1)).alias("unbound"), or_zero(F.sum(F.when(unbound, F.col("current_cost")))).alias("value"),
+    )
+
+    def of_whole(when: Column, seq: int, kind: str, name: str, impact: Column, urgency: Column, level: Column) -> Column:
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("id"), F.lit(kind).alias("kind"), impact.cast("double").alias("impact"), urgency.cast("int").alias("urgency_days"), level.alias("risk"), F.lit("High").alias("confidence")))
+
+    both = [
+        of_whole(F.col("blind") > 0, 8, "data", "evidence:no-usage", half_up(F.col("cost"), 2), F.col("soonest"), F.when(F.col("soonest") <= 90, "High").otherwise("Moderate")),
+        of_whole(F.col("unbound") > 0, 10, "reconciliation", "reconciliation:unmatched", F.when(F.col("value") > 0, half_up(F.col("value"), 2)), F.lit(None), moderate),
+    ]
     parts = [
+        features,
+        whole.select(F.explode(F.array_compact(F.array(*both))).alias("x")).select("x.*"),
         _signals(renewals.where((days >= 0) & (days <= 240)), 1, "renewal", F.concat(F.lit("renewal:"), F.col("contract_id")), F.when(F.abs(net) > 0, F.abs(net)).otherwise(F.col("current_spend")), days, F.when(F.col("capacity_exposure") > 0, "High").when(days <= 60, "Moderate").otherwise("Low"), conf),
-        _signals(measured.where(risk.isin("High", "Critical")), 2, "capacity", named("capacity:"), F.col("incremental"), days, risk, conf),
-        _signals(portfolio.where(F.col("opportunity") >= cost_threshold), 3, "cost", named("cost:"), F.col("opportunity"), days, low, conf),
-        _signals(portfolio.where("reclaim_candidates >= 5"), 4, "reclaim", named("reclaim:"), F.col("reclaim_value"), days, low, conf),
-        _signals(measured.where(F.abs(trend) >= 25), 5, "usage", named("usage:"), F.when(trend > 0, F.col("incremental")).otherwise(F.col("opportunity")), days, F.when((trend > 0) & (F.col("utilization_pct") > 70), "Moderate").otherwise("Low"), conf),
-        _signals(measured.where((F.col("entitled") > 0) & (grown > F.col("entitled")) & (F.col("utilization_pct") < 100)), 6, "forecast", named("forecast:"), half_up((half_up(grown) - F.col("entitled")) * F.col("unit_price"), 2), days, moderate, conf),
         _signals(issues.where("severity <> 'info'"), 7, "data", F.concat(F.lit("data:"), F.col("issue")), F.lit(None), F.lit(None), F.when(F.col("severity") == "critical", "High").otherwise("Moderate"), F.lit("High")),
-        _signals(blind, 8, "data", F.lit("evidence:no-usage"), half_up(F.col("cost"), 2), F.col("soonest"), F.when(F.col("soonest") <= 90, "High").otherwise("Moderate"), F.lit("High")),
         _signals(reconciliation.where("disagreeing > 0"), 9, "reconciliation", F.lit("reconciliation:sources"), F.when(F.col("value_at_stake") > 0, F.col("value_at_stake")), F.lit(None), F.when(F.col("over_deployed") > 0, "High").otherwise("Moderate"), F.lit("Medium")),
-        _signals(portfolio.where("contract_id IS NULL").agg(F.count("*").alias("n"), or_zero(F.sum("current_cost")).alias("value")).where("n > 0"), 10, "reconciliation", F.lit("reconciliation:unmatched"), F.when(F.col("value") > 0, half_up(F.col("value"), 2)), F.lit(None), moderate, F.lit("High")),
     ]
     every = parts[0]
     for p in parts[1:]:

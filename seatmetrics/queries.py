@@ -30,7 +30,7 @@ def queries() -> dict[str, Query]:
 
 
 def _short_daily(e: Estate) -> DataFrame:
-    return demand.daily_rollup(e.usage()).where("NOT daily_only").select("feature_id", "date", "peak")
+    return demand.hourly_to_daily(demand.hourly_concurrency(e.usage())).select("feature_id", "date", "peak")
 
 
 def _short_window(e: Estate):
@@ -237,6 +237,15 @@ def portfolio_rows(e: Estate) -> DataFrame:
     return _portfolio(e)
 
 
+def _at_percentile(p: float) -> None:
+    columns = ("feature_id", "p95", "sized", "recommended", "recommended_cost", "opportunity")
+    _registered[f"portfolio_p{p * 100:g}"] = lambda spark, sf_dir: portfolio.portfolio(Estate(spark, sf_dir), sizing.Options(percentile=p)).select(*columns)
+
+
+for _p in (0.85, 0.97):
+    _at_percentile(_p)
+
+
 @query
 def portfolio_totals(e: Estate) -> DataFrame:
     return portfolio.totals(_portfolio(e))
@@ -260,7 +269,7 @@ def cost_bridge(e: Estate) -> DataFrame:
 
 @query
 def data_quality(e: Estate) -> DataFrame:
-    return portfolio.data_quality(_portfolio(e), 0, 2)
+    return portfolio.data_quality(_portfolio(e), e.users_without_person())
 
 
 @query
@@ -331,7 +340,7 @@ def decisions(e: Estate) -> DataFrame:
 def _signals(e: Estate) -> DataFrame:
     rows = _kept_portfolio(e)
     summary = commercial.reconciliation_summary(commercial.reconcile(e.features()))
-    return signals.generate(rows, commercial.renewals(rows), portfolio.data_quality(rows, 0, 2), summary, cost_threshold=2_500)
+    return signals.generate(rows, commercial.renewals(rows), portfolio.data_quality(rows, e.users_without_person()), summary, cost_threshold=2_500)
 
 
 @query

@@ -105,31 +105,39 @@ class Estate:
             F.when(~col.isin(*UNDATED), F.date_add(F.lit(self.as_of), F.col("n") % 4 * 45 - 20)).alias("renewal_date"),
         ).cache()
 
-    def lines(self) -> DataFrame:
-        """Order lines with their brand; brands without usage left out."""
-        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature_id"))
-        unseen = [f"Brand#{k}" for k in UNSEEN]
-        return self.table("lineitem").join(part.where(~F.col("feature_id").isin(*unseen)), "l_partkey")
+    def lines(self, models: tuple[str, ...] | None = None) -> DataFrame:
+        """Order lines with their brand; brands without usage left out, and those of other licence models if ``models`` says so."""
+        n = F.substring("p_brand", 7, 9).cast("int")
+        part = self.table("part").where(~n.isin(*UNSEEN))
+        if models is not None:
+            part = part.where((n % 5).isin(*[k for k, m in enumerate(MODELS) if m in models]))
+        return self.table("lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature_id")), "l_partkey")
 
-    def daily(self, within: Window | None = None) -> DataFrame:
+    def daily(self, within: Window | None = None, models: tuple[str, ...] | None = None) -> DataFrame:
         """(feature_id, date, peak); the window is a filter on the scan."""
-        lines = self.lines()
+        lines = self.lines(models)
         if within is not None:
             lines = lines.where(within.holds(F.col("l_shipdate").cast("date")))
         return lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("peak"))
 
-    def brand_tokens(self, within: Window) -> DataFrame:
-        lines = self.lines().where(within.holds(F.col("l_shipdate").cast("date")))
+    def brand_tokens(self, within: Window, models: tuple[str, ...] | None = None) -> DataFrame:
+        lines = self.lines(models).where(within.holds(F.col("l_shipdate").cast("date")))
         return lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("token_hours"), F.max("l_quantity").alias("peak_tokens"))
 
-    def activity(self) -> DataFrame:
-        """One row for each feature and employee."""
+    def activity(self, models: tuple[str, ...] | None = None) -> DataFrame:
+        """One row for each feature and employee; an order's lines of a feature are added up first, so that sessions need no distinct count."""
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("employee_id"), F.col("o_orderdate").cast("date").alias("day"))
-        used = self.lines().select("feature_id", "l_orderkey", "l_quantity").join(orders, "l_orderkey")
-        rows = used.groupBy("feature_id", "employee_id").agg(F.countDistinct("l_orderkey").alias("total_sessions"), F.sum("l_quantity").alias("total_hours"), F.max("day").alias("day"))
+        used = self.lines(models).select("feature_id", "l_orderkey", "l_quantity").join(orders, "l_orderkey")
+        sessions = used.groupBy("feature_id", "employee_id", "l_orderkey").agg(F.sum("l_quantity").alias("hours"), F.max("day").alias("day"))
+        rows = sessions.groupBy("feature_id", "employee_id").agg(F.count("*").alias("total_sessions"), F.sum("hours").alias("total_hours"), F.max("day").alias("day"))
         never = F.col("employee_id") % 50 == 0
         return rows.select("feature_id", "employee_id", (F.col("employee_id") % 17 != 0).alias("assigned"), F.when(never, 0).otherwise(F.col("total_sessions")).cast("bigint").alias("total_sessions"), F.when(never, 0.0).otherwise(F.col("total_hours")).alias("total_hours"), F.when(~never, F.col("day")).alias("last_used"))
 
+    def users_without_person(self) -> DataFrame:
+        """One row: how many users of the long history are not in the directory."""
+        users = self.table("orders").select(F.col("o_custkey").alias("employee_id")).distinct()
+        return users.join(self.table("customer").select(F.col("c_custkey").alias("employee_id")), "employee_id", "left_anti").agg(F.count("*").alias("users"))
+
     def people(self) -> DataFrame:
         """Employees with their dimensions; some have no department or manager."""
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))

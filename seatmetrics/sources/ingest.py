@@ -11,6 +11,10 @@ from seatmetrics.operators import contracts, normalize
 from seatmetrics.sources import files, mapping
 
 
+#: Rows whose cells help to tell a file's origin.
+SAMPLE_ROWS = 20
+
+
 @dataclass(frozen=True)
 class Ingested:
     """``rows`` as checked (``accepted`` and ``rejections`` are filters on them), the mapping, and who wrote the file."""
@@ -46,19 +50,21 @@ def priced(lines: DataFrame) -> DataFrame:
 
 
 def with_fallbacks(raw: DataFrame, dataset: str) -> DataFrame:
-    """Usage without a date takes that of a timestamp; a blank feature takes the product, in contracts also the part number."""
-    have = raw.columns
-    out = raw
-    if dataset == "usage" and "observed_at" in have:
-        out = out.withColumn("date", F.coalesce(F.nullif(F.trim("date"), F.lit("")), F.col("observed_at")) if "date" in have else F.col("observed_at"))
-    stand_ins = [c for c in ("feature", "product", *(("sku",) if dataset == "contracts" else ())) if c in have]
-    if dataset != "people" and stand_ins:
-        out = out.withColumn("feature", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in stand_ins]))
-    return out
+    """A blank feature takes the product, in contracts also the part number."""
+    stand_ins = [c for c in ("feature", "product", *(("sku",) if dataset == "contracts" else ())) if c in raw.columns]
+    if dataset == "people" or not stand_ins:
+        return raw
+    return raw.withColumn("feature", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in stand_ins]))
 
 
 def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, str] | None = None, day_first: bool = False) -> Ingested:
-    """Read a delimited file, or all sheets of a workbook, as rows of ``dataset``. Contracts are never taken for a licence manager's."""
+    """Read a delimited file, or all sheets of a workbook, as rows of ``dataset``.
+
+    The first rows help to find out who wrote the file, and that decides which names of columns come first. Contracts
+    are never taken for a licence manager's.
+    """
+    if not files.accepted_name(path):
+        raise ValueError(f"not a file of a known kind: {path}")
     if files.kind_of(files.head_of(spark, path, 8)) == "workbook":
         cells = files.read_workbooks(spark, path)
         headers = sorted(r["h"] for r in cells.select(F.explode(F.map_keys("cells")).alias("h")).distinct().collect())
@@ -66,7 +72,10 @@ def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, st
     else:
         raw = files.read_delimited(spark, path)
         headers = [c for c in raw.columns if c != "source_row"]
-    mapped = mapping.resolve(headers, dataset, overrides)
-    source, sure = ("generic", 0) if dataset == "contracts" else mapping.detect(headers, path.rsplit("/", 1)[-1])
+    source, sure = "generic", 0
+    if dataset != "contracts":
+        samples = [str(v) for r in raw.drop("source_row").limit(SAMPLE_ROWS).collect() for v in r if v is not None]
+        source, sure = mapping.detect(headers, path.rsplit("/", 1)[-1], samples)
+    mapped = mapping.resolve(headers, dataset, overrides, source)
     rows = normalize.checked(with_fallbacks(mapping.apply(raw, mapped), dataset), dataset, day_first)
     return Ingested(dataset, rows, mapped, source, sure)

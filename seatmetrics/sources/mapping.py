@@ -8,28 +8,96 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatmetrics.operators.normalize import DATASETS
+from seatmetrics.operators.normalize import DATASETS, STAMPS
 
-#: What a field is called besides its own name, as phrases. Spelling variants come from ``variants``.
-CALLED: dict[str, dict[str, str]] = {
+# What exports call a field besides its own name. Spelling variants come from ``variants``.
+CALLED: dict[str, dict[str, tuple[str, ...]]] = {
     "usage": {
-        "date": "usage date|day|log date|event date|report date", "hour": "hour of day|time bucket", "user": "user name|user id|login|network user|account", "employee_code": "employee id|badge|personnel number",
-        "feature": "feature name|license feature|module", "product": "product name|application|software", "vendor": "publisher|vendor daemon|isv|manufacturer", "quantity": "qty|count|checkouts|sessions",
-        "concurrent": "in use|used|licenses in use|count in use|concurrent use", "peak": "peak usage|max concurrent|high water", "available": "total|capacity|issued|licenses issued|max count", "duration_hours": "duration|usage hours|elapsed",
-        "denied": "denial|status|is denied", "denial_count": "denials|denied requests", "license_server": "server|server host|server name", "pool": "license pool|server group", "tokens": "token|token count|credits", "hostname": "host|client host|machine|workstation",
-        "version": "feature version", "borrowed": "is borrowed|roaming",
+        "date": ("usage date", "day", "log date", "event date", "report date"),
+        "hour": ("hour of day", "time bucket"),
+        "user": ("user name", "user id", "login", "network user", "account"),
+        "employee_code": ("employee id", "badge", "personnel number"),
+        "feature": ("feature name", "license feature", "module"),
+        "product": ("product name", "application", "software"),
+        "vendor": ("publisher", "vendor daemon", "isv", "manufacturer"),
+        "quantity": ("qty", "count", "checkouts", "sessions"),
+        "concurrent": ("in use", "used", "licenses in use", "count in use", "concurrent use"),
+        "peak": ("peak usage", "max concurrent", "high water"),
+        "available": ("total", "capacity", "issued", "licenses issued", "max count"),
+        "duration_hours": ("duration", "usage hours", "elapsed"),
+        "denied": ("denial", "status", "is denied"),
+        "denial_count": ("denials", "denied requests"),
+        "license_server": ("server", "server host", "server name"),
+        "pool": ("license pool", "server group"),
+        "tokens": ("token", "token count", "credits"),
+        "hostname": ("host", "client host", "machine", "workstation"),
+        "version": ("feature version",),
+        "borrowed": ("is borrowed", "roaming"),
+        "observed_at": ("timestamp", "datetime", "event time", "sample time"),
+        "checkout_at": ("checkout time", "start time", "acquire time"),
+        "checkin_at": ("checkin time", "end time", "release time"),
+    },
+    "entitlements": {
+        "feature": ("feature name", "license feature", "module"),
+        "product": ("product name", "application"),
+        "vendor": ("publisher", "vendor daemon"),
+        "quantity": ("qty", "entitled", "seats", "licenses issued", "total licenses"),
+        "license_model": ("license type", "model", "metric"),
+        "license_server": ("server host", "server"),
+        "pool": ("license pool",),
+        "expires_on": ("expiry", "expires", "expiration", "expiry date"),
     },
-    "entitlements": {"feature": "feature name|license feature|module", "product": "product name|application", "vendor": "publisher|vendor daemon", "quantity": "qty|entitled|seats|licenses issued|total licenses", "license_model": "license type|model|metric", "license_server": "server host|server", "pool": "license pool", "expires_on": "expiry|expires|expiration|expiry date"},
     "people": {
-        "user": "user name|login|network id|account", "employee_code": "employee id|badge", "display_name": "name|full name", "email": "mail|email address", "status": "employment status", "employee_type": "worker type", "manager_name": "manager|supervisor", "manager_key": "manager id|manager email",
-        "department": "dept", "organization": "org|company", "business_unit": "division", "program": "project", "discipline": "function", "competency": "capability", "location": "site|office", "region": "country", "cost_center": "cost centre|charge code",
+        "user": ("user name", "login", "network id", "account"),
+        "employee_code": ("employee id", "badge"),
+        "display_name": ("name", "full name"),
+        "email": ("mail", "email address"),
+        "status": ("employment status",),
+        "employee_type": ("worker type",),
+        "manager_name": ("manager", "supervisor"),
+        "manager_key": ("manager id", "manager email"),
+        "department": ("dept",),
+        "organization": ("org", "company"),
+        "business_unit": ("division",),
+        "program": ("project",),
+        "discipline": ("function",),
+        "competency": ("capability",),
+        "location": ("site", "office"),
+        "region": ("country",),
+        "cost_center": ("cost centre", "charge code"),
     },
     "contracts": {
-        "feature": "feature name|sku description|line item|description", "product": "software name|application", "vendor": "publisher|manufacturer", "sku": "part number|item number", "contract_number": "contract|contract id", "agreement_number": "agreement", "purchase_order": "po|po number", "supplier": "reseller",
-        "quantity": "qty|seats|licenses", "unit_price": "price|unit cost|list price", "total_cost": "total|total price|amount", "annual_cost": "annual spend|yearly cost", "currency": "ccy", "license_model": "license type", "pricing_unit": "uom", "start_date": "contract start|start", "end_date": "contract end|end",
-        "renewal_date": "renewal|expiration date|expiry", "business_unit": "division", "cost_center": "cost centre", "owner": "contact", "notes": "comments",
+        "feature": ("feature name", "sku description", "line item", "description"),
+        "product": ("software name", "application"),
+        "vendor": ("publisher", "manufacturer"),
+        "sku": ("part number", "item number"),
+        "contract_number": ("contract", "contract id"),
+        "agreement_number": ("agreement",),
+        "purchase_order": ("po", "po number"),
+        "supplier": ("reseller",),
+        "quantity": ("qty", "seats", "licenses"),
+        "unit_price": ("price", "unit cost", "list price"),
+        "total_cost": ("total", "total price", "amount"),
+        "annual_cost": ("annual spend", "yearly cost"),
+        "currency": ("ccy",),
+        "license_model": ("license type",),
+        "pricing_unit": ("uom",),
+        "start_date": ("contract start", "start"),
+        "end_date": ("contract end", "end"),
+        "renewal_date": ("renewal", "expiration date", "expiry"),
+        "business_unit": ("division",),
+        "cost_center": ("cost centre",),
+        "owner": ("contact",),
+        "notes": ("comments",),
     },
-}
+}
+# What one licence manager calls a field of its usage exports; these come before the names above.
+OF_SOURCE: dict[str, dict[str, tuple[str, ...]]] = {
+    "flexnet": {"vendor": ("vendor daemon", "daemon"), "hostname": ("host", "display"), "available": ("licenses issued", "issued"), "denied": ("status",), "quantity": ("num lic",), "checkout_at": ("out time",), "checkin_at": ("in time",)},
+    "rlm": {"feature": ("product", "rlm product"), "vendor": ("isv", "isv name"), "license_server": ("rlm server",), "available": ("count", "total count"), "concurrent": ("count in use",), "borrowed": ("roaming",)},
+    "dsls": {"feature": ("license name",), "product": ("product line",), "available": ("max count",), "tokens": ("token",), "checkout_at": ("acquire time",), "checkin_at": ("release time",)},
+    "sentinel": {"observed_at": ("sample time", "poll time"), "user": ("client user",), "hostname": ("client host",), "available": ("total licenses",), "denial_count": ("denied requests",), "pool": ("sublicense",)},
+}
 #: Words that name no field by themselves.
 STRUCTURAL = {"license", "licence", "name", "id", "date", "time", "number", "count", "type", "value"}
 EXACT, STRONG, LEAST = 100, 70, 35
@@ -40,9 +108,10 @@ def header(text: str) -> str:
     return re.sub("_+", "_", re.sub("[^a-z0-9_]", "", out)).strip("_")
 
 
-def variants(dataset: str, field: str) -> list[str]:
-    """Normalized names of a field; British spellings and joined words count too."""
-    names = [field, *CALLED[dataset].get(field, "").split("|")]
+def variants(dataset: str, field: str, source: str = "generic") -> list[str]:
+    """Normalized names of a field, those of a source first; British spellings and joined words count too."""
+    own = OF_SOURCE.get(source, {}).get(field, ()) if dataset == "usage" else ()
+    names = [*own, field, *CALLED[dataset].get(field, ())]
     out = dict.fromkeys(header(n) for n in names if n)
     for n in list(out):
         out |= dict.fromkeys((n.replace("license", "licence"), n.replace("_", "")))
@@ -77,12 +146,13 @@ class Mapped:
         return "exact" if self.score >= EXACT else "strong" if self.score >= STRONG else "possible"
 
 
-def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None = None) -> list[Mapped]:
-    """Each column to at most one field and each field to one column: overrides first, then the best scores."""
+def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None = None, source: str = "generic") -> list[Mapped]:
+    """Each column to at most one field and each field to one column: overrides first, then the best scores, names of the source before others."""
     chosen = [Mapped(f, c, EXACT) for f, c in (overrides or {}).items() if c in headers]
     fields, columns = {m.field for m in chosen}, {m.column for m in chosen}
-    scored = [(score(h, variants(dataset, f.name)), -k, -j, f.name, h) for k, f in enumerate(DATASETS[dataset]) for j, h in enumerate(headers)]
-    for points, _, _, field, column in sorted(scored, reverse=True):
+    special = OF_SOURCE.get(source, {}) if dataset == "usage" else {}
+    scored = [(score(h, variants(dataset, f.name, source)), header(h) in map(header, special.get(f.name, ())), -k, -j, f.name, h) for k, f in enumerate(DATASETS[dataset]) for j, h in enumerate(headers)]
+    for points, _, _, _, field, column in sorted(scored, reverse=True):
         if points >= LEAST and field not in fields and column not in columns:
             chosen.append(Mapped(field, column, points))
             fields.add(field)
@@ -91,9 +161,9 @@ def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None =
 
 
 def missing_required(mapped: list[Mapped], dataset: str) -> list[str]:
-    """A product, or a part number in contracts, stands in for the feature."""
+    """A product, or a part number in contracts, stands in for the feature, and in usage a timestamp for the date."""
     have = {m.field for m in mapped}
-    stand_in = {"feature": {"product"} | ({"sku"} if dataset == "contracts" else set())}
+    stand_in = {"feature": {"product"} | ({"sku"} if dataset == "contracts" else set()), "date": set(STAMPS) if dataset == "usage" else set()}
     return [f.name for f in DATASETS[dataset] if f.required and f.name not in have and not (stand_in.get(f.name, set()) & have)]
 
 
@@ -102,13 +172,42 @@ def apply(raw: DataFrame, mapped: list[Mapped]) -> DataFrame:
     return raw.select(*[F.col(f"`{m.column}`").alias(m.field) for m in mapped], "source_row")
 
 
-# What points to a licence manager: weight, where to look (header is, header holds, all of several, anywhere), and the words.
+# What points to a licence manager: weight, where to look, and the terms. ``is``: a header is a term; ``holds``: a header
+# holds one; ``all``: headers hold every term; ``any``: a header, the file name or a cell holds one.
 SIGNATURES = {
-    "flexnet": ((55, "is", "vendor_daemon daemon"), (55, "any", "flexlm flexnet lmgrd lmstat lmutil"), (20, "is", "feature feature_name"), (35, "all", "user host display"), (20, "holds", "checkout check_out checkin check_in"), (20, "all", "issued in_use")),
-    "rlm": ((55, "is", "isv isv_name rlm_isv"), (55, "any", "reprise"), (45, "holds", "rlm_"), (25, "all", "product count"), (15, "holds", "pool"), (15, "is", "handle checkout_handle")),
-    "dsls": ((60, "any", "dsls dassault 3dexperience"), (50, "holds", "dsls"), (35, "holds", "token"), (35, "all", "license_name in_use"), (25, "is", "product_line"), (15, "is", "server_id")),
-    "sentinel": ((60, "any", "sentinel lservrc"), (50, "holds", "sentinel lserv"), (45, "holds", "sublicense sub_license"), (30, "holds", "client_user client_host"), (25, "all", "feature version"), (25, "holds", "sample_time poll_time snapshot")),
-}
+    "flexnet": (
+        (55, "is", ("vendor_daemon", "daemon")),
+        (55, "any", ("flexlm", "flexnet", "lmgrd", "lmstat", "lmutil")),
+        (20, "is", ("feature", "feature_name")),
+        (35, "all", ("user", "host", "display")),
+        (20, "holds", ("checkout", "check_out", "checkin", "check_in")),
+        (20, "all", ("issued", "in_use")),
+    ),
+    "rlm": (
+        (55, "is", ("isv", "isv_name", "rlm_isv")),
+        (55, "any", ("reprise",)),
+        (45, "holds", ("rlm_",)),
+        (25, "all", ("product", "count")),
+        (15, "holds", ("pool",)),
+        (15, "is", ("handle", "checkout_handle")),
+    ),
+    "dsls": (
+        (60, "any", ("dsls", "dassault", "3dexperience")),
+        (50, "holds", ("dsls",)),
+        (35, "holds", ("token",)),
+        (35, "all", ("license_name", "in_use")),
+        (25, "is", ("product_line",)),
+        (15, "is", ("server_id",)),
+    ),
+    "sentinel": (
+        (60, "any", ("sentinel", "lservrc")),
+        (50, "holds", ("sentinel", "lserv")),
+        (45, "holds", ("sublicense", "sub_license")),
+        (30, "holds", ("client_user", "client_host")),
+        (25, "all", ("feature", "version")),
+        (25, "holds", ("sample_time", "poll_time", "snapshot")),
+    ),
+}
 FLOOR, NEAR = 55, 15
 
 
@@ -117,15 +216,14 @@ def detect(headers: list[str], file_name: str = "", samples: list[str] | None =
     heads = [header(h) for h in headers]
     anywhere = [*heads, file_name.lower(), *(s.lower() for s in samples or [])]
 
-    def fired(where: str, words: str) -> bool:
-        terms = words.split()
+    def fired(where: str, terms: tuple[str, ...]) -> bool:
         if where == "is":
             return any(t in heads for t in terms)
         if where == "all":
             return all(any(t in h for h in heads) for t in terms)
         return any(t in h for t in terms for h in (heads if where == "holds" else anywhere))
 
-    points = sorted(((min(99, sum(w for w, where, words in rules if fired(where, words))), name) for name, rules in SIGNATURES.items()), key=lambda x: (-x[0], x[1]))
+    points = sorted(((min(99, sum(w for w, where, terms in rules if fired(where, terms))), name) for name, rules in SIGNATURES.items()), key=lambda x: (-x[0], x[1]))
     (best, name), (second, _) = points[:2]
     if best >= FLOOR and best - second < NEAR:
         best = max(0, best - 20)

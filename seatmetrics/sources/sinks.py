@@ -23,8 +23,11 @@ def csv_line(columns: list[Column]) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Text files with guarded cells and CRLF, each with a head line and the mark that spreadsheets expect."""
-    rows = df.select(*[guarded(F.col(c).cast("string")).alias(c) for c in df.columns])
+    """Text files with guarded cells and CRLF, each with a head line behind the byte-order mark that spreadsheets expect.
+
+    The mark is the first character of the first column's name, so Spark writes it at the beginning of each file.
+    """
+    rows = df.select(*[guarded(F.col(c).cast("string")).alias(c if k else "\ufeff" + c) for k, c in enumerate(df.columns)])
     rows.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
 
 
@@ -58,7 +61,10 @@ class ImportStore:
         return self.spark.read.parquet(self._path("imports")) if self._exists(self._path("imports")) else None
 
     def commit(self, rows: DataFrame, dataset: str, import_id: str, fingerprint: str, expected: int) -> int:
-        """Write the rows of one import; fails unless as many are stored as were accepted."""
+        """Write the rows of one import and count them; they can be read once the count is right and the import is entered.
+
+        A commit that fails leaves rows that no reader sees, and the next commit of this import writes over them.
+        """
         if dataset not in DATASETS:
             raise ValueError(f"no dataset {dataset}")
         known = self.imports()
@@ -66,7 +72,7 @@ class ImportStore:
             raise ValueError("this file was imported before")
         out = rows.withColumn("import_id", F.lit(import_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(self._path(dataset))
-        stored = self.read(dataset).where(F.col("import_id") == import_id).count()
+        stored = self.spark.read.parquet(self._path(dataset)).where(F.col("import_id") == import_id).count()
         if stored != expected:
             raise RuntimeError(f"{stored} rows stored, {expected} accepted")
         entry = self.spark.createDataFrame([(import_id, dataset, fingerprint, stored)], "import_id string, dataset string, fingerprint string, rows bigint")
@@ -74,8 +80,11 @@ class ImportStore:
         return stored
 
     def read(self, dataset: str, import_id: str | None = None) -> DataFrame:
-        """All rows of a dataset, or one import's: a filter on partitions."""
+        """All rows of a dataset's entered imports, or of one of them: a filter on partitions."""
         rows = self.spark.read.parquet(self._path(dataset))
+        entered = self.imports()
+        known = [] if entered is None else [r["import_id"] for r in entered.where(F.col("dataset") == dataset).select("import_id").collect()]
+        rows = rows.where(F.col("import_id").isin(known))
         return rows if import_id is None else rows.where(F.col("import_id") == import_id)
 
     def delete(self, dataset: str, import_id: str) -> None:

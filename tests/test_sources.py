@@ -73,6 +73,7 @@ def test_import_store(spark, tmp_path):
         store.commit(rows, "usage", "i2", "f1", 2)
     with pytest.raises(RuntimeError):
         store.commit(rows, "usage", "i3", "f3", 5)
+    assert store.read("usage").count() == 1 and store.read("usage", "i3").count() == 0  # a failed commit is not seen
     store.commit(rows, "usage", "i2", "f2", 2)
     assert store.read("usage", "i1").count() == 1
     store.delete("usage", "i1")
@@ -83,7 +84,8 @@ def test_csv_guard(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 'a"b'), (None, "x\ny")], "a string, b string")
     assert [r[0] for r in rows.select(sinks.csv_line([F.col("a"), F.col("b")])).collect()] == ["'=1+1,\"a\"\"b\"", ',"x\ny"']
     sinks.write_csv(rows.where("a IS NOT NULL"), str(tmp_path / "out"))
-    assert b"'=1+1" in b"".join(f.read_bytes() for f in (tmp_path / "out").glob("part*.csv"))
+    files_ = [f.read_bytes().decode() for f in (tmp_path / "out").glob("part*.csv")]
+    assert all(f.startswith("\ufeffa,b\r\n") for f in files_) and "'=1+1,\"a\"\"b\"\r\n" in "".join(files_)
 
 
 def test_synthetic_estate(spark):
