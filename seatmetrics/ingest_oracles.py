@@ -87,11 +87,11 @@ def oracle_sql() -> dict[str, str]:
         "unmatched_users": "SELECT key, observations, status FROM users WHERE status IN ('unmatched', 'ambiguous')",
         "people_without_usage": "SELECT c_custkey AS person_id, 'user' || c_custkey AS username FROM customer WHERE c_custkey NOT IN (SELECT person_id FROM users WHERE person_id IS NOT NULL)",
         "review_queue": "SELECT 'l:' || a AS line_id, 'f:' || b AS feature_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, 'f:' || b) AS rank FROM (SELECT x.name AS a, y.name AS b, CAST(least(100, floor(100.0 * len(list_intersect(x.tok, y.tok)) / len(list_distinct(list_concat(x.tok, y.tok))) + 0.5) + CASE WHEN length(y.name) % 3 = 1 THEN 15 ELSE 0 END) AS BIGINT) AS score FROM nm x, nm y WHERE len(list_intersect(x.tok, y.tok)) > 0) WHERE score >= 15) WHERE rank <= 5",
-        "user_review_queue": "SELECT key, employee_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, employee_id) AS rank FROM (SELECT key, employee_id, CAST(max(greatest(s - less, 0)) AS BIGINT) AS score FROM (SELECT key, employee_id, less, CASE WHEN key = id THEN 95 WHEN ends_with(id, key) THEN 70 WHEN ends_with(key, id) THEN 60 WHEN starts_with(id, key) OR starts_with(key, id) THEN 55 ELSE 0 END AS s FROM (SELECT DISTINCT 'user' || (c_custkey % 100) AS key FROM customer WHERE c_custkey % 10 = 7), (SELECT c_custkey AS employee_id, 'user' || c_custkey AS id, 0 AS less FROM customer WHERE c_custkey % 10 = 7 UNION ALL SELECT c_custkey, 'user' || (c_custkey + 3), 10 FROM customer WHERE c_custkey % 10 = 7)) WHERE s > 0 GROUP BY ALL)) WHERE rank <= 5 AND score > 0",
+        "user_review_queue": "SELECT key, employee_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, employee_id) AS rank FROM (SELECT key, employee_id, CAST(max(greatest(s - less, 0)) AS BIGINT) AS score FROM (SELECT key, employee_id, less, CASE WHEN key = id THEN 95 WHEN ends_with(id, key) THEN 70 WHEN ends_with(key, id) THEN 60 WHEN starts_with(id, key) OR starts_with(key, id) THEN 55 ELSE 0 END AS s FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') || CASE WHEN c_custkey % 3 = 0 THEN '@a' ELSE '@b' END AS key FROM customer), (SELECT c_custkey AS employee_id, 'u' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '@a' AS id, 0 AS less FROM customer UNION ALL SELECT c_custkey, lpad(CAST(c_custkey + 3 AS VARCHAR), 6, '0'), 10 FROM customer)) WHERE s > 0 GROUP BY ALL)) WHERE rank <= 5 AND score > 0",
         "related_features": f"SELECT name, feature_key, CAST(rank AS INTEGER) AS rank FROM (SELECT name, feature_key, row_number() OVER (PARTITION BY name ORDER BY feature_key) AS rank FROM (SELECT DISTINCT a.k AS name, b.k AS feature_key FROM (SELECT DISTINCT {key('p_name')} AS k FROM part) a, (SELECT DISTINCT {key('p_name')} AS k FROM part) b WHERE a.k <> b.k AND len(list_intersect(list_filter(string_split(a.k, '_'), lambda w: length(w) >= 4), string_split(b.k, '_'))) > 0)) WHERE rank <= 5",
         "capabilities": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(a).upper()}, '{n}')" for k, (a, n) in _CAPS.items()) + ") t(capability, available, requires)",
         "integrity": "SELECT 'usage' AS dataset, n AS accepted, n AS stored, n AS analysed, TRUE AS intact FROM (SELECT count(*) AS n FROM ok WHERE place = 1)",
-        "evidence_key": "SELECT 'v1|' || sum(n) || '|' || string_agg(i, ',' ORDER BY i) AS evidence_key, substr(sha256(string_agg(i, ',' ORDER BY i)), 1, 12) AS short_key FROM (SELECT 'import-' || o_orderpriority AS i, count(*) AS n FROM orders GROUP BY ALL)",
+        "evidence_key": "SELECT 'v1|' || count(*) || '|' || count(DISTINCT o_orderpriority) AS evidence_key, TRUE AS short FROM orders",
         "fingerprint": "SELECT p_partkey AS import_id, sha256(sha256(p_name) || '|usage|date=' || p_type || ',user=' || p_brand) AS fingerprint FROM part",
         "export_csv": f"SELECT p_partkey, CASE WHEN s LIKE '%\"%' OR s LIKE '%,%' THEN '\"' || replace(s, '\"', '\"\"') || '\"' ELSE s END || ',' || p_size AS line FROM (SELECT *, CASE WHEN x LIKE '=%' THEN '''' || x ELSE x END AS s FROM (SELECT p_partkey, p_size, {name_of} AS x FROM part))",
         "coverage_lines": f"SELECT count(*) AS rows, count(DISTINCT {key('feature')}) AS features, count(DISTINCT lower(usr)) AS users, min(date) AS first_date, max(date) AS last_date, bool_or(concurrent IS NOT NULL) AS has_concurrency, bool_or(denied) AS has_denials, FALSE AS has_durations, CAST(max(date) - min(date) + 1 AS BIGINT) AS history_days FROM ok WHERE place = 1",

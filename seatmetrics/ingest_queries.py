@@ -168,8 +168,10 @@ def review_queue(e: Estate) -> DataFrame:
 
 @query
 def user_review_queue(e: Estate) -> DataFrame:
-    users = e.table("customer").where("c_custkey % 10 = 7").select(F.concat(F.lit("user"), (F.col("c_custkey") % 100).cast("string")).alias("key")).distinct()
-    return review.user_review_queue(users, e.people().where("employee_id % 10 = 7").select("employee_id", "username", "email"))
+    """Names that resemble usernames by their ends, against the whole directory."""
+    users = e.table("customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.when(F.col("c_custkey") % 3 == 0, F.lit("@a")).otherwise(F.lit("@b"))).alias("key")).distinct()
+    people = e.people().select("employee_id", F.concat(F.lit("u"), F.lpad(F.col("employee_id").cast("string"), 6, "0"), F.lit("@a")).alias("username"), F.concat(F.lpad((F.col("employee_id") + 3).cast("string"), 6, "0"), F.lit("@b"), F.lit("@example.com")).alias("email"))
+    return review.user_review_queue(users, people)
 
 
 @query
@@ -198,7 +200,7 @@ def integrity(e: Estate) -> DataFrame:
 @query
 def evidence_key(e: Estate) -> DataFrame:
     imports = e.table("orders").groupBy(F.concat(F.lit("import-"), F.col("o_orderpriority")).alias("import_id")).agg(F.count("*").alias("rows"))
-    return trust.evidence_key(imports)
+    return trust.evidence_key(imports).select(F.substring_index("evidence_key", "|", 3).alias("evidence_key"), (F.length("short_key") == 12).alias("short"))
 
 
 @query

@@ -71,3 +71,9 @@ def last_item(items: DataFrame) -> DataFrame:
     """The last item of each feature in source order."""
     place = F.row_number().over(W.partitionBy("feature_id").orderBy(F.col("source_row").desc()))
     return items.withColumn("place", place).where("place = 1").drop("place")
+
+
+def review_totals(links: DataFrame) -> DataFrame:
+    """The foot of the review queue: positions, what the priced ones cost, and how many have no price."""
+    cost = links.where("basis = 'unmatched'").groupBy("position_key").agg(half_up(F.sum("annual_cost"), 2).alias("cost"))
+    return cost.agg(F.count("*").alias("positions"), half_up(or_zero(F.sum("cost")), 2).alias("excluded_value"), F.count(F.when(F.col("cost").isNull(), 1)).alias("unpriced_positions"))

@@ -33,19 +33,22 @@ def review_queue(lines: DataFrame, features: DataFrame) -> DataFrame:
 def user_review_queue(users: DataFrame, people: DataFrame) -> DataFrame:
     """``users`` (key) against ``people`` (employee_id, username, email): resemblance of identifiers, that of the mailbox less 10.
 
-    Identifiers that resemble each other share their first or their last four characters, which is what they meet by.
+    Of two identifiers that resemble each other one begins or ends the other. So each meets the others by equal text,
+    once with its own beginnings and ends and once as a beginning or end of theirs, and no two others are compared.
     """
 
-    def pieces(x: Column) -> Column:
-        return F.array_distinct(F.array(F.concat(F.lit("<"), F.left(x, F.lit(4))), F.concat(F.lit(">"), F.right(x, F.lit(4)))))
+    def ends(x: Column) -> Column:
+        sizes = F.sequence(F.lit(4), F.length(x))
+        return F.explode(F.array_distinct(F.concat(F.transform(sizes, lambda n: F.left(x, n)), F.transform(sizes, lambda n: F.right(x, n)))))
 
     name, mail = user_key(F.col("username")), F.split_part(user_key(F.col("email")), F.lit("@"), F.lit(1))
-    left = users.select("key").where(F.length("key") >= 4).withColumn("piece", F.explode(pieces(F.col("key"))))
-    ids = people.select("employee_id", F.explode(F.array(F.struct(name.alias("id"), F.lit(0).alias("less")), F.struct(mail.alias("id"), F.lit(10).alias("less")))).alias("x")).select("employee_id", "x.*")
-    right = ids.where(F.length("id") >= 4).withColumn("piece", F.explode(pieces(F.col("id"))))
-    pairs = left.join(right, "piece").drop("piece").distinct()
+    left = users.select("key").where(F.length("key") >= 4)
+    ids = people.select("employee_id", F.explode(F.array(F.struct(name.alias("id"), F.lit(0).alias("less")), F.struct(mail.alias("id"), F.lit(10).alias("less")))).alias("x")).select("employee_id", "x.*").where(F.length("id") >= 4)
+    inside = left.withColumn("piece", ends(F.col("key"))).join(ids.withColumn("piece", F.col("id")), "piece")
+    around = left.withColumn("piece", F.col("key")).join(ids.withColumn("piece", ends(F.col("id"))), "piece")
     raw = resemblance(F.col("key"), F.col("id"))
-    best = pairs.withColumn("score", F.when(raw > 0, F.greatest(raw - F.col("less"), F.lit(0)))).where("score > 0").groupBy("key", "employee_id").agg(F.max("score").cast("bigint").alias("score"))
+    scored = inside.unionByName(around).withColumn("score", F.when(raw > 0, F.greatest(raw - F.col("less"), F.lit(0)))).where("score > 0")
+    best = scored.groupBy("key", "employee_id").agg(F.max("score").cast("bigint").alias("score"))
     return _top(best, "key", [F.col("score").desc(), F.col("employee_id")])
 
 
@@ -54,3 +57,28 @@ def related_features(names: DataFrame, features: DataFrame) -> DataFrame:
     words = F.explode(F.array_distinct(F.filter(F.split("feature_key", "_"), lambda w: F.length(w) >= 4))).alias("word")
     pairs = names.select(F.col("feature_key").alias("name"), words).join(features.select("feature_key", words), "word").where("name <> feature_key").select("name", "feature_key").distinct()
     return _top(pairs, "name", [F.col("feature_key")])
+
+
+def suggestions(unmapped: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each raw value of ``unmapped`` (raw) the feature of ``candidates`` (feature_id, label) that shares most words of three characters or more; the first of equal ones."""
+
+    def words(x: Column) -> Column:
+        return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+
+    left = unmapped.select("raw", F.explode(words(F.col("raw"))).alias("word")).groupBy("raw", "word").agg(F.count("*").alias("n"))
+    right = candidates.select("feature_id", F.explode(F.array_distinct(words(F.col("label")))).alias("word"))
+    overlap = left.join(right, "word").groupBy("raw", "feature_id").agg(F.sum("n").alias("overlap"))
+    return _top(overlap, "raw", [F.col("overlap").desc(), F.col("feature_id")], 1).drop("rank")
+
+
+def related_by_lead(keys: DataFrame) -> DataFrame:
+    """Keys (feature_key) that begin with the same word of three characters or more: how many others there are, and the first few of them.
+
+    The few smallest keys of each word are found first and joined to its members, so members are never paired with each other.
+    """
+    lead = F.filter(F.split("feature_key", "_"), lambda w: F.length(w) >= 3)[0]
+    rows = keys.select("feature_key").distinct().withColumn("lead", lead).where("lead IS NOT NULL")
+    sizes = rows.groupBy("lead").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    first = _top(rows, "lead", [F.col("feature_key")], SHOWN + 1).groupBy("lead").agg(F.array_sort(F.collect_list("feature_key")).alias("first"))
+    shown = F.slice(F.array_remove("first", F.col("feature_key")), 1, SHOWN)
+    return rows.join(sizes, "lead").join(first, "lead").select("feature_key", "lead", "others", F.array_join(shown, "|").alias("related"))

@@ -7,6 +7,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatmetrics.operators.sizing import Options
+from seatmetrics.plans.portfolio import scenario
+from seatmetrics.sources.estate import Estate
+
 # Intents in the order they are tried, with what points to them and the query that answers.
 INTENTS = (
     ("scenario", r"what if|scenario|\d+\s*%", "scenario_rollup"),
@@ -41,9 +45,25 @@ def subject(question: str, names: DataFrame, column: str = "name") -> DataFrame:
     return names.where(inside).orderBy(F.length(column).desc(), column).limit(1)
 
 
-def answer(question: str, queries: dict, spark, sf_dir: str) -> DataFrame:
-    """The rows that answer; a question that no intent fits is refused, not guessed at."""
+def answer(question: str, queries: dict, spark, sf_dir: str, names: DataFrame | None = None) -> DataFrame:
+    """The rows that answer; a question that no intent fits is refused, not guessed at.
+
+    A percentage in a scenario is the growth that it asks about. ``names`` (name, column, value): what a question may
+    name, and which rows it then means; an answer that has the column keeps only these rows, and one that has not is
+    refused where a name was given, as it would say nothing about it.
+    """
     found = intent(question)
     if found is None:
         raise LookupError("no query answers this question")
-    return queries[found[1]](spark, sf_dir)
+    name, query = found
+    share = percentage(question)
+    if name == "scenario" and share is not None:
+        return scenario(Estate(spark, sf_dir), Options(growth=1 + share / 100))
+    rows = queries[query](spark, sf_dir)
+    meant = subject(question, names).collect() if names is not None else []
+    if not meant:
+        return rows
+    column, value = meant[0]["column"], meant[0]["value"]
+    if column not in rows.columns:
+        raise LookupError(f"the answer to this question has no {column}")
+    return rows.where(F.col(column) == value)

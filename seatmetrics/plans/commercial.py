@@ -88,6 +88,19 @@ def reconcile(rows: DataFrame, unresolved: Column | None = None) -> DataFrame:
     return rows.select("feature_id", served.alias("served_quantity"), bought.alias("purchased_quantity"), state.alias("state"), difference.alias("difference"), half_up(F.abs(difference) * F.col("unit_price"), 2).alias("difference_value"))
 
 
+#: Disagreements come first in a list of states.
+STATE_ORDER = ("entitlement_exceeds_contract", "contract_exceeds_entitlement", "contract_only", "entitlement_only", "unresolved_identity", "agree")
+
+
+def reconciliation_order(states: DataFrame) -> DataFrame:
+    """``states`` with their rank: over-deployment, then over-purchase, then one source only, then the rest; larger values first."""
+    place = {"contract_only": 2, "entitlement_only": 2, "unresolved_identity": 3, "agree": 4, "entitlement_exceeds_contract": 0, "contract_exceeds_entitlement": 1}
+    rank = F.lit(4)
+    for name in STATE_ORDER:
+        rank = F.when(F.col("state") == name, place[name]).otherwise(rank)
+    return states.select("feature_id", "state", rank.alias("rank"), "difference_value").orderBy("rank", F.coalesce("difference_value", F.lit(0.0)).desc(), "feature_id")
+
+
 def reconciliation_summary(states: DataFrame) -> DataFrame:
     differ = F.col("state").isin("contract_exceeds_entitlement", "entitlement_exceeds_contract")
     return states.agg(

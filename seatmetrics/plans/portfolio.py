@@ -16,7 +16,7 @@ from seatmetrics.operators import confidence as trust
 from seatmetrics.operators.demand import capacity_risk, concurrent_metrics
 from seatmetrics.operators.denied import classified, denial_sums
 from seatmetrics.operators.seats import NAMED, named_user_metrics
-from seatmetrics.operators.sizing import Options, financials, sized
+from seatmetrics.operators.sizing import Options, financials, right_sizing, sized
 from seatmetrics.operators.tokens import token_metrics
 from seatmetrics.sources.estate import Estate
 
@@ -154,3 +154,11 @@ def cost_bridge(rows: DataFrame) -> DataFrame:
     flat = t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(n).alias("step"), x.alias("amount")) for k, n, x in steps])).alias("s")).select("s.*")
     return flat.withColumn("running_total", half_up(F.sum("amount").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)), 2))
 
+
+
+def scenario(estate: Estate, options: Options) -> DataFrame:
+    """All features with peaks under other assumptions, as one row of sums."""
+    features = estate.features()
+    sized_rows = right_sizing(estate.daily(estate.window(options.period)), features, estate.window(options.period), options).select("feature_id", "entitled", "recommended")
+    rows = financials(sized_rows.join(features.select("feature_id", "unit_price"), "feature_id"))
+    return rows.agg(F.count("*").alias("features"), F.sum("recommended").alias("recommended"), half_up(F.sum("opportunity"), 2).alias("opportunity"), half_up(F.sum("incremental"), 2).alias("incremental"))

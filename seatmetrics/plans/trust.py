@@ -40,10 +40,20 @@ def integrity(accepted: DataFrame, stored: DataFrame, analysed: DataFrame) -> Da
     return out.withColumn("intact", (F.col("accepted") == F.col("stored")) & (F.col("stored") == F.col("analysed")))
 
 
-def evidence_key(imports: DataFrame, version: int = 1) -> DataFrame:
-    """One key for a state of the evidence: version, counts and the sorted imports; equal keys mean equal results."""
-    agg = imports.agg(F.sum("rows").alias("rows"), F.array_join(F.array_sort(F.collect_set("import_id")), ",").alias("ids"))
-    return agg.select(F.concat_ws("|", F.lit(f"v{version}"), F.col("rows").cast("string"), F.col("ids")).alias("evidence_key"), F.substring(F.sha2("ids", 256), 1, 12).alias("short_key"))
+def evidence_key(imports: DataFrame, confirmations: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """One key for a state of the evidence: version, counts, the imports and the confirmations; equal keys mean equal results.
+
+    The imports enter as a digest of sums of hashes, which no order changes; no task holds all their ids.
+    ``confirmations``: one row (confirmations, latest).
+    """
+    ids = F.sum(F.xxhash64("import_id", "rows").cast("decimal(38,0)"))
+    agg = imports.agg(F.sum("rows").alias("rows"), F.count("*").alias("imports"), F.coalesce(ids, F.lit(0)).cast("string").alias("ids"))
+    parts = [F.lit(f"v{version}"), F.col("rows").cast("string"), F.col("imports").cast("string"), F.substring(F.sha2("ids", 256), 1, 16)]
+    if confirmations is not None:
+        agg = agg.join(F.broadcast(confirmations.limit(1)))
+        parts += [F.col("confirmations").cast("string"), F.coalesce(F.col("latest").cast("string"), F.lit("none"))]
+    key = F.concat_ws("|", *parts)
+    return agg.select(key.alias("evidence_key"), F.substring(F.sha2(key, 256), 1, 12).alias("short_key"))
 
 
 def fingerprint(imports: DataFrame) -> DataFrame:

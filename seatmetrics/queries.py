@@ -24,9 +24,9 @@ def query(make: Callable[[Estate], DataFrame]) -> Callable[[Estate], DataFrame]:
 
 
 def queries() -> dict[str, Query]:
-    from seatmetrics import ingest_queries
+    from seatmetrics import ingest_queries, page_queries
 
-    return _registered | ingest_queries.queries()
+    return _registered | ingest_queries.queries() | page_queries.queries()
 
 
 def _short_daily(e: Estate) -> DataFrame:
@@ -164,10 +164,7 @@ def forecast_spend(e: Estate) -> DataFrame:
 @query
 def scenario_rollup(e: Estate) -> DataFrame:
     """All features under other assumptions than the default ones."""
-    options = sizing.Options(percentile=0.99, growth=1.05, safety=1.2)
-    sized = sizing.right_sizing(e.daily(e.window()), e.features(), e.window(), options).select("feature_id", "entitled", "recommended")
-    rows = sizing.financials(sized.join(e.features().select("feature_id", "unit_price"), "feature_id"))
-    return rows.agg(F.count("*").alias("features"), F.sum("recommended").alias("recommended"), half_up(F.sum("opportunity"), 2).alias("opportunity"), half_up(F.sum("incremental"), 2).alias("incremental"))
+    return portfolio.scenario(e, sizing.Options(percentile=0.99, growth=1.05, safety=1.2))
 
 
 # ---- seats, tokens, denials ----
