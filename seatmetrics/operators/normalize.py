@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatmetrics.functions.numeric import half_up, ratio
-from seatmetrics.functions.text import cell, currency_unreadable, read_boolean, read_currency, read_date, read_hour, read_number, read_timestamp
+from seatmetrics.functions.text import cell, read_boolean, read_currency, read_date, read_hour, read_number, read_timestamp
 
 
 @dataclass(frozen=True)
@@ -70,44 +70,52 @@ def _error(rule: str, field: str, value: Column) -> Column:
 
 
 def typed(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
-    """``raw`` (texts, source_row) as typed columns of the dataset's fields that it has, and ``errors``."""
+    """``raw`` (texts, source_row) as typed columns of the dataset's fields that it has, and ``errors``.
+
+    Cells are trimmed, read and checked in three projections, so that each cell is trimmed and read once.
+    """
     fields = [f for f in DATASETS[dataset] if f.name in raw.columns]
-    values, errors, read = [], [], {}
+    have = {f.name for f in fields}
+    said = {f.name: F.col(f"said_{f.name}") for f in fields}
+    cells = raw.select("source_row", *[cell(F.col(f.name).cast("string")).alias(f"said_{f.name}") for f in fields])
+    rows = cells.withColumns({f.name: read_currency(said[f.name]) if f.name == "currency" else _read(f, said[f.name], day_first) for f in fields})
+    stamps = [c for c in STAMPS if c in have] if dataset == "usage" else []
+    dated = "date" not in have and bool(stamps)
+    if dated:
+        rows = rows.withColumn("date", F.coalesce(*stamps).cast("date"))
+    none, errors = F.lit(None).cast("string"), []
     for f in fields:
-        text = cell(F.col(f.name).cast("string"))
-        value = read_currency(text) if f.name == "currency" else _read(f, text, day_first)
-        values.append(value.alias(f.name))
-        read[f.name] = value
+        text, value = said[f.name], F.col(f.name)
         if f.required:
-            errors.append(F.when(text.isNull(), _error("missing_required_field", f.name, F.lit(None).cast("string"))))
+            errors.append(F.when(text.isNull(), _error("missing_required_field", f.name, none)))
         if f.kind in _RULES:
             errors.append(F.when(text.isNotNull() & value.isNull(), _error(_RULES[f.kind], f.name, text)))
         if f.kind == "number" and not f.signed:
             errors.append(F.when(value < 0, _error("negative_quantity", f.name, text)))
     if dataset == "contracts":
-        errors += _commercial_errors(read, raw)
-    stamps = [read[c] for c in STAMPS if c in read] if dataset == "usage" else []
-    missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in raw.columns and not (f.name == "date" and stamps)]
-    if stamps and "date" not in read:
-        day = F.coalesce(*stamps).cast("date")
-        values.append(day.alias("date"))
+        errors += _commercial_errors(have, said)
+    if dated:
         unread = F.lit(False)
-        for c in STAMPS:
-            unread = unread | (cell(F.col(c).cast("string")).isNotNull() & read[c].isNull()) if c in read else unread
-        errors.append(F.when(day.isNull() & ~unread, _error("missing_required_field", "date", F.lit(None).cast("string"))))
-    errors += [_error("unmapped_required_field", name, F.lit(None).cast("string")) for name in missing]
-    return raw.select("source_row", *values, F.array_compact(F.array(*errors)).alias("errors"))
+        for c in stamps:
+            unread = unread | (said[c].isNotNull() & F.col(c).isNull())
+        errors.append(F.when(F.col("date").isNull() & ~unread, _error("missing_required_field", "date", none)))
+    missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in have and not (f.name == "date" and dated)]
+    errors += [_error("unmapped_required_field", name, none) for name in missing]
+    return rows.select("source_row", *[f.name for f in fields], *(["date"] if dated else []), F.array_compact(F.array(*errors)).alias("errors"))
 
 
-def _commercial_errors(row: dict[str, Column], raw: DataFrame) -> list[Column]:
+def _commercial_errors(have: set[str], said: dict[str, Column]) -> list[Column]:
     """What only a contract line can get wrong: an unreadable currency, dates in the wrong order, neither a price nor a date."""
-    none = F.lit(None).cast("string")
-    start, end, renewal = (row.get(c, F.lit(None).cast("date")) for c in ("start_date", "end_date", "renewal_date"))
-    costs = [row.get(c, F.lit(None).cast("double")) for c in ("unit_price", "total_cost", "annual_cost")]
+
+    def value(name: str, kind: str) -> Column:
+        return F.col(name) if name in have else F.lit(None).cast(kind)
+
+    start, end, renewal = (value(c, "date") for c in ("start_date", "end_date", "renewal_date"))
+    costs = [value(c, "double") for c in ("unit_price", "total_cost", "annual_cost")]
     out = [F.when(end < start, _error("inconsistent_dates", "end_date", end.cast("string"))), F.when(renewal < start, _error("inconsistent_dates", "renewal_date", renewal.cast("string")))]
-    out.append(F.when(F.coalesce(*costs).isNull() & F.coalesce(end, renewal).isNull(), _error("no_commercial_content", "", none)))
-    if "currency" in raw.columns:
-        out.append(F.when(currency_unreadable(F.col("currency")), _error("invalid_currency", "currency", F.col("currency"))))
+    out.append(F.when(F.coalesce(*costs).isNull() & F.coalesce(end, renewal).isNull(), _error("no_commercial_content", "", F.lit(None).cast("string"))))
+    if "currency" in have:
+        out.append(F.when(said["currency"].isNotNull() & F.col("currency").isNull(), _error("invalid_currency", "currency", said["currency"])))
     return out
 
 
