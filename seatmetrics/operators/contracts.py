@@ -34,7 +34,8 @@ def link_contracts(lines: DataFrame, features: DataFrame, aliases: DataFrame) ->
     keyed = lines.withColumns({"name_key": feature_key(F.col("feature")), "raw": F.lower(F.trim("feature")), "sku_key": sku_key(F.col("sku"))})
     known = features.select(F.col("feature_key").alias("known")).distinct()
     named = keyed.join(known, keyed["name_key"] == known["known"], "left")
-    voucher = named.where("known IS NOT NULL AND sku_key IS NOT NULL").groupBy("sku_key").agg(F.max_by("name_key", "line_id").alias("vouched"))
+    spellings = lines.where("sku IS NOT NULL").groupBy("feature", "sku").agg(F.max("line_id").alias("line_id")).select(feature_key(F.col("feature")).alias("known"), sku_key(F.col("sku")).alias("sku_key"), "line_id")
+    voucher = spellings.join(known, "known").where("sku_key IS NOT NULL").groupBy("sku_key").agg(F.max_by("known", "line_id").alias("vouched"))
     confirmed = aliases.join(known, aliases["target"] == known["known"]).groupBy("raw").agg(F.min("target").alias("aliased"))
     out = named.join(confirmed, "raw", "left").join(voucher, "sku_key", "left")
     basis = F.when(F.col("aliased").isNotNull(), "confirmed_alias").when(F.col("known").isNotNull(), "normalized_name").when(F.col("vouched").isNotNull(), "sku").otherwise("unmatched")
