@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -96,38 +97,99 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return named.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)], "source_row")
 
 
-_SPACE = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# Built-in number formats that show a date or a time.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+#: Rows of a workbook that are handed on together.
+ROWS_AT_ONCE = 5_000
 
 
 def _text(node: ElementTree.Element | None) -> str:
     return "" if node is None else "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t"))
 
 
+def _part(book: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    return ElementTree.fromstring(book.read(name)) if name in book.namelist() else None
+
+
+def _sheet_parts(book: zipfile.ZipFile, workbook: ElementTree.Element) -> list[tuple[str, str]]:
+    """(sheet name, its part) in the workbook's order: by relationship, without relationships by the parts' numbers."""
+    sheets = workbook.findall(f"{_MAIN}sheets/{_MAIN}sheet")
+    relations = _part(book, "xl/_rels/workbook.xml.rels")
+    if relations is None:
+        parts = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        return list(zip([s.get("name", "") for s in sheets], parts))
+    targets = {r.get("Id"): r.get("Target", "") for r in relations}
+    found = [(s.get("name", ""), targets.get(s.get(_RELATION), "")) for s in sheets]
+    named = [(name, t[1:] if t.startswith("/") else f"xl/{t}") for name, t in found]
+    return [(name, part) for name, part in named if part in book.namelist()]
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell styles whose number format shows a date or a time."""
+    styles = _part(book, "xl/styles.xml")
+    if styles is None:
+        return set()
+    own = {int(f.get("numFmtId", "0")): f.get("formatCode", "") for f in styles.findall(f"{_MAIN}numFmts/{_MAIN}numFmt")}
+    dated = DATE_FORMATS | {k for k, code in own.items() if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[(?!h+\]|m+\]|s+\])[^]]*\]|\\.|_.|General', "", code), re.IGNORECASE)}
+    return {k for k, xf in enumerate(styles.findall(f"{_MAIN}cellXfs/{_MAIN}xf")) if int(xf.get("numFmtId", "0")) in dated}
+
+
+def serial_text(serial: float, since_1904: bool = False) -> str:
+    """A date cell's number of days as text: the date, and the time to the second if it has one."""
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30) if serial >= 60 else datetime(1899, 12, 31)
+    at = start + timedelta(seconds=round(serial * 86_400))
+    return at.strftime("%Y-%m-%d" if at.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def _cell_text(c: ElementTree.Element, shared: list[str], dated: set[int], since_1904: bool) -> str:
+    kind, value = c.get("t", "n"), c.find(f"{_MAIN}v")
+    raw = (value.text or "") if value is not None else ""
+    if kind == "inlineStr":
+        return _text(c.find(f"{_MAIN}is"))
+    if kind == "s" and raw:
+        return shared[int(raw)]
+    if kind == "n" and raw and int(c.get("s", "0")) in dated and 0 <= float(raw) < 2_958_466:
+        return serial_text(float(raw), since_1904)
+    return raw
+
+
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row number, cells as text) of every sheet; a formula gives its stored result."""
+    """(sheet, row number, cells as text) of every sheet; a formula gives its stored result, a date cell its date.
+
+    Sheets are read row by row; only the texts that cells share are held whole.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = [_text(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _SPACE)]
-        names = [s.get("name", "") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _SPACE)]
-        files = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-        for sheet, name in zip(names, files):
-            for row in ElementTree.fromstring(book.read(name)).iterfind("m:sheetData/m:row", _SPACE):
-                cells: dict[int, str] = {}
-                for c in row.findall("m:c", _SPACE):
-                    place = 0
-                    for letter in re.sub(r"\d", "", c.get("r", "A")):
-                        place = place * 26 + ord(letter) - 64
-                    value = c.find("m:v", _SPACE)
-                    raw = (value.text or "") if value is not None else ""
-                    cells[place] = shared[int(raw)] if c.get("t") == "s" and raw else _text(c.find("m:is", _SPACE)) if c.get("t") == "inlineStr" else raw
-                yield sheet, int(row.get("r", "0")), [cells.get(k, "") for k in range(1, max(cells, default=0) + 1)]
+        strings = _part(book, "xl/sharedStrings.xml")
+        shared = [] if strings is None else [_text(s) for s in strings.findall(f"{_MAIN}si")]
+        workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        settings = workbook.find(f"{_MAIN}workbookPr")
+        since_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        dated = _date_styles(book)
+        for sheet, part in _sheet_parts(book, workbook):
+            with book.open(part) as stream:
+                for _, row in ElementTree.iterparse(stream):
+                    if row.tag != f"{_MAIN}row":
+                        continue
+                    cells: dict[int, str] = {}
+                    for c in row.findall(f"{_MAIN}c"):
+                        place = 0
+                        for letter in re.sub(r"\d", "", c.get("r", "A")):
+                            place = place * 26 + ord(letter) - 64
+                        cells[place] = _cell_text(c, shared, dated, since_1904)
+                    yield sheet, int(row.get("r", "0")), [cells.get(k, "") for k in range(1, max(cells, default=0) + 1)]
+                    row.clear()
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each non-blank row below the first of each sheet: file, sheet, source_row, cells (header -> text)."""
+    """One row for each non-blank row below the first of each sheet: file, sheet, source_row, cells (header -> text).
+
+    A workbook is read by one task, which holds its compressed bytes and a few thousand rows at a time.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "sheet", "source_row", "cells"]
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
                 rows, headers = [], {}
@@ -137,7 +199,10 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                     elif any(c.strip() for c in cells):
                         heads = headers.get(sheet, [])
                         rows.append((name, sheet, at, {h: c for h, c in zip(heads, cells) if c.strip()}))
-                yield pd.DataFrame(rows, columns=["file", "sheet", "source_row", "cells"])
+                        if len(rows) == ROWS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+                yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "file string, sheet string, source_row bigint, cells map<string,string>")

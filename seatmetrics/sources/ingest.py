@@ -65,17 +65,27 @@ def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, st
     """
     if not files.accepted_name(path):
         raise ValueError(f"not a file of a known kind: {path}")
-    if files.kind_of(files.head_of(spark, path, 8)) == "workbook":
-        cells = files.read_workbooks(spark, path)
-        headers = sorted(r["h"] for r in cells.select(F.explode(F.map_keys("cells")).alias("h")).distinct().collect())
-        raw = cells.select(*[F.col("cells")[h].alias(h) for h in headers], "source_row")
+    book = files.kind_of(files.head_of(spark, path, 8)) == "workbook"
+    if book:
+        raw = files.read_workbooks(spark, path)
+        found = raw.select("sheet", F.explode(F.map_keys("cells")).alias("h")).distinct().collect()
+        tables = {s: sorted(r["h"] for r in found if r["sheet"] == s) for s in sorted({r["sheet"] for r in found})}
     else:
         raw = files.read_delimited(spark, path)
-        headers = [c for c in raw.columns if c != "source_row"]
+        tables = {"": [c for c in raw.columns if c != "source_row"]}
     source, sure = "generic", 0
     if dataset != "contracts":
-        samples = [str(v) for r in raw.drop("source_row").limit(SAMPLE_ROWS).collect() for v in r if v is not None]
-        source, sure = mapping.detect(headers, path.rsplit("/", 1)[-1], samples)
-    mapped = mapping.resolve(headers, dataset, overrides, source)
-    rows = normalize.checked(with_fallbacks(mapping.apply(raw, mapped), dataset), dataset, day_first)
-    return Ingested(dataset, rows, mapped, source, sure)
+        texts = raw.select(F.map_values("cells").alias("v")) if book else raw.select(F.array(*[F.col(f"`{h}`") for h in tables[""]]).alias("v"))
+        samples = [v for r in texts.limit(SAMPLE_ROWS).collect() for v in r["v"] if v is not None]
+        source, sure = mapping.detect([h for heads in tables.values() for h in heads], path.rsplit("/", 1)[-1], samples)
+    by_table = {name: mapping.resolve(heads, dataset, overrides, source) for name, heads in tables.items()}
+    named = by_sheet(raw, by_table) if book else mapping.apply(raw, by_table[""])
+    rows = normalize.checked(with_fallbacks(named, dataset), dataset, day_first)
+    return Ingested(dataset, rows, list(dict.fromkeys(m for mapped in by_table.values() for m in mapped)), source, sure)
+
+
+def by_sheet(cells: DataFrame, mapped: dict[str, list[mapping.Mapped]]) -> DataFrame:
+    """Rows of ``read_workbooks`` under their canonical names; each sheet has columns of its own."""
+    fields = dict.fromkeys(m.field for sheet in mapped.values() for m in sheet)
+    own = {f: [F.when(F.col("sheet") == sheet, F.col("cells")[m.column]) for sheet, ms in mapped.items() for m in ms if m.field == f] for f in fields}
+    return cells.select(*[F.coalesce(*parts).alias(f) for f, parts in own.items()], "source_row")
