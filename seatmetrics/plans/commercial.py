@@ -26,6 +26,14 @@ WEIGHTS = {
 }
 
 
+#: What no activity carries any evidence for: nothing is allocated.
+NO_METHOD = "none"
+
+
+def _weight(method: str) -> Column:
+    return F.lit(0.0) if method == NO_METHOD else WEIGHTS[method]()
+
+
 def used() -> Column:
     return (F.col("total_sessions") > 0) | (F.col("total_hours") > 0) | F.col("last_used").isNotNull()
 
@@ -124,7 +132,7 @@ def allocate(activity: DataFrame, people: DataFrame, costs: DataFrame, dimension
     ``costs``: feature_id, current_cost, waste. Activity is added up by (feature, value) before anything meets, and a
     feature's total weight is a second group-by on those sums, so no task holds the rows of one feature.
     """
-    weight = WEIGHTS[method]()
+    weight = _weight(method)
     placed = activity.join(people.select("employee_id", _grouped_value(dimension).alias("grp")), "employee_id", "left")
     cells = placed.groupBy("feature_id", "grp").agg(
         F.sum(F.when(weight > 0, weight)).alias("weight"), F.sum("total_hours").alias("hours"), F.sum("total_sessions").alias("sessions"), F.count(F.when(F.col("assigned"), 1)).alias("assigned"),
@@ -149,7 +157,7 @@ def allocate(activity: DataFrame, people: DataFrame, costs: DataFrame, dimension
 
 def allocation_check(activity: DataFrame, people: DataFrame, costs: DataFrame, dimension: str, method: str) -> DataFrame:
     """One row: allocated + unallocated = allocatable, and what identities without a value took."""
-    weight = WEIGHTS[method]()
+    weight = _weight(method)
     placed = activity.where(weight > 0).join(people.select("employee_id", _grouped_value(dimension).alias("grp")), "employee_id", "left")
     sums = placed.groupBy("feature_id").agg(F.sum(weight).alias("full"), F.sum(F.when(F.col("grp").isNotNull(), weight)).alias("named"))
     rows = costs.where("current_cost IS NOT NULL").join(sums, "feature_id", "left")
@@ -161,9 +169,9 @@ def allocation_check(activity: DataFrame, people: DataFrame, costs: DataFrame, d
 
 
 def automatic_method(activity: DataFrame, costs: DataFrame) -> str:
-    """The best method that the evidence carries: one row of flags decides on the driver."""
+    """The best method that the evidence carries, or none: one row of flags decides on the driver."""
     flags = activity.agg(F.bool_or(F.col("total_hours") > 0).alias("hours"), F.bool_or(used()).alias("users"), F.bool_or("assigned").alias("seats")).collect()[0]
-    return "usage_duration" if flags["hours"] else "distinct_observed_users" if flags["users"] else "assigned_users"
+    return "usage_duration" if flags["hours"] else "distinct_observed_users" if flags["users"] else "assigned_users" if flags["seats"] else NO_METHOD
 
 
 def drill_path(activity: DataFrame, people: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from seatmetrics import queries
 from seatmetrics.operators import normalize, seats
-from seatmetrics.plans import ask
-from seatmetrics.sources import files, mapping, sinks, synthetic
+from seatmetrics.plans import ask, commercial
+from seatmetrics.sources import files, ingest, mapping, sinks, synthetic
 from seatmetrics.streaming import hourly
 
 FLEX = ["DATE", "TIME", "FEATURE", "VENDOR_DAEMON", "USER", "HOST", "DISPLAY", "SERVER_HOST", "LICENSES_ISSUED", "LICENSES_IN_USE", "CHECKOUT_TIME", "STATUS"]
@@ -47,6 +47,58 @@ def test_workbook(spark, tmp_path):
     assert [(r["sheet"], r["source_row"], r["cells"]) for r in rows] == [("People", 3, {"user": "ann", "seats": "2"})]
 
 
+def write_book(path, sheets, relations, styles, settings=""):
+    """A workbook of raw sheet rows: ``sheets`` name -> (part number, rows as XML)."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        listed = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="{relations[n]}"/>' for k, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}">{settings}<sheets>{listed}</sheets></workbook>')
+        targets = "".join(f'<Relationship Id="{relations[n]}" Target="worksheets/sheet{part}.xml"/>' for n, (part, _) in sheets.items())
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{targets}</Relationships>')
+        formats = "".join(f'<numFmt numFmtId="{k}" formatCode="{c}"/>' for k, c in styles if c)
+        cells = "".join(f'<xf numFmtId="{k}"/>' for k, _ in styles)
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts>{formats}</numFmts><cellXfs>{cells}</cellXfs></styleSheet>')
+        for part, rows in sheets.values():
+            z.writestr(f"xl/worksheets/sheet{part}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+
+
+def _row(at, *cells):
+    return f'<row r="{at}">' + "".join(f'<c r="{chr(65 + k)}{at}" t="inlineStr"><is><t>{c}</t></is></c>' if isinstance(c, str) else f'<c r="{chr(65 + k)}{at}" s="{c[0]}"><v>{c[1]}</v></c>' for k, c in enumerate(cells)) + "</row>"
+
+
+STYLES = [(0, ""), (14, ""), (164, "yyyy\\-mm\\-dd hh:mm"), (165, "0.00 &quot;days&quot;")]
+
+
+def test_workbook_dates_and_sheets(spark, tmp_path):
+    """Date cells are dates, sheets are found by relationship, and each sheet has columns of its own."""
+    first = _row(1, "Usage Date", "Feature", "In Use") + _row(2, (1, 45000), "cad", (0, 3)) + _row(3, (2, 45000.5), "cad", (3, 4.5))
+    second = _row(1, "Day", "Module", "Used") + _row(2, (1, 45001), "cam", (0, 7))
+    path = str(tmp_path / "use.xlsx")
+    write_book(path, {"B": (2, first), "A": (1, second)}, {"B": "r7", "A": "r2"}, STYLES)
+    rows = {(r["sheet"], r["source_row"]): r["cells"] for r in files.read_workbooks(spark, path).collect()}
+    assert rows[("B", 2)] == {"Usage Date": "2023-03-15", "Feature": "cad", "In Use": "3"}
+    assert rows[("B", 3)] == {"Usage Date": "2023-03-15 12:00:00", "Feature": "cad", "In Use": "4.5"}
+    assert rows[("A", 2)]["Day"] == "2023-03-16"
+    kept = ingest.ingest(spark, path, "usage").accepted.orderBy("date", "concurrent").collect()
+    assert [(str(r["date"]), r["feature"], r["concurrent"]) for r in kept] == [("2023-03-15", "cad", 3.0), ("2023-03-15", "cad", 4.5), ("2023-03-16", "cam", 7.0)]
+
+
+def test_date_cells_of_both_calendars(spark, tmp_path):
+    assert [files.serial_text(x) for x in (1, 59, 61, 45000.25)] == ["1900-01-01", "1900-02-28", "1900-03-01", "2023-03-15 06:00:00"]
+    path = str(tmp_path / "old.xlsx")
+    write_book(path, {"S": (1, _row(1, "day") + _row(2, (1, 1)) + _row(3, (1, -5)))}, {"S": "r1"}, STYLES, '<workbookPr date1904="1"/>')
+    assert [r["cells"]["day"] for r in files.read_workbooks(spark, path).orderBy("source_row").collect()] == ["1904-01-02", "-5"]
+
+
+def test_no_evidence_allocates_nothing(spark):
+    activity = spark.createDataFrame([("f", 1, False, 0, 0.0, None)], "feature_id string, employee_id int, assigned boolean, total_sessions long, total_hours double, last_used date")
+    people = spark.createDataFrame([(1, "d", "active")], "employee_id int, department string, status string")
+    costs = spark.createDataFrame([("f", 10.0, 1.0)], "feature_id string, current_cost double, waste double")
+    assert commercial.automatic_method(activity, costs) == "none"
+    assert commercial.automatic_method(activity.withColumn("assigned", F.lit(True)), costs) == "assigned_users"
+    assert [r["allocated_spend"] for r in commercial.allocate(activity, people, costs, "department", "none").collect()] == [0.0]
+
+
 def test_mapping_rules():
     by_field = {m.field: m.column for m in mapping.resolve(FLEX, "usage")}
     assert (by_field["date"], by_field["feature"], by_field["user"], by_field["concurrent"], by_field["license_server"]) == ("DATE", "FEATURE", "USER", "LICENSES_IN_USE", "SERVER_HOST")
