@@ -15,19 +15,24 @@ from seatmetrics.functions.text import name_tokens, resemblance, token_similarit
 LEAST_SCORE, SHOWN = 15, 5
 
 
-def _top(rows: DataFrame, by: str, order: list[Column], n: int = SHOWN) -> DataFrame:
+def _top(rows: DataFrame, by: str | list[str], order: list[Column], n: int = SHOWN) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def review_queue(lines: DataFrame, features: DataFrame) -> DataFrame:
-    """``lines`` (line_id, name, vendor) against observed ``features`` (feature_id, feature_name, vendor_name): the five best by common words, the vendor adding 15."""
-    left = lines.select("line_id", "vendor", name_tokens(F.col("name")).alias("a"))
-    right = features.select("feature_id", "vendor_name", name_tokens(F.col("feature_name")).alias("b"))
-    pairs = left.withColumn("word", F.explode("a")).join(right.withColumn("word", F.explode("b")), "word").drop("word").dropDuplicates(["line_id", "feature_id"])
-    same = F.coalesce(F.lower(F.trim("vendor")) == F.lower(F.trim("vendor_name")), F.lit(False))
+    """``lines`` (line_id, name, vendor) against observed ``features`` (feature_id, feature_name, vendor_name): the five best by common words, the vendor adding 15.
+
+    Lines of equal words and vendor are compared once.
+    """
+    named = lines.select("line_id", F.lower(F.trim("vendor")).alias("vendor"), name_tokens(F.col("name")).alias("a"))
+    right = features.select("feature_id", F.lower(F.trim("vendor_name")).alias("vendor_name"), name_tokens(F.col("feature_name")).alias("b"))
+    left = named.select("a", "vendor").distinct()
+    pairs = left.withColumn("word", F.explode("a")).join(right.withColumn("word", F.explode("b")), "word").drop("word").dropDuplicates(["a", "vendor", "feature_id"])
+    same = F.coalesce(F.col("vendor") == F.col("vendor_name"), F.lit(False))
     score = F.least(F.lit(100), token_similarity(F.col("a"), F.col("b")) + F.when(same, 15).otherwise(0)).cast("bigint")
-    scored = pairs.select("line_id", "feature_id", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
-    return _top(scored, "line_id", [F.col("score").desc(), F.col("feature_id")])
+    scored = pairs.select("a", "vendor", "feature_id", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
+    best = _top(scored, ["a", "vendor"], [F.col("score").desc(), F.col("feature_id")]).withColumnsRenamed({"a": "words", "vendor": "of"})
+    return named.join(best, (F.col("a") == F.col("words")) & F.col("vendor").eqNullSafe(F.col("of"))).select("line_id", "feature_id", "score", "rank")
 
 
 def user_review_queue(users: DataFrame, people: DataFrame) -> DataFrame:
