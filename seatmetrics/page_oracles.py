@@ -12,6 +12,29 @@ bad AS (SELECT i, 'invalid_date' AS rule, 'observed_at' AS field, 'later' AS val
 s3 AS (SELECT *, row_number() OVER (PARTITION BY o, user_id, k % 10, q, con, pk, c ORDER BY i) AS place FROM s2 WHERE i % 61 <> 0 AND (o IS NOT NULL OR c IS NOT NULL)),
 ok AS (SELECT 'feature_' || (k % 10) AS feature_id, 'user' || user_id AS u, i, CAST(coalesce(o, c) AS DATE) AS date, CAST(hour(coalesce(o, c)) AS INTEGER) AS hour, o, c, coalesce(con, pk) AS concurrent, q, dc, i % 11 = 0 AS denied FROM s3 WHERE place = 1)
 """
+# Name of a scenario -> observations, percentile, growth, safety and factor of the price.
+_SCENARIOS = {"defaults": (365, 0.95, "1.0", "1.1", "1.0"), "conservative": (730, 0.99, "1.1", "1.2", "1.0"), "aggressive": (365, 0.9, "1.0", "1.0", "1.0"), "raised_prices": (30, 0.99, "1.05", "1.2", "1.04")}
+
+
+def _scenario(n: int, p: float, growth: str, safety: str, factor: str) -> str:
+    from seatmetrics import oracles
+
+    r, raw = oracles.r, f"b * {growth}::DOUBLE * {safety}::DOUBLE"
+    last = "SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY date DESC) AS k FROM daily"
+    sums = f"SELECT feature_id, entitled, unit_price * {factor}::DOUBLE AS price, count(*) AS observed_days, {oracles.q(p)} AS b, {oracles.q(0.95)} AS p95, max(peak) AS max_peak, count(*) FILTER (WHERE peak >= entitled) AS saturation_days FROM ({last}) JOIN feat USING (feature_id) WHERE k <= {n} GROUP BY ALL"
+    more = f"SELECT *, {oracles.up(raw)} AS recommended, CASE WHEN entitled > 0 THEN {r('p95 / entitled * 100', 1)} ELSE 0.0::DOUBLE END AS utilization_pct, {r('saturation_days * 100.0 / observed_days', 1)} AS sat FROM ({sums})"
+    risk = "CASE WHEN entitled <= 0 THEN 'Low' WHEN sat >= 10 OR utilization_pct >= 100 THEN 'Critical' WHEN utilization_pct >= 92 THEN 'High' WHEN utilization_pct >= 80 OR max_peak >= entitled THEN 'Moderate' ELSE 'Low' END"
+    money = f"{r('entitled * price', 2)} AS current_cost, {r('recommended * price', 2)} AS recommended_cost, CASE WHEN price IS NOT NULL THEN {r('greatest(entitled - recommended, 0) * price', 2)} END AS opportunity, CASE WHEN price IS NOT NULL THEN {r('greatest(recommended - entitled, 0) * price', 2)} END AS incremental"
+    return f"SELECT feature_id, entitled, observed_days, {r('b', 2)} AS basis, {r(raw, 4)} AS raw_recommended, recommended, max_peak, utilization_pct, saturation_days, {risk} AS risk, {money} FROM ({more})"
+
+
+def _drivers(column: str, n: int) -> str:
+    from seatmetrics import oracles
+
+    whole = f"SELECT {column} AS grp, sum(total_hours) AS hours FROM act JOIN people USING (employee_id) WHERE {column} IS NOT NULL GROUP BY ALL"
+    return f"SELECT grp, hours, {oracles.r('hours * 100 / total', 1)} AS share_pct FROM (SELECT *, sum(hours) OVER () AS total FROM ({whole})) ORDER BY hours DESC, grp LIMIT {n}"
+
+
 _LINKS = "SELECT position_key, sum(annual_cost) AS a FROM link WHERE basis = 'unmatched' GROUP BY ALL"
 
 
@@ -32,6 +55,12 @@ def oracle_sql() -> dict[str, str]:
         "top_users": "SELECT employee_id, sum(total_hours) AS hours FROM act GROUP BY ALL ORDER BY hours DESC, employee_id LIMIT 8",
         "top_locations": "SELECT location, sum(total_hours) AS hours FROM act JOIN people USING (employee_id) GROUP BY ALL ORDER BY hours DESC, location LIMIT 6",
         "top_forecasts": f"SELECT feature_id, financial_impact FROM (SELECT feature_id, {oracles.r('(rec - entitled) * unit_price', 2)} AS financial_impact FROM (SELECT feature_id, entitled, unit_price, {oracles.up(oracles.r('p95 * (1 + growth)', 2) + ' * 1.1')} AS rec FROM fc) WHERE unit_price IS NOT NULL) ORDER BY abs(financial_impact) DESC, feature_id LIMIT 5",
+        **{f"scenario_{name}": _scenario(*values) for name, values in _SCENARIOS.items()},
+        "drivers_by_person": _drivers("username", 5),
+        "drivers_by_department": _drivers("department", 4),
+        "spend_shares": f"SELECT vendor_id, spend, {oracles.r('spend * 100 / nullif(sum(spend) OVER (), 0)', 1)} AS share_pct FROM (SELECT vendor_id, {oracles.r('coalesce(sum(current_cost), 0)', 2)} AS spend FROM pf GROUP BY ALL)",
+        "positions_order": "SELECT feature_id, renewal_date, current_cost FROM pf",
+        "open_decisions": "SELECT id, CASE kind WHEN 'renewal' THEN 'negotiate' WHEN 'capacity' THEN 'increase' WHEN 'cost' THEN 'reduce' WHEN 'reclaim' THEN 'reclaim' WHEN 'usage' THEN 'review' WHEN 'forecast' THEN 'increase' WHEN 'data' THEN 'resolve' ELSE 'reconcile' END AS action FROM sig WHERE id NOT IN ('renewal:contract:1', 'cost:Brand#1')",
         "portfolio_export": "SELECT feature_id, feature_name, vendor_name, license_model, entitled, recommended, current_cost, opportunity, risk, confidence FROM pf",
         "renewals_export": "SELECT contract_id, vendor_name, renewal_date, days_to_renewal, current_spend, recommended_spend FROM ren",
         "reclaim_export": "SELECT feature_id, employee_id, display_name, department, last_used, CAST(idle AS INTEGER) AS idle_days, unit_price AS annual_value FROM idle JOIN feat USING (feature_id) LEFT JOIN people USING (employee_id) WHERE cand AND license_model IN ('named_user', 'subscription')",

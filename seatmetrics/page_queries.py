@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seatmetrics import ingest_queries
 from seatmetrics.functions import dates, text
 from seatmetrics.operators import contracts, demand, identity, normalize, review, seats, sizing
-from seatmetrics.plans import assembly, commercial, portfolio, trust
+from seatmetrics.plans import assembly, commercial, portfolio, signals, trust
 from seatmetrics.plans.projection import Projection
 from seatmetrics.sources import mapping, sinks, synthetic
 from seatmetrics.sources.estate import Estate
@@ -181,6 +181,51 @@ def methodology(e: Estate) -> DataFrame:
     return e.spark.createDataFrame([(name, sizing.methodology(o, m)) for name, o, m in kinds], "name string, methodology string")
 
 
+# ---- scenarios, drivers, shares, filters ----
+
+
+def _scenario(name: str, observations: int, options: sizing.Options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Estate(spark, sf_dir)
+        return portfolio.scenario_detail(e.daily(), e.features(), options, observations).drop("savings_pct", "unit_price")
+
+    _registered[f"scenario_{name}"] = run
+
+
+for _name, (_days, _options) in portfolio.PRESETS.items():
+    _scenario(_name, _days, _options)
+_scenario("raised_prices", 30, sizing.Options(percentile=0.99, growth=1.05, safety=1.2, escalation_pct=4.0))
+
+
+@query
+def drivers_by_person(e: Estate) -> DataFrame:
+    """A report of five rows."""
+    return commercial.demand_drivers(e.activity(), e.people(), "username")
+
+
+@query
+def drivers_by_department(e: Estate) -> DataFrame:
+    """A report of four rows."""
+    return commercial.demand_drivers(e.activity(), e.people(), "department", 4)
+
+
+@query
+def spend_shares(e: Estate) -> DataFrame:
+    return commercial.spend_shares(commercial.vendor_spend(portfolio.portfolio(e)))
+
+
+@query
+def positions_order(e: Estate) -> DataFrame:
+    return commercial.positions_order(portfolio.portfolio(e))
+
+
+@query
+def open_decisions(e: Estate) -> DataFrame:
+    from seatmetrics.queries import queries as every
+
+    return signals.with_status(every()["decisions"](e.spark, e.root), "open").select("id", "action")
+
+
 # ---- exports ----
 
 

@@ -206,6 +206,18 @@ def vendor_spend(portfolio: DataFrame) -> DataFrame:
     return portfolio.groupBy("vendor_id", "vendor_name").agg(half_up(or_zero(F.sum("current_cost")), 2).alias("spend"), F.count("*").alias("features")).orderBy(F.col("spend").desc(), "vendor_id")
 
 
+def spend_shares(vendors: DataFrame) -> DataFrame:
+    """``vendors`` (vendor_id, spend) with each one's share of the whole; unknown where nothing is spent."""
+    total = vendors.agg(F.sum("spend").alias("total"))
+    return vendors.join(F.broadcast(total)).select("vendor_id", "spend", half_up(ratio(F.col("spend") * 100, F.col("total")), 1).alias("share_pct"))
+
+
+def positions_order(portfolio: DataFrame) -> DataFrame:
+    """Positions by renewal date; those without a date last, the dearest of them first."""
+    undated = F.col("renewal_date").isNull()
+    return portfolio.select("feature_id", "renewal_date", "current_cost").orderBy(F.col("renewal_date").asc_nulls_last(), F.when(undated, or_zero(F.col("current_cost"))).desc(), "feature_id")
+
+
 def demand_drivers(activity: DataFrame, people: DataFrame, by: str, top: int = 5) -> DataFrame:
     """The ``top`` values of a dimension by hours, with their share of all hours; a report, so the limit is its meaning."""
     sums = activity.join(people.select("employee_id", F.col(by).alias("grp")).where("grp IS NOT NULL"), "employee_id").groupBy("grp").agg(F.sum("total_hours").alias("hours"))

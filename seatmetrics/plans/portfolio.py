@@ -155,6 +155,27 @@ def cost_bridge(rows: DataFrame) -> DataFrame:
     return flat.withColumn("running_total", half_up(F.sum("amount").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)), 2))
 
 
+#: Assumptions to start from: how many observations count, and the options.
+PRESETS = {
+    "defaults": (365, Options()),
+    "conservative": (730, Options(percentile=0.99, growth=1.1, safety=1.2)),
+    "aggressive": (365, Options(percentile=0.9, safety=1.0)),
+}
+
+
+def scenario_detail(daily: DataFrame, features: DataFrame, options: Options = Options(), observations: int = 365) -> DataFrame:
+    """Each feature with peaks under the assumptions of a scenario: its last ``observations`` days that were observed, whatever their dates, and a price raised by ``escalation_pct``."""
+    last = daily.withColumn("place", F.row_number().over(W.partitionBy("feature_id").orderBy(F.col("date").desc()))).where(F.col("place") <= observations)
+    price = F.col("unit_price") * (1 + options.escalation_pct / 100)
+    peaks = last.select("feature_id", "peak").join(features.select("feature_id", "entitled", price.alias("unit_price")), "feature_id")
+    rows = peaks.groupBy("feature_id", "entitled", "unit_price").agg(
+        F.count("*").alias("observed_days"), F.round(F.percentile("peak", F.lit(options.percentile)), 6).alias("_basis"), F.round(F.percentile("peak", F.lit(0.95)), 6).alias("p95"), F.max("peak").alias("max_peak"), F.count(F.when(F.col("peak") >= F.col("entitled"), 1)).alias("saturation_days"),
+    )
+    used = or_zero(F.when(F.col("entitled") > 0, half_up(ratio(F.col("p95"), F.col("entitled")) * 100, 1)))
+    rows = rows.withColumns({"utilization_pct": used, "saturation_pct": half_up(ratio(F.col("saturation_days"), F.col("observed_days")) * 100, 1)})
+    rows = rows.withColumn("risk", capacity_risk(rows)).select("feature_id", "entitled", "unit_price", "observed_days", *sized(F.col("_basis"), F.col("entitled"), options)[:3], "max_peak", "utilization_pct", "saturation_days", "risk")
+    return financials(rows)
+
 
 def scenario(estate: Estate, options: Options) -> DataFrame:
     """All features with peaks under other assumptions, as one row of sums."""

@@ -89,6 +89,11 @@ def decisions(signals: DataFrame, overrides: DataFrame) -> DataFrame:
     return signals.join(overrides.select("id", F.col("status").alias("_status")), "id", "left").select("id", "kind", action.alias("action"), "impact", "score", F.coalesce("_status", F.lit("open")).alias("status"))
 
 
+def with_status(decided: DataFrame, status: str | None) -> DataFrame:
+    """The list of decisions under its filter; no status shows all."""
+    return decided if status is None else decided.where(F.col("status") == status)
+
+
 def executive_actions(portfolio: DataFrame, renewals: DataFrame) -> DataFrame:
     """What a brief asks for: reductions, additions, seats to take back and agreements within 90 days, as far as there are any."""
     money = portfolio.agg(or_zero(F.sum("opportunity")).alias("opp"), or_zero(F.sum("incremental")).alias("inc"), or_zero(F.sum("reclaim_value")).alias("rec"), F.sum("reclaim_candidates").alias("seats"))
