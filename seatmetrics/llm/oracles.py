@@ -62,5 +62,41 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, floor(coalesce(x, 0) * 1e4 + 0
 """
 
 
+def _crc_table() -> str:
+    """The table of the reflected polynomial, by its rule."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return "[" + ", ".join(map(str, out)) + "]"
+
+
+#: Unigram features in 10,000 buckets by CRC-32, floored gains, Gumbel noise by a digest of the id.
+_RESAMPLE_SQL = r"""
+WITH tab AS (SELECT $table AS k),
+texts AS (SELECT 'd' AS o, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), item_id, text FROM benchmark),
+split AS (SELECT o, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+words AS (SELECT o, r, unnest(ws) AS w FROM split),
+bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM (SELECT DISTINCT w FROM words)),
+buckets AS (SELECT w, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(c >> 8, k[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+hits AS (SELECT o, r, bucket FROM words JOIN buckets USING (w)),
+s AS (SELECT bucket, count(*) FILTER (WHERE o = 'd') AS s, count(*) FILTER (WHERE o = 't') AS t FROM hits GROUP BY bucket),
+every AS (SELECT CAST(sum(s) AS DOUBLE) AS big_s, CAST(sum(t) AS DOUBLE) AS big_t FROM s),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000)))) AS BIGINT) AS g FROM s, every),
+weight AS (SELECT r, CAST(sum(g) AS BIGINT) AS weight FROM hits JOIN gain USING (bucket) WHERE o = 'd' GROUP BY r),
+scored AS (SELECT r, id AS doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weight USING (r) WHERE o = 'd'),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS k, 10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN k <= drawn THEN k END AS BIGINT) AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scores": _LM_SQL, "op2_warc_archive": _WARC_SQL, "op4_secret_scans": _secrets_sql()}
+    return {
+        "op1_lm_scores": _LM_SQL,
+        "op2_warc_archive": _WARC_SQL,
+        "op4_secret_scans": _secrets_sql(),
+        "op12_importance_resampling": _RESAMPLE_SQL.replace("$table", _crc_table()),
+    }

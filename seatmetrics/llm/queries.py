@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, cosine, decontaminate, langid, licenses, lm, minhash, token_files, warc
+from seatmetrics.llm import bpe, cosine, decontaminate, langid, licenses, lm, minhash, resample, token_counts, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
@@ -76,6 +76,28 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resample.resample(docs, target)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_lm_scores, op2_warc_archive, op3_license_scans, op4_secret_scans, op5_token_files, op6_minhash, op7_byte_bpe, op8_decontamination, op9_language_id, op10_near_vectors)
+    every = (
+        op1_lm_scores,
+        op2_warc_archive,
+        op3_license_scans,
+        op4_secret_scans,
+        op5_token_files,
+        op6_minhash,
+        op7_byte_bpe,
+        op8_decontamination,
+        op9_language_id,
+        op10_near_vectors,
+        op11_token_counts,
+        op12_importance_resampling,
+    )
     return {f.__name__: f for f in every}

@@ -72,11 +72,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]`` from one prefix sum, whatever the number of spans."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` from one prefix sum, whatever the number of spans; ``values`` has a word for each symbol."""
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=total[1:])
+    np.cumsum(values[data] * power[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
