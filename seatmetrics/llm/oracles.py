@@ -93,10 +93,24 @@ SELECT doc_id, n_features, weight, score, CAST(CASE WHEN k <= drawn THEN k END A
 """
 
 
+#: All anchors against all rows, exact; windows by whole numbers.
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE id % 50 = 0),
+s AS (SELECT a.id AS anchor_id, v.id AS other, a.label = v.label AS alike, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score FROM a JOIN v ON a.id <> v.id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_lm_scores": _LM_SQL,
         "op2_warc_archive": _WARC_SQL,
         "op4_secret_scans": _secrets_sql(),
         "op12_importance_resampling": _RESAMPLE_SQL.replace("$table", _crc_table()),
+        "op13_hard_negatives": _NEGATIVES_SQL,
     }

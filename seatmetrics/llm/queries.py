@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmetrics.llm import bpe, cosine, decontaminate, langid, licenses, lm, minhash, resample, token_counts, token_files, warc
+from seatmetrics.llm import bpe, cosine, decontaminate, langid, licenses, lm, minhash, negatives, resample, token_counts, token_files, warc
 from seatmetrics.llm import secrets as secret_scans
 
 
@@ -85,6 +85,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, target)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector has a wrong label, every fiftieth is an anchor."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_lm_scores,
@@ -99,5 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_near_vectors,
         op11_token_counts,
         op12_importance_resampling,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
