@@ -6,6 +6,7 @@ is kept by its place in the source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,16 +53,18 @@ KEYS = {
 }
 #: Columns whose timestamp stands in for the date of an observation, the first that has one.
 STAMPS = ("observed_at", "checkout_at")
+#: A reader of cells as a column expression.
+Reader = Callable[[Column], Column]
 _RULES = {"date": "invalid_date", "timestamp": "invalid_date", "number": "invalid_number", "hour": "invalid_hour"}
 
 
-def _read(field: Field, text: Column, day_first: bool) -> Column:
+def _read(field: Field, text: Column, day_first: bool, denied: Reader | None) -> Column:
     if field.kind == "date":
         return read_date(text, day_first)
     if field.kind == "timestamp":
         return read_timestamp(text, day_first)
     if field.name == "denied":
-        return F.coalesce(denied_word(text), read_boolean(text))
+        return F.coalesce((denied or denied_word)(text), read_boolean(text))
     return {"number": read_number, "hour": read_hour, "boolean": read_boolean}.get(field.kind, cell)(text)
 
 
@@ -69,16 +72,18 @@ def _error(rule: str, field: str, value: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field"), F.substring(value, 1, 60).alias("value"))
 
 
-def typed(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
+def typed(raw: DataFrame, dataset: str, day_first: bool = False, denied: Reader | None = None) -> DataFrame:
     """``raw`` (texts, source_row) as typed columns of the dataset's fields that it has, and ``errors``.
 
+    ``denied`` reads a source's own words for a refused request; a column ``source``, if there is one, stays.
     Cells are trimmed, read and checked in three projections, so that each cell is trimmed and read once.
     """
     fields = [f for f in DATASETS[dataset] if f.name in raw.columns]
     have = {f.name for f in fields}
     said = {f.name: F.col(f"said_{f.name}") for f in fields}
-    cells = raw.select("source_row", *[cell(F.col(f.name).cast("string")).alias(f"said_{f.name}") for f in fields])
-    rows = cells.withColumns({f.name: read_currency(said[f.name]) if f.name == "currency" else _read(f, said[f.name], day_first) for f in fields})
+    extra = ["source"] if "source" in raw.columns else []
+    cells = raw.select("source_row", *extra, *[cell(F.col(f.name).cast("string")).alias(f"said_{f.name}") for f in fields])
+    rows = cells.withColumns({f.name: read_currency(said[f.name]) if f.name == "currency" else _read(f, said[f.name], day_first, denied) for f in fields})
     stamps = [c for c in STAMPS if c in have] if dataset == "usage" else []
     dated = "date" not in have and bool(stamps)
     if dated:
@@ -101,7 +106,7 @@ def typed(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
         errors.append(F.when(F.col("date").isNull() & ~unread, _error("missing_required_field", "date", none)))
     missing = [f.name for f in DATASETS[dataset] if f.required and f.name not in have and not (f.name == "date" and dated)]
     errors += [_error("unmapped_required_field", name, none) for name in missing]
-    return rows.select("source_row", *[f.name for f in fields], *(["date"] if dated else []), F.array_compact(F.array(*errors)).alias("errors"))
+    return rows.select("source_row", *extra, *[f.name for f in fields], *(["date"] if dated else []), F.array_compact(F.array(*errors)).alias("errors"))
 
 
 def _commercial_errors(have: set[str], said: dict[str, Column]) -> list[Column]:
@@ -130,12 +135,12 @@ def denied_word(x: Column) -> Column:
     return F.when(word.isin("denied", "deny", "denial", "fail", "failed", "reject", "rejected"), True).when(word.isin("granted", "ok", "success", "issued", "checkout", "checked_out"), False)
 
 
-def checked(raw: DataFrame, dataset: str, day_first: bool = False) -> DataFrame:
+def checked(raw: DataFrame, dataset: str, day_first: bool = False, denied: Reader | None = None) -> DataFrame:
     """Typed rows with ``errors``, of which repeats of an accepted row are one.
 
     Rejected rows are no repeats of each other; they are told apart by their place, so that they do not meet in one task.
     """
-    rows = typed(raw, dataset, day_first)
+    rows = typed(raw, dataset, day_first, denied)
     clean = F.size("errors") == 0
     place = F.row_number().over(W.partitionBy(F.when(~clean, F.col("source_row")), *_key(dataset, rows.columns)).orderBy("source_row"))
     repeat = F.array(_error("duplicate_row", "", F.lit(None).cast("string")))

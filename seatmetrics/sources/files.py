@@ -1,19 +1,25 @@
 """Licence-server and procurement exports: what kind of file it is, and its cells as text with source rows.
 
-Only a file's first bytes are looked at on the driver; rows are read by Spark. Delimited files go through Spark's CSV
-reader, workbooks through a scan of binary files, each sheet's rows as maps of header to cell.
+Only a file's first bytes are looked at on the driver; rows are read by Spark. Lines of delimited files are joined to
+records where a quoted cell goes on, numbered, and parsed by Spark's CSV functions; workbooks go through a scan of binary files, each sheet's rows as maps of header to cell.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,43 +64,169 @@ def head_of(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
         stream.close()
 
 
-def numbered(rows: DataFrame, first: int = 2) -> DataFrame:
-    """``rows`` with their place in the file: places in each partition, then one offset for each partition."""
-    local = rows.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
-    sizes = sorted((r["_part"], r["n"]) for r in local.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    offset, table = first, []
-    for part, n in sizes:
-        table.append((part, offset))
-        offset += n
-    offsets = rows.sparkSession.createDataFrame(table, "_part bigint, _offset bigint")
-    return local.join(F.broadcast(offsets), "_part").withColumn("source_row", F.col("_at") + F.col("_offset")).drop("_id", "_part", "_at", "_offset")
+def text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(value): the lines of one file in their order, blank ones too. UTF-8 is split; other encodings are decoded by one task."""
+    if encoding == "UTF-8":
+        return spark.read.text(path)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                lines = re.split("\r\n|\n|\r", content.as_py().decode(encoding))
+                if lines and not lines[-1]:
+                    lines.pop()
+                for at in range(0, len(lines), ROWS_AT_ONCE):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines[at : at + ROWS_AT_ONCE], pa.string())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded, "value string")
+
+
+def _closed(line: str, at: int) -> int:
+    """The place after the quote that closes a cell whose inside goes on at ``at``; -1 if it stays open. Two quotes are one of the cell."""
+    while (at := line.find('"', at)) >= 0:
+        if line[at + 1 : at + 2] != '"':
+            return at + 1
+        at += 2
+    return -1
+
+
+def ends_inside(line: str, inside: bool, delimiter: str) -> bool:
+    """Whether a quoted cell is open after ``line``, which began inside of one or not. Only a quote at a cell's beginning opens one."""
+    at = 0
+    while True:
+        if inside or line[at : at + 1] == '"':
+            at = _closed(line, at if inside else at + 1)
+            if at < 0:
+                return True
+            inside = False
+        at = line.find(delimiter, at) + 1
+        if not at:
+            return False
+
+
+@dataclass(frozen=True)
+class Part:
+    """A partition of lines: for a beginning outside and inside of a quoted cell, how many records end in it, and whether one is open at its end."""
+
+    ended: tuple[int, int]
+    open: tuple[bool, bool]
+    lines: int
+
+
+def line_parts(lines: DataFrame, delimiter: str) -> dict[int, Part]:
+    """What each partition does to the state of a reader: one small row for each, so that all partitions are read at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, ended, n = [False, True], [0, 0], 0
+        for batch in batches:
+            values = batch.column("value")
+            quoted = np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
+            before = 0
+            for k in quoted.tolist():
+                line = values[k].as_py()
+                for h in (0, 1):
+                    ended[h] += 0 if state[h] else k - before
+                    state[h] = ends_inside(line, state[h], delimiter)
+                    ended[h] += not state[h]
+                before = k + 1
+            for h in (0, 1):
+                ended[h] += 0 if state[h] else batch.num_rows - before
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), "ended": pa.array([ended], pa.list_(pa.int64())), "open": pa.array([state], pa.list_(pa.bool_()))})
+
+    rows = lines.mapInArrow(run, "part bigint, n bigint, ended array<bigint>, open array<boolean>").collect()
+    return {r["part"]: Part(tuple(r["ended"]), tuple(r["open"]), r["n"]) for r in rows}
+
+
+def records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """(record, text): lines joined where a quoted cell goes on, each with its number; blank lines count as records.
+
+    A record that begins in one partition and ends in another is put together from its parts; others stay where they are.
+    """
+    begin, number, inside, crossing = {}, 1, False, False
+    for part, p in sorted(line_parts(lines, delimiter).items()):
+        begin[part] = (number, inside)
+        number += p.ended[inside]
+        inside = p.open[inside]
+        crossing |= inside
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        at, open_now = begin[part]
+        held: list[str] = []
+        whole = not open_now
+
+        def out(record: list[int], texts: list[str], is_whole: list[bool]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"record": pa.array(record, pa.int64()), "piece": pa.array([part] * len(record), pa.int64()), "text": pa.array(texts, pa.string()), "whole": pa.array(is_whole, pa.bool_())})
+
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            rows: tuple[list[int], list[str], list[bool]] = ([], [], [])
+            for line in values:
+                held.append(line)
+                if open_now or '"' in line:
+                    open_now = ends_inside(line, open_now, delimiter)
+                if not open_now:
+                    for column, value in zip(rows, (at, "\n".join(held), whole)):
+                        column.append(value)
+                    at, held, whole = at + 1, [], True
+            yield out(*rows)
+        if held:
+            yield out([at], ["\n".join(held)], [False])
+
+    pieces = lines.mapInArrow(run, "record bigint, piece bigint, text string, whole boolean")
+    if not crossing:
+        return pieces.select("record", "text")
+    parts = pieces.where("NOT whole").groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return pieces.where("whole").select("record", "text").unionByName(parts)
 
 
 def breaks_in_cells(spark: SparkSession, path: str, delimiter: str) -> bool:
-    """Whether a line of a UTF-8 file is not a row of whole cells: a quoted cell may then go on in the next line.
-
-    Lines of bare cells without quotes and closed quoted cells prove by themselves that no cell holds a line break.
-    """
-    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{re.escape(delimiter)}]*+)'
-    whole = f"^\\x{{FEFF}}?{cell}(?:{re.escape(delimiter)}{cell})*+\\z"
-    lines = spark.read.text(path)
-    return not lines.where(F.col("value").contains('"') & ~F.col("value").rlike(whole)).isEmpty()
+    """Whether a quoted cell of a UTF-8 file goes on in the next line."""
+    inside = False
+    for _, p in sorted(line_parts(text_lines(spark, path, "UTF-8"), delimiter).items()):
+        if p.ended[inside] != p.lines:
+            return True
+        inside = p.open[inside]
+    return False
+
+
+def header_names(cells: list[str | None]) -> list[str]:
+    """Column names by place: a blank one becomes ``Column n``, and a name that came before, whatever its case, gets a number."""
+    out: list[str] = []
+    taken: set[str] = {"source_row"}
+    for k, c in enumerate(cells, 1):
+        name = base = (c or "").lstrip("\ufeff").strip() or f"Column {k}"
+        n = 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base} ({n})"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; a blank header becomes ``Column n``; row numbers count the head line and skip blank lines.
+    """All cells as text, and ``source_row``: the number of the row in its file, where the head line is 1 and blank lines count.
 
-    Line breaks inside quotes belong to their cell. Only UTF-8 files that hold none, as a first pass proves, are split.
+    Rows without any text are left out. Line breaks inside quotes belong to their cell (as one line feed, whatever they
+    were); large UTF-8 files are split all the same, as every partition knows with which row it begins.
     """
     head = head_of(spark, path)
     encoding = encoding_of(head)
     delimiter = delimiter_of(head, path)
-    multi_line = encoding != "UTF-8" or breaks_in_cells(spark, path, delimiter)
-    reader = spark.read.option("header", False).option("inferSchema", False).option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    rows = reader.csv(path)
-    names = [str(v if v is not None else "").lstrip("﻿").strip() or f"Column {k}" for k, v in enumerate(rows.first() or [], 1)]
-    named = numbered(rows, 1).where("source_row > 1")
-    return named.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)], "source_row")
+    rows = records(text_lines(spark, path, encoding), delimiter)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    first = rows.where("record = 1").first()
+    if first is None:
+        raise ValueError(f"the file is empty: {path}")
+    n = max(1, len(next(csv.reader(io.StringIO(first["text"].lstrip("\ufeff"), newline=""), delimiter=delimiter), [""])))
+    schema = ", ".join(f"c{k} string" for k in range(n))
+    cells = F.from_csv("text", schema, options)
+    heads = spark.createDataFrame([(first["text"].lstrip("\ufeff"),)], "text string").select(cells.alias("c")).select("c.*").first()
+    parsed = rows.where("record > 1 AND trim(text) <> ''").select("record", cells.alias("c")).select("record", "c.*")
+    some = F.exists(F.array(*[F.col(f"c{k}") for k in range(n)]), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    return parsed.where(some).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(header_names(list(heads)))], F.col("record").alias("source_row"))
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmetrics.operators import contracts, normalize
-from seatmetrics.sources import files, mapping
+from seatmetrics.sources import adapters, files, mapping
 
 
-#: Rows whose cells help to tell a file's origin.
-SAMPLE_ROWS = 20
+#: Rows whose cells help to tell a file's origin, and rows whose cells help to tell what its columns are.
+SAMPLE_ROWS, MAPPING_ROWS = 20, 1_000
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,8 @@ class Ingested:
     mapped: list[mapping.Mapped]
     source: str
     confidence: int
+    #: (table, header, field, confidence, score, sample) of every column of every sheet, for review.
+    columns: list[tuple[str, str, str | None, str, int, str | None]]
 
     @property
     def accepted(self) -> DataFrame:
@@ -42,6 +44,11 @@ class Ingested:
     def quality(self) -> DataFrame:
         return normalize.field_quality(self.rows, self.dataset, float(self.confidence))
 
+    @property
+    def report(self) -> DataFrame:
+        """Coverage of every field of the dataset, and why one has none."""
+        return adapters.quality_report(self.rows.withColumn("source", F.lit(self.source)), self.dataset)
+
 
 def priced(lines: DataFrame) -> DataFrame:
     """Contract lines with their cost by the best evidence; columns that the file lacked are null."""
@@ -57,11 +64,11 @@ def with_fallbacks(raw: DataFrame, dataset: str) -> DataFrame:
     return raw.withColumn("feature", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in stand_ins]))
 
 
-def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, str] | None = None, day_first: bool = False) -> Ingested:
+def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, str] | None = None, day_first: bool = False, ignored: tuple[str, ...] = ()) -> Ingested:
     """Read a delimited file, or all sheets of a workbook, as rows of ``dataset``.
 
-    The first rows help to find out who wrote the file, and that decides which names of columns come first. Contracts
-    are never taken for a licence manager's.
+    The first rows help to find out who wrote the file, and that decides which names of columns come first; more of them
+    settle what a name leaves open. Contracts are never taken for a licence manager's.
     """
     if not files.accepted_name(path):
         raise ValueError(f"not a file of a known kind: {path}")
@@ -69,19 +76,22 @@ def ingest(spark: SparkSession, path: str, dataset: str, overrides: dict[str, st
     if book:
         raw = files.read_workbooks(spark, path)
         found = raw.select("sheet", F.explode(F.map_keys("cells")).alias("h")).distinct().collect()
-        tables = {s: sorted(r["h"] for r in found if r["sheet"] == s) for s in sorted({r["sheet"] for r in found})}
+        heads = {s: sorted(r["h"] for r in found if r["sheet"] == s) for s in sorted({r["sheet"] for r in found})}
+        tables = {s: raw.where(F.col("sheet") == s).select(*[F.col("cells")[h].alias(h) for h in hs]) for s, hs in heads.items()}
     else:
         raw = files.read_delimited(spark, path)
-        tables = {"": [c for c in raw.columns if c != "source_row"]}
+        tables = {"": raw.drop("source_row")}
     source, sure = "generic", 0
     if dataset != "contracts":
-        texts = raw.select(F.map_values("cells").alias("v")) if book else raw.select(F.array(*[F.col(f"`{h}`") for h in tables[""]]).alias("v"))
-        samples = [v for r in texts.limit(SAMPLE_ROWS).collect() for v in r["v"] if v is not None]
-        source, sure = mapping.detect([h for heads in tables.values() for h in heads], path.rsplit("/", 1)[-1], samples)
-    by_table = {name: mapping.resolve(heads, dataset, overrides, source) for name, heads in tables.items()}
+        samples = [v for t in tables.values() for r in t.limit(SAMPLE_ROWS).collect() for v in r if v is not None]
+        source, sure = mapping.detect([h for t in tables.values() for h in t.columns], path.rsplit("/", 1)[-1], samples)
+    by_table, columns = {}, []
+    for name, table in tables.items():
+        by_table[name], cells = mapping.map_columns(table.limit(MAPPING_ROWS), dataset, overrides, source, ignored, day_first)
+        columns += [(name, *row) for row in mapping.reviewed(table.columns, by_table[name], cells, dataset)]
     named = by_sheet(raw, by_table) if book else mapping.apply(raw, by_table[""])
-    rows = normalize.checked(with_fallbacks(named, dataset), dataset, day_first)
-    return Ingested(dataset, rows, list(dict.fromkeys(m for mapped in by_table.values() for m in mapped)), source, sure)
+    rows = normalize.checked(with_fallbacks(named, dataset), dataset, day_first, adapters.denied_reader(F.lit(source)))
+    return Ingested(dataset, rows, list(dict.fromkeys(m for mapped in by_table.values() for m in mapped)), source, sure, columns)
 
 
 def by_sheet(cells: DataFrame, mapped: dict[str, list[mapping.Mapped]]) -> DataFrame:

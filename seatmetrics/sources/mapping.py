@@ -1,106 +1,32 @@
-"""Which column of an export is which canonical field, and which licence manager wrote it: driver-side work on head lines."""
+"""Which column of an export is which canonical field, and which licence manager wrote it.
+
+Head lines are short, so names are compared on the driver; what the cells say comes from one aggregate over the rows.
+A field takes the column whose name is nearest to one of its names. Where a name does not settle it, the cells do:
+
+* a column that is not named exactly can feed a typed field only if most of its cells read as that type;
+* a column that several money fields claim feeds one of them only if the rows prove it (quantity times unit price makes
+  the total), and stays unmapped otherwise: a total that is read as a price is wrong by the quantity.
+"""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seatmetrics.functions.text import cell, read_boolean, read_date, read_hour, read_number, read_timestamp
 from seatmetrics.operators.normalize import DATASETS, STAMPS
+from seatmetrics.sources.names import of_field, of_source
 
-# What exports call a field besides its own name. Spelling variants come from ``variants``.
-CALLED: dict[str, dict[str, tuple[str, ...]]] = {
-    "usage": {
-        "date": ("usage date", "day", "log date", "event date", "report date"),
-        "hour": ("hour of day", "time bucket"),
-        "user": ("user name", "user id", "login", "network user", "account"),
-        "employee_code": ("employee id", "badge", "personnel number"),
-        "feature": ("feature name", "license feature", "module"),
-        "product": ("product name", "application", "software"),
-        "vendor": ("publisher", "vendor daemon", "isv", "manufacturer"),
-        "quantity": ("qty", "count", "checkouts", "sessions"),
-        "concurrent": ("in use", "used", "licenses in use", "count in use", "concurrent use"),
-        "peak": ("peak usage", "max concurrent", "high water"),
-        "available": ("total", "capacity", "issued", "licenses issued", "max count"),
-        "duration_hours": ("duration", "usage hours", "elapsed"),
-        "denied": ("denial", "status", "is denied"),
-        "denial_count": ("denials", "denied requests"),
-        "license_server": ("server", "server host", "server name"),
-        "pool": ("license pool", "server group"),
-        "tokens": ("token", "token count", "credits"),
-        "hostname": ("host", "client host", "machine", "workstation"),
-        "version": ("feature version",),
-        "borrowed": ("is borrowed", "roaming"),
-        "observed_at": ("timestamp", "datetime", "event time", "sample time"),
-        "checkout_at": ("checkout time", "start time", "acquire time"),
-        "checkin_at": ("checkin time", "end time", "release time"),
-    },
-    "entitlements": {
-        "feature": ("feature name", "license feature", "module"),
-        "product": ("product name", "application"),
-        "vendor": ("publisher", "vendor daemon"),
-        "quantity": ("qty", "entitled", "seats", "licenses issued", "total licenses"),
-        "license_model": ("license type", "model", "metric"),
-        "license_server": ("server host", "server"),
-        "pool": ("license pool",),
-        "expires_on": ("expiry", "expires", "expiration", "expiry date"),
-    },
-    "people": {
-        "user": ("user name", "login", "network id", "account"),
-        "employee_code": ("employee id", "badge"),
-        "display_name": ("name", "full name"),
-        "email": ("mail", "email address"),
-        "status": ("employment status",),
-        "employee_type": ("worker type",),
-        "manager_name": ("manager", "supervisor"),
-        "manager_key": ("manager id", "manager email"),
-        "department": ("dept",),
-        "organization": ("org", "company"),
-        "business_unit": ("division",),
-        "program": ("project",),
-        "discipline": ("function",),
-        "competency": ("capability",),
-        "location": ("site", "office"),
-        "region": ("country",),
-        "cost_center": ("cost centre", "charge code"),
-    },
-    "contracts": {
-        "feature": ("feature name", "sku description", "line item", "description"),
-        "product": ("software name", "application"),
-        "vendor": ("publisher", "manufacturer"),
-        "sku": ("part number", "item number"),
-        "contract_number": ("contract", "contract id"),
-        "agreement_number": ("agreement",),
-        "purchase_order": ("po", "po number"),
-        "supplier": ("reseller",),
-        "quantity": ("qty", "seats", "licenses"),
-        "unit_price": ("price", "unit cost", "list price"),
-        "total_cost": ("total", "total price", "amount"),
-        "annual_cost": ("annual spend", "yearly cost"),
-        "currency": ("ccy",),
-        "license_model": ("license type",),
-        "pricing_unit": ("uom",),
-        "start_date": ("contract start", "start"),
-        "end_date": ("contract end", "end"),
-        "renewal_date": ("renewal", "expiration date", "expiry"),
-        "business_unit": ("division",),
-        "cost_center": ("cost centre",),
-        "owner": ("contact",),
-        "notes": ("comments",),
-    },
-}
-# What one licence manager calls a field of its usage exports; these come before the names above.
-OF_SOURCE: dict[str, dict[str, tuple[str, ...]]] = {
-    "flexnet": {"vendor": ("vendor daemon", "daemon"), "hostname": ("host", "display"), "available": ("licenses issued", "issued"), "denied": ("status",), "quantity": ("num lic",), "checkout_at": ("out time",), "checkin_at": ("in time",)},
-    "rlm": {"feature": ("product", "rlm product"), "vendor": ("isv", "isv name"), "license_server": ("rlm server",), "available": ("count", "total count"), "concurrent": ("count in use",), "borrowed": ("roaming",)},
-    "dsls": {"feature": ("license name",), "product": ("product line",), "available": ("max count",), "tokens": ("token",), "checkout_at": ("acquire time",), "checkin_at": ("release time",)},
-    "sentinel": {"observed_at": ("sample time", "poll time"), "user": ("client user",), "hostname": ("client host",), "available": ("total licenses",), "denial_count": ("denied requests",), "pool": ("sublicense",)},
-}
-#: Words that name no field by themselves.
-STRUCTURAL = {"license", "licence", "name", "id", "date", "time", "number", "count", "type", "value"}
-EXACT, STRONG, LEAST = 100, 70, 35
+# Words that name no field by themselves.
+STRUCTURAL = ("license", "licenses", "lic", "name", "code", "value", "data", "info", "type", "key", "num", "number")
+EXACT, STRONG, PART, LEAST = 100, 70, 55, 35
+MONEY = ("unit_price", "total_cost", "annual_cost")
+#: Share of a column's cells that must read as a field's type, and of rows that must prove what a money column is.
+READABLE, PROVEN = 0.5, 0.9
+READERS = {"date": read_date, "timestamp": read_timestamp, "number": read_number, "hour": read_hour, "boolean": read_boolean}
 
 
 def header(text: str) -> str:
@@ -108,33 +34,72 @@ def header(text: str) -> str:
     return re.sub("_+", "_", re.sub("[^a-z0-9_]", "", out)).strip("_")
 
 
-def variants(dataset: str, field: str, source: str = "generic") -> list[str]:
-    """Normalized names of a field, those of a source first; British spellings and joined words count too."""
-    own = OF_SOURCE.get(source, {}).get(field, ()) if dataset == "usage" else ()
-    names = [*own, field, *CALLED[dataset].get(field, ())]
-    out = dict.fromkeys(header(n) for n in names if n)
-    for n in list(out):
-        out |= dict.fromkeys((n.replace("license", "licence"), n.replace("_", "")))
-    return list(out)
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def names_of(dataset: str, field: str, source: str = "generic") -> tuple[str, ...]:
+    """Normalized names of a field, those of a source first."""
+    return tuple(dict.fromkeys((*of_source(source, dataset, field), field, *of_field(dataset, field))))
+
+
+def _spelled(name: str) -> str:
+    """Spelling variants that mean the same: British, and words written together."""
+    return name.replace("licence", "license").replace("_", "")
 
 
-def score(text: str, names: list[str]) -> float:
-    """100 for a name itself, 60 to 85 for a header that contains one, 55 for part of one, 30 to 45 for common telling words."""
+def _places(words: list[str], name: str) -> list[tuple[int, int]]:
+    """Where the words of ``name`` stand in a row in ``words``."""
+    own = name.split("_")
+    return [(k, k + len(own)) for k in range(len(words) - len(own) + 1) if words[k : k + len(own)] == own]
+
+
+def score(text: str, names: tuple[str, ...]) -> float:
+    """100 for a name itself, 60 to 85 for a header that contains one as whole words, 55 for whole words of one, 30 to 45 for common telling words."""
     own = header(text)
     if not own:
         return 0
-    if own in names:
+    if _spelled(own) in map(_spelled, names):
         return EXACT
-    inside = [60 + min(25, 2 * len(n)) for n in names if len(n) >= 3 and n in own]
+    words = own.split("_")
+    inside = [60 + min(25, 2 * len(n)) for n in names if len(n) >= 3 and _places(words, n)]
     if inside:
         return max(inside)
-    if len(own) >= 4 and any(own in n for n in names):
-        return 55
-    words = set(own.split("_")) - STRUCTURAL
-    shares = [len(words & w) / len(w) for n in names if (w := set(n.split("_")) - STRUCTURAL)]
+    if len(own) >= 4 and any(_places(n.split("_"), own) for n in names):
+        return PART
+    telling = {w for w in words if len(w) >= 3} - set(STRUCTURAL)
+    shares = [len(telling & w) / len(w) for n in names if (w := {x for x in n.split("_") if len(x) >= 3} - set(STRUCTURAL))]
     return 30 + 15 * max(shares) if any(shares) else 0
 
 
+def money_claims(text: str, dataset: str) -> tuple[str, ...]:
+    """Money fields that claim a header which none of them is named by exactly: the fields of all longest names in it, or of which it is a part."""
+    own = header(text)
+    fields = [f.name for f in DATASETS[dataset] if f.name in MONEY]
+    named = {f: names_of(dataset, f) for f in fields}
+    if any(_spelled(own) in map(_spelled, n) for n in named.values()):
+        return ()
+    words = own.split("_")
+    found = {(a, b, f) for f, names in named.items() for n in names for a, b in _places(words, n)}
+    longest = {f for a, b, f in found if not any(c <= a and b <= d and (c, d) != (a, b) for c, d, _ in found)}
+    part = {f for f, names in named.items() if len(own) >= 4 and any(_places(n.split("_"), own) for n in names)}
+    claims = longest or part
+    return tuple(f for f in fields if f in claims) if len(claims) > 1 else ()
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What a column's cells are: how many there are, the share that reads as each kind, and the first of them."""
+
+    cells: int
+    shares: dict[str, float]
+    sample: str | None = None
+
+    def reads_as(self, kind: str) -> float:
+        return self.shares.get(kind, 1.0) if self.cells else 1.0
+
+
 @dataclass(frozen=True)
 class Mapped:
     field: str
@@ -146,20 +111,97 @@ class Mapped:
         return "exact" if self.score >= EXACT else "strong" if self.score >= STRONG else "possible"
 
 
-def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None = None, source: str = "generic") -> list[Mapped]:
-    """Each column to at most one field and each field to one column: overrides first, then the best scores, names of the source before others."""
+def profiled(raw: DataFrame, day_first: bool = False) -> DataFrame:
+    """One row for each column of ``raw`` (header, cells, one count for each kind, sample), from one aggregate over its rows."""
+    def counts(name: str) -> list[Column]:
+        text = cell(column(name).cast("string"))
+        read = {k: f(text, day_first) if k in ("date", "timestamp") else f(text) for k, f in READERS.items()}
+        return [F.lit(name).alias("header"), F.count(text).alias("cells"), *[F.count(v).alias(k) for k, v in read.items()], F.min(F.substring(text, 1, 60)).alias("sample")]
+
+    own = [c for c in raw.columns if c != "source_row"]
+    return raw.agg(F.array(*[F.struct(*counts(c)) for c in own]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+def profiles(raw: DataFrame, day_first: bool = False) -> dict[str, Profile]:
+    """By header; as many rows come to the driver as ``raw`` has columns."""
+    rows = profiled(raw, day_first).collect() if len(raw.columns) > ("source_row" in raw.columns) else []
+    return {r["header"]: Profile(r["cells"], {k: r[k] / r["cells"] if r["cells"] else 0.0 for k in READERS}, r["sample"]) for r in rows}
+
+
+def money_proofs(raw: DataFrame, mapped: list[Mapped], open_columns: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """For columns that several money fields claim: the field that the rows prove.
+
+    A column is the total where it is quantity times the unit price, and the unit price where quantity times it is the
+    total. The year's cost cannot be told from a total by the cells of a row, so it is never proven.
+    """
+    at = {m.field: m.column for m in mapped}
+    number = lambda name: read_number(cell(column(name).cast("string")))
+    tests: list[tuple[str, str, Column]] = []
+    for name, claims in open_columns.items():
+        if "total_cost" in claims and {"quantity", "unit_price"} <= set(at):
+            tests.append((name, "total_cost", F.abs(number(at["quantity"]) * number(at["unit_price"]) - number(name)) <= 0.005 * F.abs(number(name)) + 0.005))
+        if "unit_price" in claims and {"quantity", "total_cost"} <= set(at):
+            tests.append((name, "unit_price", F.abs(number(at["quantity"]) * number(name) - number(at["total_cost"])) <= 0.005 * F.abs(number(at["total_cost"])) + 0.005))
+    if not tests:
+        return {}
+    row = raw.agg(*[x for k, (_, _, holds) in enumerate(tests) for x in (F.count(F.when(holds, 1)).alias(f"yes{k}"), F.count(holds).alias(f"all{k}"))]).collect()[0]
+    return {name: field for k, (name, field, _) in enumerate(tests) if row[f"all{k}"] and row[f"yes{k}"] >= PROVEN * row[f"all{k}"]}
+
+
+def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None = None, source: str = "generic", cells: dict[str, Profile] | None = None, ignored: tuple[str, ...] = ()) -> list[Mapped]:
+    """Each column to at most one field and each field to one column.
+
+    Overrides come first, and ``ignored`` columns stay unmapped. Then the best scores; of equal ones a source's own
+    names, then the column whose cells read best as the field, then headers by the alphabet and fields in their order.
+    Columns that several money fields claim are left to ``money_proofs``; a common word is never enough for or against money.
+    """
     chosen = [Mapped(f, c, EXACT) for f, c in (overrides or {}).items() if c in headers]
-    fields, columns = {m.field for m in chosen}, {m.column for m in chosen}
-    special = OF_SOURCE.get(source, {}) if dataset == "usage" else {}
-    scored = [(score(h, variants(dataset, f.name, source)), header(h) in map(header, special.get(f.name, ())), -k, -j, f.name, h) for k, f in enumerate(DATASETS[dataset]) for j, h in enumerate(headers)]
-    for points, _, _, _, field, column in sorted(scored, reverse=True):
-        if points >= LEAST and field not in fields and column not in columns:
-            chosen.append(Mapped(field, column, points))
+    fields, columns = {m.field for m in chosen}, {m.column for m in chosen} | set(ignored)
+    money = {h for h in headers if any(f.name in MONEY and score(h, names_of(dataset, f.name)) >= PART for f in DATASETS[dataset])}
+    scored = []
+    for k, f in enumerate(DATASETS[dataset]):
+        names, special = names_of(dataset, f.name, source), of_source(source, dataset, f.name)
+        for h in headers:
+            points = score(h, names)
+            fit = cells[h].reads_as(f.kind) if cells and h in cells else 1.0
+            if points < LEAST or (points < EXACT and fit < READABLE):
+                continue
+            if (f.name in MONEY and money_claims(h, dataset)) or (points < PART and (f.name in MONEY or h in money)):
+                continue
+            own = points == EXACT and header(h) in special
+            scored.append((-points, not own, -round(fit, 3), h.lower(), k, f.name, h))
+    for points, _, _, _, _, field, name in sorted(scored):
+        if field not in fields and name not in columns:
+            chosen.append(Mapped(field, name, -points))
             fields.add(field)
-            columns.add(column)
+            columns.add(name)
     return chosen
 
 
+def map_columns(raw: DataFrame, dataset: str, overrides: dict[str, str] | None = None, source: str = "generic", ignored: tuple[str, ...] = (), day_first: bool = False) -> tuple[list[Mapped], dict[str, Profile]]:
+    """The columns of ``raw`` by their names and cells, and what the cells are."""
+    headers, cells = [c for c in raw.columns if c != "source_row"], profiles(raw, day_first)
+    mapped = resolve(headers, dataset, overrides, source, cells, ignored)
+    taken, used = {m.field for m in mapped}, {m.column for m in mapped} | set(ignored)
+    left = {h: claims for h in headers if h not in used and (claims := money_claims(h, dataset))}
+    for name, field in (money_proofs(raw, mapped, left) if left else {}).items():
+        if field not in taken:
+            mapped.append(Mapped(field, name, STRONG))
+            taken.add(field)
+    return mapped, cells
+
+
+def reviewed(headers: list[str], mapped: list[Mapped], cells: dict[str, Profile], dataset: str) -> list[tuple[str, str | None, str, int, str | None]]:
+    """(header, field, confidence, score, sample) of every column, as it is shown before anything is kept; an unsettled money column says so."""
+    by_column = {m.column: m for m in mapped}
+    out = []
+    for h in headers:
+        m = by_column.get(h)
+        kind = m.confidence if m else "ambiguous" if money_claims(h, dataset) else "none"
+        out.append((h, m.field if m else None, kind, round(m.score) if m else 0, cells[h].sample if h in cells else None))
+    return out
+
+
 def missing_required(mapped: list[Mapped], dataset: str) -> list[str]:
     """A product, or a part number in contracts, stands in for the feature, and in usage a timestamp for the date."""
     have = {m.field for m in mapped}
@@ -169,7 +211,7 @@ def missing_required(mapped: list[Mapped], dataset: str) -> list[str]:
 
 def apply(raw: DataFrame, mapped: list[Mapped]) -> DataFrame:
     """``raw`` under its canonical names."""
-    return raw.select(*[F.col(f"`{m.column}`").alias(m.field) for m in mapped], "source_row")
+    return raw.select(*[column(m.column).alias(m.field) for m in mapped], "source_row")
 
 
 # What points to a licence manager: weight, where to look, and the terms. ``is``: a header is a term; ``holds``: a header
