@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatmetrics.functions.numeric import half_up, ratio
-from seatmetrics.functions.text import cell, read_boolean, read_currency, read_date, read_hour, read_number, read_timestamp
+from seatmetrics.functions.text import cell, day_part, read_boolean, read_currency, read_date, read_hour, read_number, read_timestamp
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def _read(field: Field, text: Column, day_first: bool, denied: Reader | None) ->
     if field.kind == "date":
         return read_date(text, day_first)
     if field.kind == "timestamp":
-        return read_timestamp(text, day_first)
+        return read_timestamp(text, day_first, F.col(f"day_{field.name}"))
     if field.name == "denied":
         return F.coalesce((denied or denied_word)(text), read_boolean(text))
     return {"number": read_number, "hour": read_hour, "boolean": read_boolean}.get(field.kind, cell)(text)
@@ -83,6 +83,7 @@ def typed(raw: DataFrame, dataset: str, day_first: bool = False, denied: Reader
     said = {f.name: F.col(f"said_{f.name}") for f in fields}
     extra = ["source"] if "source" in raw.columns else []
     cells = raw.select("source_row", *extra, *[cell(F.col(f.name).cast("string")).alias(f"said_{f.name}") for f in fields])
+    cells = cells.withColumns({f"day_{f.name}": day_part(said[f.name]) for f in fields if f.kind == "timestamp"})
     rows = cells.withColumns({f.name: read_currency(said[f.name]) if f.name == "currency" else _read(f, said[f.name], day_first, denied) for f in fields})
     stamps = [c for c in STAMPS if c in have] if dataset == "usage" else []
     dated = "date" not in have and bool(stamps)
@@ -126,7 +127,8 @@ def _commercial_errors(have: set[str], said: dict[str, Column]) -> list[Column]:
 
 def _key(dataset: str, columns: list[str]) -> list[Column]:
     fold = ("user", "feature") if dataset == "usage" else KEYS[dataset]
-    return [F.lower(F.col(c).cast("string")) if c in fold else F.col(c) for c in KEYS[dataset] if c in columns]
+    own = [F.col("source")] if "source" in columns else []
+    return own + [F.lower(F.col(c).cast("string")) if c in fold else F.col(c) for c in KEYS[dataset] if c in columns]
 
 
 def denied_word(x: Column) -> Column:

@@ -49,6 +49,12 @@ def methodology(options: Options, method: str = "percentile") -> str:
     return f"P{options.percentile * 100:g} of daily peaks × {growth} growth × {safety} safety, rounded up."
 
 
+def explained(sizes: DataFrame, options: Options = Options(), method: str = "percentile") -> DataFrame:
+    """``sizes`` with ``days`` as ``right_sizing`` gives them, each with how it was found, in words."""
+    text = F.concat(F.lit(methodology(options, method)), F.lit(" Basis "), F.format_number("basis", 2), F.lit(" from "), F.format_number("days", 0), F.lit(" days."))
+    return sizes.withColumn("methodology", text)
+
+
 def right_sizing(daily: DataFrame, entitled: DataFrame, window: Window, options: Options = Options(), method: str = "percentile") -> DataFrame:
     """One row for each feature with peaks in the window; a feature without any has an unknown size and no row."""
     basis = METHODS.get(method, METHODS["percentile"])(options)

@@ -118,7 +118,7 @@ _FAULTS = "CASE WHEN observed_days < 300 THEN 'Observation period' END, CASE WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    from seatmetrics import ingest_oracles, page_oracles
+    from seatmetrics import evidence_oracles, ingest_oracles, page_oracles
 
     out = {
         "hourly_concurrency": "SELECT * FROM hourly",
@@ -185,4 +185,4 @@ def oracle_sql() -> dict[str, str]:
     for dim in ("location", "region", "manager_key", "status"):
         out[f"allocation_usage_duration_{dim}"] = _allocation("usage_duration", dim)
     out["allocation_auto"] = _allocation("usage_duration", "department", ", 'usage_duration' AS method")
-    return out | ingest_oracles.oracle_sql() | page_oracles.oracle_sql()
+    return out | ingest_oracles.oracle_sql() | page_oracles.oracle_sql() | evidence_oracles.oracle_sql()

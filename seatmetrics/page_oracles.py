@@ -73,18 +73,14 @@ def oracle_sql() -> dict[str, str]:
     }
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) >= 3)"
     plain = {
-        "header_mapping": "SELECT * FROM (VALUES ('date', 'date', 'exact'), ('isv', 'vendor', 'exact'), ('product', 'feature', 'exact'), ('user', 'user', 'exact'), ('rlm_server', 'license_server', 'exact'), ('pool', 'pool', 'exact'), ('count', 'available', 'exact'), ('count_in_use', 'concurrent', 'exact'), ('checkout_time', 'checkout_at', 'exact'), ('checkin_time', 'checkin_at', 'exact'), ('denials', 'denial_count', 'exact')) t(header, field, confidence)",
-        "source_detection": "SELECT file, source, CAST(confidence AS INTEGER) AS confidence FROM (VALUES ('rlm', 'rlm', 99), ('plain', 'generic', 0), ('dsls', 'dsls', 99)) t(file, source, confidence)",
         "unmapped_suggestions": f"SELECT raw, feature_id, CAST(overlap AS BIGINT) AS overlap FROM (SELECT raw, feature_id, overlap, row_number() OVER (PARTITION BY raw ORDER BY overlap DESC, feature_id) AS k FROM (SELECT raw, feature_id, len(list_filter({words.format('raw')}, lambda w: list_contains({words.format('label')}, w))) AS overlap FROM (SELECT DISTINCT p_name || '-TOOL' AS raw FROM part), (SELECT 'feature:' || min(p_partkey) AS feature_id, p_name AS label FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name)) WHERE overlap > 0) WHERE k = 1",
         "related_by_lead": f"WITH n AS (SELECT DISTINCT {key('p_name')} AS f FROM part), l AS (SELECT f, list_filter(string_split(f, '_'), lambda w: length(w) >= 3)[1] AS lead FROM n), p AS (SELECT a.f, a.lead, list(b.f ORDER BY b.f) AS others FROM l a JOIN l b ON a.lead = b.lead AND a.f <> b.f GROUP BY ALL) SELECT f AS feature_key, lead, CAST(len(others) AS BIGINT) AS others, array_to_string(others[1:5], '|') AS related FROM p",
         "date_range": "SELECT o_orderstatus, CAST(unnest(range(f, f + INTERVAL 30 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT o_orderstatus, CAST(min(o_orderdate) AS DATE) AS f FROM orders GROUP BY ALL)",
-        "methodology": "SELECT * FROM (VALUES ('p95', 'P95 of daily peaks × 1.00 growth × 1.10 safety, rounded up.'), ('p99', 'P99 of daily peaks × 1.05 growth × 1.10 safety, rounded up.'), ('max', 'Maximum observed daily peak × 1.00 growth × 1.20 safety, rounded up.')) t(name, methodology)",
         "identity_sources": f"SELECT {key('p_name')} AS feature_key, count(*) FILTER (WHERE p_partkey % 4 <> 0) AS usage, count(*) FILTER (WHERE p_partkey % 4 <> 1) AS entitlements, count(*) FILTER (WHERE p_partkey % 4 <> 2) AS contracts FROM part GROUP BY ALL",
         "observed_keys": f"SELECT DISTINCT {key('p_name')} AS feature_key FROM part",
         "licence_models": f"SELECT position_key, min(m) AS license_model FROM (SELECT {key('p_name')} AS position_key, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 AND length(p_name) % 2 = 0 THEN 'token' ELSE 'named_user' END AS m FROM part) GROUP BY ALL HAVING count(DISTINCT m) = 1",
         "last_items": "SELECT p_brand AS feature_id, max(p_partkey) AS source_row, max_by(p_size, p_partkey) AS p_size FROM part GROUP BY ALL",
         "evidence_state": "SELECT * FROM (VALUES ('same', TRUE), ('more imports', FALSE), ('other rows', FALSE), ('more confirmations', FALSE)) t(state, equal)",
-        "synthetic_peaks": "SELECT 'feature:' || i AS feature_id, 275.0::DOUBLE AS p95, 314.0::DOUBLE AS highest, CAST(365 AS BIGINT) AS days FROM range(3) t(i)",
         "import_commit": "SELECT CASE p_partkey % 2 WHEN 0 THEN 'one' ELSE 'two' END AS import_id, count(*) AS rows, CAST(sum(p_size) AS BIGINT) AS quantity FROM part GROUP BY ALL",
     }
     return {k: _STAMPED + v for k, v in stamped.items()} | {k: oracles.sql(v) for k, v in core.items()} | {k: ingest_oracles.sql(v) for k, v in ingest.items()} | plain

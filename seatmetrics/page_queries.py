@@ -12,7 +12,7 @@ from seatmetrics.functions import dates, text
 from seatmetrics.operators import contracts, demand, identity, normalize, review, seats, sizing
 from seatmetrics.plans import assembly, commercial, portfolio, signals, trust
 from seatmetrics.plans.projection import Projection
-from seatmetrics.sources import mapping, sinks, synthetic
+from seatmetrics.sources import sinks
 from seatmetrics.sources.estate import Estate
 from seatmetrics.sources.shared import shared_dir
 
@@ -81,24 +81,6 @@ def stamped_activity(e: Estate) -> DataFrame:
     return demand.observed_activity(_stamped(e))
 
 
-# ---- columns and origins of files ----
-
-RLM = ("date", "isv", "product", "user", "rlm_server", "pool", "count", "count_in_use", "checkout_time", "checkin_time", "denials")
-
-
-@query
-def header_mapping(e: Estate) -> DataFrame:
-    """Columns of an export by the names of its source."""
-    mapped = mapping.resolve(list(RLM), "usage", source="rlm")
-    return e.spark.createDataFrame([(m.column, m.field, m.confidence) for m in mapped], "header string, field string, confidence string")
-
-
-@query
-def source_detection(e: Estate) -> DataFrame:
-    heads = {"rlm": list(RLM), "plain": ["day", "user name", "application"], "dsls": ["Date", "License Name", "Product Line", "Server ID", "In Use", "Token"]}
-    return e.spark.createDataFrame([(name, *mapping.detect(h)) for name, h in heads.items()], "file string, source string, confidence int")
-
-
 # ---- lists and feet of pages ----
 
 
@@ -175,12 +157,6 @@ def date_range(e: Estate) -> DataFrame:
     return rows.select("o_orderstatus", dates.every_day(F.col("first"), F.date_add("first", 29)).alias("day"))
 
 
-@query
-def methodology(e: Estate) -> DataFrame:
-    kinds = (("p95", sizing.Options(), "percentile"), ("p99", sizing.Options(percentile=0.99, growth=1.05), "percentile"), ("max", sizing.Options(safety=1.2), "maximum"))
-    return e.spark.createDataFrame([(name, sizing.methodology(o, m)) for name, o, m in kinds], "name string, methodology string")
-
-
 # ---- scenarios, drivers, shares, filters ----
 
 
@@ -295,13 +271,7 @@ def evidence_state(e: Estate) -> DataFrame:
     return keys.join(F.broadcast(base)).select("state", (F.col("evidence_key") == F.col("base")).alias("equal"))
 
 
-# ---- synthetic estates, imports, kept analyses ----
-
-
-@query
-def synthetic_peaks(e: Estate) -> DataFrame:
-    """Made-up daily peaks whose 95th percentile is exact."""
-    return synthetic.peaks(e.spark, 3, 365).groupBy("feature_id").agg(F.round(F.percentile("peak", F.lit(0.95)), 6).alias("p95"), F.max("peak").alias("highest"), F.count("*").alias("days"))
+# ---- imports, kept analyses ----
 
 
 @query

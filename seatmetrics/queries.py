@@ -24,9 +24,9 @@ def query(make: Callable[[Estate], DataFrame]) -> Callable[[Estate], DataFrame]:
 
 
 def queries() -> dict[str, Query]:
-    from seatmetrics import ingest_queries, page_queries
+    from seatmetrics import evidence_queries, ingest_queries, page_queries
 
-    return _registered | ingest_queries.queries() | page_queries.queries()
+    return _registered | ingest_queries.queries() | page_queries.queries() | evidence_queries.queries()
 
 
 def _short_daily(e: Estate) -> DataFrame:

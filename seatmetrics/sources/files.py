@@ -225,7 +225,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     cells = F.from_csv("text", schema, options)
     heads = spark.createDataFrame([(first["text"].lstrip("\ufeff"),)], "text string").select(cells.alias("c")).select("c.*").first()
     parsed = rows.where("record > 1 AND trim(text) <> ''").select("record", cells.alias("c")).select("record", "c.*")
-    some = F.exists(F.array(*[F.col(f"c{k}") for k in range(n)]), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    some = F.exists(F.array(*[F.col(f"c{k}") for k in range(n)]), lambda x: F.coalesce(x.rlike(r"\S"), F.lit(False)))
     return parsed.where(some).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(header_names(list(heads)))], F.col("record").alias("source_row"))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatmetrics.functions.text import cell, read_boolean, read_date, read_hour, read_number, read_timestamp
+from seatmetrics.functions.text import cell, day_part, read_boolean, read_date, read_hour, read_number
 from seatmetrics.operators.normalize import DATASETS, STAMPS
 from seatmetrics.sources.names import of_field, of_source
 
@@ -26,7 +26,7 @@ EXACT, STRONG, PART, LEAST = 100, 70, 55, 35
 MONEY = ("unit_price", "total_cost", "annual_cost")
 #: Share of a column's cells that must read as a field's type, and of rows that must prove what a money column is.
 READABLE, PROVEN = 0.5, 0.9
-READERS = {"date": read_date, "timestamp": read_timestamp, "number": read_number, "hour": read_hour, "boolean": read_boolean}
+KINDS = ("date", "timestamp", "number", "hour", "boolean")
 
 
 def header(text: str) -> str:
@@ -112,20 +112,24 @@ class Mapped:
 
 
 def profiled(raw: DataFrame, day_first: bool = False) -> DataFrame:
-    """One row for each column of ``raw`` (header, cells, one count for each kind, sample), from one aggregate over its rows."""
-    def counts(name: str) -> list[Column]:
-        text = cell(column(name).cast("string"))
-        read = {k: f(text, day_first) if k in ("date", "timestamp") else f(text) for k, f in READERS.items()}
-        return [F.lit(name).alias("header"), F.count(text).alias("cells"), *[F.count(v).alias(k) for k, v in read.items()], F.min(F.substring(text, 1, 60)).alias("sample")]
+    """One row for each column of ``raw`` that has cells (header, cells, one count for each kind, sample), from one aggregate.
 
+    Cells go out as rows of (header, text), so that the readers stand in the plan once, however many columns there are.
+    """
     own = [c for c in raw.columns if c != "source_row"]
-    return raw.agg(F.array(*[F.struct(*counts(c)) for c in own]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    pairs = F.array(*[F.struct(F.lit(c).alias("header"), cell(column(c).cast("string")).alias("text")) for c in own])
+    cells = raw.select(F.explode(pairs).alias("c")).select("c.header", "c.text").where("text IS NOT NULL").withColumn("day", day_part(F.col("text")))
+    text = F.col("text")
+    readers = {"date": read_date(text, day_first), "timestamp": read_date(F.col("day"), day_first), "number": read_number(text), "hour": read_hour(text), "boolean": read_boolean(text)}
+    read = cells.select("header", "text", *[value.alias(k) for k, value in readers.items()])
+    return read.groupBy("header").agg(F.count("*").alias("cells"), *[F.count(k).alias(k) for k in KINDS], F.min(F.substring("text", 1, 60)).alias("sample"))
 
 
 def profiles(raw: DataFrame, day_first: bool = False) -> dict[str, Profile]:
     """By header; as many rows come to the driver as ``raw`` has columns."""
-    rows = profiled(raw, day_first).collect() if len(raw.columns) > ("source_row" in raw.columns) else []
-    return {r["header"]: Profile(r["cells"], {k: r[k] / r["cells"] if r["cells"] else 0.0 for k in READERS}, r["sample"]) for r in rows}
+    own = [c for c in raw.columns if c != "source_row"]
+    rows = profiled(raw, day_first).collect() if own else []
+    return {c: Profile(0, {k: 0.0 for k in KINDS}) for c in own} | {r["header"]: Profile(r["cells"], {k: r[k] / r["cells"] for k in KINDS}, r["sample"]) for r in rows}
 
 
 def money_proofs(raw: DataFrame, mapped: list[Mapped], open_columns: dict[str, tuple[str, ...]]) -> dict[str, str]:
@@ -153,11 +157,12 @@ def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None =
 
     Overrides come first, and ``ignored`` columns stay unmapped. Then the best scores; of equal ones a source's own
     names, then the column whose cells read best as the field, then headers by the alphabet and fields in their order.
-    Columns that several money fields claim are left to ``money_proofs``; a common word is never enough for or against money.
+    Columns that several money fields claim are left to ``money_proofs``. A common word is never enough for money, and a
+    column whose name fits money better than a field, or a field better than money, does not feed the other.
     """
     chosen = [Mapped(f, c, EXACT) for f, c in (overrides or {}).items() if c in headers]
     fields, columns = {m.field for m in chosen}, {m.column for m in chosen} | set(ignored)
-    money = {h for h in headers if any(f.name in MONEY and score(h, names_of(dataset, f.name)) >= PART for f in DATASETS[dataset])}
+    best = {h: [max((score(h, names_of(dataset, f.name, source)) for f in DATASETS[dataset] if (f.name in MONEY) == money), default=0) for money in (True, False)] for h in headers}
     scored = []
     for k, f in enumerate(DATASETS[dataset]):
         names, special = names_of(dataset, f.name, source), of_source(source, dataset, f.name)
@@ -166,7 +171,10 @@ def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None =
             fit = cells[h].reads_as(f.kind) if cells and h in cells else 1.0
             if points < LEAST or (points < EXACT and fit < READABLE):
                 continue
-            if (f.name in MONEY and money_claims(h, dataset)) or (points < PART and (f.name in MONEY or h in money)):
+            as_money, as_other = best[h]
+            if f.name in MONEY and (money_claims(h, dataset) or points < PART or (points < EXACT and points < as_other)):
+                continue
+            if f.name not in MONEY and points < EXACT and PART <= as_money and points <= as_money:
                 continue
             own = points == EXACT and header(h) in special
             scored.append((-points, not own, -round(fit, 3), h.lower(), k, f.name, h))
@@ -253,6 +261,16 @@ SIGNATURES = {
 FLOOR, NEAR = 55, 15
 
 
+def terms_held(raw: DataFrame) -> list[str]:
+    """Telling terms that any cell of ``raw`` holds, from one aggregate over all its rows."""
+    terms = sorted({t for rules in SIGNATURES.values() for _, where, some in rules if where == "any" for t in some})
+    own = [F.lower(column(c).cast("string")) for c in raw.columns if c != "source_row"]
+    if not own:
+        return []
+    row = raw.agg(*[F.bool_or(F.concat_ws("\n", *own).contains(t)).alias(t) for t in terms]).collect()[0]
+    return [t for t in terms if row[t]]
+
+
 def detect(headers: list[str], file_name: str = "", samples: list[str] | None = None) -> tuple[str, int]:
     """(licence manager or generic, confidence): fired weights up to 99; a runner-up within 15 costs 20, and below 55 nothing is sure."""
     heads = [header(h) for h in headers]

@@ -16,17 +16,24 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
 
 
 def peaks(spark: SparkSession, features: int, days: int, p95: int = 275, low: int = 180, high: int = 314, seed: int = 7) -> DataFrame:
-    """(feature_id, day, peak): for each feature the P95 of its days is exactly ``p95`` and the largest ``high``.
+    """(feature_id, day, peak): for each of the made-up features the P95 of its days is exactly ``p95`` and the largest ``high``."""
+    targets = spark.range(features).select(F.concat(F.lit("feature:"), F.col("id").cast("string")).alias("feature_id"), F.lit(low).alias("low"), F.lit(p95).alias("p95"), F.lit(high).alias("high"))
+    return peaks_of(targets, days, seed)
+
+
+def peaks_of(targets: DataFrame, days: int, seed: int = 7) -> DataFrame:
+    """(feature_id, day, peak) for each row of ``targets`` (feature_id, low, p95, high): a series whose P95 and maximum are exactly these.
 
     Ranks by a hash decide which day gets which value: the top twentieth lies above, the two ranks around the
     percentile are equal to it, the rest climbs from ``low``.
     """
-    grid = spark.range(features).select(F.concat(F.lit("feature:"), F.col("id").cast("string")).alias("feature_id"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
+    grid = targets.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
     place = F.row_number().over(W.partitionBy("feature_id").orderBy(uniform(F.col("feature_id"), F.col("day"), seed=seed), "day")) - 1
     at = int(0.95 * (days - 1))
     below, above = max(1, at), max(1, days - 1 - (at + 1))
-    value = F.when(place < at, F.floor(low + (p95 - low) * (place / float(below)))).when(place <= at + 1, F.lit(p95)).otherwise(F.ceil(p95 + (high - p95) * ((place - at - 1) / float(above))))
-    return grid.withColumn("peak", value.cast("double"))
+    p95, low, high = F.col("p95"), F.col("low"), F.col("high")
+    value = F.when(place < at, F.floor(low + (p95 - low) * (place / float(below)))).when(place <= at + 1, p95).otherwise(F.ceil(p95 + (high - p95) * ((place - at - 1) / float(above))))
+    return grid.select("feature_id", "day", value.cast("double").alias("peak"))
 
 
 def hourly(daily: DataFrame) -> DataFrame:
