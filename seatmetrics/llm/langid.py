@@ -73,6 +73,10 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
     return best
 
 
+#: The share of held-out labelled texts whose loss counts as usual, and how far from there to a text without n-grams is far.
+USUAL, FAR = 0.99, 0.75
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -151,9 +155,10 @@ def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 200,
     trust = np.log((1 - error) / error)
     model = Model(languages, code.astype(np.float32), w, b, trust / trust.mean())
     if held.any():
-        # From the farthest of the rows held out of training halfway to a text without any n-gram.
-        worst, nothing = (float(model.decode(v)[3].max()) for v in (x[held], np.zeros((1, BUCKETS), np.float32)))
-        model.far = max(worst, (worst + nothing) / 2)
+        # From the far end of the rows held out of training most of the way to a text without any n-gram; a few mislabelled rows do not move it.
+        usual = float(np.quantile(model.decode(x[held])[3], USUAL))
+        nothing = float(model.decode(np.zeros((1, BUCKETS), np.float32))[3].max())
+        model.far = max(usual, usual + FAR * (nothing - usual))
     return model
 
 
@@ -179,9 +184,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
     return kept.mapInArrow(run, schema)
 
 
-def without_unknown(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
-    """``docs`` without texts that have no letter, and without those that are ambiguous and far from every codeword.
+def without_unknown(docs: DataFrame, model: Model, text: str = "text", unsure_below: float = 0.6) -> DataFrame:
+    """``docs`` without texts that have no letter, and without those that are unsure and far from every codeword.
 
+    Either alone is no ground: a short text of a known language can be far, and one in two languages unsure.
     A model without languages cannot tell, and then only texts without a letter are left out.
     """
 
@@ -192,7 +198,7 @@ def without_unknown(docs: DataFrame, model: Model, text: str = "text", ambiguous
             rows = np.flatnonzero(keep)
             if model.languages and len(rows):
                 _, _, gap, loss = model.decode(np.stack([features(texts[k]) for k in rows]))
-                keep[rows] = (gap >= ambiguous_below) | (loss <= model.far)
+                keep[rows] = (gap >= unsure_below) | (loss <= model.far)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

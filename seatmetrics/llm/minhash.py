@@ -118,11 +118,14 @@ def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) ->
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row for each set: its number ``rep``, the least id of its documents, the text of one of them by its hash, and the bands.
 
-    Ids may repeat or be missing, so classes are known by numbers that are made where they are written.
+    Ids may repeat or be missing, so classes are known by numbers that are made where they are written; ``repeated`` says
+    that several rows have the id and the text by which the class's text is found.
     """
     filled = rows.where("n_shingles > 0")
-    text_key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key"))
-    grouped = filled.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), text_key.alias("text_key"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    single = filled.groupBy("set_key", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    grouped = single.groupBy("set_key").agg(first, F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("at"))
+    grouped = grouped.select("set_key", F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("text_key"), (F.col("at.n") > 1).alias("repeated"), "bands")
     return settle(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
 
@@ -144,12 +147,16 @@ def _alike(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings) -> DataFrame:
-    """``roles`` (rep, ...) with the text of each; they are sent to the texts while they are few enough."""
-    named = roles.join(classes.select("rep", "least_id", "text_key"), "rep")
+    """``roles`` (rep, ...) with the text of each; they are sent to the texts while they are few enough.
+
+    Rows that repeat an id (or have none) and a text are one: each task hands on one of them, and one is left of those.
+    """
+    named = roles.join(classes.select("rep", "least_id", "text_key", "repeated"), "rep")
     small = roles.count() <= settings.broadcast_rows
     rows = docs.select(F.col(id_column).cast("bigint").alias("own_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
-    named = F.broadcast(named) if small else named
-    return rows.join(named, rows["own_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("text_key")))
+    some = named.where("repeated").limit(1).count() > 0
+    found = rows.join(F.broadcast(named) if small else named, rows["own_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("text_key")))
+    return found.groupBy(*roles.columns).agg(F.first("text").alias("text")) if some else found
 
 
 def hub_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
@@ -245,7 +252,7 @@ def part_links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_colum
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``, and text_key, the hash of its text."""
     rows = sketch(docs, id_column, column, settings)
     classes = classes_of(rows)
     edges = bucket_edges(classes)
@@ -260,6 +267,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     least = settle(known.where("part IS NOT NULL").groupBy("part").agg(F.min("least_id").alias("part_id")).select(F.col("part").alias("of"), "part_id"), "part-names")
     named = known.join(least, F.col("part") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.when(F.col("part").isNull(), F.col("least_id")).otherwise(F.col("part_id")).alias("component"))
     named = settle(named, "named")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, (rows["set_key"] == named["class_key"]) & (F.col("n_shingles") > 0), "left")
+    out = rows.select("doc_id", "n_shingles", "set_key", "text_key").join(named, (rows["set_key"] == named["class_key"]) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_key")

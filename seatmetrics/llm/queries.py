@@ -52,7 +52,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_ambiguous_and_far_texts_leave(spark):
     assert kept >= set(range(600)) and not kept & {2000, 2001}
     assert len(kept & {i for i, _, _ in foreign}) < len(foreign)
     model = langid.fit(docs.where(~langid.held_out()))
-    ambiguous = {r["doc_id"] for r in langid.predict(docs, model).where("lang_ambiguous").collect()}
+    ambiguous = {r["doc_id"] for r in langid.predict(docs, model, ambiguous_below=0.6).where("lang_ambiguous").collect()}
     assert {i for i, _, _ in foreign} - kept <= ambiguous
 
 

@@ -86,6 +86,21 @@ def test_repeated_and_missing_ids(make_docs, words):
         assert got == sorted([("5", "3", False), ("5", "5", True), ("3", "3", True), ("9", "5", False), ("None", "3", False), ("None", "None", False), ("None", "None", False)])
 
 
+def test_copies_without_id_are_one_text(spark, words):
+    """100,000 rows without id, or of one id, with one text: the texts that meet their hub are as many as classes, not rows."""
+    a = words(40, 5)
+    rows = spark.createDataFrame([(None, " ".join(a)), (4, " ".join([*a, "z"])), (7, " ".join(["y", *a]))], "doc_id bigint, text string")
+    docs = rows.crossJoin(spark.range(100_000)).where("id < 50000 OR doc_id IS NULL OR doc_id = 4").select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 7").unionByName(rows.where("doc_id = 7")).repartition(6)
+    settings = minhash.Settings()
+    classes = minhash.classes_of(minhash.sketch(docs, "doc_id", "text", settings))
+    assert sorted((r["least_id"] is None, r["repeated"]) for r in classes.collect()) == [(False, False), (False, True), (True, True)]
+    roles = classes.select("rep", F.lit(1).alias("hub"), F.lit(0).alias("part"))
+    for settings in (minhash.Settings(), minhash.Settings(broadcast_rows=0)):
+        assert minhash._texts(docs, classes, "doc_id", "text", roles, settings).count() == 3
+    got = {(r["doc_id"], r["component_id"], r["kept"], r["n"]) for r in minhash.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 4, False, 100_000), (4, 4, True, 100_000), (7, 4, False, 1)}
+
+
 def test_recall_of_banding(words):
     """Of pairs at the threshold and just above, the share that meets in a band and passes the signatures' margin."""
     rng, settings = random.Random(17), minhash.Settings()

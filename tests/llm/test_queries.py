@@ -70,3 +70,22 @@ def test_pipeline_stages_on_edges(make_docs):
     assert sorted(str(r["doc_id"]) for r in left) == sorted(["4", "5", "6", "6", "8", "9", "50", "None"])  # 51 is a near copy of 50
     assert {r["text"] for r in left if r["doc_id"] == 50} == {"my [SECRET] and some more words to read"}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(left)
+
+
+def test_near_duplicate_stage_drops_rows_not_ids(make_docs):
+    """A text like no other stays, whatever shares its id; a row without id goes with its group."""
+    text = "a small text of some words that is copied here and there with little change"
+    rows = [(3, text), (5, text + " too"), (5, "nothing like that one at all in any of its many words"), (5, None), (None, text), (None, "a text of its own that has no id and no copy"), (6, "once more"), (6, "once more")]
+    left = corpus_pipeline.near_duplicates(make_docs(rows).sparkSession, make_docs(rows), SF).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]]))
+
+
+def test_language_stage_on_the_tables(spark):
+    """Planted texts in no labelled language leave, one wrong label does not change that, and no clean document goes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = ["መልካም ቀን ለሁሉም ሰዎች", "ខ្មែរ ភាសា ជាតិ", "ဗမာစာ ဘာသာ စကား", "ՀԱՅԵՐԵՆ ԼԵԶՈՒ ԳԻՐ", "ᐃᓄᒃᑎᑐᑦ ᐅᖃᐅᓯᖅ"]
+    odd = [(900_000 + k, t, None, "planted", len(t)) for k, t in enumerate(foreign)] + [(900_100, "ՀԱՅԵՐԵՆ ԼԵԶՈՒ", "en", "planted", 14)]
+    every = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, every, SF).collect()}
+    clean = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert kept >= clean and len(kept & set(range(900_000, 900_005))) <= 1
