@@ -5,9 +5,9 @@ replaced by a mark in the text that later stages read, and the last stage counts
 token ids.
 
 Defined results of all stages: null texts, texts without a letter and texts unlike every labelled language leave in
-the first stage, and a table without labels loses only the first two; a null id takes part and
-is never a duplicate; rows that repeat an id stay or go together; an empty table stays empty; further columns pass
-through unchanged, whatever their names, unless they start with ``_secret``.
+the first stage, and a table without labels loses only the first two; rows that repeat an id are judged one by one, and
+only those of one id and text stay or go together; a row without id goes if its group has a row with one; an empty table
+stays empty; further columns pass through unchanged, whatever their names, unless they start with ``_secret`` or ``_near``.
 """
 
 from __future__ import annotations
@@ -25,18 +25,20 @@ SHINGLES = minhash.Settings(width=5, above=80, below=100)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from labelled documents, and leave out texts in none of them.
 
-    These are null texts, texts without a letter, and those whose language is ambiguous while their nearest codeword
-    is farther than that of any held-out labelled text (``Model.far``). Without labels only the first two leave.
+    These are null texts, texts without a letter, and those whose language is unsure while their nearest codeword is
+    farther than that of any held-out labelled text (``Model.far``). Without labels only the first two leave.
     """
     model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
     return langid.without_unknown(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group."""
+    """Keep the document with the smallest id of each group; a row is known by its id and its text, so another text of that id is no victim."""
     marked = minhash.near_duplicates(docs.select("doc_id", "text"), settings=SHINGLES)
-    dropped = marked.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = marked.where("NOT kept AND component_id IS NOT NULL AND text_key IS NOT NULL").select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_text")).distinct()
+    own = docs.withColumn("_near_key", F.xxhash64("text"))
+    left = own.join(dropped, own["_near_key"].eqNullSafe(F.col("_near_text")) & own["doc_id"].eqNullSafe(F.col("_near_id")), "left_anti")
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
