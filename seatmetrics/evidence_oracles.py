@@ -95,5 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "confirmed_aliases": _DECISIONS + "SELECT raw, target FROM s WHERE place = 1 AND NOT undo AND kind = 'feature' AND decision = 'confirmed'",
         "undone_confirmations": _DECISIONS + "SELECT kind, raw, max(decided_at) FILTER (WHERE undo) AS undone_at FROM s GROUP BY kind, raw HAVING count(*) FILTER (WHERE NOT undo) > 0 AND bool_or(place = 1 AND undo)",
         "sliced_insert": "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS n, 'part ' || min(l_partkey) AS f, sum(l_quantity) AS q, min(CASE WHEN l_linenumber > 1 THEN l_suppkey END) AS p FROM lineitem GROUP BY 1), a AS (SELECT f, q, p, min(n) AS n FROM r GROUP BY f, q, p) SELECT CASE WHEN n % 3 <> 0 THEN 'one' ELSE 'two' END AS import_id, count(*) AS rows, sum(q) AS quantity, min(n) AS first_row FROM a GROUP BY ALL",
+        "questions_understood": "SELECT p_partkey AS question_id, CASE n WHEN 0 THEN 'capacity' WHEN 1 THEN 'capacity' WHEN 2 THEN 'scenario' WHEN 3 THEN 'spend' ELSE 'renewal' END AS intent, CASE n WHEN 0 THEN 'capacity_risk' WHEN 1 THEN 'capacity_risk' WHEN 2 THEN 'scenario_rollup' WHEN 3 THEN 'portfolio_totals' ELSE 'renewal_priority' END AS query, CASE n WHEN 2 THEN CAST(p_partkey % 40 AS DOUBLE) END AS percent, CASE WHEN n IN (0, 2) THEN p_name END AS name, CASE WHEN n IN (0, 2) THEN 'p_name' END AS column, CASE WHEN n IN (0, 2) THEN p_name END AS value, CASE n WHEN 1 THEN 'catia' || p_partkey WHEN 3 THEN 'TOOL_' || p_partkey END AS unknown, CASE WHEN n IN (1, 3) THEN 'unknown subject' ELSE 'answer' END AS status FROM (SELECT *, p_partkey % 5 AS n FROM part)",
         "keyset_read": "SELECT o_orderstatus, count(*) AS orders, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM orders WHERE o_orderkey > 100 GROUP BY ALL",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmetrics.operators import normalize, sizing
-from seatmetrics.plans import confirmations, coverage
+from seatmetrics.plans import ask, confirmations, coverage
 from seatmetrics.sources import adapters, keyset, mapping, synthetic
 from seatmetrics.sources.estate import Estate
 from seatmetrics.sources.inserts import SlicedInsert
@@ -250,3 +250,15 @@ def keyset_read(e: Estate) -> DataFrame:
     """Orders behind a key, by ranges of keys: how many there are of each status, and the least and greatest key."""
     rows = keyset.read_after(e.spark, f"{e.root}/orders.parquet", "o_orderkey", after=100, rows=5_000, columns="o_orderkey,o_orderstatus,o_totalprice")
     return rows.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+
+
+# ---- questions in words ----
+
+
+@query
+def questions_understood(e: Estate) -> DataFrame:
+    """Questions about every part's name, about products that no part has, and about nothing in particular."""
+    names = e.table("part").select(F.col("p_name").alias("name"), F.lit("p_name").alias("column"), F.col("p_name").alias("value")).distinct()
+    n = F.col("p_partkey")
+    asked = F.when(n % 5 == 0, F.concat(F.lit("Is "), "p_name", F.lit(" at risk?"))).when(n % 5 == 1, F.concat(F.lit("is catia"), n.cast("string"), F.lit(" at risk"))).when(n % 5 == 2, F.concat(F.lit("What happens if "), "p_name", F.lit(" grows "), (n % 40).cast("string"), F.lit(" %"))).when(n % 5 == 3, F.concat(F.lit("Explain the cost of TOOL_"), n.cast("string"), F.lit(" please"))).otherwise("Which renewals need attention?")
+    return ask.understood(e.table("part").select(n.alias("question_id"), asked.alias("question")), names)

@@ -13,7 +13,7 @@ from seatmetrics.operators import contracts, demand, identity, normalize, review
 from seatmetrics.plans import assembly, commercial, portfolio, trust
 from seatmetrics.sources import sinks, synthetic
 from seatmetrics.sources.estate import Estate
-from seatmetrics.sources.shared import shared_dir
+from seatmetrics.sources.shared import settle, shared_dir
 from seatmetrics.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,7 +323,7 @@ def evidence_record(e: Estate) -> DataFrame:
 
 @query
 def page_figures(e: Estate) -> DataFrame:
-    rows = portfolio.portfolio(e).cache()
+    rows = settle(portfolio.portfolio(e), "portfolio")
     return assembly.page_figures(rows, commercial.renewals(rows), e.as_of)
 
 

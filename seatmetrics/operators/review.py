@@ -1,7 +1,9 @@
 """Candidates for a person to decide on: rows that share a telling word or a part of an identifier.
 
-Both sides meet by equal words or pieces, so a line is compared with its plausible candidates only. A word that is in
-most names pairs many rows; such names are few by nature (products of one estate), users' pieces are nearly unique.
+Both sides meet by equal words or pieces, so a line is compared with its plausible candidates only. Words that many names
+hold do not pair them all: of names that can share only such common words with a line, the score depends on which of
+them they hold and on how many words they have, so the first few of each such group stand for all, and the result is the
+same. Users' pieces are nearly unique.
 """
 
 from __future__ import annotations
@@ -13,21 +15,54 @@ from pyspark.sql import functions as F
 from seatmetrics.functions.text import name_tokens, resemblance, token_similarity, user_key
 
 LEAST_SCORE, SHOWN = 15, 5
+#: A word that more names than this hold is common.
+COMMON = 1_000
 
 
 def _top(rows: DataFrame, by: str | list[str], order: list[Column], n: int = SHOWN) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def review_queue(lines: DataFrame, features: DataFrame) -> DataFrame:
+def common_words(right: DataFrame, words: str, common: int) -> DataFrame | None:
+    """(word) of the words that more than ``common`` rows of ``right`` hold; nothing where there is none."""
+    many = right.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > common).select("word")
+    return None if many.isEmpty() else many
+
+
+def word_pairs(left: DataFrame, right: DataFrame, own: str, others: str, key: str, groups: list[list[str]], keep: int, common: int = COMMON) -> DataFrame:
+    """Rows of ``left`` with rows of ``right`` that share a word of the arrays ``own`` and ``others``, as far as they can matter.
+
+    Rows that share a word which is not common are all paired. For common words, the ``keep`` least ``key`` of each
+    group of right rows stand for the group: those that hold the same common words and agree in the columns of one of
+    ``groups``. The caller's score must depend on nothing else where no other word is shared, and rank equal ones by ``key``.
+    A pair comes once for each word by which it is found.
+    """
+    spread = right.withColumn("word", F.explode(F.array_distinct(others)))
+    asked = left.withColumn("word", F.explode(F.array_distinct(own)))
+    many = common_words(right, others, common)
+    if many is None:
+        return asked.join(spread, "word").drop("word")
+    rare = asked.join(many, "word", "left_anti").join(spread.join(many, "word", "left_anti"), "word")
+    held = spread.join(many, "word").groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("held"))
+    marked = right.join(held, key)
+    out = rare
+    for columns in groups:
+        first = F.row_number().over(W.partitionBy("held", *columns).orderBy(key))
+        stand_in = marked.withColumn("place", first).where(F.col("place") <= keep).drop("place")
+        out = out.unionByName(asked.join(stand_in.withColumn("word", F.explode("held")).drop("held"), "word"))
+    return out.drop("word")
+
+
+def review_queue(lines: DataFrame, features: DataFrame, common: int = COMMON) -> DataFrame:
     """``lines`` (line_id, name, vendor) against observed ``features`` (feature_id, feature_name, vendor_name): the five best by common words, the vendor adding 15.
 
     Lines of equal words and vendor are compared once.
     """
     named = lines.select("line_id", F.lower(F.trim("vendor")).alias("vendor"), name_tokens(F.col("name")).alias("a"))
-    right = features.select("feature_id", F.lower(F.trim("vendor_name")).alias("vendor_name"), name_tokens(F.col("feature_name")).alias("b"))
+    right = features.select("feature_id", F.lower(F.trim("vendor_name")).alias("vendor_name"), name_tokens(F.col("feature_name")).alias("b")).withColumn("size", F.size("b"))
     left = named.select("a", "vendor").distinct()
-    pairs = left.withColumn("word", F.explode("a")).join(right.withColumn("word", F.explode("b")), "word").drop("word").dropDuplicates(["a", "vendor", "feature_id"])
+    # The score depends on the size and, where it is the line's own, on the vendor.
+    pairs = word_pairs(left, right, "a", "b", "feature_id", [["size"], ["size", "vendor_name"]], SHOWN, common).dropDuplicates(["a", "vendor", "feature_id"])
     same = F.coalesce(F.col("vendor") == F.col("vendor_name"), F.lit(False))
     score = F.least(F.lit(100), token_similarity(F.col("a"), F.col("b")) + F.when(same, 15).otherwise(0)).cast("bigint")
     scored = pairs.select("a", "vendor", "feature_id", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
@@ -58,22 +93,27 @@ def user_review_queue(users: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def related_features(names: DataFrame, features: DataFrame) -> DataFrame:
-    """Features that share a word of four characters or more with a name: the first five by key."""
+    """Features that share a word of four characters or more with a name: the first five by key.
+
+    Of each word only the first six keys are sent to the names, as one of them may be the name itself.
+    """
     words = F.explode(F.array_distinct(F.filter(F.split("feature_key", "_"), lambda w: F.length(w) >= 4))).alias("word")
-    pairs = names.select(F.col("feature_key").alias("name"), words).join(features.select("feature_key", words), "word").where("name <> feature_key").select("name", "feature_key").distinct()
+    first = _top(features.select("feature_key", words).distinct(), "word", [F.col("feature_key")], SHOWN + 1).drop("rank")
+    pairs = names.select(F.col("feature_key").alias("name"), words).join(first, "word").where("name <> feature_key").select("name", "feature_key").distinct()
     return _top(pairs, "name", [F.col("feature_key")])
 
 
-def suggestions(unmapped: DataFrame, candidates: DataFrame) -> DataFrame:
+def suggestions(unmapped: DataFrame, candidates: DataFrame, common: int = COMMON) -> DataFrame:
     """For each raw value of ``unmapped`` (raw) the feature of ``candidates`` (feature_id, label) that shares most words of three characters or more; the first of equal ones."""
 
     def words(x: Column) -> Column:
         return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
 
-    left = unmapped.select("raw", F.explode(words(F.col("raw"))).alias("word")).groupBy("raw", "word").agg(F.count("*").alias("n"))
-    right = candidates.select("feature_id", F.explode(F.array_distinct(words(F.col("label")))).alias("word"))
-    overlap = left.join(right, "word").groupBy("raw", "feature_id").agg(F.sum("n").alias("overlap"))
-    return _top(overlap, "raw", [F.col("overlap").desc(), F.col("feature_id")], 1).drop("rank")
+    left = unmapped.select("raw", words(F.col("raw")).alias("a")).distinct()
+    right = candidates.select("feature_id", F.array_distinct(words(F.col("label"))).alias("b"))
+    pairs = word_pairs(left, right, "a", "b", "feature_id", [[]], 1, common).dropDuplicates(["raw", "feature_id"])
+    shared = F.size(F.filter("a", lambda w: F.array_contains("b", w))).cast("bigint")
+    return _top(pairs.select("raw", "feature_id", shared.alias("overlap")), "raw", [F.col("overlap").desc(), F.col("feature_id")], 1).drop("rank")
 
 
 def related_by_lead(keys: DataFrame) -> DataFrame:

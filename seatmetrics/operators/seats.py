@@ -52,7 +52,7 @@ def reclaim_queue(activity: DataFrame, features: DataFrame, people: DataFrame, a
     rows = activity.where(is_candidate(as_of, options.reclaim_days)).join(named, "feature_id")
     rows = rows.join(people.select("employee_id", "display_name", "department"), "employee_id", "left")
     out = rows.select("feature_id", "employee_id", "display_name", "department", "last_used", days_idle(F.col("last_used"), as_of).alias("idle_days"), F.col("unit_price").alias("annual_value"))
-    return out.orderBy(F.col("idle_days").desc_nulls_first(), "feature_id", "employee_id")
+    return out
 
 
 def reclaim_value(queue: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def used() -> Column:
 
 
 def stage(days: Column) -> Column:
-    """A stage begins when the countdown reaches its first day and runs until the next begins."""
+    """Where a renewal is on its way, by the days that are left: the nearer the date, the later the stage."""
     return F.when(days <= 0, "renewed").when(days <= 30, "finalize").when(days <= 60, "negotiate").when(days <= 90, "recommend").when(days <= 120, "validate").otherwise("analyze")
 
 
@@ -63,7 +63,7 @@ def renewals(portfolio: DataFrame) -> DataFrame:
         "contract_id", "vendor_id", "vendor_name", "renewal_date", "days_to_renewal", stage(F.col("days_to_renewal")).alias("stage"), urgency(F.col("days_to_renewal")).alias("urgency"), "items",
         half_up(F.col("cost"), 2).alias("current_spend"), half_up(F.col("rec"), 2).alias("recommended_spend"), half_up(F.col("opp"), 2).alias("opportunity"), half_up(F.col("inc"), 2).alias("incremental"),
         "capacity_exposure", half_up(ratio(F.col("tw"), F.col("w")), 1).alias("trend_pct"), score.alias("confidence_score"), level(score).alias("confidence"),
-    ).orderBy("days_to_renewal", "contract_id")
+    )
 
 
 def renewal_exposure(lines: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def allocate(activity: DataFrame, people: DataFrame, costs: DataFrame, dimension
     return out.select(
         "grp", half_up(F.col("spend"), 2).alias("allocated_spend"), half_up(or_zero(ratio(F.col("spend") * 100, F.col("total"))), 1).alias("share_pct"), half_up(F.col("hours"), 1).alias("usage_hours"),
         "sessions", "assigned_licenses", "active_users", "observed_users", head.alias("headcount"), half_up(F.col("waste"), 2).alias("potential_waste"), half_up(ratio(F.col("spend"), head), 2).alias("cost_per_engineer"),
-    ).orderBy(F.col("allocated_spend").desc(), "grp")
+    )
 
 
 def allocation_check(activity: DataFrame, people: DataFrame, costs: DataFrame, dimension: str, method: str) -> DataFrame:
@@ -192,18 +192,18 @@ def manager_rollup(people: DataFrame, activity: DataFrame, features: DataFrame,
     rows = activity.join(led.select("employee_id", "manager"), "employee_id").join(named, "feature_id", "left")
     seat = F.col("assigned") & F.coalesce("named", F.lit(False))
     idle = seat & (days_until(as_of, F.col("last_used")) <= -reclaim_days)
-    acts = rows.groupBy("manager").agg(
-        F.countDistinct(F.when(used(), F.col("employee_id"))).alias("active_reports"), F.countDistinct("feature_id").alias("features_used"), F.count(F.when(seat, 1)).alias("assigned_seats"),
-        F.count(F.when(idle, 1)).alias("reclaim_candidates"), F.sum(F.when(idle, F.col("unit_price"))).alias("value"),
-    )
+    # Distinct employees and features are counted over sums by (manager, employee) and (manager, feature), not by expanding every row.
+    people_of = rows.groupBy("manager", "employee_id").agg(F.bool_or(used()).alias("used"), F.count(F.when(seat, 1)).alias("seats"), F.count(F.when(idle, 1)).alias("idle"), F.sum(F.when(idle, F.col("unit_price"))).alias("value"))
+    acts = people_of.groupBy("manager").agg(F.count(F.when(F.col("used"), 1)).alias("active_reports"), F.sum("seats").alias("assigned_seats"), F.sum("idle").alias("reclaim_candidates"), F.sum("value").alias("value"))
+    acts = acts.join(rows.select("manager", "feature_id").distinct().groupBy("manager").agg(F.count("*").alias("features_used")), "manager")
     zero = F.lit(0).cast("bigint")
     out = reports.join(acts, "manager", "left")
     counts = [F.coalesce(c, zero).alias(c) for c in ("active_reports", "features_used", "assigned_seats", "reclaim_candidates")]
-    return out.select("manager", "manager_name", "linked", "reports", *counts, F.when(F.col("reclaim_candidates") > 0, half_up(F.col("value"), 2)).alias("reclaim_value")).orderBy(F.col("reclaim_candidates").desc(), F.col("assigned_seats").desc(), "manager")
+    return out.select("manager", "manager_name", "linked", "reports", *counts, F.when(F.col("reclaim_candidates") > 0, half_up(F.col("value"), 2)).alias("reclaim_value"))
 
 
 def vendor_spend(portfolio: DataFrame) -> DataFrame:
-    return portfolio.groupBy("vendor_id", "vendor_name").agg(half_up(or_zero(F.sum("current_cost")), 2).alias("spend"), F.count("*").alias("features")).orderBy(F.col("spend").desc(), "vendor_id")
+    return portfolio.groupBy("vendor_id", "vendor_name").agg(half_up(or_zero(F.sum("current_cost")), 2).alias("spend"), F.count("*").alias("features"))
 
 
 def spend_shares(vendors: DataFrame) -> DataFrame:

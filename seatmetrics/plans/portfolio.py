@@ -19,6 +19,7 @@ from seatmetrics.operators.seats import NAMED, named_user_metrics
 from seatmetrics.operators.sizing import Options, financials, right_sizing, sized
 from seatmetrics.operators.tokens import token_metrics
 from seatmetrics.sources.estate import Estate
+from seatmetrics.sources.shared import settle
 
 CONCURRENT = ("concurrent", "hybrid", "custom")
 #: Dimension attributes that every row carries.
@@ -42,16 +43,18 @@ def portfolio(estate: Estate, options: Options = Options()) -> DataFrame:
     features = estate.features().select(*ATTRIBUTES)
     model = F.col("license_model")
     concurrent = features.where(model.isin(*CONCURRENT))
-    daily = estate.daily(window, CONCURRENT)
+    by_day = estate.by_day(window, (*CONCURRENT, "token"))
 
-    metrics = concurrent_metrics(daily, concurrent, window, options.percentile)
+    metrics = concurrent_metrics(by_day.select("feature_id", "date", "peak"), concurrent, window, options.percentile)
     metrics = metrics.withColumn("capacity", F.when(F.col("observed_days") > 0, capacity_risk(metrics)))
     metrics = metrics.select("feature_id", "observed_days", "p95", F.col("basis").alias("sizing_basis"), "max_peak", "trend_pct", "utilization_pct", "saturation_days", "capacity")
     seats = named_user_metrics(estate.activity(NAMED), features.where(model.isin(*NAMED)), estate.as_of, options).select("feature_id", "assigned", "active_users", "reclaim_candidates", "reclaim_value", "seats_without_user")
-    tokens = token_metrics(estate.brand_tokens(window, ("token",)), features.where(model == "token"), window).select("feature_id", F.col("used_pct").alias("token_used_pct"), F.col("risk").alias("token_risk"))
+    tokens = token_metrics(by_day.select("feature_id", "date", "token_hours", "peak_tokens"), features.where(model == "token"), window).select("feature_id", F.col("used_pct").alias("token_used_pct"), F.col("risk").alias("token_risk"))
     denials = denial_sums(estate.denials(window), window)
 
-    rows = features.join(metrics, "feature_id", "left").join(seats, "feature_id", "left").join(tokens, "feature_id", "left").join(denials, "feature_id", "left")
+    joined = features.join(metrics, "feature_id", "left").join(seats, "feature_id", "left").join(tokens, "feature_id", "left").join(denials, "feature_id", "left")
+    # A row for each feature: kept, so that what follows, and the plans that branch over the portfolio, are planned over files.
+    rows = settle(joined, "portfolio-parts")
     seen = F.coalesce(F.col("observed_days") > 0, F.lit(False)) | F.col("assigned").isNotNull() | F.col("token_risk").isNotNull()
     days = F.when(model.isin(*CONCURRENT), F.when(seen, F.col("observed_days"))).when((model == "token") | F.col("assigned").isNotNull(), F.lit(window.days))
     rows = rows.withColumns({"usage_evidence": F.when(seen, "observed").otherwise("not_supplied"), "observed_days": F.coalesce(days, F.lit(0)).cast("bigint")})
@@ -148,8 +151,8 @@ def sort_key(name: str, descending: bool) -> list[Column]:
 
 
 def cost_bridge(rows: DataFrame) -> DataFrame:
-    """Current spend, savings, additions and the result, with the running total of a waterfall: four rows."""
-    t = totals(rows)
+    """Current spend, savings, additions and the result, with the running total of a waterfall: four rows; unknown where nothing carries a price."""
+    t = priced_totals(totals(rows))
     steps = [(1, "current", F.col("annual_spend")), (2, "savings", -F.col("opportunity")), (3, "additions", F.col("incremental"))]
     flat = t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(n).alias("step"), x.alias("amount")) for k, n, x in steps])).alias("s")).select("s.*")
     return flat.withColumn("running_total", half_up(F.sum("amount").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)), 2))

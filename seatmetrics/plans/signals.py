@@ -32,7 +32,7 @@ def _signals(rows: DataFrame, seq: int, kind: str, key: Column, impact: Column,
 
 
 def generate(portfolio: DataFrame, renewals: DataFrame, issues: DataFrame, reconciliation: DataFrame, cost_threshold: float = 25_000) -> DataFrame:
-    """All signals, best score first; equal scores keep the order of their generators."""
+    """All signals with their score; ``ordered`` puts the best first."""
     days, conf, risk = F.col("days_to_renewal"), F.col("confidence"), F.col("risk")
     fid, trend = F.col("feature_id"), guarded_trend(F.col("observed_days"), F.col("trend_pct"))
     low, moderate = F.lit("Low"), F.lit("Moderate")
@@ -77,8 +77,12 @@ def generate(portfolio: DataFrame, renewals: DataFrame, issues: DataFrame, recon
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    scored = every.withColumn("score", score(F.col("impact"), F.col("urgency_days"), F.col("risk"), F.col("confidence")))
-    return scored.orderBy(F.col("score").desc(), "seq", "id")
+    return every.withColumn("score", score(F.col("impact"), F.col("urgency_days"), F.col("risk"), F.col("confidence")))
+
+
+def ordered(signals: DataFrame) -> DataFrame:
+    """Best score first; equal scores keep the order of their generators."""
+    return signals.orderBy(F.col("score").desc(), "seq", "id")
 
 
 def decisions(signals: DataFrame, overrides: DataFrame) -> DataFrame:

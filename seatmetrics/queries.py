@@ -12,6 +12,7 @@ from seatmetrics.functions.numeric import half_up
 from seatmetrics.operators import confidence, demand, denied, seats, sizing, tokens
 from seatmetrics.plans import commercial, portfolio, signals
 from seatmetrics.sources.estate import Estate
+from seatmetrics.sources.shared import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -46,8 +47,8 @@ def _portfolio(e: Estate) -> DataFrame:
 
 
 def _kept_portfolio(e: Estate) -> DataFrame:
-    """For plans that branch over the portfolio: a row for each feature, computed once."""
-    return _portfolio(e).cache()
+    """For plans that branch over the portfolio: a row for each feature, computed once and read from files."""
+    return settle(_portfolio(e), "portfolio")
 
 
 # ---- demand ----
@@ -182,7 +183,9 @@ def named_user_sizing(e: Estate) -> DataFrame:
 
 @query
 def reclaim_queue(e: Estate) -> DataFrame:
-    return seats.reclaim_queue(e.activity(), e.features(), e.people(), e.as_of)
+    """Longest idle first, never used on top."""
+    rows = seats.reclaim_queue(e.activity(), e.features(), e.people(), e.as_of)
+    return rows.orderBy(F.col("idle_days").desc_nulls_first(), "feature_id", "employee_id")
 
 
 @query
@@ -283,7 +286,7 @@ def portfolio_confidence(e: Estate) -> DataFrame:
 
 @query
 def renewals(e: Estate) -> DataFrame:
-    return commercial.renewals(_portfolio(e))
+    return commercial.renewals(_portfolio(e)).orderBy("days_to_renewal", "contract_id")
 
 
 @query
@@ -308,7 +311,7 @@ def reconciliation_summary(e: Estate) -> DataFrame:
 
 @query
 def vendor_spend(e: Estate) -> DataFrame:
-    return commercial.vendor_spend(_portfolio(e))
+    return commercial.vendor_spend(_portfolio(e)).orderBy(F.col("spend").desc(), "vendor_id")
 
 
 @query
@@ -325,7 +328,7 @@ def cost_per_head(e: Estate) -> DataFrame:
 
 @query
 def signal_rows(e: Estate) -> DataFrame:
-    return _signals(e).drop("seq")
+    return signals.ordered(_signals(e)).drop("seq")
 
 
 @query
@@ -355,7 +358,7 @@ def _costs(e: Estate) -> DataFrame:
 
 
 def _allocation(method: str, dimension: str) -> None:
-    _registered[f"allocation_{method}_{dimension}"] = lambda spark, sf_dir: commercial.allocate((e := Estate(spark, sf_dir)).activity(), e.people(), _costs(e), dimension, method)
+    _registered[f"allocation_{method}_{dimension}"] = lambda spark, sf_dir: commercial.allocate((e := Estate(spark, sf_dir)).activity(), e.people(), _costs(e), dimension, method).orderBy(F.col("allocated_spend").desc(), "grp")
 
 
 for _method in commercial.WEIGHTS:
@@ -382,7 +385,8 @@ def drill_path(e: Estate) -> DataFrame:
 
 @query
 def manager_rollup(e: Estate) -> DataFrame:
-    return commercial.manager_rollup(e.people(), e.activity(), e.features(), e.as_of)
+    rows = commercial.manager_rollup(e.people(), e.activity(), e.features(), e.as_of)
+    return rows.orderBy(F.col("reclaim_candidates").desc(), F.col("assigned_seats").desc(), "manager")
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmetrics.functions.dates import Window, window
+from seatmetrics.sources.shared import settle
 
 # Fixed values of this binding: brands without a price, an entitlement, a contract quantity, a contract and any usage.
 UNPRICED, UNSERVED, UNBOUGHT, UNDATED, UNSEEN = (6, 13), (11,), (12,), (14,), (7,)
@@ -120,6 +121,12 @@ class Estate:
             lines = lines.where(within.holds(F.col("l_shipdate").cast("date")))
         return lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("peak"))
 
+    def by_day(self, within: Window, models: tuple[str, ...] | None = None) -> DataFrame:
+        """(feature_id, date, peak, token_hours, peak_tokens): what ``daily`` and ``brand_tokens`` say, from one scan, and kept, as both are read from it."""
+        lines = self.lines(models).where(within.holds(F.col("l_shipdate").cast("date")))
+        rows = lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("peak"), F.max("l_quantity").alias("peak_tokens"))
+        return settle(rows.withColumn("token_hours", F.col("peak")), "by-day")
+
     def brand_tokens(self, within: Window, models: tuple[str, ...] | None = None) -> DataFrame:
         lines = self.lines(models).where(within.holds(F.col("l_shipdate").cast("date")))
         return lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("token_hours"), F.max("l_quantity").alias("peak_tokens"))
