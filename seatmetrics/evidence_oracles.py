@@ -66,6 +66,39 @@ s AS (SELECT *, row_number() OVER (PARTITION BY kind, raw ORDER BY decided_at DE
 """
 
 
+def _clauses() -> str:
+    """Each clause with its condition, in order; ``{}`` stands for the number of the clause."""
+    conc = "sized AND license_model = 'concurrent' AND p95 IS NOT NULL"
+    money = lambda x: f"'$' || format('{{:,.2f}}', {x})"
+    many = lambda x: f"format('{{:,}}', CAST(floor({x} + 0.5) AS BIGINT))"
+    pct = lambda x: f"format('{{:,.1f}}', {x}) || '%'"
+    day = lambda d: f"strftime({d}, '%-d %b %Y')"
+    gap, trend = "365 - observed_days", "CASE WHEN observed_days >= 30 THEN trend_pct END"
+    differ = "CASE WHEN recommended = entitled THEN 'as many as are needed' WHEN recommended < entitled THEN format('{:,}', entitled - recommended) || ' more than are needed' ELSE format('{:,}', recommended - entitled) || ' fewer than are needed' END"
+    period = "CASE WHEN observed_days >= 300 THEN 0 WHEN observed_days >= 150 THEN 10 WHEN observed_days >= 60 THEN 22 ELSE 38 END"
+    cover = "CASE WHEN observed_days / 365.0 >= 0.95 THEN 0 WHEN observed_days / 365.0 >= 0.8 THEN 8 ELSE 20 END"
+    rows = {
+        "derivation": [
+            (conc, "P95 daily peak", many("p95"), "NULL"), (conc, "Growth factor", "'x 1.00'", "'no growth'"), (conc, "Safety factor", "'x 1.10'", "'+10.0% on top'"), ("sized", "Recommended quantity", many("recommended"), "NULL"), ("sized", "Current entitlement", many("entitled"), differ),
+            ("unit_price IS NOT NULL", "Unit price", money("unit_price"), "NULL"), ("unit_price IS NOT NULL", "Current annual cost", money("current_cost"), "NULL"), ("unit_price IS NOT NULL AND sized", "Recommended annual cost", money("recommended_cost"), "NULL"),
+            ("opportunity > 0", "Annual opportunity", money("opportunity"), pct("savings_pct") + " || ' of what it costs'"), ("incremental > 0", "Incremental annual spend", money("incremental"), "NULL"), ("unit_price IS NULL", "Financial impact", "'Not available'", "'there is no unit price'"),
+        ],
+        "assumptions": [
+            (conc, "Percentile", "'P95'", "NULL"), ("sized", "Observation period", "'12m'", "NULL"), ("sized", "Growth", "'+0.0%'", "NULL"), ("sized", "Safety buffer", "'+10.0%'", "NULL"), (conc, "Method", "'P95 of daily peaks × 1.00 growth × 1.10 safety, rounded up.'", "NULL"),
+        ],
+        "observations": [
+            ("seen", "Observed days", many("observed_days"), f"{day('win.d0')} || ' - ' || {day('win.d1')}"), (conc, "Maximum daily peak", many("max_peak"), "NULL"), (conc, "Utilization at P95", pct("utilization_pct"), "NULL"), (conc, "Saturation days", many("saturation_days"), "NULL"),
+            (f"{conc} AND ({trend}) IS NOT NULL", "Demand trend", pct("trend_pct"), "'a year'"), (f"{conc} AND ({trend}) IS NULL", "Demand trend", "'Insufficient history'", "NULL"), (f"{conc} AND {gap} > 0", "Missing days", many(gap), "NULL"),
+            ("assigned IS NOT NULL", "Assigned seats", many("assigned"), "NULL"), ("assigned IS NOT NULL", "Active users", many("active_users"), "NULL"), ("total_denials > 0", "Denials", many("total_denials"), "denial_risk"),
+        ],
+        "why": [(f"{period} > 0", "Observation period", many(period), "'points less'"), (f"{cover} > 0", "Data completeness", many(cover), "'points less'"), ("unit_price IS NULL", "Pricing", "'18'", "'points less'"), ("TRUE", "Employee mapping", "'7'", "'points less'")],
+        "improve": [(f"{gap} > 0", "Usage", many(gap), "'days without usage to import'"), ("unit_price IS NULL", "Prices", "'A contract or price list'", "NULL"), ("TRUE", "People", "'10.0%'", "'of usage belongs to nobody known'")],
+        "not_assumed": [(f"{gap} > 0", "Days without usage", many(gap), "'are not taken as days without demand'"), (f"{gap} <= 0", "Window", "'complete'", "'nothing was inferred for other days'"), ("unit_price IS NULL", "Price", "'none'", "'no list price stands in for it'"), ("TRUE", "Figures", "'as supplied'", "'none is a benchmark or an estimate'")],
+    }
+    parts = [f"SELECT feature_id, '{section}' AS section, {k} AS k, '{label}' AS label, {value} AS value, {note} AS note FROM pf, win WHERE {when}" for section, own in rows.items() for k, (when, label, value, note) in enumerate(own)]
+    return "SELECT feature_id, section, CAST(row_number() OVER (PARTITION BY feature_id, section ORDER BY k) - 1 AS INTEGER) AS place, label, value, note FROM (" + " UNION ALL ".join(parts) + ") WHERE value IS NOT NULL"
+
+
 def oracle_sql() -> dict[str, str]:
     from seatmetrics import oracles
     from seatmetrics.plans.coverage import CAPABILITY_NAMES, INPUT_NAMES
@@ -95,6 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "confirmed_aliases": _DECISIONS + "SELECT raw, target FROM s WHERE place = 1 AND NOT undo AND kind = 'feature' AND decision = 'confirmed'",
         "undone_confirmations": _DECISIONS + "SELECT kind, raw, max(decided_at) FILTER (WHERE undo) AS undone_at FROM s GROUP BY kind, raw HAVING count(*) FILTER (WHERE NOT undo) > 0 AND bool_or(place = 1 AND undo)",
         "sliced_insert": "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS n, 'part ' || min(l_partkey) AS f, sum(l_quantity) AS q, min(CASE WHEN l_linenumber > 1 THEN l_suppkey END) AS p FROM lineitem GROUP BY 1), a AS (SELECT f, q, p, min(n) AS n FROM r GROUP BY f, q, p) SELECT CASE WHEN n % 3 <> 0 THEN 'one' ELSE 'two' END AS import_id, count(*) AS rows, sum(q) AS quantity, min(n) AS first_row FROM a GROUP BY ALL",
+        "evidence_clauses": oracles.sql(_clauses()),
         "questions_understood": "SELECT p_partkey AS question_id, CASE n WHEN 0 THEN 'capacity' WHEN 1 THEN 'capacity' WHEN 2 THEN 'scenario' WHEN 3 THEN 'spend' ELSE 'renewal' END AS intent, CASE n WHEN 0 THEN 'capacity_risk' WHEN 1 THEN 'capacity_risk' WHEN 2 THEN 'scenario_rollup' WHEN 3 THEN 'portfolio_totals' ELSE 'renewal_priority' END AS query, CASE n WHEN 2 THEN CAST(p_partkey % 40 AS DOUBLE) END AS percent, CASE WHEN n IN (0, 2) THEN p_name END AS name, CASE WHEN n IN (0, 2) THEN 'p_name' END AS column, CASE WHEN n IN (0, 2) THEN p_name END AS value, CASE n WHEN 1 THEN 'catia' || p_partkey WHEN 3 THEN 'TOOL_' || p_partkey END AS unknown, CASE WHEN n IN (1, 3) THEN 'unknown subject' ELSE 'answer' END AS status FROM (SELECT *, p_partkey % 5 AS n FROM part)",
         "keyset_read": "SELECT o_orderstatus, count(*) AS orders, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM orders WHERE o_orderkey > 100 GROUP BY ALL",
     }

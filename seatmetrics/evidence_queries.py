@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmetrics.operators import normalize, sizing
-from seatmetrics.plans import ask, confirmations, coverage
+from seatmetrics.operators.confidence import Context
+from seatmetrics.plans import ask, confirmations, coverage, evidence, portfolio
 from seatmetrics.sources import adapters, keyset, mapping, synthetic
 from seatmetrics.sources.estate import Estate
 from seatmetrics.sources.inserts import SlicedInsert
@@ -262,3 +263,11 @@ def questions_understood(e: Estate) -> DataFrame:
     n = F.col("p_partkey")
     asked = F.when(n % 5 == 0, F.concat(F.lit("Is "), "p_name", F.lit(" at risk?"))).when(n % 5 == 1, F.concat(F.lit("is catia"), n.cast("string"), F.lit(" at risk"))).when(n % 5 == 2, F.concat(F.lit("What happens if "), "p_name", F.lit(" grows "), (n % 40).cast("string"), F.lit(" %"))).when(n % 5 == 3, F.concat(F.lit("Explain the cost of TOOL_"), n.cast("string"), F.lit(" please"))).otherwise("Which renewals need attention?")
     return ask.understood(e.table("part").select(n.alias("question_id"), asked.alias("question")), names)
+
+
+@query
+def evidence_clauses(e: Estate) -> DataFrame:
+    """Why each feature's row says what it says, clause by clause."""
+    options, window = sizing.Options(), e.window()
+    context = Context(window.days, employee_rate=0.9, feature_rate=1.0, has_denials=True, has_forecast=True)
+    return evidence.rendered(evidence.clauses(portfolio.portfolio(e), window, options, context))
