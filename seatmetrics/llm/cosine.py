@@ -15,7 +15,7 @@
 A link at the threshold is missed with a chance of twice ``1 - recall`` at most; vectors nearer than that more seldom.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null
-label or a null id, link with nothing and are kept if they have an id; vectors of different length link with nothing;
+label or a null id, link with nothing and are kept if they have an id; labels of any type are compared as they are; vectors of different length link with nothing;
 rows with the same vec_id are vectors of their own; vectors of any length are compared whole; an empty table gives an
 empty result; further columns are ignored.
 """
@@ -104,6 +104,7 @@ def bucket_keys(signature: np.ndarray, label: np.ndarray, length: int, shape: Sh
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     vectors = flat.reshape(len(column), -1).astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)  # squares of very large or small components leave the range of doubles
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -113,18 +114,18 @@ def _bytes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def signed_classes(classes: DataFrame, shape: Shape, settings: Settings) -> DataFrame:
-    """Classes with their signature and the array ``keys`` of their bucket keys."""
+    """Classes with their signature and the array ``keys`` of their bucket keys; labels of any type enter the keys by ``label_hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for length in set(batch.column("length").to_pylist()):
                 part = batch.filter(pc.equal(batch.column("length"), length))
-                label = part.column("label").to_numpy(zero_copy_only=False)
+                label = part.column("label_hash").to_numpy(zero_copy_only=False)
                 signs = signatures(_unit(part.column("vector")), shape, settings.seed)
                 kept = {c: part.column(c) for c in ("node", "copies", "label", "vector")}
                 yield pa.RecordBatch.from_pydict({**kept, "signature": pa.array([x.tobytes() for x in signs], pa.binary()), "keys": pa.array(list(bucket_keys(signs, label, length, shape)), pa.list_(pa.int64()))})
 
-    return classes.mapInArrow(run, f"node bigint, copies bigint, label bigint, vector {classes.schema['vector'].dataType.simpleString()}, signature binary, keys array<bigint>")
+    return classes.mapInArrow(run, f"node bigint, copies bigint, label {classes.schema['label'].dataType.simpleString()}, vector {classes.schema['vector'].dataType.simpleString()}, signature binary, keys array<bigint>")
 
 
 def without_earlier(pairs: np.ndarray, signature: np.ndarray, table: int, shape: Shape) -> None:
@@ -189,7 +190,7 @@ def meeting_places(signed: DataFrame, shape: Shape, settings: Settings) -> DataF
 def _links(group: pa.Table, shape: Shape, settings: Settings) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Ids with their sums of links, and a spanning forest, of one pair of blocks of one bucket."""
     ids = group.column("node").to_numpy()
-    copies, label = group.column("copies").to_numpy(), group.column("label").to_numpy()
+    copies, label = group.column("copies").to_numpy(), group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
     vectors = _unit(group.column("vector"))
     near = (vectors @ vectors.T >= settings.threshold) & (label[:, None] == label[None, :])
     of_two_blocks(near, group)
@@ -241,12 +242,12 @@ def bucket_links(signed: DataFrame, shape: Shape, settings: Settings) -> DataFra
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", label: str = "label", settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     single = vectors.schema[column].dataType.simpleString() == "array<float>"  # half as much to send; cosines are taken in doubles
-    rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label).cast("bigint").alias("label"), F.col(column).cast("array<float>" if single else "array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(label).alias("label"), F.col(column).cast("array<float>" if single else "array<double>").alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector"), F.col("label")) & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("class_key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256)))
+    rows = rows.withColumn("class_key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.length(F.col("label").cast("string")), F.col("label").cast("string"), F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256)))
     grouped = rows.where("ok").groupBy("class_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     # A class is known by a number of its own, as ids may repeat; the number is made where the classes are written.
-    classes = settle(grouped.withColumn("length", F.size("vector")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    classes = settle(grouped.withColumn("length", F.size("vector")).withColumn("label_hash", F.xxhash64("label")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     shape = settings.shape(classes.count())
     signed = settle(signed_classes(classes, shape, settings), "vector-signatures")
     found = bucket_links(signed, shape, settings)

@@ -123,6 +123,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("labels", [("a", "b"), (1.2, 1.7)])
+def test_labels_and_lengths_of_vectors(spark, labels):
+    """Labels that are no whole numbers are no equal ones, and cosines do not depend on how long vectors are."""
+    kind = "string" if isinstance(labels[0], str) else "double"
+    rows = [(1, [2.0, 1.0], labels[0]), (2, [2.0, 1.0], labels[1]), (3, [4.0, 2.1], labels[0])]
+    rows += [(10 + k, [2.0 * x, 1.0 * x], labels[1]) for k, x in enumerate((1e-200, 1e200))] + [(20 + k, [1.0 * x, 2.0 * x], labels[1]) for k, x in enumerate((1e-200, 1e200))]
+    got = {r["vec_id"]: r["component_id"] for r in cosine.near_vectors(spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}")).collect()}
+    assert got == {1: 1, 3: 1, 2: 2, 10: 2, 11: 2, 20: 20, 21: 20}
+
+
 def vectors(seed=2, n=260, d=16):
     rng = np.random.default_rng(seed)
     rows = []
