@@ -89,7 +89,8 @@ software.
 
 3. This notice may not be removed or altered from any source distribution.
 """
-UNLICENSE = """
+UNLICENSE = (
+    """
 This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
@@ -100,6 +101,14 @@ interest in the software to the public domain. We make this dedication for the b
 the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity
 of all present and future rights to this software under copyright law.
 """
+    + _NO_WARRANTY
+    + """
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+)
 BOOST = """
 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
 accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
@@ -110,6 +119,11 @@ The copyright notices in the Software and this entire statement, including the a
 and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative
 works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
 generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 """
 # The notices that public licences ask files to carry, and usual mentions.
 APACHE_NOTICE = """

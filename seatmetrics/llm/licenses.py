@@ -1,16 +1,17 @@
 """License scans by a positional index of rare words.
 
 Templates are whole public licence texts and the notices that licences ask for. A first pass counts in how many
-documents each licence word occurs. The words of highest IDF in a template are its anchors: a passage is taken for the
-template where its anchors at their places carry at least ``AGREE`` of their IDF and its key phrase stands.
+documents each licence word occurs. The words of highest IDF in a template are its anchors, and the index holds postings
+(template, place) of them.
 
-The index holds postings (template, place) of the rarest anchors only, as many as no such passage can miss: without
-them the anchors that are left carry less than ``AGREE``. A second pass ranks each file's own licence words by IDF,
-looks the highest up, down to the least that the index holds, and intersects the postings by relative position. What
-the intersection leaves is verified with all anchors of the template and then by the key phrase, wherever it lies
-between the first and the last word of the passage. Base phrases are counted wherever their words stand consecutively.
+A second pass ranks each file's own licence words by IDF and looks the highest up, down to the least that the index
+holds. Every place of such a word says where a passage of a template would begin; these postings are intersected by
+relative position, with a slack of a twelfth of the template, so that words put in or left out do not part them: a
+passage may begin where at least three quarters of the template's anchors agree. There it is verified with all words of the
+template: at least ``AGREE`` of them must stand within the slack of their places, and the key phrase must stand in the
+passage. Base phrases are counted wherever their words stand consecutively.
 
-``score`` is the greatest share of a template's anchors that was verified; a file with base phrases and no verified
+``score`` is the greatest share of a template's words that was verified; a file with base phrases and no verified
 template has ``PHRASE_SCORE``, one without either 0.
 
 Defined results: null text counts as empty; places count words from 0; a phrase at several places has its label
@@ -34,8 +35,13 @@ from seatmetrics.llm.shared import NOT_WORD, hashed_words, slices
 
 # The base phrases and labels of the contract.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-ANCHORS = 6
+#: Rarest words of a template in the index, and the share of its words that a passage must have.
+ANCHORS = 8
 AGREE = 0.6
+#: Hundredths of a template's anchors that must agree on where a passage begins.
+MEET = 75
+#: Beginnings of passages that are verified at once.
+AT_ONCE = 256
 PHRASE_SCORE = 0.5
 
 
@@ -98,8 +104,13 @@ def standing(number: np.ndarray, phrase: list[int]) -> np.ndarray:
     return at
 
 
+def slack(length: int) -> int:
+    """How far a word of a passage may stand from its place."""
+    return max(2, length // 12)
+
+
 class LicenceIndex:
-    """Anchors of each template, and postings of the rarest of them."""
+    """The words of each template, its anchors, and the anchors' postings."""
 
     def __init__(self, documents: int, frequency: dict[str, int]):
         self.vocabulary = Vocabulary(licence_words())
@@ -107,61 +118,71 @@ class LicenceIndex:
         self.idf = np.array([math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1 for w in self.vocabulary.words])
         self.base = [([number[w] for w in phrase.split()], label) for phrase, label in BASE_PHRASES]
         self.key = [[number[w] for w in plain_words(t.key)] for t in TEMPLATES]
-        self.length, self.anchors, self.full = [], [], []
+        self.words = [np.array([number[w] for w in plain_words(t.text)], np.int64) for t in TEMPLATES]
+        self.needed: list[int] = []
         self.postings: dict[int, list[tuple[int, int]]] = {}
-        for k, t in enumerate(TEMPLATES):
-            words = [number[w] for w in plain_words(t.text)]
-            ranked = sorted(set(words), key=lambda w: (-self.idf[w], self.vocabulary.words[w]))[:ANCHORS]
-            anchors = [(place, w) for place, w in enumerate(words) if w in ranked]
-            full = float(sum(self.idf[w] for _, w in anchors))
-            left = full
-            for w in ranked:
-                if left < AGREE * full - 1e-9:
-                    break
-                places = [place for place, x in anchors if x == w]
-                self.postings.setdefault(w, []).extend((k, place) for place in places)
-                left -= float(self.idf[w]) * len(places)
-            self.length.append(len(words))
-            self.anchors.append(anchors)
-            self.full.append(full)
+        for k, words in enumerate(self.words):
+            ranked = sorted(set(words.tolist()), key=lambda w: (-self.idf[w], self.vocabulary.words[w]))[:ANCHORS]
+            anchors = [(place, w) for place, w in enumerate(words.tolist()) if w in ranked]
+            self.needed.append(-(-MEET * len(anchors) // 100))
+            for place, w in anchors:
+                self.postings.setdefault(w, []).append((k, place))
         self.least_idf = min(self.idf[w] for w in self.postings)
 
     def candidates(self, number: np.ndarray) -> dict[int, np.ndarray]:
-        """Template -> places at which a passage of it may begin, from the file's licence words in order of falling IDF."""
+        """Template -> places at which a passage of it may begin: where the postings of enough anchors meet."""
         known = np.unique(number[number >= 0])
         ranked = known[np.argsort(-self.idf[known], kind="stable")]
-        found: dict[int, list[np.ndarray]] = {}
+        hits: dict[int, list[np.ndarray]] = {}
         for w in ranked[self.idf[ranked] >= self.least_idf].tolist():
             if w in self.postings:
                 at = np.flatnonzero(number == w)
                 for template, place in self.postings[w]:
-                    found.setdefault(template, []).append(at - place)
-        return {t: np.unique(np.concatenate(x)) for t, x in found.items()}
+                    hits.setdefault(template, []).append(at - place)
+        return {t: begin for t, x in hits.items() if len(x) >= self.needed[t] and len(begin := self._meet(x, t, len(number)))}
+
+    def _meet(self, begins: list[np.ndarray], template: int, n: int) -> np.ndarray:
+        """Beginnings that are within the slack of those of at least as many anchors as are needed."""
+        length, wide = len(self.words[template]), slack(len(self.words[template]))
+        first = -length - wide
+        agree = np.zeros(n + length + 2 * wide + 1, np.int32)
+        for begin in begins:
+            edge = np.zeros(len(agree) + 1, np.int32)
+            np.add.at(edge, begin - wide - first, 1)
+            np.add.at(edge, np.minimum(begin + wide + 1 - first, len(agree)), -1)
+            agree += np.cumsum(edge[:-1]) > 0
+        return np.flatnonzero(agree >= self.needed[template]) + first
 
     def shares(self, number: np.ndarray, template: int, begin: np.ndarray) -> np.ndarray:
-        """The share of the template's anchors, by IDF, that stand where a passage from ``begin`` has them."""
-        weight = np.zeros(len(begin))
-        for place, w in self.anchors[template]:
-            at = begin + place
-            inside = (at >= 0) & (at < len(number))
-            weight += self.idf[w] * (inside & (number[np.clip(at, 0, len(number) - 1)] == w))
-        return weight / self.full[template]
+        """The share of all words of the template that stand within the slack of where a passage from ``begin`` has them."""
+        words, n = self.words[template], len(number)
+        wide = slack(len(words))
+        own = np.flatnonzero(number >= 0)
+        held = np.sort(number[own].astype(np.int64) * n + own)  # places of each word in a row
+        out = np.zeros(len(begin))
+        for low in range(0, len(begin), AT_ONCE):
+            place = begin[low : low + AT_ONCE, None] + np.arange(len(words))[None, :]
+            least, most = np.maximum(place - wide, 0), np.minimum(place + wide, n - 1)
+            found = np.searchsorted(held, words[None, :] * n + least)
+            stands = (least <= most) & (found < len(held)) & (held[np.minimum(found, len(held) - 1)] <= words[None, :] * n + most)
+            out[low : low + AT_ONCE] = stands.mean(1)
+        return out
 
     def verified(self, number: np.ndarray) -> list[tuple[str, float]]:
         """(label, share) of each template that stands in a file: its best passage among those that hold the key phrase."""
         out = []
         for template, begin in self.candidates(number).items():
-            share = self.shares(number, template, begin)
-            enough = share >= AGREE - 1e-9
-            begin, share = begin[enough], share[enough]
-            if not len(begin):
-                continue
             keys = standing(number, self.key[template])
-            first = np.searchsorted(keys, begin)
-            ends = begin + self.length[template] - len(self.key[template])
-            holds = (first < len(keys)) & (np.append(keys, 0)[first] <= ends)
-            if holds.any():
-                out.append((TEMPLATES[template].label, min(1.0, float(share[holds].max()))))
+            if not len(keys):
+                continue
+            length = len(self.words[template])
+            wide = slack(length)
+            first = np.searchsorted(keys, begin - wide)
+            ends = begin + length - len(self.key[template]) + wide
+            begin = begin[(first < len(keys)) & (np.append(keys, 0)[first] <= ends)]
+            share = self.shares(number, template, begin)
+            if len(begin) and share.max() >= AGREE - 1e-9:
+                out.append((TEMPLATES[template].label, float(share.max())))
         return out
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
