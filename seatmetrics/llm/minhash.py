@@ -118,17 +118,19 @@ def sketch(docs: DataFrame, id_column: str, column: str, settings: Settings) ->
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row for each set: its number ``rep``, the least id of its documents, the text of one of them by its hash, and the bands.
 
-    Ids may repeat or be missing, so classes are known by numbers that are made where they are written; ``repeated`` says
-    that several rows have the id and the text by which the class's text is found.
+    Ids may repeat or be missing, so classes are known by numbers that are made where they are written.
     """
     filled = rows.where("n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    single = filled.groupBy("set_key", "doc_id", "text_key").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    grouped = single.groupBy("set_key").agg(first, F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("at"))
-    grouped = grouped.select("set_key", F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("text_key"), (F.col("at.n") > 1).alias("repeated"), "bands")
+    text_key = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key"))
+    grouped = filled.groupBy("set_key").agg(F.min("doc_id").alias("least_id"), text_key.alias("text_key"), F.first("bands").alias("bands"))
     return settle(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
 
+def any_repeated(rows: DataFrame) -> bool:
+    """Whether two rows have the same id, or none, and the same text."""
+    return not rows.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def bucket_edges(classes: DataFrame) -> DataFrame:
     """(a, b, shared): from each member of a band's bucket to its smallest member, and in how many bands."""
     keyed = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -146,20 +148,19 @@ def _alike(a: np.ndarray, b: np.ndarray, settings: Settings) -> bool:
     return settings.below * both >= settings.above * (low + high - both)
 
 
-def _texts(docs: DataFrame, classes: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, id_column: str, column: str, roles: DataFrame, settings: Settings, repeated: bool) -> DataFrame:
     """``roles`` (rep, ...) with the text of each; they are sent to the texts while they are few enough.
 
-    Rows that repeat an id (or have none) and a text are one: each task hands on one of them, and one is left of those.
+    Where rows repeat an id (or have none) and a text, each task hands on one of them, and one is left of those.
     """
-    named = roles.join(classes.select("rep", "least_id", "text_key", "repeated"), "rep")
+    named = roles.join(classes.select("rep", "least_id", "text_key"), "rep")
     small = roles.count() <= settings.broadcast_rows
     rows = docs.select(F.col(id_column).cast("bigint").alias("own_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
-    some = named.where("repeated").limit(1).count() > 0
     found = rows.join(F.broadcast(named) if small else named, rows["own_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("text_key")))
-    return found.groupBy(*roles.columns).agg(F.first("text").alias("text")) if some else found
+    return found.groupBy(*roles.columns).agg(F.first("text").alias("text")) if repeated else found
 
 
-def hub_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+def hub_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_column: str, column: str, settings: Settings, repeated: bool) -> DataFrame:
     """(a, b): each member's link to its hub, where the full sets confirm it."""
     hubs = settle(edges.groupBy(F.col("a").alias("rep")).agg(F.max_by("b", F.struct(F.col("shared"), -F.col("b"))).alias("hub")), "hubs")
     blocks = settle(hubs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(settings.hub_block)).cast("int").alias("blocks")), "hub-sizes")
@@ -167,7 +168,7 @@ def hub_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_column:
     heads = blocks.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     roles = settle(members.unionByName(heads), "hub-roles")
     keys = ["hub", "part"]
-    rows = together(_texts(docs, classes, id_column, column, roles, settings).select(*keys, "is_hub", "rep", "text"), keys)
+    rows = together(_texts(docs, classes, id_column, column, roles, settings, repeated).select(*keys, "is_hub", "rep", "text"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
@@ -236,10 +237,10 @@ def part_blocks(members: DataFrame, block: int) -> DataFrame:
     return spread.select("rep", "cluster", "part", "own_block", F.least("own_block", "other_block").alias("pair_a"), F.greatest("own_block", "other_block").alias("pair_b"))
 
 
-def part_links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_column: str, column: str, settings: Settings) -> DataFrame:
+def part_links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_column: str, column: str, settings: Settings, repeated: bool) -> DataFrame:
     """(a, b): confirmed links between the parts of each open cluster, a spanning forest of each pair of blocks."""
     keys = ["cluster", "pair_a", "pair_b"]
-    rows = _texts(docs, classes, id_column, column, settle(part_blocks(members, settings.block), "part-blocks"), settings)
+    rows = _texts(docs, classes, id_column, column, settle(part_blocks(members, settings.block), "part-blocks"), settings, repeated)
     grouped = together(rows.select(*keys, "own_block", "part", "rep", "text"), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +255,14 @@ def part_links(docs: DataFrame, classes: DataFrame, members: DataFrame, id_colum
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``, and text_key, the hash of its text."""
     rows = sketch(docs, id_column, column, settings)
-    classes = classes_of(rows)
+    classes, repeated = classes_of(rows), any_repeated(rows)
     edges = bucket_edges(classes)
     clusters = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    links = hub_links(docs, classes, edges, id_column, column, settings)
+    links = hub_links(docs, classes, edges, id_column, column, settings, repeated)
     linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     members = open_clusters(clusters, linked)
     if members.take(1):
-        more = part_links(docs, classes, members, id_column, column, settings)
+        more = part_links(docs, classes, members, id_column, column, settings, repeated)
         linked = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     known = settle(classes.select("set_key", "rep", "least_id").join(linked, "rep", "left"), "parted")
     least = settle(known.where("part IS NOT NULL").groupBy("part").agg(F.min("least_id").alias("part_id")).select(F.col("part").alias("of"), "part_id"), "part-names")

@@ -92,11 +92,12 @@ def test_copies_without_id_are_one_text(spark, words):
     rows = spark.createDataFrame([(None, " ".join(a)), (4, " ".join([*a, "z"])), (7, " ".join(["y", *a]))], "doc_id bigint, text string")
     docs = rows.crossJoin(spark.range(100_000)).where("id < 50000 OR doc_id IS NULL OR doc_id = 4").select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 7").unionByName(rows.where("doc_id = 7")).repartition(6)
     settings = minhash.Settings()
-    classes = minhash.classes_of(minhash.sketch(docs, "doc_id", "text", settings))
-    assert sorted((r["least_id"] is None, r["repeated"]) for r in classes.collect()) == [(False, False), (False, True), (True, True)]
+    rows = minhash.sketch(docs, "doc_id", "text", settings)
+    classes = minhash.classes_of(rows)
+    assert classes.count() == 3 and minhash.any_repeated(rows) and not minhash.any_repeated(rows.where("doc_id = 7"))
     roles = classes.select("rep", F.lit(1).alias("hub"), F.lit(0).alias("part"))
     for settings in (minhash.Settings(), minhash.Settings(broadcast_rows=0)):
-        assert minhash._texts(docs, classes, "doc_id", "text", roles, settings).count() == 3
+        assert minhash._texts(docs, classes, "doc_id", "text", roles, settings, True).count() == 3
     got = {(r["doc_id"], r["component_id"], r["kept"], r["n"]) for r in minhash.near_duplicates(docs).groupBy("doc_id", "component_id", "kept").agg(F.count("*").alias("n")).collect()}
     assert got == {(None, 4, False, 100_000), (4, 4, True, 100_000), (7, 4, False, 1)}
 
