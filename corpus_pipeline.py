@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seatmetrics.llm import bpe, decontaminate, langid, minhash
 from seatmetrics.llm import secrets as secret_scans
+from seatmetrics.llm.shared import settle
 
 #: Stages on word shingles take five words and a similarity of 0.8.
 SHINGLES = minhash.Settings(width=5, above=80, below=100)
@@ -36,6 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document with the smallest id of each group; a row is known by its id and its text, so another text of that id is no victim."""
     marked = minhash.near_duplicates(docs.select("doc_id", "text"), settings=SHINGLES)
     dropped = marked.where("NOT kept AND component_id IS NOT NULL AND text_key IS NOT NULL").select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_text")).distinct()
+    dropped = settle(dropped, "near-dropped")
+    if dropped.count() <= SHINGLES.broadcast_rows:  # 16 bytes each
+        dropped = F.broadcast(dropped)
     own = docs.withColumn("_near_key", F.xxhash64("text"))
     left = own.join(dropped, own["_near_key"].eqNullSafe(F.col("_near_text")) & own["doc_id"].eqNullSafe(F.col("_near_id")), "left_anti")
     return left.select(*docs.columns)
@@ -73,8 +77,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; each one's rows are written as Parquet to the shared folder and read again."""
-    from seatmetrics.llm.shared import settle
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
