@@ -97,7 +97,7 @@ class Codec:
 
     def __init__(self, path: str):
         ranks = load_ranks(path)
-        self.cache = PretokenCache(lambda tokens: [encode_piece(t, ranks) for t in tokens])
+        self.cache = PretokenCache(lambda tokens: [encode_piece(t, ranks) for t in tokens], most=600_000, most_bytes=1 << 24)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
