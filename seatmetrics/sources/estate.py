@@ -19,6 +19,8 @@ from seatmetrics.sources.shared import settle
 # Fixed values of this binding: brands without a price, an entitlement, a contract quantity, a contract and any usage.
 UNPRICED, UNSERVED, UNBOUGHT, UNDATED, UNSEEN = (6, 13), (11,), (12,), (14,), (7,)
 MODELS = ("token", "concurrent", "concurrent", "named_user", "subscription")
+#: Order lines that a task holds where lines meet orders or are added up by employee.
+TASK_LINES = 250_000
 
 
 @dataclass(frozen=True)
@@ -131,11 +133,24 @@ class Estate:
         lines = self.lines(models).where(within.holds(F.col("l_shipdate").cast("date")))
         return lines.groupBy("feature_id", F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("token_hours"), F.max("l_quantity").alias("peak_tokens"))
 
+    @cached_property
+    def line_tasks(self) -> int:
+        """Tasks among which the order lines are dealt, so that what one of them holds does not grow with the table."""
+        context, needed = self.spark.sparkContext, -(-self.table("lineitem").count() // TASK_LINES)
+        # Fewer than a join's usual number would be dealt once more by the join with the people.
+        return context.defaultParallelism if needed <= context.defaultParallelism else max(needed, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
     def activity(self, models: tuple[str, ...] | None = None) -> DataFrame:
-        """One row for each feature and employee."""
+        """One row for each feature and employee.
+
+        Orders are counted once by sums for each order, feature and employee, which meet where the order's lines are. The
+        rows are dealt by employee, as the people are who are joined to them.
+        """
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("employee_id"), F.col("o_orderdate").cast("date").alias("day"))
-        used = self.lines(models).select("feature_id", "l_orderkey", "l_quantity").join(orders, "l_orderkey")
-        rows = used.groupBy("feature_id", "employee_id").agg(F.countDistinct("l_orderkey").alias("total_sessions"), F.sum("l_quantity").alias("total_hours"), F.max("day").alias("day"))
+        dealt = lambda rows, by: rows.repartition(self.line_tasks, by)
+        used = dealt(self.lines(models).select("feature_id", "l_orderkey", "l_quantity"), "l_orderkey").join(dealt(orders, "l_orderkey"), "l_orderkey")
+        by_order = used.groupBy("l_orderkey", "feature_id", "employee_id").agg(F.sum("l_quantity").alias("hours"), F.max("day").alias("day"))
+        rows = dealt(by_order, "employee_id").groupBy("feature_id", "employee_id").agg(F.count("l_orderkey").alias("total_sessions"), F.sum("hours").alias("total_hours"), F.max("day").alias("day"))
         never = F.col("employee_id") % 50 == 0
         return rows.select("feature_id", "employee_id", (F.col("employee_id") % 17 != 0).alias("assigned"), F.when(never, 0).otherwise(F.col("total_sessions")).cast("bigint").alias("total_sessions"), F.when(never, 0.0).otherwise(F.col("total_hours")).alias("total_hours"), F.when(~never, F.col("day")).alias("last_used"))
 
