@@ -112,24 +112,35 @@ class Mapped:
 
 
 def profiled(raw: DataFrame, day_first: bool = False) -> DataFrame:
-    """One row for each column of ``raw`` that has cells (header, cells, one count for each kind, sample), from one aggregate.
+    """One row for each column of ``raw`` that has cells (header, cells, one count for each kind), from one aggregate.
 
-    Cells go out as rows of (header, text), so that the readers stand in the plan once, however many columns there are.
+    Cells go out as rows of (header, text), so that the readers stand in the plan once, however many columns there are;
+    what one reader needs of another is read once. All that is added up are counts, so that no task sorts the cells.
     """
     own = [c for c in raw.columns if c != "source_row"]
     pairs = F.array(*[F.struct(F.lit(c).alias("header"), cell(column(c).cast("string")).alias("text")) for c in own])
-    cells = raw.select(F.explode(pairs).alias("c")).select("c.header", "c.text").where("text IS NOT NULL").withColumn("day", day_part(F.col("text")))
-    text = F.col("text")
-    readers = {"date": read_date(text, day_first), "timestamp": read_date(F.col("day"), day_first), "number": read_number(text), "hour": read_hour(text), "boolean": read_boolean(text)}
-    read = cells.select("header", "text", *[value.alias(k) for k, value in readers.items()])
-    return read.groupBy("header").agg(F.count("*").alias("cells"), *[F.count(k).alias(k) for k in KINDS], F.min(F.substring("text", 1, 60)).alias("sample"))
+    cells = raw.select(F.explode(pairs).alias("c")).select("c.header", "c.text").where("text IS NOT NULL")
+    text, day = F.col("text"), F.col("day")
+    read = cells.select("header", "text", day_part(text).alias("day"), read_number(text).alias("number"))
+    # No number is a date: a date keeps two separators or a month's letters.
+    read = read.select("*", F.when(F.col("number").isNull(), read_date(text, day_first)).alias("date"))
+    stamp = F.when(F.col("number").isNotNull() | (day == text), F.col("date")).otherwise(read_date(day, day_first))
+    read = read.select("header", "date", stamp.alias("timestamp"), "number", read_hour(text, F.col("number")).alias("hour"), read_boolean(text).alias("boolean"))
+    return read.groupBy("header").agg(F.count("*").alias("cells"), *[F.count(k).alias(k) for k in KINDS])
+
+
+def samples(raw: DataFrame) -> dict[str, str | None]:
+    """The first cell of each column, up to 60 characters: one row."""
+    own = [c for c in raw.columns if c != "source_row"]
+    row = raw.agg(*[F.min(F.substring(cell(column(c).cast("string")), 1, 60)).alias(f"c{k}") for k, c in enumerate(own)]).collect()[0] if own else []
+    return dict(zip(own, row))
 
 
 def profiles(raw: DataFrame, day_first: bool = False) -> dict[str, Profile]:
     """By header; as many rows come to the driver as ``raw`` has columns."""
     own = [c for c in raw.columns if c != "source_row"]
-    rows = profiled(raw, day_first).collect() if own else []
-    return {c: Profile(0, {k: 0.0 for k in KINDS}) for c in own} | {r["header"]: Profile(r["cells"], {k: r[k] / r["cells"] for k in KINDS}, r["sample"]) for r in rows}
+    rows, first = profiled(raw, day_first).collect() if own else [], samples(raw)
+    return {c: Profile(0, {k: 0.0 for k in KINDS}) for c in own} | {r["header"]: Profile(r["cells"], {k: r[k] / r["cells"] for k in KINDS}, first[r["header"]]) for r in rows}
 
 
 def money_proofs(raw: DataFrame, mapped: list[Mapped], open_columns: dict[str, tuple[str, ...]]) -> dict[str, str]:
@@ -186,9 +197,10 @@ def resolve(headers: list[str], dataset: str, overrides: dict[str, str] | None =
     return chosen
 
 
-def map_columns(raw: DataFrame, dataset: str, overrides: dict[str, str] | None = None, source: str = "generic", ignored: tuple[str, ...] = (), day_first: bool = False) -> tuple[list[Mapped], dict[str, Profile]]:
-    """The columns of ``raw`` by their names and cells, and what the cells are."""
-    headers, cells = [c for c in raw.columns if c != "source_row"], profiles(raw, day_first)
+def map_columns(raw: DataFrame, dataset: str, overrides: dict[str, str] | None = None, source: str = "generic", ignored: tuple[str, ...] = (), day_first: bool = False, cells: dict[str, Profile] | None = None) -> tuple[list[Mapped], dict[str, Profile]]:
+    """The columns of ``raw`` by their names and cells, and what the cells are; ``cells`` where these rows' profiles are known already."""
+    headers = [c for c in raw.columns if c != "source_row"]
+    cells = profiles(raw, day_first) if cells is None else {c: cells[c] for c in headers}
     mapped = resolve(headers, dataset, overrides, source, cells, ignored)
     taken, used = {m.field for m in mapped}, {m.column for m in mapped} | set(ignored)
     left = {h: claims for h in headers if h not in used and (claims := money_claims(h, dataset))}

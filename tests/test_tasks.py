@@ -2,7 +2,10 @@
 
 from datetime import datetime
 
-from seatmetrics.sources import estate
+from pyspark.sql import functions as F
+
+from seatmetrics.functions import text
+from seatmetrics.sources import estate, mapping
 
 
 def _tables(spark, tmp_path, orders: int):
@@ -21,3 +24,15 @@ def test_activity_is_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
     got = {(r["feature_id"], r["employee_id"]): (r["total_sessions"], r["total_hours"]) for r in rows.collect()}
     # An even employee has ten orders: two lines on the second brand and one on the first, each order counted once.
     assert len(got) == 80 and got["Brand#1", 2] == (10, 40.0) and got["Brand#2", 2] == (10, 20.0) and got["Brand#1", 0] == (0, 0.0)
+
+
+def test_cells_are_counted_without_sorting_them(spark):
+    raw = spark.createDataFrame([("1998-02-03 10:00", "7"), ("3-Mar-1999", "3000000000"), ("n/a", "$1,200.5")], "a string, b string")
+    plan = mapping.profiled(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+    assert {r["header"]: tuple(r)[1:] for r in mapping.profiled(raw).collect()} == {"a": (3, 2, 2, 0, 0, 0), "b": (3, 0, 0, 3, 1, 0)}
+    assert mapping.profiles(raw)["b"].sample == "$1,200.5"
+
+
+def test_whole_numbers_beyond_an_int_are_no_hours(spark):
+    assert spark.range(1).select(text.read_hour(F.lit("3000000000"))).collect()[0][0] is None
