@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LEDGER = "import_id string, slice bigint, attempt string, sent bigint, stored bigint"
@@ -42,37 +42,34 @@ class SlicedInsert:
         rows = self.spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in like.schema)}, attempt string, import_id string, slice bigint").parquet(path)
         return rows.join(self.ledger().select("attempt", "import_id", "slice"), ["attempt", "import_id", "slice"], "left_semi").select(*like.columns, "import_id", "slice")
 
-    def _identity(self) -> Column:
-        """A digest of the key in which null is a value of its own."""
-        return F.sha2(F.to_json(F.struct(*[F.col(c) for c in self.key]), {"ignoreNullFields": "false"}), 256)
-
     def send(self, rows: DataFrame, import_id: str, most_slices: int | None = None) -> int:
         """Store the slices that the ledger does not name yet, ``most_slices`` of them at most, in one job; how many are left.
 
         ``rows`` are the accepted rows of the import with ``source_row``, the same at every call.
         """
         sliced = rows.withColumn("slice", F.floor(F.col("source_row") / self.slice_rows).cast("bigint"))
-        counts = sliced.groupBy("slice").agg(F.count("*").alias("sent"))
         done = self.ledger().where(F.col("import_id") == import_id).select("slice")
-        waiting = [r["slice"] for r in counts.join(done, "slice", "left_anti").orderBy("slice").collect()]  # a number for each slice
-        now = waiting if most_slices is None else waiting[:most_slices]
+        counts = sliced.groupBy("slice").agg(F.count("*").alias("sent")).join(done, "slice", "left_anti").orderBy("slice").collect()  # a number for each slice
+        now = counts if most_slices is None else counts[:most_slices]
         if not now:
             return 0
-        chosen = sliced.where(F.col("slice").between(now[0], now[-1])).join(done, "slice", "left_anti").withColumn("identity", self._identity())
-        first = Window.partitionBy("identity").orderBy("source_row")
-        fresh = chosen.withColumn("place", F.row_number().over(first)).where("place = 1")
-        known = self.stored(rows).select(self._identity().alias("identity"))
+        chosen = sliced.where(F.col("slice").between(now[0]["slice"], now[-1]["slice"])).join(done, "slice", "left_anti")
+        # Rows of a key meet once, those that are stored before those that are sent; of the stored ones only the key travels.
+        sent = chosen.select(*rows.columns, "slice", F.lit(False).alias("held"))
+        held = self.stored(rows).select(*[F.col(c) if c in self.key else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes], F.lit(None).cast("bigint").alias("slice"), F.lit(True).alias("held"))
+        first = Window.partitionBy(*self.key).orderBy(F.col("held").desc(), "source_row")
+        fresh = sent.unionByName(held).withColumn("place", F.row_number().over(first)).where("place = 1 AND NOT held")
         attempt = uuid.uuid4().hex
-        kept = fresh.join(known, "identity", "left_anti").select(*rows.columns, F.lit(attempt).alias("attempt"), F.lit(import_id).alias("import_id"), "slice")
+        kept = fresh.select(*rows.columns, F.lit(attempt).alias("attempt"), F.lit(import_id).alias("import_id"), "slice")
         path = f"{self.root}/rows"
         kept.write.mode("append").partitionBy("attempt", "import_id", "slice").parquet(path)
         # What counts is what is found in the files, not what was meant to be written.
         own = self.spark.read.schema("attempt string, import_id string, slice bigint").parquet(path).where(F.col("attempt") == attempt)
         found = own.groupBy("slice").agg(F.count("*").alias("stored"))
-        written = self.spark.createDataFrame([(s,) for s in now], "slice bigint").join(found, "slice", "left")
-        entry = written.join(counts, "slice").select(F.lit(import_id).alias("import_id"), "slice", F.lit(attempt).alias("attempt"), "sent", F.coalesce("stored", F.lit(0)).cast("bigint").alias("stored"))
+        written = self.spark.createDataFrame([tuple(r) for r in now], "slice bigint, sent bigint").join(found, "slice", "left")
+        entry = written.select(F.lit(import_id).alias("import_id"), "slice", F.lit(attempt).alias("attempt"), "sent", F.coalesce("stored", F.lit(0)).cast("bigint").alias("stored"))
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")  # a row for each slice of this call
-        return len(waiting) - len(now)
+        return len(counts) - len(now)
 
     def complete(self, import_id: str, accepted: int) -> int:
         """The number of rows stored for the import; an error unless it is the number of accepted ones."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seatmetrics.functions import text
 from seatmetrics.sources import estate, mapping
+from seatmetrics.sources.inserts import SlicedInsert
 
 
 def _tables(spark, tmp_path, orders: int):
@@ -36,3 +37,11 @@ def test_cells_are_counted_without_sorting_them(spark):
 
 def test_whole_numbers_beyond_an_int_are_no_hours(spark):
     assert spark.range(1).select(text.read_hour(F.lit("3000000000"))).collect()[0][0] is None
+
+
+def test_inserts_tell_keys_apart_by_their_values(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00.000001", None), (2, "2024-01-01 00:00:00.000002", None), (3, "2024-01-01 00:00:00.000002", None)], "source_row bigint, at string, pool bigint").withColumn("at", F.col("at").cast("timestamp"))
+    store = SlicedInsert(spark, f"file://{tmp_path}/store", ("at", "pool"), slice_rows=2)
+    assert store.send(rows, "one", most_slices=1) == 1 and store.send(rows, "one") == 0
+    assert store.send(rows, "two") == 0
+    assert sorted((r["import_id"], r["source_row"]) for r in store.stored(rows).collect()) == [("one", 1), ("one", 2)]
