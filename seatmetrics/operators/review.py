@@ -17,6 +17,8 @@ from seatmetrics.functions.text import name_tokens, resemblance, token_similarit
 LEAST_SCORE, SHOWN = 15, 5
 #: A word that more names than this hold is common.
 COMMON = 1_000
+#: People whose identifiers a task cuts into pieces.
+TASK_PEOPLE = 20_000
 
 
 def _top(rows: DataFrame, by: str | list[str], order: list[Column], n: int = SHOWN) -> DataFrame:
@@ -82,13 +84,16 @@ def user_review_queue(users: DataFrame, people: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.concat(F.transform(sizes, lambda n: F.left(x, n)), F.transform(sizes, lambda n: F.right(x, n)))))
 
     name, mail = user_key(F.col("username")), F.split_part(user_key(F.col("email")), F.lit("@"), F.lit(1))
-    left = users.select("key").where(F.length("key") >= 4)
-    ids = people.select("employee_id", F.explode(F.array(F.struct(name.alias("id"), F.lit(0).alias("less")), F.struct(mail.alias("id"), F.lit(10).alias("less")))).alias("x")).select("employee_id", "x.*").where(F.length("id") >= 4)
-    inside = left.withColumn("piece", ends(F.col("key"))).join(ids.withColumn("piece", F.col("id")), "piece")
-    around = left.withColumn("piece", F.col("key")).join(ids.withColumn("piece", ends(F.col("id"))), "piece")
+    # An identifier becomes some twenty rows of pieces, out of files that are small: both sides are dealt by their number first.
+    tasks = max(users.sparkSession.sparkContext.defaultParallelism, -(-people.count() // TASK_PEOPLE))
+    left = users.select("key").where(F.length("key") >= 4).repartition(tasks, "key")
+    ids = people.repartition(tasks, "employee_id").select("employee_id", F.explode(F.array(F.struct(name.alias("id"), F.lit(0).alias("less")), F.struct(mail.alias("id"), F.lit(10).alias("less")))).alias("x")).select("employee_id", "x.*").where(F.length("id") >= 4)
+    met = lambda a, b: a.repartition(tasks, "piece").join(b.repartition(tasks, "piece"), "piece")
+    inside = met(left.withColumn("piece", ends(F.col("key"))), ids.withColumn("piece", F.col("id")))
+    around = met(left.withColumn("piece", F.col("key")), ids.withColumn("piece", ends(F.col("id"))))
     raw = resemblance(F.col("key"), F.col("id"))
     scored = inside.unionByName(around).withColumn("score", F.when(raw > 0, F.greatest(raw - F.col("less"), F.lit(0)))).where("score > 0")
-    best = scored.groupBy("key", "employee_id").agg(F.max("score").cast("bigint").alias("score"))
+    best = scored.select("key", "employee_id", "score").repartition(tasks, "key").groupBy("key", "employee_id").agg(F.max("score").cast("bigint").alias("score"))
     return _top(best, "key", [F.col("score").desc(), F.col("employee_id")])
 
 

@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from seatmetrics.functions import text
+from seatmetrics.operators import review
 from seatmetrics.sources import estate, mapping
 from seatmetrics.sources.inserts import SlicedInsert
 
@@ -45,3 +46,11 @@ def test_inserts_tell_keys_apart_by_their_values(spark, tmp_path):
     assert store.send(rows, "one", most_slices=1) == 1 and store.send(rows, "one") == 0
     assert store.send(rows, "two") == 0
     assert sorted((r["import_id"], r["source_row"]) for r in store.stored(rows).collect()) == [("one", 1), ("one", 2)]
+
+
+def test_people_to_review_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(review, "TASK_PEOPLE", 10)
+    people = spark.range(90).select(F.col("id").alias("employee_id"), F.format_string("u%04d", "id").alias("username"), F.format_string("%04d@x", "id").alias("email"))
+    best = review.user_review_queue(people.select(F.format_string("%04d", "employee_id").alias("key")), people)
+    assert best.rdd.getNumPartitions() == 9
+    assert {r["key"]: (r["employee_id"], r["score"]) for r in best.collect()} == {f"{k:04d}": (k, 85) for k in range(90)}
