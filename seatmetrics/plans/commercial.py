@@ -187,7 +187,9 @@ def manager_rollup(people: DataFrame, activity: DataFrame, features: DataFrame,
     """Reports, active reports, seats and seats to take back by manager: the key where there is one, else the name."""
     key = F.when(F.col("manager_key").isNotNull(), F.concat(F.lit("key:"), F.lower(F.trim("manager_key")))).otherwise(F.concat(F.lit("name:"), F.coalesce("manager_name", F.lit(""))))
     led = people.where("manager_key IS NOT NULL OR manager_name IS NOT NULL").withColumn("manager", key)
-    reports = led.groupBy("manager").agg(F.countDistinct("employee_id").alias("reports"), F.min("manager_name").alias("manager_name"), F.bool_or(F.col("manager_key").isNotNull()).alias("linked"))
+    # The least of texts needs a sort, so it is taken over the few names of a manager and not over all people.
+    names = led.groupBy("manager", "manager_name", F.col("manager_key").isNotNull().alias("linked")).agg(F.count("*").alias("reports"))
+    reports = names.groupBy("manager").agg(F.sum("reports").alias("reports"), F.min("manager_name").alias("manager_name"), F.bool_or("linked").alias("linked"))
     named = features.where(F.col("license_model").isin(*NAMED)).select("feature_id", "unit_price", F.lit(True).alias("named"))
     rows = activity.join(led.select("employee_id", "manager"), "employee_id").join(named, "feature_id", "left")
     seat = F.col("assigned") & F.coalesce("named", F.lit(False))

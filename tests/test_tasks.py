@@ -1,11 +1,13 @@
 """What a task holds follows a fixed number of rows, not the size of the tables."""
 
-from datetime import datetime
+import re
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from seatmetrics.functions import text
 from seatmetrics.operators import review
+from seatmetrics.plans import commercial
 from seatmetrics.sources import estate, mapping
 from seatmetrics.sources.inserts import SlicedInsert
 
@@ -28,6 +30,17 @@ def test_activity_is_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
     assert len(got) == 80 and got["Brand#1", 2] == (10, 40.0) and got["Brand#2", 2] == (10, 20.0) and got["Brand#1", 0] == (0, 0.0)
 
 
+def test_people_of_a_manager_are_counted_without_sorting_them(spark):
+    people = spark.createDataFrame([(1, "M1", "Bo"), (2, "m1 ", "Al"), (3, "M1", None), (3, "M1", None), (4, None, "Al"), (5, None, None)], "employee_id bigint, manager_key string, manager_name string")
+    activity = spark.createDataFrame([("f", 1, True, 2, 3.0, date(2024, 1, 1))], "feature_id string, employee_id bigint, assigned boolean, total_sessions bigint, total_hours double, last_used date")
+    features = spark.createDataFrame([("f", "named_user", 5.0)], "feature_id string, license_model string, unit_price double")
+    rows = commercial.manager_rollup(people, activity, features, date(2024, 12, 1))
+    assert not re.search(r"SortAggregate\(key=\[[^\]]*employee_id", rows._jdf.queryExecution().executedPlan().toString())
+    # Rows are counted, as the statement does: a person told twice is two.
+    assert sorted(tuple(r) for r in rows.collect()) == [("key:m1", "Al", True, 4, 1, 1, 1, 1, 5.0), ("name:Al", "Al", False, 1, 0, 0, 0, 0, None)]
+    assert dict(rows.dtypes)["reports"] == "bigint"
+
+
 def test_cells_are_counted_without_sorting_them(spark):
     raw = spark.createDataFrame([("1998-02-03 10:00", "7"), ("3-Mar-1999", "3000000000"), ("n/a", "$1,200.5")], "a string, b string")
     plan = mapping.profiled(raw)._jdf.queryExecution().executedPlan().toString()
