@@ -30,6 +30,22 @@ def test_activity_is_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
     assert len(got) == 80 and got["Brand#1", 2] == (10, 40.0) and got["Brand#2", 2] == (10, 20.0) and got["Brand#1", 0] == (0, 0.0)
 
 
+def test_people_are_dealt_as_the_activity_that_they_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(estate, "TASK_LINES", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = _tables(spark, tmp_path, 400)
+        people = spark.range(40).select(F.col("id").alias("employee_id"), F.lit("d").alias("department"), F.lit("M1").alias("manager_key"), F.lit("Bo").alias("manager_name"), F.lit("active").alias("status"))
+        features = spark.createDataFrame([("Brand#1", "named_user", 5.0, 80.0, 20.0), ("Brand#2", "token", 5.0, 40.0, 10.0)], "feature_id string, license_model string, unit_price double, current_cost double, waste double")
+        for rows in (commercial.allocate(e.activity(), people, features, "department", "usage_duration"), commercial.manager_rollup(people, e.activity(), features, date(2024, 12, 1))):
+            dealt = re.findall(r"hashpartitioning\((?:employee_id|l_orderkey)#\d+L?, (\d+)\)", rows._jdf.queryExecution().executedPlan().toString())
+            assert set(dealt) == {"12"}  # 1,200 lines, while a join has 4 tasks by its settings
+        assert [(r["grp"], r["allocated_spend"], r["sessions"], r["headcount"]) for r in commercial.allocate(e.activity(), people, features, "department", "usage_duration").collect()] == [("d", 120.0, 780, 40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_people_of_a_manager_are_counted_without_sorting_them(spark):
     people = spark.createDataFrame([(1, "M1", "Bo"), (2, "m1 ", "Al"), (3, "M1", None), (3, "M1", None), (4, None, "Al"), (5, None, None)], "employee_id bigint, manager_key string, manager_name string")
     activity = spark.createDataFrame([("f", 1, True, 2, 3.0, date(2024, 1, 1))], "feature_id string, employee_id bigint, assigned boolean, total_sessions bigint, total_hours double, last_used date")
